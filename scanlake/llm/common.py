@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows that a worker turns into Python objects at a time.
 ROWS = 256
 #: Entries that a worker's cache may hold; a full cache is emptied.
-CACHE = 1 << 20
+CACHE = 1 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -99,8 +99,8 @@ def described(docs: DataFrame) -> DataFrame:
     return texts(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
 
 
-def similarities(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs(a, b) with the sizes of the intersection (`both`) and union (`either`) of the full shingle sets of their texts."""
+def similarities(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """pairs(a, b) with the sizes of the intersection (`both`) and union (`either`) of the full shingle sets of their texts in whole(id, text)."""
     schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "both", "either")])
 
     def run(batches):
@@ -115,9 +115,8 @@ def similarities(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 rows.append((a, b, both, len(of_last) + len(other) - both))
             yield batch_of(schema, *([r[i] for r in rows] for i in range(4)))
 
-    whole = texts(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    rows = pairs.join(whole.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = rows.join(whole.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    rows = pairs.join(whole.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    rows = rows.join(whole.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, either long")
 
 
@@ -147,7 +146,7 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
         label = lower
 
 
-def _in_blocks(entries: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _in_blocks(entries: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """entries(key, id, n): links (a, b) that connect, in each bucket of n members, what any of its links connects."""
     import pandas as pd
 
@@ -163,7 +162,7 @@ def _in_blocks(entries: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     ids = entries.select("id").distinct()
-    sets = written(texts(docs, F.col("doc_id").cast("long").alias("id")).join(ids, "id", "left_semi").mapInArrow(hashed, "id long, found binary"), "sets")
+    sets = written(whole.join(ids, "id", "left_semi").mapInArrow(hashed, "id long, found binary"), "sets")
     dealt = entries.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.expr("cast(pmod(xxhash64(id, key), blocks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("key", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -175,8 +174,11 @@ def links(entries: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     entries = written(entries, "entries")
     buckets = written(entries.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).filter("centre < last").select("key", "centre"), "buckets")
     entries = written(entries.join(buckets, "key").filter("id <> centre"), "spokes")
+    # The texts of bucket members alone; they are read several times.
+    ids = entries.select("id").union(entries.select("centre")).distinct()
+    whole = written(texts(docs, F.col("doc_id").cast("long").alias("id")).join(ids, "id", "left_semi"), "texts")
     stars = written(entries.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    checked = written(similarities(stars, docs), "checked")
+    checked = written(similarities(stars, whole), "checked")
     is_link = F.col("both") * 100 >= F.col("either") * percent
     found = checked.filter(is_link).select("a", "b")
     groups = components(found)
@@ -193,8 +195,8 @@ def links(entries: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     small = state.filter(F.col("n") <= SMALL)
     one, other = small.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), small.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
     rest = written(one.join(other, "key").filter("a < b and ca <> cb").select("a", "b").distinct(), "rest")
-    more = similarities(rest, docs).filter(is_link).select("a", "b")
-    return found.union(more).union(_in_blocks(state.filter(F.col("n") > SMALL).select("key", "id", "n"), docs, percent))
+    more = similarities(rest, whole).filter(is_link).select("a", "b")
+    return found.union(more).union(_in_blocks(state.filter(F.col("n") > SMALL).select("key", "id", "n"), whole, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
