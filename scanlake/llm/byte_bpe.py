@@ -104,34 +104,32 @@ def tree(ranks: str, pattern: str) -> Tree:
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, *keep: str) -> DataFrame:
-    """Per row of docs: the columns named in keep, and `ids` (array of int), the text's token ids.
+    """Per row of docs: `row`, a struct of the columns named in keep, and `ids` (array of int), the text's token ids.
 
     Null and empty texts have no ids. Repeated rows are each returned; other columns are ignored; texts are encoded whole.
     """
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), *keep)
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
+    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
         encode = tree(ranks, pattern).encode
         for batch in slices(batches):
-            ids = pa.array([encode(t) for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids], names=[*batch.schema.names[1:], "ids"])
+            ids = pa.array([encode(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["row", "ids"])
 
-    return rows.mapInArrow(run, ", ".join([*schema, "ids array<int>"]))
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
 
 
-def decode_documents(encoded: DataFrame, ranks: str, pattern: str, *keep: str) -> DataFrame:
-    """Per row: the columns named in keep, and `decoded` (binary), the bytes of its `ids`; null ids give null."""
-    rows = encoded.select("ids", *keep)
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
+def decode_documents(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """encoded(row, ids) with `decoded` (binary), the bytes of the ids; null ids give null."""
+    rows = encoded.select("row", "ids")
 
     def run(batches):
         decode = tree(ranks, pattern).decode
         for batch in slices(batches):
-            found = pa.array([None if i is None else decode(i) for i in batch.column(0).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], found], names=[*batch.schema.names[1:], "decoded"])
+            found = pa.array([None if i is None else decode(i) for i in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["row", "ids", "decoded"])
 
-    return rows.mapInArrow(run, ", ".join([*schema, "decoded binary"]))
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, decoded binary")
 
 
 def bpe_digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:

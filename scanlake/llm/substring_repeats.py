@@ -150,7 +150,7 @@ def merged(ats: np.ndarray) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame, *keep: str) -> DataFrame:
-    """Per row of docs: the columns named in keep, and n_words, n_removed, spans (maximal repeats, word offsets), kept (text).
+    """Per row of docs: `row`, a struct of the columns named in keep, n_words, n_removed, spans (maximal repeats, word offsets), kept (text).
 
     A null text has no words and keeps the empty text. Rows with a null doc_id come after all others and never remove each
     other's words. Rows that repeat a doc_id do not remove each other's words. Other columns are ignored; texts are compared
@@ -178,10 +178,10 @@ def without_repeats(docs: DataFrame, *keep: str) -> DataFrame:
 
     joined = rows.join(repeated_windows(docs).hint("shuffle_hash"), ["doc", "row"], "left").select("keep", "text", "ats")
     done = joined.mapInArrow(run, f"keep {kept_type}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
-    return done.select("keep.*", "n_words", "n_removed", "spans", "kept")
+    return done.withColumnRenamed("keep", "row")
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     done = without_repeats(docs, "doc_id")
-    return done.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -151,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column) -> list[tuple
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
-    """Per row of docs: doc_id, the columns named in keep, held_out, score (0 to 1) and predicted (1 if score >= 0.5, else 0).
+    """Per row of docs: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5, else 0), and `row`, a struct of the columns
+    named in keep (no struct if none are).
 
     Labels are learnt from rows whose crc32(doc_id as text) mod 5 is not 0; held_out marks the others. A null doc_id is in
     neither fold (held_out true). Null and empty texts have no features and get the score of the bias alone; without any
@@ -168,7 +169,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame
             weights[names[f], member] = w
     fitted = sorted({m for m, f, _ in model if f is None})
     shared = docs.sparkSession.sparkContext.broadcast((names, weights[:, fitted], bias[fitted]))
-    rows = texts(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id"), *keep).alias("keep"))
+    rows = texts(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id"), *([F.struct(*keep).alias("row")] if keep else [])).alias("keep"))
     schema = pa.schema([("score", pa.float64())])
 
     def run(batches):
@@ -183,4 +184,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame
 
     out = rows.mapInArrow(run, f"keep {rows.schema['keep'].dataType.simpleString()}, score double").select("keep.*", "score")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5, F.lit(0)) == 0
-    return out.select("doc_id", *keep, held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *(["row"] if keep else []))

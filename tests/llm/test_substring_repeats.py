@@ -57,7 +57,7 @@ def test_equals_brute_force(spark, monkeypatch):
 def test_spans_are_maximal(spark):
     words = [f"p{i}" for i in range(40)]
     rows = [(1, " ".join(words)), (2, " ".join(["q", *words[5:35], "r"]))]
-    got = {r.doc_id: r for r in S.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    got = {r.row.doc_id: r for r in S.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
     assert [tuple(s) for s in got[2].spans] == [(1, 31)] and got[2].kept == "q r" and got[1].spans == []
 
 
@@ -66,10 +66,10 @@ def test_edges(spark, edge_docs, no_docs):
     more = spark.createDataFrame([(None, long), (None, long), (8, long), (9, long), (9, long)], "doc_id long, text string")
     got = S.without_repeats(edge_docs.select("doc_id", "text").union(more), "doc_id").collect()
     assert len(got) == edge_docs.count() + 5
-    empty = [r for r in got if r.doc_id in (1, 2, 3)]
+    empty = [r for r in got if r.row.doc_id in (1, 2, 3)]
     assert all((r.n_words, r.n_removed, r.kept) == (0, 0, "") for r in empty)
-    assert [r.n_removed for r in got if r.doc_id == 8] == [0]
-    assert [r.n_removed for r in got if r.doc_id == 9] == [30, 30]
-    assert sorted(r.n_removed for r in got if r.doc_id is None) == [0, 30, 30]
+    assert [r.n_removed for r in got if r.row.doc_id == 8] == [0]
+    assert [r.n_removed for r in got if r.row.doc_id == 9] == [30, 30]
+    assert sorted(r.n_removed for r in got if r.row.doc_id is None) == [0, 30, 30]
     assert S.repeat_digests(edge_docs).count() == edge_docs.count()
     assert S.repeat_digests(no_docs).count() == 0
