@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from scanlake.llm.common import CACHE, batch_of, slices, texts
 
-MEMBERS, POSITIVES, UNLABELLED = 3, 1500, 6000
+MEMBERS, POSITIVES, UNLABELLED = 3, 1500, 5000
 COMMON, SHARE, LEAST, LIFT, LARGEST = 3, 0.01, 2.0, 4.0, 500
 STEPS, RATE, DECAY = 500, 0.05, 1.0
 EDGE = b".,;:!?\"'()[]{}|*#%&$-"
@@ -124,11 +124,10 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column) -> list[tuple
         chosen = [F.when(F.pmod(F.xxhash64("doc_id", F.lit(m)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / n)), F.lit(m)) for m in range(MEMBERS)]
         return F.explode(F.array_compact(F.array(*chosen)))
 
-    positive = known.filter("toxic = 1").select("doc_id", members(POSITIVES, n_pos).alias("member"))
-    # At most about MEMBERS * POSITIVES ids, so the join stays beside the texts.
-    positive = rows.join(F.broadcast(positive), "doc_id").select("member", F.lit(1).alias("toxic"), "text")
-    others = rows.select("doc_id", "text", members(UNLABELLED, max(1, n_docs)).alias("member")).join(known.select("doc_id"), "doc_id", "left_anti")
-    sample = positive.union(others.select("member", F.lit(0).alias("toxic"), "text"))
+    positive = known.filter("toxic = 1").select("doc_id", F.lit(1).alias("toxic"), members(POSITIVES, n_pos).alias("member"))
+    others = rows.select("doc_id", F.lit(0).alias("toxic"), members(UNLABELLED, max(1, n_docs)).alias("member")).join(known.select("doc_id"), "doc_id", "left_anti")
+    # At most about MEMBERS * (POSITIVES + UNLABELLED) ids, so this side is small at any size of docs, and texts stay where they are.
+    sample = rows.join(F.broadcast(positive.union(others).distinct()), "doc_id").select("member", "toxic", "text")
 
     def featured(batches):
         features = Features()
