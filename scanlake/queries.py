@@ -1,6 +1,6 @@
-"""The registry of queries over the driver's tables."""
+"""All registered queries."""
 
-from __future__ import annotations
+from scanlake.plans import annotations, assembly, evaluation, files, images, modelling, names, splitting  # noqa: F401
+from scanlake.registry import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
