@@ -7,11 +7,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Weights in thousandths, in channel order blue, green, red.
 GRAY = (114, 587, 299)
+#: Added before rounding, so that the order in which parts of a cell are summed cannot turn a half down.
+SLACK = 1e-9
+
+
+def whole(v: Column) -> Column:
+    """The nearest integer of a resized value, halves up."""
+    return F.floor(v + (0.5 + SLACK)).cast("int")
 
 
 def to_gray(pixels: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -99,7 +106,7 @@ def kernel(image: np.ndarray, target: tuple[int, int] | None = None, channels: s
             cells = np.arange(a)[None]
             sides.append(np.clip(np.minimum(high, cells + 1) - np.maximum(low, cells), 0, None) * b / a)
         x = np.einsum("ty,sx,yxc->tsc", sides[0], sides[1], x.astype(np.float64))
-        x = np.floor(x + 0.5).astype(np.int64)
+        x = np.floor(x + (0.5 + SLACK)).astype(np.int64)
     if denoise:
         padded = np.pad(x, ((1, 1), (1, 1), (0, 0)), mode="edge")
         x = np.median(np.stack([padded[i : i + x.shape[0], j : j + x.shape[1]] for i in range(3) for j in range(3)]), axis=0).astype(np.int64)
