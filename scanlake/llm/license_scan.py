@@ -1,9 +1,9 @@
 """License scans (operator 5) by conditional compression.
 
 A candidate block is the text around words that license notices use. Each block is compressed alone and with each template
-as a zstandard raw dictionary; templates are ranked by how much smaller the block becomes. The BEST ones are confirmed by the
-exact wording: the template's words are laid along the block's words, and a template is found if at most a share of
-its words is missing or changed. Blocks are told by content, so a notice that fills a corpus is compressed once a worker.
+as a zstandard raw dictionary, in lower case; templates are ranked by how much smaller the block becomes, as a share of what the template
+can explain. Those that save LEAST_SAVED are confirmed by the exact wording, best first: the template's words are laid along the
+block's words, and a template is found if at most a share of its words is missing or changed. Blocks are told by content, so a notice that fills a corpus is compressed once a worker.
 """
 
 from __future__ import annotations
@@ -39,21 +39,23 @@ TEMPLATES = {
 CUE = re.compile(rb"licen[sc]|copyright|permission|redistribut|public domain", re.I)
 #: Bytes of text on either side of a cue that make a block, at most to the ends of its paragraph.
 AROUND = 512
-BEST, LEAST_SAVED, MOST_CHANGED = 3, 0.2, 0.1
+LEAST_SAVED, MOST_CHANGED = 0.3, 0.1
 WORD = re.compile(r"[\w.+/:-]*\w")
 
 
 class Templates:
     def __init__(self, templates: dict[str, str]):
-        raw = lambda t: zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw = lambda t: zstandard.ZstdCompressionDict(t, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         small = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.names, self.words = list(templates), [WORD.findall(t.lower()) for t in templates.values()]
+        lines = [" ".join(w).encode() for w in self.words]
         self.plain = zstandard.ZstdCompressor(**small)
-        self.given = [zstandard.ZstdCompressor(dict_data=raw(t), **small) for t in templates.values()]
+        self.given = [zstandard.ZstdCompressor(dict_data=raw(t), **small) for t in lines]
+        self.most = [len(self.plain.compress(t)) for t in lines]
         self.known: dict[bytes, list[tuple]] = {}
 
     def of(self, block: bytes) -> list[tuple[str, float, int, int]]:
-        """(license, share of bytes saved, words of the template that are missing, words added among them) of each found."""
+        """(license, share saved, words of the template that are missing, words added among them) of each found."""
         if block not in self.known:
             if len(self.known) >= CACHE // 16:
                 self.known.clear()
@@ -61,22 +63,25 @@ class Templates:
         return self.known[block]
 
     def _found(self, block: bytes) -> list[tuple[str, float, int, int]]:
-        alone = len(self.plain.compress(block))
-        saved = [(1 - len(c.compress(block)) / alone, i) for i, c in enumerate(self.given)]
+        """The best confirmed template is taken out of the block, and the rest is ranked again, until nothing is confirmed."""
         own, found = WORD.findall(block.decode("utf-8", "replace").lower()), []
-        for share, i in sorted(saved, key=lambda s: (-s[0], s[1]))[:BEST]:
-            if share < LEAST_SAVED:
+        while own:
+            text = " ".join(own).encode()
+            alone = len(self.plain.compress(text))
+            saved = [((alone - len(c.compress(text))) / min(alone, most), i) for i, (c, most) in enumerate(zip(self.given, self.most, strict=True))]
+            confirmed = []
+            for share, i in sorted(saved, key=lambda s: (-s[0], s[1])):
+                if share < LEAST_SAVED:
+                    break
+                missing, added, first, last = wording(self.words[i], own)
+                if missing + added <= MOST_CHANGED * len(self.words[i]):
+                    confirmed.append((missing + added, first - last, i, share, missing, added, first, last))
+            if not confirmed:
                 break
-            missing, added, first, last = wording(self.words[i], own)
-            if missing + added <= MOST_CHANGED * len(self.words[i]):
-                found.append((self.names[i], round(share, 6), missing, added, first, last))
-        # Where two notices claim the same words, the closer and then the longer one is right.
-        found.sort(key=lambda f: (f[2] + f[3], -(f[5] - f[4])))
-        right: list[tuple] = []
-        for f in found:
-            if all(f[5] <= g[4] or g[5] <= f[4] for g in right):
-                right.append(f)
-        return sorted(f[:4] for f in right)
+            _, _, i, share, missing, added, first, last = min(confirmed)
+            found.append((self.names[i], round(share, 6), missing, added))
+            own[first:last] = ["\n"]
+        return sorted(found)
 
 
 def wording(template: list[str], block: list[str]) -> tuple[int, int, int, int]:
@@ -113,7 +118,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Data
     """A row for each license found in a block: doc_id, start and end (bytes of the block), license, saved, n_missing, n_added.
 
     Null and empty texts have none; every cue of a text of any length is tried; repeated rows are each reported; a null doc_id
-    is returned as null; other columns are ignored. saved: share of the compressed block that the template explains.
+    is returned as null; other columns are ignored. saved: the bytes that the
+    template saves, as a share of the smaller of block and template.
     """
 
     def run(batches):
