@@ -18,6 +18,7 @@ from scanlake.llm import (
     toxicity,
     vector_duplicates,
 )
+from scanlake.llm.oracles import ORACLES
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +71,9 @@ def op10_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_duplicates.vector_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     f.__name__: f
     for f in (op1_token_counts, op2_substring_dedup, op3_toxicity, op4_lm_scores, op5_license_scan, op6_near_duplicates, op7_byte_bpe, op8_top_k, op9_mixing, op10_embedding_duplicates)
 }
-ORACLES: dict[str, str] = {}
