@@ -64,13 +64,19 @@ def windows(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _first_only(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Rows of one batch: of those with equal keys only the first stays OPEN; keys of the others are spread out."""
-    order = np.lexsort((at, doc, k2, k1))
+    """Rows of one batch: of those with equal keys only the first stays OPEN; keys of the others are spread out.
+
+    Rows that are equal in everything are sent once: marks return by (doc, row), so one stands for all of them.
+    """
+    order = np.lexsort((at, row, doc, k2, k1))
     k1, k2, doc, row, at = k1[order], k2[order], doc[order], row[order], at[order]
-    again = np.r_[False, (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])][: len(k1)]
-    # An equal key in another row with the same doc_id is not earlier, so it stays.
-    head = np.maximum.accumulate(np.where(again, 0, np.arange(len(k1))))
-    again &= (doc > doc[head]) | ((doc == doc[head]) & (row == row[head]))
+    equal = lambda *columns: np.r_[False, np.logical_and.reduce([c[1:] == c[:-1] for c in columns])][: len(k1)]
+    new = ~equal(k1, k2, doc, row, at)
+    k1, k2, doc, row, at = k1[new], k2[new], doc[new], row[new], at[new]
+    # Earlier is a smaller doc_id or, in the same row, a smaller place; another row with the same doc_id is not.
+    same, again = equal(k1, k2), equal(k1, k2, doc, row)
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(k1))))
+    again |= doc > doc[head]
     k1 = np.where(again, mix(k1 ^ mix(doc.view(np.uint64) * np.uint64(31) + at.view(np.uint64))), k1)
     return batch_of(KEYED, again.astype(np.int32), signed(k1), signed(k2), doc, row, at)
 
@@ -131,10 +137,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     seen = _compared(_anchors_of(rows), F.min("k2").over(by_anchor), F.max("k2").over(by_anchor))
     seen = seen.withColumn("repeat", (F.col("kind") == REPEAT) | (F.col("doc") > F.col("first")))
     marks = written(seen.filter("repeat or m0 <> m1").select("doc", "row", "at", "repeat"), "anchors")
-    extend = marks.filter("not repeat").groupBy("doc", "row").agg(F.collect_list("at").alias("ats"))
+    extend = marks.filter("not repeat").groupBy("doc", "row").agg(F.collect_set("at").alias("ats"))
     found = _compared(_windows_of(rows.join(extend.hint("shuffle_hash"), ["doc", "row"])))
     found = found.filter((F.col("kind") == REPEAT) | (F.col("doc") > F.col("first"))).select("doc", "row", "at")
-    return marks.filter("repeat").select("doc", "row", "at").union(found).groupBy("doc", "row").agg(F.collect_list("at").alias("ats"))
+    return marks.filter("repeat").select("doc", "row", "at").union(found).groupBy("doc", "row").agg(F.collect_set("at").alias("ats"))
 
 
 def merged(ats: np.ndarray) -> list[tuple[int, int]]:

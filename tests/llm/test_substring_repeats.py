@@ -73,3 +73,19 @@ def test_edges(spark, edge_docs, no_docs):
     assert sorted(r.n_removed for r in got if r.row.doc_id is None) == [0, 30, 30]
     assert S.repeat_digests(edge_docs).count() == edge_docs.count()
     assert S.repeat_digests(no_docs).count() == 0
+
+
+def test_repeated_rows_that_hold_their_text_first_keep_it(spark, monkeypatch):
+    """Two equal rows are the earliest holders of a text that repeats a passage of its own; a later row has part of it, and an end of its own."""
+    passage = [f"z{i}" for i in range(30)]
+    text = " ".join([*passage, "and", *passage])
+    other = " ".join([*passage[:25], *(f"y{i}" for i in range(10))])
+    rows = [(None, text), (None, text), (3, " ".join(f"u{i}" for i in range(25)))] + [(3, " ".join(f"u{i}" for i in range(25)))]
+    twice = [(5, " ".join(f"t{i}" for i in range(40))), (5, " ".join(f"t{i}" for i in range(40))), (6, " ".join(f"t{i}" for i in range(10, 40)))]
+    half = [(7, " ".join([*(f"s{i}" for i in range(24)), "x", *(f"s{i}" for i in range(24))])), (7, " ".join(f"s{i}" for i in range(24)))]
+    docs = spark.createDataFrame([*rows, *twice, *half, (None, other)], "doc_id long, text string")
+    for together, parts in ((4096, 1), (1, 1), (4096, 5)):
+        monkeypatch.setattr(S, "TOGETHER", together)
+        got = [(r.row.doc_id, r.n_words, r.n_removed) for r in S.without_repeats(docs.repartition(parts), "doc_id").collect()]
+        assert sorted(x for x in got if x[0]) == [(3, 25, 0), (3, 25, 0), (5, 40, 0), (5, 40, 0), (6, 30, 30), (7, 24, 0), (7, 49, 24)]
+        assert sorted(x[1:] for x in got if x[0] is None) == [(35, 0), (61, 30), (61, 30)]
