@@ -1,16 +1,20 @@
 """License scans (operator 5) by conditional compression.
 
-A candidate block is the text around words that license notices use. Each block is compressed alone and with each template
-as a zstandard raw dictionary, in lower case; templates are ranked by how much smaller the block becomes, as a share of what the template
-can explain. Those that save LEAST_SAVED are confirmed by the exact wording, best first: the template's words are laid along the
-block's words, and a template is found if at most a share of its words is missing or changed. Blocks are told by content, so a notice that fills a corpus is compressed once a worker.
+A candidate block is the text around words that license notices use, within their paragraph; marks that begin lines of a comment
+are no words. Windows of a block, little longer than a template, are compressed alone and with the template as a zstandard raw
+dictionary, in lower case: the template is ranked by how much smaller the window becomes, as a share of what it can explain. Windows that
+lack too many of its words, in any order, are not compressed. Those that save LEAST_SAVED are confirmed by the exact wording, best
+first: the template's words are laid along the window's words, and a template is found if at most a share of its words is missing or
+changed. Blocks are told by content, so a notice that fills a corpus is compressed once a worker.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -37,8 +41,11 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 CUE = re.compile(rb"licen[sc]|copyright|permission|redistribut|public domain", re.I)
-#: Bytes of text on either side of a cue that make a block, at most to the ends of its paragraph.
+#: Bytes of text on either side of a cue that make a block, at most to the ends of its paragraph; twice the longest template if that is more.
 AROUND = 512
+#: What ends a paragraph, and what begins a line of a comment.
+BLANK = re.compile(rb"\n[ \t\r]*\n")
+MARK = re.compile(r"^[ \t]*(?:/\*+|//+|--+|[#*;%!>|]+|(?:rem|dnl)\b)", re.M)
 LEAST_SAVED, MOST_CHANGED = 0.3, 0.1
 WORD = re.compile(r"[\w.+/:-]*\w")
 
@@ -52,6 +59,8 @@ class Templates:
         self.plain = zstandard.ZstdCompressor(**small)
         self.given = [zstandard.ZstdCompressor(dict_data=raw(t), **small) for t in lines]
         self.most = [len(self.plain.compress(t)) for t in lines]
+        self.bags = [Counter(w) for w in self.words]
+        self.around = max(AROUND, 2 * max((len(t.encode()) for t in templates.values()), default=0))
         self.known: dict[bytes, list[tuple]] = {}
 
     def of(self, block: bytes) -> list[tuple[str, float, int, int]]:
@@ -63,26 +72,36 @@ class Templates:
         return self.known[block]
 
     def _found(self, block: bytes) -> list[tuple[str, float, int, int]]:
-        """The best confirmed template is taken out of the block, and the rest is ranked again, until nothing is confirmed."""
-        own, found = WORD.findall(block.decode("utf-8", "replace").lower()), []
-        while own:
-            text = " ".join(own).encode()
-            alone = len(self.plain.compress(text))
-            saved = [((alone - len(c.compress(text))) / min(alone, most), i) for i, (c, most) in enumerate(zip(self.given, self.most, strict=True))]
-            confirmed = []
-            for share, i in sorted(saved, key=lambda s: (-s[0], s[1])):
-                if share < LEAST_SAVED:
-                    break
-                missing, added, first, last = wording(self.words[i], own)
-                if missing + added <= MOST_CHANGED * len(self.words[i]):
-                    confirmed.append((missing + added, first - last, i, share, missing, added, first, last))
-            if not confirmed:
-                break
-            _, _, i, share, missing, added, first, last = min(confirmed)
-            found.append((self.names[i], round(share, 6), missing, added))
-            own[first:last] = ["\n"]
+        """The best confirmed templates are taken out of the block, and the rest is ranked again, until nothing is confirmed."""
+        own, found = WORD.findall(MARK.sub(" ", block.decode("utf-8", "replace").lower())), []
+        while confirmed := sorted(c for i in range(len(self.words)) for c in self._confirmed(i, own)):
+            taken = np.zeros(len(own), dtype=bool)
+            for _, _, i, share, missing, added, first, last in confirmed:
+                if not taken[first:last].any():
+                    taken[first:last] = True
+                    found.append((self.names[i], round(-share, 6), missing, added))
+            own = [w if not t else "\n" for w, t, before in zip(own, taken, np.r_[False, taken[:-1]], strict=True) if not (t and before)]
         return sorted(found)
 
+    def _confirmed(self, i: int, own: list[str]):
+        """Where a template is found, by windows that a notice of so many words cannot miss and that hold little else, as prose around hides what is saved."""
+        template, bag = self.words[i], self.bags[i]
+        n, step = len(template), max(1, len(template) // 4)
+        changed = MOST_CHANGED * n
+        if (Counter(own) & bag).total() < n - changed:
+            return
+        for at in range(0, len(own), step):
+            part = own[at : at + n + int(changed) + step]
+            if (Counter(part) & bag).total() < n - changed:
+                continue
+            text = " ".join(part).encode()
+            alone = len(self.plain.compress(text))
+            share = (alone - len(self.given[i].compress(text))) / min(alone, self.most[i])
+            if share >= LEAST_SAVED:
+                missing, added, first, last = wording(template, part)
+                if missing + added <= changed:
+                    yield missing + added, first - last, i, -share, missing, added, at + first, at + last
+
 
 def wording(template: list[str], block: list[str]) -> tuple[int, int, int, int]:
     """How many template words are missing, how many others stand between, and the part of the block that was used."""
@@ -100,13 +119,14 @@ def wording(template: list[str], block: list[str]) -> tuple[int, int, int, int]:
     return len(template) - same, last - first - same, first, last
 
 
-def blocks(text: bytes) -> list[tuple[int, int]]:
-    """Byte ranges of candidate blocks: cues with what stands around them in their line, merged where they overlap."""
+def blocks(text: bytes, around: int = AROUND) -> list[tuple[int, int]]:
+    """Byte ranges of candidate blocks: cues with what stands around them in their paragraph, merged where they overlap."""
     found: list[tuple[int, int]] = []
     for cue in CUE.finditer(text):
-        a = max(text.rfind(b"\n", 0, cue.start()) + 1, cue.start() - AROUND)
-        end = text.find(b"\n", cue.end())
-        b = min(len(text) if end < 0 else end, cue.end() + AROUND)
+        before = [m.end() for m in BLANK.finditer(text, max(0, cue.start() - around), cue.start())]
+        a = before[-1] if before else max(0, cue.start() - around)
+        after = BLANK.search(text, cue.end(), cue.end() + around)
+        b = after.start() if after else min(len(text), cue.end() + around)
         if found and a <= found[-1][1]:
             found[-1] = (found[-1][0], max(b, found[-1][1]))
         else:
@@ -119,7 +139,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Data
 
     Null and empty texts have none; every cue of a text of any length is tried; repeated rows are each reported; a null doc_id
     is returned as null; other columns are ignored. saved: the bytes that the
-    template saves, as a share of the smaller of block and template.
+    template saves, as a share of the smaller of the notice's window and template.
     """
 
     def run(batches):
@@ -127,7 +147,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Data
         for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for a, b in blocks(text or b""):
+                for a, b in blocks(text or b"", known.around):
                     rows += [(doc, a, b, *found) for found in known.of(text[a:b])]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
             names = ("doc_id", "start", "end", "license", "saved", "n_missing", "n_added")

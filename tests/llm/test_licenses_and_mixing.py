@@ -1,4 +1,5 @@
 import collections
+import textwrap
 
 import numpy as np
 import pytest
@@ -105,3 +106,20 @@ def test_topics(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("topic", M.topic())
     assert [r.topic for r in df.collect()] == ["empty", "empty", "table", "symbols", "figures", "notes", "prose"]
     assert df.select(M.tokens().alias("n")).agg(F.sum("n")).first()[0] == 7 + 40 + 80 + 10 + 200
+
+
+def test_wrapped_notices(spark):
+    """Every template hard-wrapped, plain and as comments, alone and amid lines of prose; two changed copies do not hide each other."""
+    prose = "He went home by the river and said that it was late, as it was every day of the year.\n" * 6
+    marks = ("", "// ", "//", " * ", "# ", "-- ", "    ; ")
+    wrapped = {n: textwrap.wrap(t, 40, break_long_words=False, break_on_hyphens=False) for n, t in L.TEMPLATES.items()}
+    texts = [around + "\n".join(m + line for line in lines) + "\n" + around for lines in wrapped.values() for m in marks for around in ("", prose)]
+    mit = wrapped["MIT grant"]
+    twice = "\n".join(mit).replace("associated", "attached") + "\n" + "\n".join(mit).replace("charge", "cost")
+    want = [(i, n, 0, 0) for i, n in enumerate(n for n in wrapped for _ in range(2 * len(marks)))]
+    assert found(spark, *texts, twice) == [*want, *[(len(want), "MIT grant", 1, 1)] * 2]
+
+
+def test_blocks_end_with_the_paragraph():
+    assert L.blocks(b"one\n\ntwo\nlicense three\nfour \n \nfive") == [(5, 28)]
+    assert L.blocks(b"x" * 2000 + b"license" + b"y" * 2000, 700) == [(1300, 2706)]
