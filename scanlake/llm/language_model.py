@@ -9,7 +9,8 @@
    as the unseen symbol (as it would be if it were left out), which gives unseen words their probability.
    So the model is a distribution over the same outcomes as the base: the known words, the end, and one unseen word.
 3. The recurrent part (recurrent.py) is fitted by ROUNDS of local passes: each task trains a copy of the model on the
-   share SAMPLED of the training documents of SHARD_BLOCKS blocks, and parameters are averaged by tokens. Samples and tasks grow with the input.
+   training documents of SHARD_BLOCKS blocks whose round it is, and parameters are averaged by tokens. Every training document has
+   one round (SAMPLED, the share of them that have one, is for tests), and tasks grow with the input.
 4. Every block is scored with the state carried through each whole document.
 """
 
@@ -27,7 +28,7 @@ from scanlake.llm import recurrent
 from scanlake.llm.common import slices, texts, written
 
 WORDS, TAIL, DISCOUNT = 4096, 64, 0.6
-TOKENS, ROUNDS, SAMPLED, SHARD_BLOCKS = 1 << 20, 2, 0.08, 16
+TOKENS, ROUNDS, SAMPLED, SHARD_BLOCKS = 1 << 20, 2, 1.0, 16
 SAMPLE_ROWS = 8192
 #: The end of a document among words; no word is empty.
 END = b""
@@ -193,7 +194,7 @@ def trained_copies(blocks: DataFrame, model: dict, words: int, shards: int, turn
         docs = []
         for _, row in group.sort_values("block").iterrows():
             if len(row["lengths"]):
-                docs += np.split(np.frombuffer(row["symbols"], dtype="<u2").astype(np.int64), np.cumsum(row["lengths"])[:-1])
+                docs += np.split(np.frombuffer(row["symbols"], dtype="<u2"), np.cumsum(row["lengths"])[:-1])
         own, seen = recurrent.train(recurrent.shaped(start.value, words, TAIL), docs, seed=turn)
         return pd.DataFrame({"seen": [seen], "values": [(recurrent.flat(own).astype(np.float64) * seen).tolist()]})
 

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 from scanlake.llm import language_model as M
+from scanlake.llm import recurrent
 
 
 def brute(rows):
@@ -35,3 +36,18 @@ def test_edges(spark, edge_docs, no_docs):
     n = next(iter(brute(rows).values()))[3]
     assert by[7].n_tokens == 60_001 and by[7].train_tokens == n  # a repeated row counts again
     assert M.language_model_scores(no_docs).count() == 0
+
+
+def test_every_training_document_is_learnt_from(spark, sf_dir, monkeypatch):
+    """Over the rounds the copies see all training tokens, but for those that do not fill a shard's lanes."""
+    monkeypatch.setattr(M, "TOKENS", 20_000)
+    seen, copies = [], M.trained_copies
+
+    def watched(*given):
+        out = copies(*given)
+        seen.append([r.seen for r in out.select("seen").collect()])
+        return out
+
+    monkeypatch.setattr(M, "trained_copies", watched)
+    n = M.language_model_scores(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3)).first().train_tokens
+    assert len(seen) == M.ROUNDS and n - recurrent.LANES * sum(map(len, seen)) < sum(map(sum, seen)) <= n
