@@ -1,43 +1,67 @@
 """LM scoring (operator 4): whole-document log-probabilities of a gated recurrent language model, and of add-one unigrams.
 
-1. Tokens of all training documents are counted. Documents are packed into blocks of about TOKENS tokens with a word list of
-   their own; the WORDS words that a sample shows most often have numbers known to all and are counted apart, so no
-   count meets in a task by the popularity of its word. Counts of other words are joined over blocks, and a block gets back
-   those it cannot know alone.
-2. Words have an output each in the model if they are among the WORDS, else they belong to one of TAIL classes by their last
-   two characters; within a tail class a word has probability (count - DISCOUNT) in proportion. A word met once in training is learnt
-   as the unseen symbol (as it would be if it were left out), which gives unseen words their probability.
-   So the model is a distribution over the same outcomes as the base: the known words, the end, and one unseen word.
-3. The recurrent part (recurrent.py) is fitted by ROUNDS of local passes: each task trains a copy of the model on the
-   training documents of SHARD_BLOCKS blocks whose round it is, and parameters are averaged by tokens. Every training document has
-   one round (SAMPLED, the share of them that have one, is for tests), and tasks grow with the input.
-4. Every block is scored with the state carried through each whole document.
+1. Documents are packed into blocks of about TOKENS tokens, which are numbers of the block's own word list; words that a sample shows
+   often have numbers known to all, so that no block has to list them. The sample decides this alone and can change no result.
+2. The words of all lists are dealt by hash to buckets of about PAIRS (block, word) pairs. A bucket adds up the training counts of its words
+   and gives each block the totals of its own; a word has one entry a block at most, so that no bucket grows with a word's popularity.
+3. The WORDS commonest words of all training tokens have an output each in the model. Others belong to one of TAIL classes by their last two
+   bytes; within a tail class a word has probability (count - DISCOUNT) in proportion. A word met once in training is learnt as the unseen
+   symbol (as it would be if it were left out), which gives unseen words their probability. So the model is a distribution over the same
+   outcomes as the base: the known words, the end, and one unseen word.
+4. The recurrent part (recurrent.py) is fitted by rounds of local passes: each task trains a copy of the model on about SHARD_TOKENS tokens of
+   the training documents whose round it is, and parameters are averaged by tokens. Every training document has one round. Tasks grow
+   with the input, and rounds with its logarithm.
+5. Every block is scored with the state carried through each whole document.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import repeat
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.llm import recurrent
-from scanlake.llm.common import slices, texts, written
+from scanlake.llm.common import batch_of, mix, slices, texts, written
 
 WORDS, TAIL, DISCOUNT = 4096, 64, 0.6
-TOKENS, ROUNDS, SAMPLED, SHARD_BLOCKS = 1 << 20, 2, 1.0, 16
+TOKENS, PAIRS, SHARD_TOKENS, RATE = 1 << 21, 1 << 20, 1 << 22, 0.02
 SAMPLE_ROWS = 8192
 #: The end of a document among words; no word is empty.
 END = b""
+#: Tail classes by the last two bytes of a word.
+SLOTS = (mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) % np.uint64(TAIL)).astype(np.int64)
+
+BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.binary()), ("n_words", pa.int64()), ("frequent", pa.binary())])
+BLOCK_SQL = "block long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, words array<binary>, counts binary, n_words long, frequent binary"
+TOTALS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary()), ("top", pa.list_(pa.binary())), ("top_counts", pa.list_(pa.int64())), ("types", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("singles", pa.list_(pa.int64()))])
+TOTALS_SQL = "block long, bucket long, totals binary, top array<binary>, top_counts array<long>, types array<long>, tokens array<long>, singles array<long>"
+SYMBOLS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("symbols", pa.binary()), ("once", pa.binary()), ("base", pa.list_(pa.float64())), ("rare", pa.list_(pa.float64())), ("known", pa.list_(pa.int64()))])
+SYMBOLS_SQL = "block long, ids array<long>, held array<boolean>, lengths array<int>, symbols binary, once binary, base array<double>, rare array<double>, known array<long>"
 
-BLOCK_SQL = "block long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, words array<binary>, counts array<int>, frequent binary, n_train long"
 
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """The tail classes of words, an Arrow array of bytes."""
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+    if not len(data):
+        return np.full(len(words), SLOTS[0])
+    last, before = np.maximum(ends[1:] - 1, 0), np.maximum(ends[1:] - 2, 0)
+    size = np.diff(ends)
+    return SLOTS[np.where(size > 0, data[last], 0) + 256 * np.where(size > 1, data[before], 0).astype(np.int64)]
 
-def tail_class(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word.decode("utf-8", "replace")[-2:]) % TAIL
+
+def in_buckets(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of words by their bucket, and where each bucket begins and ends in it."""
+    of = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)) % np.uint64(buckets)
+    order = np.argsort(of, kind="stable")
+    return order, np.searchsorted(of[order], np.arange(buckets + 1, dtype=np.uint64))
 
 
 class Numbers(dict):
@@ -49,7 +73,7 @@ class Numbers(dict):
 
 
 def frequent_words(rows: DataFrame, n_rows: int) -> list[bytes]:
-    """The WORDS commonest words, seen twice at least, of about SAMPLE_ROWS training rows; they decide roles, not counts."""
+    """The WORDS commonest words, seen twice at least, of about SAMPLE_ROWS training rows; counts of a task are added up by Spark."""
 
     def count(batches):
         seen: dict[bytes, int] = {}
@@ -59,13 +83,14 @@ def frequent_words(rows: DataFrame, n_rows: int) -> list[bytes]:
                     seen[w] = seen.get(w, 0) + 1
             if len(seen) > 64 * WORDS:
                 seen = dict(sorted(seen.items(), key=lambda s: (-s[1], s[0]))[: 16 * WORDS])
-        top = sorted((w for w, n in seen.items() if n > 1 and len(w) <= 64), key=lambda w: (-seen[w], w))[: WORDS - 1]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.binary())], names=["word"])
+        top = sorted((w for w, n in seen.items() if n > 1 and len(w) <= 64), key=lambda w: (-seen[w], w))[: 4 * WORDS]
+        yield pa.RecordBatch.from_arrays([pa.array(top, pa.binary()), pa.array([seen[w] for w in top], pa.int64())], names=["word", "n"])
 
     share = min(1.0, SAMPLE_ROWS / max(1, n_rows))
     sample = rows.select("text").filter("text is not null")
     sample = sample.sample(share, seed=1) if share < 1 else sample
-    return [END, *(bytes(r.word) for r in sample.repartition(1).mapInArrow(count, "word binary").collect())]
+    counts = sample.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [END, *(bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(WORDS - 1).collect())]
 
 
 def packed(rows: DataFrame, frequent) -> DataFrame:
@@ -75,13 +100,10 @@ def packed(rows: DataFrame, frequent) -> DataFrame:
         tokens = np.concatenate([d[2] for d in docs])
         train = np.repeat([not d[1] for d in docs], [len(d[2]) for d in docs])
         counts = np.bincount(tokens[train], minlength=len(numbers))
-        own = list(numbers)[base:]
-        values = [
-            [number], [[d[0] for d in docs]], [[d[1] for d in docs]], [[len(d[2]) for d in docs]], [tokens.astype("<i4").tobytes()],
-            [own], [counts[base:].tolist()], [counts[:base].astype("<i4").tobytes()], [int(train.sum())],
-        ]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[c.split()[0] for c in BLOCK_SQL.split(", ")])
+        return batch_of(
+            BLOCK, [number], [[d[0] for d in docs]], [[d[1] for d in docs]], [[len(d[2]) for d in docs]], [tokens.tobytes()],
+            [list(numbers)[base:]], [counts[base:].astype("<i4").tobytes()], [len(numbers) - base], [counts[:base].astype("<i4").tobytes()],
+        )
 
     def run(batches):
         known = frequent.value
@@ -91,7 +113,7 @@ def packed(rows: DataFrame, frequent) -> DataFrame:
             for doc, held, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = (text or b"").lower().split()
                 words.append(END)
-                docs.append((doc, held, np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))))
+                docs.append((doc, held, np.fromiter(map(numbers.__getitem__, words), dtype="<i4", count=len(words))))
                 size += len(words)
                 if size >= TOKENS:
                     yield block(number, docs, numbers, len(known))
@@ -102,118 +124,194 @@ def packed(rows: DataFrame, frequent) -> DataFrame:
     return rows.mapInArrow(run, BLOCK_SQL)
 
 
-def counted(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(block, at, count) of words, by their place in the block's list, that other blocks have too; and (slot, types, total) sums.
+def counted(blocks: DataFrame, buckets: int) -> DataFrame:
+    """For each block and bucket, the total training counts of the block's words in the bucket; for each bucket, a row without a block.
 
-    Slots are tail classes; the sums are over the distinct rarer words: how many have a count, how many have count 1, and their counts.
+    That row has the bucket's commonest words, at most WORDS, and for each tail class how many of its words have a count, their
+    tokens, and how many have count 1.
     """
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    over = Window.partitionBy("word")
-    found = words.withColumns({"count": F.sum("n").over(over), "first": F.min("block").over(over), "last": F.max("block").over(over)})
-    # A word is kept with its first block alone.
-    lead = F.when((F.col("block") == F.col("first")) & (F.col("count") > 0), F.col("word")).alias("word")
-    found = written(found.select("block", "at", lead, "count", (F.col("first") < F.col("last")).alias("shared")).filter("shared or word is not null"), "counts")
-    return found.filter("shared").select("block", "at", "count"), found.filter("word is not null").select("word", "count")
-
 
-def tail_sums(distinct: DataFrame) -> pd.DataFrame:
-    """slot, types, mass (of discounted counts), tokens (of words with more than one) and singles, for each tail class."""
+    def dealt(batches):
+        for batch in slices(batches, 1):
+            words, counts = batch.column("words")[0].values, np.frombuffer(batch.column("counts")[0].as_py(), dtype="<i4")
+            order, ends = in_buckets(words.to_pylist(), buckets)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words.take(pa.array(order)))
+            counts = counts[order]
+            used = pa.array(np.flatnonzero(np.diff(ends)))
+            cut = [counts[ends[k] : ends[k + 1]].tobytes() for k in used.to_pylist()]
+            yield pa.RecordBatch.from_arrays([used, pa.array(np.repeat(batch.column("block").to_numpy(), len(used))), lists.take(used), pa.array(cut, pa.binary())], names=["bucket", "block", "words", "counts"])
+
+    def added(group: pa.Table) -> pa.Table:
+        numbers, found = Numbers(), []
+        for words in group.column("words"):
+            found.append(np.fromiter(map(numbers.__getitem__, words.values.to_pylist()), dtype=np.int64, count=len(words)))
+        totals = np.zeros(len(numbers), dtype=np.int64)
+        for at, counts in zip(found, group.column("counts").to_pylist(), strict=True):
+            totals[at] += np.frombuffer(counts, dtype="<i4")
+        words = pa.array(list(numbers), pa.binary())
+        slots, n = tail_classes(words), TAIL
+        most = np.lexsort((np.arange(len(totals)), -totals))[: 2 * WORDS]
+        names = words.take(pa.array(most)).to_pylist()
+        top = sorted(((-int(totals[i]), w) for i, w in zip(most, names, strict=True) if totals[i] > 1 and len(w) <= 64))[:WORDS]
+        bucket = group.column("bucket")[0].as_py()
+        per_slot = [np.bincount(slots[totals > 0], minlength=n).tolist(), np.bincount(slots, totals, minlength=n).astype(np.int64).tolist(), np.bincount(slots[totals == 1], minlength=n).tolist()]
+        rows = len(found)
+        none = [None] * rows
+        return pa.Table.from_batches([batch_of(
+            TOTALS, group.column("block").to_pylist() + [None], [bucket] * (rows + 1), [totals[at].tobytes() for at in found] + [None], none + [[w for _, w in top]],
+            none + [[-c for c, _ in top]], *[none + [v] for v in per_slot],
+        )])
+
+    pieces = blocks.select("block", "words", "counts").mapInArrow(dealt, "bucket long, block long, words array<binary>, counts binary")
+    return written(pieces.groupBy("bucket").applyInArrow(added, TOTALS_SQL), "counts")
+
+
+def corpus_facts(blocks: DataFrame, totals: DataFrame, frequent: list[bytes]) -> dict:
+    """What every task needs to know of the counts; its size is bounded by WORDS and TAIL.
+
+    counts (of the frequent words), n and v; symbol numbers: own (of the WORDS commonest words), tail (of tail classes) and unseen, in descending
+    order of their counts, which are in `sizes`; mass, the discounted tokens of each tail class.
+    """
 
-    def sums(batches):
-        out: dict[int, list] = {}
+    def frequent_counts(batches):
+        total = np.zeros(len(frequent), dtype=np.int64)
         for batch in batches:
-            for word, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = out.setdefault(tail_class(word), [0, 0.0, 0, 0])
-                s[0] += 1
-                s[1] += count - DISCOUNT
-                s[2 if count > 1 else 3] += count
-        rows = [(k, *v) for k, v in out.items()]
-        kinds = [pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["slot", "types", "mass", "tokens", "singles"])
-
-    found = distinct.mapInArrow(sums, "slot int, types long, mass double, tokens long, singles long")
-    return found.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("types", "mass", "tokens", "singles")]).toPandas()
-
+            for b in batch.column(0).to_pylist():
+                total += np.frombuffer(b, dtype="<i4")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(frequent))), pa.array(total)], names=["at", "count"])
 
-def coded(blocks: DataFrame, shared: DataFrame, facts) -> DataFrame:
+    sums = blocks.select("frequent").mapInArrow(frequent_counts, "at long, count long").groupBy("at").agg(F.sum("count").alias("count")).toPandas()
+    counts = np.zeros(len(frequent), dtype=np.int64)
+    counts[sums["at"].to_numpy()] = sums["count"].to_numpy()
+    of_bucket = totals.filter("block is null")
+    slots = of_bucket.select(F.posexplode(F.arrays_zip("types", "tokens", "singles")).alias("slot", "s")).groupBy("slot").agg(*[F.sum(f"s.{c}").alias(c) for c in ("types", "tokens", "singles")]).toPandas()
+    types, tokens, singles = (np.zeros(TAIL, dtype=np.int64) for _ in range(3))
+    for v, c in ((types, "types"), (tokens, "tokens"), (singles, "singles")):
+        v[slots["slot"].to_numpy(dtype=int)] = slots[c].to_numpy()
+    top = of_bucket.select(F.explode(F.arrays_zip("top", "top_counts")).alias("t")).select("t.top", "t.top_counts").orderBy(F.desc("top_counts"), "top").limit(WORDS).collect()
+    listed = {bytes(r[0]): r[1] for r in top}
+    listed_slots = tail_classes(pa.array(list(listed), pa.binary()))
+    frequent_slots = tail_classes(pa.array(frequent, pa.binary()))
+    often = sorted([(-c, w) for w, c in listed.items()] + [(-int(c), w) for w, c in zip(frequent[1:], counts[1:], strict=True) if c > 1])[: WORDS - 1]
+    own = [END, *(w for _, w in often)]
+    chosen = set(own)
+    n, v = int(counts.sum() + tokens.sum()), int((counts > 0).sum() + types.sum())
+    for w, slot in zip(listed, listed_slots, strict=True):
+        if w in chosen:
+            types[slot] -= 1
+            tokens[slot] -= listed[w]
+    for w, slot, c in zip(frequent, frequent_slots, counts, strict=True):
+        if c > 0 and w not in chosen:
+            types[slot] += 1
+            tokens[slot] += c
+            singles[slot] += c == 1
+    sizes = np.r_[counts[0], [-c for c, _ in often], tokens - singles, singles.sum()].astype(float)
+    order = np.argsort(-sizes, kind="stable")
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.arange(len(order))
+    return {"counts": counts, "frequent": frequent, "own": {w: int(number[i]) for i, w in enumerate(own)}, "tail": number[len(own) :][:TAIL], "unseen": int(number[-1]), "sizes": sizes[order], "mass": tokens - DISCOUNT * types, "n": n, "v": v}
+
+
+def coded(blocks: DataFrame, totals: DataFrame, buckets: int, facts) -> DataFrame:
     """Blocks in the model's symbols, with each document's base score, known tokens and the part of its score that has no state."""
-    lists = shared.groupBy("block").agg(F.collect_list("at").alias("places"), F.collect_list("count").alias("sums"))
-    joined = blocks.drop("frequent", "n_train").join(lists.hint("shuffle_hash"), "block", "left")
-    kinds = {"block": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int32()), "symbols": pa.binary(), "once": pa.binary(), "base": pa.list_(pa.float64()), "rare": pa.list_(pa.float64()), "known": pa.list_(pa.int64())}
+    lists = totals.filter("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "totals"))).alias("parts"))
+    joined = blocks.select("block", "ids", "held", "lengths", "tokens", "words").join(lists.hint("shuffle_hash"), "block", "left")
+    joined = joined.withColumn("totals", F.col("parts.totals")).drop("parts")
 
     def run(batches):
         f = facts.value
-        base, n, mass = len(f["counts"]), f["n"], f["mass"]
+        frequent = pa.array(f["frequent"], pa.binary())
         for batch in slices(batches, 1):
             tokens = np.frombuffer(batch.column("tokens")[0].as_py(), dtype="<i4")
-            words, lengths = batch.column("words")[0].as_py(), batch.column("lengths")[0].values.to_numpy()
-            counts = np.r_[f["counts"], np.array(batch.column("counts")[0].as_py(), dtype=np.int64)]
-            places, sums = batch.column("places")[0], batch.column("sums")[0]
-            if places.is_valid:
-                counts[base + places.values.to_numpy()] = sums.values.to_numpy()
-            slots = np.fromiter(map(tail_class, words), dtype=np.int64, count=len(words))
-            own = counts[base:]
-            symbol = np.r_[np.arange(base), np.where(own > 0, base + slots, base + TAIL)]
+            words, lengths = batch.column("words")[0].values, batch.column("lengths")[0].values.to_numpy()
+            listed = words.to_pylist()
+            own = np.zeros(len(words), dtype=np.int64)
+            if len(words):
+                order, _ = in_buckets(listed, buckets)
+                own[order] = np.frombuffer(b"".join(batch.column("totals")[0].as_py()), dtype=np.int64)
+            counts = np.r_[f["counts"], own]
+            slots = np.r_[tail_classes(frequent), tail_classes(words)]
+            symbol = np.fromiter(map(f["own"].get, f["frequent"] + listed, repeat(-1)), dtype=np.int64, count=len(counts))
+            tail = (symbol < 0) & (counts > 0)
+            symbol = np.where(tail, f["tail"][slots], np.where(symbol < 0, f["unseen"], symbol))
             rare = np.zeros(len(counts))
-            rare[base:] = np.where(own > 0, np.log(np.maximum(own - DISCOUNT, 1e-9) / np.maximum(mass[slots], 1e-9)), 0.0)
-            once = np.packbits((counts == 1)[tokens] & (tokens >= base))
+            rare[tail] = np.log(np.maximum(counts[tail] - DISCOUNT, 1e-9) / np.maximum(f["mass"][slots[tail]], 1e-9))
+            once = np.packbits(((counts == 1) & tail)[tokens])
             doc = np.repeat(np.arange(len(lengths)), lengths)
             per_doc = lambda v: np.bincount(doc, weights=v[tokens], minlength=len(lengths))
-            log10 = np.log10((counts + 1) / (n + f["v"] + 1))
-            values = [batch.column("block"), batch.column("ids"), batch.column("held"), batch.column("lengths"), [symbol[tokens].astype("<u2").tobytes()], [once.tobytes()], [per_doc(log10).tolist()], [per_doc(rare).tolist()], [per_doc((counts > 0).astype(float)).astype(int).tolist()]]
-            yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(values, kinds.values(), strict=True)], names=list(kinds))
+            log10 = np.log10((counts + 1) / (f["n"] + f["v"] + 1))
+            yield batch_of(
+                SYMBOLS, batch.column("block"), batch.column("ids"), batch.column("held"), batch.column("lengths"), [symbol.astype("<u2")[tokens].tobytes()], [once.tobytes()],
+                [per_doc(log10).tolist()], [per_doc(rare).tolist()], [per_doc((counts > 0).astype(float)).astype(int).tolist()],
+            )
 
-    return joined.mapInArrow(run, "block long, ids array<long>, held array<boolean>, lengths array<int>, symbols binary, once binary, base array<double>, rare array<double>, known array<long>")
+    return joined.mapInArrow(run, SYMBOLS_SQL)
 
 
 def documents_of(batch: pa.RecordBatch, unseen: int | None = None) -> list[np.ndarray]:
     """The documents of a block's row as symbols; with `unseen`, words met once in training become that symbol, as they are learnt."""
     lengths = batch.column("lengths")[0].values.to_numpy()
-    symbols = np.frombuffer(batch.column("symbols")[0].as_py(), dtype="<u2").astype(np.int64)
+    symbols = np.frombuffer(batch.column("symbols")[0].as_py(), dtype="<u2")
     if unseen is not None:
-        symbols[np.unpackbits(np.frombuffer(batch.column("once")[0].as_py(), dtype=np.uint8), count=len(symbols)).astype(bool)] = unseen
+        symbols = np.where(np.unpackbits(np.frombuffer(batch.column("once")[0].as_py(), dtype=np.uint8), count=len(symbols)), np.uint16(unseen), symbols)
     return np.split(symbols, np.cumsum(lengths)[:-1])
 
 
-def trained_copies(blocks: DataFrame, model: dict, words: int, shards: int, turn: int) -> DataFrame:
-    """(seen, values): a copy of the model from each shard, after the training documents whose turn it is, and their tokens."""
+def trained_copies(blocks: DataFrame, model: dict, edges: np.ndarray, unseen: int, turn: int, rounds: int, shards: int) -> DataFrame:
+    """(seen, sums): a copy of the model from each shard, after the training documents whose turn it is, times their tokens."""
     start = blocks.sparkSession.sparkContext.broadcast(recurrent.flat(model))
-    names = ["shard", "block", "lengths", "symbols"]
 
-    def sampled(batches):
+    def dealt(batches):
         for batch in slices(batches, 1):
-            docs = documents_of(batch, words + TAIL)
-            block, held = batch.column("block")[0].as_py(), batch.column("held")[0].as_py()
-            draw = np.random.default_rng(block).random(len(docs)) * ROUNDS / SAMPLED
-            mine = [d for d, h, x in zip(docs, held, draw, strict=True) if not h and turn <= x < turn + 1]
-            values = [[xxhash.xxh3_64_intdigest(block.to_bytes(8)) % shards], [block], [[len(d) for d in mine]], [b"".join(d.astype("<u2").tobytes() for d in mine)]]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
+            docs, held = documents_of(batch, unseen), batch.column("held")[0].as_py()
+            block = batch.column("block")[0].as_py()
+            draw = np.random.default_rng(block).random(len(docs)) * rounds
+            # A document may go to any shard, so that shards are even and blocks of one source are spread.
+            shard = np.random.default_rng([block, turn]).integers(0, shards, len(docs))
+            mine = np.array([not h for h in held]) & (turn <= draw) & (draw < turn + 1)
+            for k in np.unique(shard[mine]):
+                chosen = [docs[i] for i in np.flatnonzero(mine & (shard == k))]
+                yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([block]), pa.array([[len(d) for d in chosen]], pa.list_(pa.int32())), pa.array([b"".join(d.tobytes() for d in chosen)], pa.binary())], names=["shard", "block", "lengths", "symbols"])
 
     def local(group: pd.DataFrame) -> pd.DataFrame:
         docs = []
         for _, row in group.sort_values("block").iterrows():
-            if len(row["lengths"]):
-                docs += np.split(np.frombuffer(row["symbols"], dtype="<u2"), np.cumsum(row["lengths"])[:-1])
-        own, seen = recurrent.train(recurrent.shaped(start.value, words, TAIL), docs, seed=turn)
-        return pd.DataFrame({"seen": [seen], "values": [(recurrent.flat(own).astype(np.float64) * seen).tolist()]})
-
-    copies = blocks.select("block", "held", "lengths", "symbols", "once").mapInArrow(sampled, "shard long, block long, lengths array<int>, symbols binary")
-    return written(copies.groupBy("shard").applyInPandas(local, "seen long, values array<double>"), "models")
-
-
-def fitted(blocks: DataFrame, model: dict, words: int) -> dict:
-    """The model after ROUNDS of local training and averaging by tokens."""
-    shards = max(1, round(blocks.count() / SHARD_BLOCKS))
-    for turn in range(ROUNDS):
-        copies = trained_copies(blocks, model, words, shards, turn)
-        seen = copies.agg(F.sum("seen")).first()[0] or 0
-        if not seen:
-            break
-        values = copies.filter("seen > 0").select(F.posexplode("values").alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value")).toPandas()
-        out = np.zeros(len(values))
-        out[values["at"].to_numpy()] = values["value"].to_numpy() / seen
-        model = recurrent.shaped(out, words, TAIL)
+            docs += np.split(np.frombuffer(row["symbols"], dtype="<u2"), np.cumsum(row["lengths"])[:-1])
+        own, seen = recurrent.train(recurrent.shaped(start.value, edges), edges, docs, RATE / math.sqrt(turn + 1), seed=turn)
+        return pd.DataFrame({"seen": [seen], "sums": [(recurrent.flat(own).astype(np.float64) * seen).tobytes()]})
+
+    pieces = blocks.select("block", "held", "lengths", "symbols", "once").mapInArrow(dealt, "shard long, block long, lengths array<int>, symbols binary")
+    return written(pieces.groupBy("shard").applyInPandas(local, "seen long, sums binary"), "models")
+
+
+def averaged(copies: DataFrame, shards: int) -> np.ndarray | None:
+    """The mean of copies by tokens: sums within partitions, 32 copies a task, until one is left; none where no copy has seen a token."""
+
+    def add(batches):
+        seen, total = 0, 0.0
+        for batch in batches:
+            for n, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen, total = seen + n, total + np.frombuffer(sums)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([total.tobytes()], pa.binary())], names=["seen", "sums"])
+
+    while shards > 32:
+        shards = -(-shards // 32)
+        copies = written(copies.repartition(shards).mapInArrow(add, copies.schema), "sums")
+    row = copies.repartition(1).mapInArrow(add, copies.schema).first()
+    return None if row is None else np.frombuffer(row["sums"]) / row["seen"]
+
+
+def fitted(blocks: DataFrame, sizes: np.ndarray, unseen: int) -> dict:
+    """The model after rounds of local training and averaging by tokens."""
+    model, edges = recurrent.initial(sizes), recurrent.class_edges(sizes)
+    units = max(1.0, sizes.sum() / SHARD_TOKENS)
+    rounds = 2 + int(math.log2(units)) // 2
+    shards = max(1, round(units / rounds))
+    for turn in range(rounds):
+        mean = averaged(trained_copies(blocks, model, edges, unseen, turn, rounds, shards), shards)
+        if mean is not None:
+            model = recurrent.shaped(mean, edges)
     return model
 
 
@@ -228,38 +326,22 @@ def language_model_scores(docs: DataFrame, held_out: Column | None = None) -> Da
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False)) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = texts(docs.select("doc_id", "text").withColumn("held", held), F.col("doc_id").cast("long").alias("doc_id"), "held")
     frequent = frequent_words(rows.filter("not held"), docs.count())
-    base = len(frequent)
     blocks = written(packed(rows, spark.sparkContext.broadcast(frequent)), "blocks")
-    shared, distinct = counted(blocks)
-
-    def frequent_counts(batches):
-        total = np.zeros(base, dtype=np.int64)
-        for batch in batches:
-            for b in batch.column(0).to_pylist():
-                total += np.frombuffer(b, dtype="<i4")
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(base)), pa.array(total)], names=["at", "count"])
-
-    sums = blocks.select("frequent").mapInArrow(frequent_counts, "at long, count long").groupBy("at").agg(F.sum("count").alias("count")).toPandas()
-    counts = np.zeros(base, dtype=np.int64)
-    counts[sums["at"].to_numpy()] = sums["count"].to_numpy()
-    tail = tail_sums(distinct)
-    mass, tokens = np.zeros(TAIL), np.zeros(TAIL)
-    mass[tail["slot"].to_numpy(dtype=int)], tokens[tail["slot"].to_numpy(dtype=int)] = tail["mass"].to_numpy(), tail["tokens"].to_numpy()
-    singles = int(tail["singles"].sum())
-    n, v = int(counts.sum() + tokens.sum() + singles), int((counts > 0).sum() + tail["types"].sum())
-    facts = spark.sparkContext.broadcast({"counts": counts, "mass": mass, "n": n, "v": v})
-    in_symbols = written(coded(blocks, shared, facts), "symbols")
-    model = fitted(in_symbols, recurrent.initial(np.r_[counts, tokens, singles].astype(float), TAIL), base)
+    buckets = max(1, round((blocks.agg(F.sum("n_words")).first()[0] or 0) / PAIRS))
+    totals = counted(blocks, buckets)
+    facts = corpus_facts(blocks, totals, frequent)
+    in_symbols = written(coded(blocks, totals, buckets, spark.sparkContext.broadcast(facts)), "symbols")
+    model, edges = fitted(in_symbols, facts["sizes"], facts["unseen"]), recurrent.class_edges(facts["sizes"])
     final = spark.sparkContext.broadcast(recurrent.flat(model))
 
     def scored(batches):
-        model = recurrent.shaped(final.value, base, TAIL)
+        model = recurrent.shaped(final.value, edges)
         for batch in slices(batches, 1):
             lengths = batch.column("lengths")[0].values.to_numpy()
-            found = recurrent.log_probabilities(model, documents_of(batch))
+            found = recurrent.log_probabilities(model, edges, documents_of(batch))
             own = {c: batch.column(c)[0].values for c in ("ids", "held", "base", "known", "rare")}
             score = (found + own["rare"].to_numpy()) / np.log(10)
             yield pa.RecordBatch.from_arrays([own["ids"], own["held"], pa.array(lengths.astype(np.int64)), own["known"], own["base"], pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     out = in_symbols.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(facts["n"]).cast("long").alias("train_tokens"), "base_score", "score")

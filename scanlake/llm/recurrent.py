@@ -1,40 +1,48 @@
 """A gated recurrent unit with a class-factored softmax, in numpy: training by truncated backpropagation, and scoring.
 
-Symbols are numbers: 0 .. words-1 have an output of their own, in classes of CLASS neighbours; the `tail` symbols after them
-stand for whole classes of rarer words, and one more for unseen words. The last input symbol starts a document.
-P(symbol | state) = P(its class | state) * P(symbol | class, state); a tail symbol is its class.
+Symbols are numbers in descending order of their counts; one more input symbol starts a document. Neighbours in that order make a class,
+and P(symbol | state) = P(its class | state) * P(symbol | class, state). Classes share the square roots of the counts evenly: common
+symbols are in small classes and rare ones in large, which takes the fewest outputs a token. Gates are algebraic, x / (1 + |x|) in
+place of exponentials.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-CLASS, HIDDEN = 64, 32
-#: Steps of a truncated window and documents' lanes side by side, in training; lanes in scoring; steps whose outputs are scored at once.
-WINDOW, LANES, WIDE, CHUNK = 24, 64, 256, 128
+CLASSES, HIDDEN = 40, 24
+#: Steps of a truncated window, the most lanes of documents side by side in training, and the updates that short inputs get at least.
+WINDOW, LANES, UPDATES = 24, 320, 400
+#: Lanes in scoring, and states whose outputs are computed at once.
+WIDE, CHUNK = 512, 4096
 
 
-def shapes(words: int, tail: int) -> dict[str, tuple[int, ...]]:
-    classes = -(-words // CLASS) + tail + 1
+def class_edges(counts: np.ndarray) -> np.ndarray:
+    """Where classes begin among symbols whose counts descend, and the end."""
+    share = np.cumsum(np.sqrt(counts + 0.5))
+    of = np.minimum((share / share[-1] * CLASSES - 1e-9).astype(int), CLASSES - 1)
+    return np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(counts)]
+
+
+def shapes(edges: np.ndarray) -> dict[str, tuple[int, ...]]:
+    symbols, classes = int(edges[-1]), len(edges) - 1
     return {
-        "embed": (words + tail + 2, HIDDEN), "input": (HIDDEN, 3 * HIDDEN), "bias": (3 * HIDDEN,), "state": (HIDDEN, 3 * HIDDEN),
-        "to_class": (HIDDEN, classes), "class_bias": (classes,), "to_word": (words, HIDDEN), "word_bias": (words,),
+        "embed": (symbols + 1, HIDDEN), "input": (3, HIDDEN, HIDDEN), "bias": (3, HIDDEN), "state": (3, HIDDEN, HIDDEN),
+        "to_class": (HIDDEN, classes), "class_bias": (classes,), "to_word": (symbols, HIDDEN), "word_bias": (symbols,),
     }
 
 
-def initial(counts: np.ndarray, tail: int, seed: int = 0) -> dict[str, np.ndarray]:
-    """A model that knows the symbols' counts (of words, tail classes and unseen words) and nothing of their order."""
-    words = len(counts) - tail - 1
+def initial(counts: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
+    """A model that knows the symbols' counts, which descend, and nothing of their order."""
+    edges = class_edges(counts)
     rnd = np.random.default_rng(seed)
-    model = {k: (rnd.standard_normal(s) / np.sqrt(HIDDEN)).astype(np.float32) for k, s in shapes(words, tail).items()}
-    for k in ("bias", "class_bias", "word_bias"):
-        model[k][:] = 0
+    model = {k: (rnd.standard_normal(s) / np.sqrt(HIDDEN)).astype(np.float32) for k, s in shapes(edges).items()}
     for k in ("to_class", "to_word"):
         model[k] *= 0.1
     seen = counts + 0.5
-    mass = [seen[a : min(a + CLASS, words)].sum() for a in range(0, words, CLASS)] + list(seen[words:])
-    model["class_bias"] = np.log(np.array(mass) / seen.sum()).astype(np.float32)
-    model["word_bias"] = np.log(seen[:words]).astype(np.float32)
+    model["bias"][:] = 0
+    model["class_bias"] = np.log(np.add.reduceat(seen, edges[:-1]) / seen.sum()).astype(np.float32)
+    model["word_bias"] = np.log(seen / np.repeat(np.maximum.reduceat(seen, edges[:-1]), np.diff(edges))).astype(np.float32)
     return model
 
 
@@ -42,134 +50,202 @@ def flat(model: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([v.ravel() for v in model.values()])
 
 
-def shaped(values: np.ndarray, words: int, tail: int) -> dict[str, np.ndarray]:
+def shaped(values: np.ndarray, edges: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in shapes(words, tail).items():
+    for k, s in shapes(edges).items():
         n = int(np.prod(s))
         out[k] = values[at : at + n].reshape(s).astype(np.float32)
         at += n
     return out
 
 
-def _outputs(model: dict, h: np.ndarray, y: np.ndarray, gradients: dict | None = None) -> np.ndarray:
+def _softmax(scores: np.ndarray, chosen: np.ndarray, backward: bool) -> np.ndarray:
+    """Log-probabilities of the chosen columns; with backward, scores become the gradients of their negative sum."""
+    if max(scores.max(), -scores.min()) > 60:  # else no exponential overflows, and no sum vanishes
+        scores -= scores.max(axis=1, keepdims=True)
+    at = np.arange(len(chosen)) * scores.shape[1] + chosen
+    out = scores.ravel()[at]
+    np.exp(scores, out=scores)
+    total = scores @ np.ones(scores.shape[1], scores.dtype)
+    out -= np.log(total)
+    if backward:
+        scores *= (1 / total)[:, None]
+        scores.ravel()[at] -= 1
+    return out
+
+
+def _outputs(model: dict, edges: np.ndarray, h: np.ndarray, y: np.ndarray, gradients: dict | None = None) -> np.ndarray:
     """Natural log-probabilities of symbols y after states h (n, HIDDEN); with gradients, of their negative sum, returns those of h too."""
-    words = len(model["word_bias"])
-    in_word = y < words
-    own = np.where(in_word, y // CLASS, y - words + -(-words // CLASS))
-    logits = h @ model["to_class"]
-    logits += model["class_bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    chosen = logits[np.arange(len(y)), own]
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
-    out = (chosen - np.log(total)).astype(np.float64)
-    dh = None
-    if gradients is not None:
-        logits /= total[:, None]
-        logits[np.arange(len(y)), own] -= 1
-        gradients["to_class"] += h.T @ logits
-        gradients["class_bias"] += logits.sum(axis=0)
-        dh = logits @ model["to_class"].T
-    order = np.argsort(np.where(in_word, own, len(y) + words), kind="stable")[: in_word.sum()]
-    ends = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1], True]) if len(order) else []
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        at = order[a:b]
-        lo = int(own[at[0]]) * CLASS
-        part = slice(lo, min(lo + CLASS, words))
-        scores = h[at] @ model["to_word"][part].T
+    backward = gradients is not None
+    order = np.argsort(y, kind="stable")
+    h, y = np.take(h, order, axis=0), y[order]
+    own = np.searchsorted(edges, y, side="right") - 1
+    scores = h @ model["to_class"]
+    scores += model["class_bias"]
+    out = _softmax(scores, own, backward)
+    if backward:
+        gradients["to_class"] += h.T @ scores
+        gradients["class_bias"] += np.ones(len(y), h.dtype) @ scores
+        dh = scores @ model["to_class"].T
+    ends = np.searchsorted(y, edges)
+    for c in np.flatnonzero((ends[1:] > ends[:-1]) & (np.diff(edges) > 1)):
+        rows, part = slice(ends[c], ends[c + 1]), slice(edges[c], edges[c + 1])
+        scores = h[rows] @ model["to_word"][part].T
         scores += model["word_bias"][part]
-        scores -= scores.max(axis=1, keepdims=True)
-        mine = y[at] - lo
-        chosen = scores[np.arange(len(at)), mine]
-        np.exp(scores, out=scores)
-        total = scores.sum(axis=1)
-        out[at] += chosen - np.log(total)
-        if gradients is not None:
-            scores /= total[:, None]
-            scores[np.arange(len(at)), mine] -= 1
-            gradients["to_word"][part] += scores.T @ h[at]
-            gradients["word_bias"][part] += scores.sum(axis=0)
-            dh[at] += scores @ model["to_word"][part]
-    return out if gradients is None else (out, dh)
-
-
-def _step(state: np.ndarray, given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    a = h @ state
-    both = given[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
-    np.negative(both, out=both)
-    np.exp(np.minimum(both, 40, out=both), out=both)
-    both += 1
-    np.reciprocal(both, out=both)
-    z, r = both[:, :HIDDEN], both[:, HIDDEN:]
-    n = np.tanh(given[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-    return n + z * (h - n), z, r, n, a[:, 2 * HIDDEN :]
-
-
-def window_gradients(model: dict, x: np.ndarray, y: np.ndarray, starts: np.ndarray, h: np.ndarray) -> tuple[dict, float, np.ndarray]:
-    """Gradients of the mean negative log-probability of a window (steps, lanes), its value, and the state to carry on."""
+        out[rows] += _softmax(scores, y[rows] - edges[c], backward)
+        if backward:
+            gradients["to_word"][part] += scores.T @ h[rows]
+            gradients["word_bias"][part] += np.ones(len(scores), h.dtype) @ scores
+            dh[rows] += scores @ model["to_word"][part]
+    result = np.empty(len(y))
+    result[order] = out
+    if not backward:
+        return result
+    back = np.empty_like(dh)
+    back[order] = dh
+    return result, back
+
+
+def _soft(x: np.ndarray, slope: bool) -> np.ndarray | None:
+    """x becomes x / (1 + |x|); returns the slope there, if asked for."""
+    share = np.abs(x)
+    share += 1
+    np.reciprocal(share, out=share)
+    x *= share
+    return np.multiply(share, share, out=share) if slope else None
+
+
+def _step(state: np.ndarray, given: np.ndarray, h: np.ndarray, backward: bool = False) -> tuple[np.ndarray, ...]:
+    """The next state (lanes, HIDDEN), of `given` (3, lanes, HIDDEN), which changes; then what the way back needs."""
+    a = np.matmul(h, state)
+    gates, n = given[:2], given[2]
+    gates += a[:2]
+    slope = _soft(gates, backward)
+    gates *= 0.5
+    gates += 0.5
+    n += gates[1] * a[2]
+    slope_n = _soft(n, backward)
+    after = h - n
+    after *= gates[0]
+    after += n
+    return after, gates, n, a[2], slope, slope_n
+
+
+def _sums(rows: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    """Sums of rows by their number x."""
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    last = np.flatnonzero(np.r_[x[1:] != x[:-1], True])
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    out[x[last]] = np.diff(np.cumsum(np.take(rows, order, axis=0), axis=0)[last], axis=0, prepend=rows.dtype.type(0))
+    return out
+
+
+def _table(model: dict) -> np.ndarray:
+    """What each input symbol gives to the gates and the proposal: (3, symbols, HIDDEN)."""
+    return np.matmul(model["embed"], model["input"]) + model["bias"][:, None, :]
+
+
+def window_gradients(model: dict, edges: np.ndarray, x: np.ndarray, y: np.ndarray, starts: np.ndarray, h: np.ndarray, real: np.ndarray | None = None) -> tuple[dict, float, np.ndarray]:
+    """Gradients of the mean negative log-probability of a window (steps, lanes), its value, and the state to carry on.
+
+    real: where there are symbols; the rest fills lanes up.
+    """
     steps, lanes = x.shape
     gradients = {k: np.zeros_like(v) for k, v in model.items()}
-    given = model["embed"][x] @ model["input"] + model["bias"]
-    kept = []
+    table = _table(model)
+    kept, states, before = [], np.empty((steps, lanes, HIDDEN), h.dtype), np.empty((steps, lanes, HIDDEN), h.dtype)
     for t in range(steps):
-        h = np.where(starts[t][:, None], np.float32(0), h)
-        after, z, r, n, a = _step(model["state"], given[t], h)
-        kept.append((h, z, r, n, a))
-        h = after
-    states = np.stack([n + z * (before - n) for before, z, _, n, _ in kept])
-    out, dstates = _outputs(model, states.reshape(-1, HIDDEN), y.ravel(), gradients)
+        before[t] = h
+        if starts[t].any():
+            before[t, starts[t]] = 0
+        h, *rest = _step(model["state"], np.take(table, x[t], axis=1), before[t], True)
+        kept.append(rest)
+        states[t] = h
+    flat_states, flat_x, y = states.reshape(-1, HIDDEN), x.ravel(), y.ravel()
+    if real is None or real.all():
+        count = len(y)
+        out, dstates = _outputs(model, edges, flat_states, y, gradients)
+    else:
+        at = np.flatnonzero(real.ravel())
+        count = len(at)
+        dstates = np.zeros_like(flat_states)
+        out, dstates[at] = _outputs(model, edges, flat_states[at], y[at], gradients)
     dstates = dstates.reshape(steps, lanes, HIDDEN)
-    dgiven, carry = np.zeros_like(given), np.zeros_like(h)
+    given, inner = (np.empty((3, steps, lanes, HIDDEN), h.dtype) for _ in range(2))
+    carry = np.zeros_like(h)
+    back = np.ascontiguousarray(model["state"].transpose(0, 2, 1))
     for t in range(steps - 1, -1, -1):
-        before, z, r, n, a = kept[t]
-        dh = dstates[t] + carry
-        dn = dh * (1 - z) * (1 - n * n)
-        dz, dr = dh * (before - n) * z * (1 - z), dn * a * r * (1 - r)
-        da = np.concatenate([dz, dr, dn * r], axis=1)
-        dgiven[t] = np.concatenate([dz, dr, dn], axis=1)
-        gradients["state"] += before.T @ da
-        carry = np.where(starts[t][:, None], np.float32(0), dh * z + da @ model["state"].T)
-    flat_given, flat_x = dgiven.reshape(-1, 3 * HIDDEN), x.ravel()
-    gradients["input"] += model["embed"][flat_x].T @ flat_given
-    gradients["bias"] += flat_given.sum(axis=0)
-    np.add.at(gradients["embed"], flat_x, flat_given @ model["input"].T)
+        gates, n, a, slope, slope_n = kept[t]
+        dh = dstates[t]
+        dh += carry
+        slope *= 0.5
+        np.multiply(dh, gates[0], out=carry)
+        dn = dh - carry
+        dn *= slope_n
+        given[2, t] = dn
+        np.multiply(dn, gates[1], out=inner[2, t])
+        np.subtract(before[t], n, out=n)
+        n *= dh
+        np.multiply(n, slope[0], out=given[0, t])
+        dn *= a
+        np.multiply(dn, slope[1], out=given[1, t])
+        inner[:2, t] = given[:2, t]
+        da = np.matmul(inner[:, t], back)
+        for part in da:
+            carry += part
+        if starts[t].any():
+            carry[starts[t]] = 0
+    given, inner, before = given.reshape(3, -1, HIDDEN), inner.reshape(3, -1, HIDDEN), before.reshape(-1, HIDDEN)
+    gradients["state"] += np.matmul(before.T, inner)
+    gradients["input"] += np.matmul(np.take(model["embed"], flat_x, axis=0).T, given)
+    gradients["bias"] += np.matmul(np.ones(len(y), h.dtype), given)
+    gradients["embed"] += _sums(np.matmul(given, model["input"].transpose(0, 2, 1)).sum(axis=0), flat_x, len(model["embed"]))
     for g in gradients.values():
-        g /= steps * lanes
-    return gradients, -float(out.mean()), h
+        g /= count
+    return gradients, -float(out.sum()) / count, h
 
 
-def train(model: dict, documents: list[np.ndarray], rate: float = 0.01, seed: int = 0) -> tuple[dict, int]:
-    """The model after one pass over documents (symbol arrays), and how many tokens it has seen."""
+def train(model: dict, edges: np.ndarray, documents: list[np.ndarray], rate: float = 0.01, seed: int = 0) -> tuple[dict, int]:
+    """The model after one pass over documents (symbol arrays), and how many tokens it has seen: all."""
     if not documents:
         return model, 0
     rnd = np.random.default_rng(seed)
     documents = [documents[i] for i in rnd.permutation(len(documents))]
-    y = np.concatenate(documents).astype(np.int64)
-    first = np.zeros(len(y), dtype=bool)
+    tokens = np.concatenate(documents).astype(np.uint16)
+    lanes = min(LANES, max(1, len(tokens) // (WINDOW * UPDATES)))
+    steps = -(-len(tokens) // lanes)
+    spare = steps * lanes - len(tokens)
+    lane = lambda v: np.r_[v, np.zeros(spare, v.dtype)].reshape(lanes, steps).T
+    first = np.zeros(len(tokens), dtype=bool)
     first[np.cumsum([0, *map(len, documents[:-1])])] = True
-    x = np.r_[0, y[:-1]]
-    x[first] = len(model["embed"]) - 1
-    lanes = max(1, min(LANES, len(y) // WINDOW))
-    steps = len(y) // lanes
-    lane = lambda v: v[: steps * lanes].reshape(lanes, steps).T
-    x, y, first = lane(x), lane(y), lane(first)
+    before = np.r_[np.uint16(0), tokens[:-1]]
+    before[first] = len(model["embed"]) - 1
+    x, y, first, real = lane(before), lane(tokens), lane(first), lane(np.ones(len(tokens), dtype=bool))
     m, v = ({k: np.zeros_like(p) for k, p in model.items()} for _ in range(2))
     h = np.zeros((lanes, HIDDEN), dtype=np.float32)
     updates = range(0, steps, WINDOW)
     for i, t in enumerate(updates, 1):
         part = slice(t, min(t + WINDOW, steps))
-        gradients, _, h = window_gradients(model, x[part], y[part], first[part], h)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in gradients.values()))
+        gradients, _, h = window_gradients(model, edges, x[part], y[part], first[part], h, real[part])
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in gradients.values()))
         now = rate * (1 - 0.9 * i / len(updates)) * np.sqrt(1 - 0.99**i) / (1 - 0.9**i)
         for k, g in gradients.items():
-            g *= min(1.0, 1.0 / (norm + 1e-9))
-            m[k] += 0.1 * (g - m[k])
-            v[k] += 0.01 * (g * g - v[k])
-            model[k] -= np.float32(now) * m[k] / (np.sqrt(v[k]) + np.float32(1e-7))
-    return model, steps * lanes
+            g *= np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+            m[k] += np.float32(0.1) * (g - m[k])
+            g *= g
+            g -= v[k]
+            g *= np.float32(0.01)
+            v[k] += g
+            np.sqrt(v[k], out=g)
+            g += np.float32(1e-7)
+            np.divide(m[k], g, out=g)
+            g *= np.float32(now)
+            model[k] -= g
+    return model, len(tokens)
 
 
-def log_probabilities(model: dict, documents: list[np.ndarray]) -> np.ndarray:
+def log_probabilities(model: dict, edges: np.ndarray, documents: list[np.ndarray]) -> np.ndarray:
     """The natural log-probability of each whole document; the state is carried from its first symbol to its last."""
     lengths = np.array([len(d) for d in documents], dtype=np.int64)
     result = np.zeros(len(documents))
@@ -186,29 +262,29 @@ def log_probabilities(model: dict, documents: list[np.ndarray]) -> np.ndarray:
     by_load = np.argsort(-load, kind="stable")
     queues, load = [queues[i] for i in by_load], load[by_load]
     steps, start = int(load[0]), len(model["embed"]) - 1
-    y, x, of = np.zeros((steps, lanes), dtype=np.int32), np.zeros((steps, lanes), dtype=np.int32), np.zeros((steps, lanes), dtype=np.int32)
+    y, x, of = (np.zeros((steps, lanes), dtype=d) for d in (np.uint16, np.uint16, np.int32))
     for i, queue in enumerate(queues):
-        at = 0
-        for d in queue:
-            n = int(lengths[d])
-            y[at : at + n, i], of[at : at + n, i] = documents[d], d
-            x[at, i], x[at + 1 : at + n, i] = start, documents[d][:-1]
-            at += n
+        tokens = np.concatenate([documents[d] for d in queue]) if queue else np.zeros(0, np.uint16)
+        y[: len(tokens), i], x[1 : len(tokens), i] = tokens, tokens[:-1]
+        of[: len(tokens), i] = np.repeat(queue, lengths[queue]) if queue else 0
+        x[np.cumsum(np.r_[0, lengths[queue][:-1]]) if queue else [], i] = start
     active = np.searchsorted(-load, -np.arange(steps), side="left")
-    table = model["embed"] @ model["input"] + model["bias"]
+    fresh = (x == start).any(axis=1)
+    table = _table(model)
     h = np.zeros((lanes, HIDDEN), dtype=np.float32)
-    for lo in range(0, steps, CHUNK):
-        hi, states, targets, owners = min(lo + CHUNK, steps), [], [], []
-        for t in range(lo, hi):
-            n = int(active[t])
-            h = h[:n]
-            fresh = x[t, :n] == start
-            if fresh.any():
-                h = np.where(fresh[:, None], np.float32(0), h)
-            h = _step(model["state"], table[x[t, :n]], h)[0]
-            states.append(h)
-            targets.append(y[t, :n])
-            owners.append(of[t, :n])
-        found = _outputs(model, np.concatenate(states), np.concatenate(targets).astype(np.int64))
-        result += np.bincount(np.concatenate(owners), weights=found, minlength=len(documents))
+    states, targets, owners, held = [], [], [], 0
+    for t in range(steps):
+        n = int(active[t])
+        h, now = h[:n], x[t, :n]
+        if fresh[t]:
+            h = np.where((now == start)[:, None], np.float32(0), h)
+        h = _step(model["state"], np.take(table, now, axis=1), h)[0]
+        states.append(h)
+        targets.append(y[t, :n])
+        owners.append(of[t, :n])
+        held += n
+        if held >= CHUNK or t + 1 == steps:
+            found = _outputs(model, edges, np.concatenate(states), np.concatenate(targets))
+            result += np.bincount(np.concatenate(owners), weights=found, minlength=len(documents))
+            states, targets, owners, held = [], [], [], 0
     return result

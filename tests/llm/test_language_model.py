@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+
 from scanlake.llm import language_model as M
 from scanlake.llm import recurrent
 
@@ -14,17 +16,63 @@ def brute(rows):
     return {i: (held(i), len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens}
 
 
+def plain_scores(rows, model, wanted):
+    """Scores of whole documents one token at a time, with words, classes and shares worked out from plain counts."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = [(i, [*(t or "").encode().lower().split(), b""]) for i, t in rows]
+    counts = Counter(w for i, ws in tokens if not held(i) for w in ws)
+    own = [b"", *sorted((w for w, c in counts.items() if c > 1 and w and len(w) <= 64), key=lambda w: (-counts[w], w))[: M.WORDS - 1]]
+    slot = lambda w: int(M.SLOTS[w[-1] + 256 * (w[-2] if len(w) > 1 else 0)])
+    tail = [[c for w, c in counts.items() if w not in set(own) and slot(w) == k] for k in range(M.TAIL)]
+    mass = [sum(c - M.DISCOUNT for c in cs) for cs in tail]
+    sizes = [counts[w] for w in own] + [sum(c for c in cs if c > 1) for cs in tail] + [sum(c for cs in tail for c in cs if c == 1)]
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    number = {k: i for i, k in enumerate(order)}
+    edges = recurrent.class_edges(np.array(sizes, dtype=float)[order])
+    softmax = lambda a: a - math.log(np.exp(a).sum())
+    out = {}
+    for i, words in tokens:
+        if i not in wanted:
+            continue
+        h, x, total = np.zeros(recurrent.HIDDEN), len(sizes), 0.0
+        for w in words:
+            z, r, n = model["embed"][x] @ model["input"] + model["bias"]
+            a = h @ model["state"]
+            soft = lambda v: v / (1 + abs(v))
+            gate, reset = 0.5 + 0.5 * soft(z + a[0]), 0.5 + 0.5 * soft(r + a[1])
+            n = soft(n + reset * a[2])
+            h = n + gate * (h - n)
+            if w in own:
+                x = number[own.index(w)]
+            elif counts[w]:
+                x = number[len(own) + slot(w)]
+                total += math.log((counts[w] - M.DISCOUNT) / mass[slot(w)])
+            else:
+                x = number[len(sizes) - 1]
+            c = int(np.searchsorted(edges, x, side="right")) - 1
+            part = slice(edges[c], edges[c + 1])
+            total += softmax(h @ model["to_class"] + model["class_bias"])[c] + softmax(model["to_word"][part] @ h + model["word_bias"][part])[x - edges[c]]
+        out[i] = total / math.log(10)
+    return out
+
+
 def test_base_and_model_scores(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(M, "TOKENS", 5000)
+    monkeypatch.setattr(M, "PAIRS", 4000)
     monkeypatch.setattr(M, "WORDS", 300)
-    monkeypatch.setattr(M, "SAMPLED", 0.5)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = {}
+    fitted = M.fitted
+    monkeypatch.setattr(M, "fitted", lambda blocks, sizes, unseen: kept.setdefault("model", fitted(blocks, sizes, unseen)))
     got = M.language_model_scores(docs.repartition(3)).collect()
     assert {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got} == brute(rows)
     held = [r for r in got if r.held_out]
     assert held and sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)
-    assert all(r.score < 0 for r in got)
+    # the operator's scores are those of its model, word by word over whole documents
+    model = {k: v.astype(float) for k, v in kept["model"].items()}
+    have = {r.doc_id: r.score for r in got}
+    assert all(abs(have[i] - s) < 1e-3 * max(1, abs(s)) for i, s in plain_scores(rows, model, {r[0] for r in rows[::5]}).items())
 
 
 def test_edges(spark, edge_docs, no_docs):
@@ -39,8 +87,9 @@ def test_edges(spark, edge_docs, no_docs):
 
 
 def test_every_training_document_is_learnt_from(spark, sf_dir, monkeypatch):
-    """Over the rounds the copies see all training tokens, but for those that do not fill a shard's lanes."""
+    """Over the rounds the copies see all training tokens, each once; the sample of frequent words changes no score."""
     monkeypatch.setattr(M, "TOKENS", 20_000)
+    monkeypatch.setattr(M, "SHARD_TOKENS", 8000)
     seen, copies = [], M.trained_copies
 
     def watched(*given):
@@ -50,4 +99,18 @@ def test_every_training_document_is_learnt_from(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(M, "trained_copies", watched)
     n = M.language_model_scores(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3)).first().train_tokens
-    assert len(seen) == M.ROUNDS and n - recurrent.LANES * sum(map(len, seen)) < sum(map(sum, seen)) <= n
+    assert len(seen) > 2 and max(map(len, seen)) > 1 and sum(map(sum, seen)) == n
+
+
+def test_models_are_averaged_in_a_tree(spark):
+    rows = [(i + 1, (np.full(7, float(i)) * (i + 1)).tobytes()) for i in range(100)]
+    got = M.averaged(spark.createDataFrame(rows, "seen long, sums binary").repartition(5), 100)
+    assert np.allclose(got, sum(i * (i + 1) for i in range(100)) / sum(i + 1 for i in range(100)))
+
+
+def test_frequent_sample_decides_no_score(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").coalesce(1)
+    monkeypatch.setattr(M, "WORDS", 200)
+    one = {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 2)) for r in M.language_model_scores(docs).collect()}
+    monkeypatch.setattr(M, "frequent_words", lambda rows, n: [M.END, b"zzz-not-there", b"the"])
+    assert {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 2)) for r in M.language_model_scores(docs).collect()} == one
