@@ -7,9 +7,13 @@
 4. Each bucket gives a star: edges from its smallest id to the others, as many as it has members. Each edge is confirmed on the
    full sets of both texts.
 5. What a star may have missed is found exactly. Jaccard distance is a metric, so a member over 0.5 away from the centre cannot
-   link to one that the centre is linked to. Members that stay undecided, and lie in different components, are compared with
-   each other: in buckets of at most SMALL members as pairs, in larger ones in blocks of about BLOCK members, of which a task takes
-   two and multiplies their membership matrices. A block returns a spanning forest of its links, never its pairs.
+   link to one that the centre is linked to. Members that stay undecided, and lie in different components, get new centres, STARS times;
+   each takes the ball of its links out of the bucket, so groups of near copies are closed here.
+6. The rest are bucket members that are alike but not enough, such as pages of one template. Of two sets of similarity 0.75 one
+   holds, among the rarest quarter of its shingles, a shingle that is in the other's rarest quarter too (prefix filter). Members meet by those
+   shingles alone, so what a template shares costs nothing. At most SMALL members of a shingle are compared as pairs; more, in
+   blocks of about BLOCK members, of which a task takes two and multiplies their membership matrices, and returns a spanning
+   forest of their links, never pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from scanlake.llm.common import batch_of, mix, runs_hash, slices, texts, word_hashes, written
 from scanlake.llm.components import components
 
-WORDS, BANDS, ROWS, SMALL, BLOCK = 5, 32, 4, 16, 384
+WORDS, BANDS, ROWS, STARS, SMALL, BLOCK = 5, 32, 4, 4, 16, 384
 BINS = BANDS * ROWS
 #: Bins that an empty bin tries in turn before it takes the nearest filled one.
 TRIES = 2048
@@ -146,57 +150,105 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
         label = lower
 
 
-def _in_blocks(entries: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """entries(key, id, n): links (a, b) that connect, in each bucket of n members, what any of its links connects."""
-    import pandas as pd
-
-    schema = pa.schema([("id", pa.int64()), ("found", pa.binary())])
+def hashed_sets(whole: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, found): the shingle set of each text of the given ids."""
+    schema = pa.schema([("id", pa.int64()), ("found", pa.list_(pa.int64()))])
 
     def hashed(batches):
         for batch in slices(batches):
-            yield batch_of(schema, batch.column(0), [shingles(t).tobytes() for t in batch.column(1).to_pylist()])
+            yield batch_of(schema, batch.column(0), signed_list([shingles(t) for t in batch.column(1).to_pylist()]))
+
+    return whole.join(ids.select("id"), "id", "left_semi").mapInArrow(hashed, "id long, found array<long>")
+
+
+def _in_blocks(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """entries(key, id, n): links (a, b) that connect, among the n members of each key, what any of their links connects."""
+    import pandas as pd
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id") if group["id"].is_unique else group.drop_duplicates(["id", "found"])
-        edges = forest(group["id"].to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in group["found"]], percent)
+        keyed = group.assign(digest=[xxhash.xxh3_128_digest(x.tobytes()) for x in group["found"]]).drop_duplicates(["id", "digest"])
+        edges = forest(keyed["id"].to_numpy(), [x.view(np.uint64) for x in keyed["found"]], percent)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    ids = entries.select("id").distinct()
-    sets = written(whole.join(ids, "id", "left_semi").mapInArrow(hashed, "id long, found binary"), "sets")
     dealt = entries.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.expr("cast(pmod(xxhash64(id, key), blocks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("key", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     return dealt.join(sets, "id").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id, size): the rarest shingles of each set, one of which two sets of at least percent / 100 share.
+
+    Two such sets share at least percent / 100 of either one's shingles; in any one order of all shingles, here by how many sets
+    have them, the first (100 - percent) / 100 of each and one more meet. Shingles of one set alone come first and meet nothing.
+    """
+    rows = sets.distinct().select("id", F.xxhash64("found").alias("set"), F.size("found").alias("size"), F.explode("found").alias("key"))
+    rows = written(rows, "shingles")
+    often = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    ordered = rows.join(often, "key").groupBy("id", "set", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("shared"))
+    take = F.greatest(F.lit(0), F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1 - (F.col("size") - F.size("shared")))
+    return ordered.select("id", "size", F.explode(F.slice("shared", 1, take)).alias("p")).select(F.col("p.key").alias("key"), "id", "size")
+
+
+def _by_prefix(undecided: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """undecided(id, component): links (a, b) that connect all that links between different components connect."""
+    sets = written(hashed_sets(whole, undecided), "sets")
+    entries = prefixes(sets, percent).join(undecided, "id").groupBy("key", "id", "component").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    entries = written(entries, "prefixes")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
+    entries = written(entries.join(sizes.select("key", "n"), "key"), "prefixes")
+    small = entries.filter(F.col("n") <= SMALL)
+    one, other = (small.select("key", F.col("id").alias(c), *[F.col(x).alias(x + c) for x in ("component", "low", "high")]) for c in "ab")
+    alike = f"a < b and componenta <> componentb and 100 * highb >= {percent} * lowa and 100 * higha >= {percent} * lowb"
+    pairs = written(one.join(other, "key").filter(alike).select("a", "b").distinct(), "rest")
+    more = similarities(pairs, whole).filter(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
+    return more.union(_in_blocks(entries.filter(F.col("n") > SMALL).select("key", "id", "n"), sets, percent))
+
+
+def _after_star(state: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
+    """state(key, id, component, centre) without the centres and what they decide; components as they were.
+
+    checked: (a: centre, b: id, both, either) of the pairs that were compared. Members near the centre cannot link to members far from it;
+    they stay if some are in between, or if some were not compared (being in the centre's component).
+    """
+    near = F.col("both") * 100 >= F.col("either") * percent
+    state = state.filter("id <> centre").join(checked.select(F.col("a").alias("centre"), F.col("b").alias("id"), "both", "either"), ["centre", "id"], "left")
+    state = state.withColumn("near", F.coalesce(near, F.lit(False))).withColumn("middle", F.coalesce(~near & (F.col("both") * 100 >= F.col("either") * (2 * percent - 100)), F.lit(True)))
+    open_keys = state.groupBy("key").agg(F.max("middle").alias("any_middle"))
+    return state.join(open_keys, "key").filter("any_middle or not near").select("key", "id", "component")
+
+
+def _several(state: DataFrame) -> DataFrame:
+    """state, of keys with members of several components; the others need no more links."""
+    keys = state.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
+    return state.join(keys, "key")
+
+
 def links(entries: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     """From entries(key, id), bucket members: links (a, b) of at least percent / 100 that connect all that any link in a bucket connects."""
     entries = written(entries, "entries")
     buckets = written(entries.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).filter("centre < last").select("key", "centre"), "buckets")
-    entries = written(entries.join(buckets, "key").filter("id <> centre"), "spokes")
+    state = written(entries.join(buckets, "key"), "members").withColumn("component", F.col("id"))
     # The texts of bucket members alone; they are read several times.
-    ids = entries.select("id").union(entries.select("centre")).distinct()
-    whole = written(texts(docs, F.col("doc_id").cast("long").alias("id")).join(ids, "id", "left_semi"), "texts")
-    stars = written(entries.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    checked = written(similarities(stars, whole), "checked")
-    is_link = F.col("both") * 100 >= F.col("either") * percent
-    found = checked.filter(is_link).select("a", "b")
-    groups = components(found)
-    state = entries.join(checked.select(F.col("a").alias("centre"), F.col("b").alias("id"), "both", "either"), ["centre", "id"])
-    state = state.withColumn("near", is_link).withColumn("middle", ~is_link & (F.col("both") * 100 >= F.col("either") * (2 * percent - 100)))
-    state = state.join(groups, "id", "left").select("key", "id", "near", "middle", F.coalesce("component", "id").alias("component"))
-    # Members of one component need no more links; near and far members cannot be linked, so near ones matter if some are between.
-    several = [F.min("component").alias("c0"), F.max("component").alias("c1")]
-    open_keys = state.groupBy("key").agg(F.max("middle").alias("any_middle"), F.min("near").alias("all_near"), *several)
-    open_keys = written(open_keys.filter("c0 < c1 and not all_near").select("key", "any_middle"), "open")
-    state = written(state.join(open_keys, "key").filter("any_middle or not near").select("key", "id", "component"), "undecided")
-    sizes = written(state.groupBy("key").agg(F.count("*").alias("n"), *several).filter("c0 < c1").select("key", "n"), "sizes")
-    state = written(state.join(sizes, "key"), "undecided")
-    small = state.filter(F.col("n") <= SMALL)
-    one, other = small.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), small.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = written(one.join(other, "key").filter("a < b and ca <> cb").select("a", "b").distinct(), "rest")
-    more = similarities(rest, whole).filter(is_link).select("a", "b")
-    return found.union(more).union(_in_blocks(state.filter(F.col("n") > SMALL).select("key", "id", "n"), whole, percent))
+    whole = written(texts(docs, F.col("doc_id").cast("long").alias("id")).join(state.select("id").distinct(), "id", "left_semi"), "texts")
+    found = None
+    for turn in range(STARS):
+        if turn:
+            centres = state.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "key", F.lit(turn))).alias("c")).select("key", F.col("c.id").alias("centre"), F.col("c.component").alias("of_centre"))
+            state = written(state.join(centres, "key"), "members")
+            pairs = state.filter("component <> of_centre")
+        else:
+            pairs = state.filter("id <> centre")
+        pairs = written(pairs.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+        checked = written(similarities(pairs, whole), "checked")
+        linked = checked.filter(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
+        found = linked if found is None else found.union(linked)
+        groups = components(found)
+        state = _after_star(state, checked, percent).join(groups, "id", "left").select("key", "id", F.coalesce(groups["component"], "id").alias("component"))
+        state = written(_several(state), "undecided")
+        if state.isEmpty():
+            return found
+    return found.union(_by_prefix(written(state.select("id", "component").distinct(), "left"), whole, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -56,13 +56,44 @@ def test_equals_brute_force(spark):
     assert collected(N.near_duplicates(df)) == brute(rows)
 
 
-def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "SMALL", 1)
     monkeypatch.setattr(N, "BLOCK", 4)
+    monkeypatch.setattr(N, "STARS", 1)
     rows = texts(5, 150)
     assert collected(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def template_pages(seed, n):
+    """Pages of one template, about 0.6 alike, so that nearly all share buckets and no star decides them; some have a near copy."""
+    rnd = random.Random(seed)
+    template = [f"t{i}" for i in range(120)]
+    out = []
+    for i in range(n):
+        own = [f"p{i}x{k}" for k in range(30)]
+        out.append((2 * i, " ".join(template + own)))
+        if i % 5 == 0:
+            own[rnd.randrange(30)] = "changed"
+            out.append((2 * i + 1, " ".join(template + own)))
+    return out
+
+
+def test_one_bucket_holds_nearly_all_pages_of_a_template(spark, monkeypatch):
+    """What a template shares brings no pages together after the stars: only near copies meet by a rare shingle."""
+    compared, similarities = [], N.similarities
+
+    def watched(pairs, whole):
+        compared.append(pairs.count())
+        return similarities(pairs, whole)
+
+    monkeypatch.setattr(N, "bands", lambda found: np.array([7], dtype=np.uint64))
+    monkeypatch.setattr(N, "STARS", 2)
+    monkeypatch.setattr(N, "similarities", watched)
+    rows = template_pages(1, 60)
+    assert collected(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
+    assert compared[:2] == [71, 70] and compared[2] <= 20, compared
+
+
 def test_edges(spark, edge_docs, no_docs):
     got = N.near_duplicates(edge_docs).collect()
     assert len(got) == edge_docs.count()
