@@ -26,11 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends here and any executor can reread it."""
+def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: lineage ends here and any executor can reread it.
+
+    folders: columns by whose values the files are kept apart, so that a filter on them reads no other files.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,7 +1,6 @@
 """LM scoring (operator 4): whole-document log-probabilities of a gated recurrent language model, and of add-one unigrams.
 
-1. Documents are packed into blocks of about TOKENS tokens, which are numbers of the block's own word list; words that a sample shows
-   often have numbers known to all, so that no block has to list them. The sample decides this alone and can change no result.
+1. Documents are packed into blocks of about TOKENS tokens, which are numbers of the block's own word list.
 2. The words of all lists are dealt by hash to buckets of about PAIRS (block, word) pairs. A bucket adds up the training counts of its words
    and gives each block the totals of its own; a word has one entry a block at most, so that no bucket grows with a word's popularity.
 3. The WORDS commonest words of all training tokens have an output each in the model. Others belong to one of TAIL classes by their last two
@@ -17,109 +16,106 @@
 from __future__ import annotations
 
 import math
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.llm import recurrent
-from scanlake.llm.common import batch_of, mix, slices, texts, written
+from scanlake.llm.common import batch_of, mix, slices, written
 
 WORDS, TAIL, DISCOUNT = 4096, 64, 0.6
 TOKENS, PAIRS, SHARD_TOKENS, RATE = 1 << 21, 1 << 20, 1 << 22, 0.02
-SAMPLE_ROWS = 8192
-#: The end of a document among words; no word is empty.
-END = b""
+#: Shards that the training documents of a block go to in a round, at most.
+SPREAD = 4
+#: Documents of a batch that are cut into words together.
+TOGETHER = 64
+#: Words of more bytes have no output of their own, so that what is broadcast is bounded.
+LONGEST = 64
 #: Tail classes by the last two bytes of a word.
 SLOTS = (mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) % np.uint64(TAIL)).astype(np.int64)
 
-BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.binary()), ("n_words", pa.int64()), ("frequent", pa.binary())])
-BLOCK_SQL = "block long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, words array<binary>, counts binary, n_words long, frequent binary"
-TOTALS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary()), ("top", pa.list_(pa.binary())), ("top_counts", pa.list_(pa.int64())), ("types", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("singles", pa.list_(pa.int64()))])
-TOTALS_SQL = "block long, bucket long, totals binary, top array<binary>, top_counts array<long>, types array<long>, tokens array<long>, singles array<long>"
+BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.binary()), ("n_words", pa.int64())])
+BLOCK_SQL = "block long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, words array<string>, counts binary, n_words long"
+TOTALS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary()), ("top", pa.list_(pa.string())), ("top_counts", pa.list_(pa.int64())), ("types", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("singles", pa.list_(pa.int64()))])
+TOTALS_SQL = "block long, bucket long, totals binary, top array<string>, top_counts array<long>, types array<long>, tokens array<long>, singles array<long>"
 SYMBOLS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("symbols", pa.binary()), ("once", pa.binary()), ("base", pa.list_(pa.float64())), ("rare", pa.list_(pa.float64())), ("known", pa.list_(pa.int64()))])
 SYMBOLS_SQL = "block long, ids array<long>, held array<boolean>, lengths array<int>, symbols binary, once binary, base array<double>, rare array<double>, known array<long>"
 
 
-def tail_classes(words: pa.Array) -> np.ndarray:
-    """The tail classes of words, an Arrow array of bytes."""
+def bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins in the bytes of an Arrow array of words, and the end; and the bytes."""
     ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
-    if not len(data):
-        return np.full(len(words), SLOTS[0])
-    last, before = np.maximum(ends[1:] - 1, 0), np.maximum(ends[1:] - 2, 0)
+    data = words.buffers()[2]
+    return ends - ends[0], np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    ends, data = bytes_of(words)
+    data = np.r_[data, np.zeros(2, np.uint8)].astype(np.int64)
     size = np.diff(ends)
-    return SLOTS[np.where(size > 0, data[last], 0) + 256 * np.where(size > 1, data[before], 0).astype(np.int64)]
+    return SLOTS[np.where(size > 0, data[ends[1:] - 1], 0) + 256 * np.where(size > 1, data[ends[1:] - 2], 0)]
 
 
-def in_buckets(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of words by their bucket, and where each bucket begins and ends in it."""
-    of = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)) % np.uint64(buckets)
+def in_buckets(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of words by their bucket, and where each bucket begins and ends in it. Equal words have equal buckets."""
+    ends, data = bytes_of(words)
+    size = np.diff(ends)
+    powers = np.cumprod(np.full(int(size.max(initial=0)) + 1, 0xD1342543DE82EF95, dtype=np.uint64), dtype=np.uint64)
+    sums = np.r_[np.uint64(0), np.cumsum((data + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(ends[:-1], size)], dtype=np.uint64)]
+    of = mix(sums[ends[1:]] - sums[ends[:-1]]) % np.uint64(buckets)
     order = np.argsort(of, kind="stable")
     return order, np.searchsorted(of[order], np.arange(buckets + 1, dtype=np.uint64))
 
 
-class Numbers(dict):
-    """Words to numbers: frequent ones have fixed numbers, others follow as they are met in a block."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
+def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts in lower case, and an empty word at the end of each text; and how many there are in each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    # What stands at either end of a text is an empty piece if there is white space, and so is a text without words.
+    words, doc = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    some = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    words, doc = words.filter(pa.array(some)), doc[some]
+    words = pa.concat_arrays([words, pa.array([""], words.type)])
+    lengths = np.bincount(doc, minlength=len(lists)) + 1
+    at = np.full(lengths.sum(), len(words) - 1)
+    inside = np.ones(len(at), dtype=bool)
+    inside[np.cumsum(lengths) - 1] = False
+    at[inside] = np.arange(len(words) - 1)
+    return words.take(pa.array(at)), lengths
 
-def frequent_words(rows: DataFrame, n_rows: int) -> list[bytes]:
-    """The WORDS commonest words, seen twice at least, of about SAMPLE_ROWS training rows; counts of a task are added up by Spark."""
 
-    def count(batches):
-        seen: dict[bytes, int] = {}
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                for w in text.lower().split():
-                    seen[w] = seen.get(w, 0) + 1
-            if len(seen) > 64 * WORDS:
-                seen = dict(sorted(seen.items(), key=lambda s: (-s[1], s[0]))[: 16 * WORDS])
-        top = sorted((w for w, n in seen.items() if n > 1 and len(w) <= 64), key=lambda w: (-seen[w], w))[: 4 * WORDS]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.binary()), pa.array([seen[w] for w in top], pa.int64())], names=["word", "n"])
-
-    share = min(1.0, SAMPLE_ROWS / max(1, n_rows))
-    sample = rows.select("text").filter("text is not null")
-    sample = sample.sample(share, seed=1) if share < 1 else sample
-    counts = sample.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [END, *(bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(WORDS - 1).collect())]
-
-
-def packed(rows: DataFrame, frequent) -> DataFrame:
+def packed(rows: DataFrame) -> DataFrame:
     """Blocks of whole documents as numbers, with the training counts of their words; numbered by partition, so a retry gives the same."""
 
-    def block(number: int, docs: list[tuple], numbers: Numbers, base: int) -> pa.RecordBatch:
-        tokens = np.concatenate([d[2] for d in docs])
-        train = np.repeat([not d[1] for d in docs], [len(d[2]) for d in docs])
-        counts = np.bincount(tokens[train], minlength=len(numbers))
+    def block(number: int, parts: list[tuple]) -> pa.RecordBatch:
+        found = pa.concat_arrays([p[2] for p in parts]).dictionary_encode()
+        tokens, words = found.indices.to_numpy(), found.dictionary
+        lengths, held = (np.concatenate([p[i] for p in parts]) for i in (3, 1))
+        counts = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(words))
+        ids = pa.concat_arrays([p[0] for p in parts])
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         return batch_of(
-            BLOCK, [number], [[d[0] for d in docs]], [[d[1] for d in docs]], [[len(d[2]) for d in docs]], [tokens.tobytes()],
-            [list(numbers)[base:]], [counts[base:].astype("<i4").tobytes()], [len(numbers) - base], [counts[:base].astype("<i4").tobytes()],
+            BLOCK, [number], one(ids), one(pa.array(held)), one(pa.array(lengths.astype(np.int32))), [tokens.astype("<i4").tobytes()],
+            one(words), [counts.astype("<i4").tobytes()], [len(words)],
         )
 
     def run(batches):
-        known = frequent.value
-        fresh = lambda: Numbers({w: i for i, w in enumerate(known)})
-        number, numbers, docs, size = TaskContext.get().partitionId() << 32, fresh(), [], 0
-        for batch in slices(batches):
-            for doc, held, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = (text or b"").lower().split()
-                words.append(END)
-                docs.append((doc, held, np.fromiter(map(numbers.__getitem__, words), dtype="<i4", count=len(words))))
-                size += len(words)
-                if size >= TOKENS:
-                    yield block(number, docs, numbers, len(known))
-                    number, numbers, docs, size = number + 1, fresh(), [], 0
-        if docs:
-            yield block(number, docs, numbers, len(known))
+        number, parts, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in slices(batches, TOGETHER):
+            if not batch.num_rows:
+                continue
+            words, lengths = words_of(batch.column(2))
+            parts.append((batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), words, lengths))
+            size += len(words)
+            if size >= TOKENS:
+                yield block(number, parts)
+                number, parts, size = number + 1, [], 0
+        if parts:
+            yield block(number, parts)
 
     return rows.mapInArrow(run, BLOCK_SQL)
 
@@ -134,115 +130,90 @@ def counted(blocks: DataFrame, buckets: int) -> DataFrame:
     def dealt(batches):
         for batch in slices(batches, 1):
             words, counts = batch.column("words")[0].values, np.frombuffer(batch.column("counts")[0].as_py(), dtype="<i4")
-            order, ends = in_buckets(words.to_pylist(), buckets)
+            order, ends = in_buckets(words, buckets)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words.take(pa.array(order)))
-            counts = counts[order]
-            used = pa.array(np.flatnonzero(np.diff(ends)))
-            cut = [counts[ends[k] : ends[k + 1]].tobytes() for k in used.to_pylist()]
-            yield pa.RecordBatch.from_arrays([used, pa.array(np.repeat(batch.column("block").to_numpy(), len(used))), lists.take(used), pa.array(cut, pa.binary())], names=["bucket", "block", "words", "counts"])
+            counts, used = counts[order], np.flatnonzero(np.diff(ends))
+            cut = [counts[ends[k] : ends[k + 1]].tobytes() for k in used]
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.repeat(batch.column("block").to_numpy(), len(used))), lists.take(pa.array(used)), pa.array(cut, pa.binary())], names=["bucket", "block", "words", "counts"])
 
     def added(group: pa.Table) -> pa.Table:
-        numbers, found = Numbers(), []
-        for words in group.column("words"):
-            found.append(np.fromiter(map(numbers.__getitem__, words.values.to_pylist()), dtype=np.int64, count=len(words)))
-        totals = np.zeros(len(numbers), dtype=np.int64)
-        for at, counts in zip(found, group.column("counts").to_pylist(), strict=True):
-            totals[at] += np.frombuffer(counts, dtype="<i4")
-        words = pa.array(list(numbers), pa.binary())
-        slots, n = tail_classes(words), TAIL
-        most = np.lexsort((np.arange(len(totals)), -totals))[: 2 * WORDS]
-        names = words.take(pa.array(most)).to_pylist()
-        top = sorted(((-int(totals[i]), w) for i, w in zip(most, names, strict=True) if totals[i] > 1 and len(w) <= 64))[:WORDS]
-        bucket = group.column("bucket")[0].as_py()
-        per_slot = [np.bincount(slots[totals > 0], minlength=n).tolist(), np.bincount(slots, totals, minlength=n).astype(np.int64).tolist(), np.bincount(slots[totals == 1], minlength=n).tolist()]
-        rows = len(found)
-        none = [None] * rows
+        lists = group.column("words").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        found = lists.flatten().dictionary_encode()
+        numbers, words = found.indices.to_numpy(), found.dictionary
+        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), dtype="<i4")
+        totals = np.bincount(numbers, weights=counts, minlength=len(words)).astype(np.int64)
+        slots = tail_classes(words)
+        per_slot = [np.bincount(slots[totals > 0], minlength=TAIL).tolist(), np.bincount(slots, totals, minlength=TAIL).astype(np.int64).tolist(), np.bincount(slots[totals == 1], minlength=TAIL).tolist()]
+        able = np.flatnonzero((totals > 1) & (np.diff(bytes_of(words)[0]) <= LONGEST))
+        # Of words with equal counts the first in order are taken, whatever their order here.
+        least = np.sort(totals[able])[-WORDS] if len(able) > WORDS else 0
+        able = able[totals[able] >= least]
+        top = sorted(zip((-totals[able]).tolist(), words.take(pa.array(able)).to_pylist(), strict=True))[:WORDS]
+        rows, none = len(lists), [None] * len(lists)
+        ends = np.cumsum(np.r_[0, pc.list_value_length(lists).to_numpy()])
+        every = totals[numbers]
         return pa.Table.from_batches([batch_of(
-            TOTALS, group.column("block").to_pylist() + [None], [bucket] * (rows + 1), [totals[at].tobytes() for at in found] + [None], none + [[w for _, w in top]],
-            none + [[-c for c, _ in top]], *[none + [v] for v in per_slot],
+            TOTALS, group.column("block").to_pylist() + [None], [group.column("bucket")[0].as_py()] * (rows + 1), [every[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)] + [None],
+            none + [[w for _, w in top]], none + [[-c for c, _ in top]], *[none + [v] for v in per_slot],
         )])
 
-    pieces = blocks.select("block", "words", "counts").mapInArrow(dealt, "bucket long, block long, words array<binary>, counts binary")
+    pieces = blocks.select("block", "words", "counts").mapInArrow(dealt, "bucket long, block long, words array<string>, counts binary")
     return written(pieces.groupBy("bucket").applyInArrow(added, TOTALS_SQL), "counts")
 
 
-def corpus_facts(blocks: DataFrame, totals: DataFrame, frequent: list[bytes]) -> dict:
+def corpus_facts(totals: DataFrame) -> dict:
     """What every task needs to know of the counts; its size is bounded by WORDS and TAIL.
 
-    counts (of the frequent words), n and v; symbol numbers: own (of the WORDS commonest words), tail (of tail classes) and unseen, in descending
-    order of their counts, which are in `sizes`; mass, the discounted tokens of each tail class.
+    n and v; own, the WORDS commonest words; the numbers of symbols (own words, then tail classes, then unseen) in descending order
+    of their counts, which are in `sizes`; mass, the discounted tokens of each tail class.
     """
-
-    def frequent_counts(batches):
-        total = np.zeros(len(frequent), dtype=np.int64)
-        for batch in batches:
-            for b in batch.column(0).to_pylist():
-                total += np.frombuffer(b, dtype="<i4")
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(frequent))), pa.array(total)], names=["at", "count"])
-
-    sums = blocks.select("frequent").mapInArrow(frequent_counts, "at long, count long").groupBy("at").agg(F.sum("count").alias("count")).toPandas()
-    counts = np.zeros(len(frequent), dtype=np.int64)
-    counts[sums["at"].to_numpy()] = sums["count"].to_numpy()
     of_bucket = totals.filter("block is null")
     slots = of_bucket.select(F.posexplode(F.arrays_zip("types", "tokens", "singles")).alias("slot", "s")).groupBy("slot").agg(*[F.sum(f"s.{c}").alias(c) for c in ("types", "tokens", "singles")]).toPandas()
     types, tokens, singles = (np.zeros(TAIL, dtype=np.int64) for _ in range(3))
     for v, c in ((types, "types"), (tokens, "tokens"), (singles, "singles")):
         v[slots["slot"].to_numpy(dtype=int)] = slots[c].to_numpy()
+    n, v = int(tokens.sum()), int(types.sum())
     top = of_bucket.select(F.explode(F.arrays_zip("top", "top_counts")).alias("t")).select("t.top", "t.top_counts").orderBy(F.desc("top_counts"), "top").limit(WORDS).collect()
-    listed = {bytes(r[0]): r[1] for r in top}
-    listed_slots = tail_classes(pa.array(list(listed), pa.binary()))
-    frequent_slots = tail_classes(pa.array(frequent, pa.binary()))
-    often = sorted([(-c, w) for w, c in listed.items()] + [(-int(c), w) for w, c in zip(frequent[1:], counts[1:], strict=True) if c > 1])[: WORDS - 1]
-    own = [END, *(w for _, w in often)]
-    chosen = set(own)
-    n, v = int(counts.sum() + tokens.sum()), int((counts > 0).sum() + types.sum())
-    for w, slot in zip(listed, listed_slots, strict=True):
-        if w in chosen:
-            types[slot] -= 1
-            tokens[slot] -= listed[w]
-    for w, slot, c in zip(frequent, frequent_slots, counts, strict=True):
-        if c > 0 and w not in chosen:
-            types[slot] += 1
-            tokens[slot] += c
-            singles[slot] += c == 1
-    sizes = np.r_[counts[0], [-c for c, _ in often], tokens - singles, singles.sum()].astype(float)
+    own, counts = pa.array([r[0] for r in top], pa.string()), np.array([r[1] for r in top], dtype=np.int64)
+    if top:
+        np.subtract.at(types, tail_classes(own), 1)
+        np.subtract.at(tokens, tail_classes(own), counts)
+    sizes = np.r_[counts, tokens - singles, singles.sum()].astype(float)
     order = np.argsort(-sizes, kind="stable")
     number = np.empty(len(order), dtype=np.int64)
     number[order] = np.arange(len(order))
-    return {"counts": counts, "frequent": frequent, "own": {w: int(number[i]) for i, w in enumerate(own)}, "tail": number[len(own) :][:TAIL], "unseen": int(number[-1]), "sizes": sizes[order], "mass": tokens - DISCOUNT * types, "n": n, "v": v}
+    return {"own": own, "numbers": number, "sizes": sizes[order], "mass": tokens - DISCOUNT * types, "n": n, "v": v}
 
 
 def coded(blocks: DataFrame, totals: DataFrame, buckets: int, facts) -> DataFrame:
     """Blocks in the model's symbols, with each document's base score, known tokens and the part of its score that has no state."""
     lists = totals.filter("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "totals"))).alias("parts"))
-    joined = blocks.select("block", "ids", "held", "lengths", "tokens", "words").join(lists.hint("shuffle_hash"), "block", "left")
+    joined = blocks.select("block", "ids", "held", "lengths", "tokens", "words").join(lists.hint("shuffle_hash"), "block")
     joined = joined.withColumn("totals", F.col("parts.totals")).drop("parts")
 
     def run(batches):
         f = facts.value
-        frequent = pa.array(f["frequent"], pa.binary())
+        own, number = f["own"], f["numbers"]
         for batch in slices(batches, 1):
             tokens = np.frombuffer(batch.column("tokens")[0].as_py(), dtype="<i4")
             words, lengths = batch.column("words")[0].values, batch.column("lengths")[0].values.to_numpy()
-            listed = words.to_pylist()
-            own = np.zeros(len(words), dtype=np.int64)
-            if len(words):
-                order, _ = in_buckets(listed, buckets)
-                own[order] = np.frombuffer(b"".join(batch.column("totals")[0].as_py()), dtype=np.int64)
-            counts = np.r_[f["counts"], own]
-            slots = np.r_[tail_classes(frequent), tail_classes(words)]
-            symbol = np.fromiter(map(f["own"].get, f["frequent"] + listed, repeat(-1)), dtype=np.int64, count=len(counts))
-            tail = (symbol < 0) & (counts > 0)
-            symbol = np.where(tail, f["tail"][slots], np.where(symbol < 0, f["unseen"], symbol))
+            order, _ = in_buckets(words, buckets)
+            counts = np.empty(len(words), dtype=np.int64)
+            counts[order] = np.frombuffer(b"".join(batch.column("totals")[0].as_py()), dtype=np.int64)
+            slots = tail_classes(words)
+            at = pc.fill_null(pc.index_in(words, value_set=own), -1).to_numpy()
+            tail = (at < 0) & (counts > 0)
+            symbol = number[np.where(tail, len(own) + slots, at)]  # -1 is the last, unseen
             rare = np.zeros(len(counts))
             rare[tail] = np.log(np.maximum(counts[tail] - DISCOUNT, 1e-9) / np.maximum(f["mass"][slots[tail]], 1e-9))
             once = np.packbits(((counts == 1) & tail)[tokens])
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            per_doc = lambda v: np.bincount(doc, weights=v[tokens], minlength=len(lengths))
+            starts = np.cumsum(lengths) - lengths
+            per_doc = lambda v: np.add.reduceat(v[tokens], starts)
             log10 = np.log10((counts + 1) / (f["n"] + f["v"] + 1))
             yield batch_of(
                 SYMBOLS, batch.column("block"), batch.column("ids"), batch.column("held"), batch.column("lengths"), [symbol.astype("<u2")[tokens].tobytes()], [once.tobytes()],
-                [per_doc(log10).tolist()], [per_doc(rare).tolist()], [per_doc((counts > 0).astype(float)).astype(int).tolist()],
+                [per_doc(log10).tolist()], [per_doc(rare).tolist()], [per_doc((counts > 0).astype(np.int64)).tolist()],
             )
 
     return joined.mapInArrow(run, SYMBOLS_SQL)
@@ -257,31 +228,41 @@ def documents_of(batch: pa.RecordBatch, unseen: int | None = None) -> list[np.nd
     return np.split(symbols, np.cumsum(lengths)[:-1])
 
 
-def trained_copies(blocks: DataFrame, model: dict, edges: np.ndarray, unseen: int, turn: int, rounds: int, shards: int) -> DataFrame:
-    """(seen, sums): a copy of the model from each shard, after the training documents whose turn it is, times their tokens."""
-    start = blocks.sparkSession.sparkContext.broadcast(recurrent.flat(model))
+def training_rows(blocks: DataFrame, unseen: int, rounds: int, shards: int) -> DataFrame:
+    """(turn, shard, block, lengths, symbols): each training document in one round and one of its shards, in folders by turn."""
 
     def dealt(batches):
         for batch in slices(batches, 1):
-            docs, held = documents_of(batch, unseen), batch.column("held")[0].as_py()
+            docs, held = documents_of(batch, unseen), batch.column("held")[0].values.to_numpy(zero_copy_only=False)
             block = batch.column("block")[0].as_py()
-            draw = np.random.default_rng(block).random(len(docs)) * rounds
-            # A document may go to any shard, so that shards are even and blocks of one source are spread.
-            shard = np.random.default_rng([block, turn]).integers(0, shards, len(docs))
-            mine = np.array([not h for h in held]) & (turn <= draw) & (draw < turn + 1)
-            for k in np.unique(shard[mine]):
-                chosen = [docs[i] for i in np.flatnonzero(mine & (shard == k))]
-                yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([block]), pa.array([[len(d) for d in chosen]], pa.list_(pa.int32())), pa.array([b"".join(d.tobytes() for d in chosen)], pa.binary())], names=["shard", "block", "lengths", "symbols"])
+            rnd = np.random.default_rng(block)
+            turn, part = rnd.integers(0, rounds, len(docs)), rnd.integers(0, SPREAD, len(docs))
+            shard = rnd.integers(0, shards, (rounds, SPREAD))
+            rows = []
+            for t in range(rounds):
+                for k in range(SPREAD):
+                    chosen = [docs[i] for i in np.flatnonzero(~held & (turn == t) & (part == k))]
+                    if chosen:
+                        rows.append((int(shard[t, k]), block, [len(d) for d in chosen], b"".join(d.tobytes() for d in chosen), t))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["shard", "block", "lengths", "symbols", "turn"])
+
+    pieces = blocks.select("block", "held", "lengths", "symbols", "once").mapInArrow(dealt, "shard long, block long, lengths array<int>, symbols binary, turn int")
+    return written(pieces, "training", "turn")
+
+
+def trained_copies(rows: DataFrame, model: dict, edges: np.ndarray, turn: int) -> DataFrame:
+    """(seen, sums): a copy of the model from each shard of a round's rows, times the tokens that it has seen."""
+    start = rows.sparkSession.sparkContext.broadcast(recurrent.flat(model))
 
     def local(group: pd.DataFrame) -> pd.DataFrame:
         docs = []
-        for _, row in group.sort_values("block").iterrows():
+        for _, row in group.sort_values(["block", "symbols"]).iterrows():
             docs += np.split(np.frombuffer(row["symbols"], dtype="<u2"), np.cumsum(row["lengths"])[:-1])
         own, seen = recurrent.train(recurrent.shaped(start.value, edges), edges, docs, RATE / math.sqrt(turn + 1), seed=turn)
         return pd.DataFrame({"seen": [seen], "sums": [(recurrent.flat(own).astype(np.float64) * seen).tobytes()]})
 
-    pieces = blocks.select("block", "held", "lengths", "symbols", "once").mapInArrow(dealt, "shard long, block long, lengths array<int>, symbols binary")
-    return written(pieces.groupBy("shard").applyInPandas(local, "seen long, sums binary"), "models")
+    return written(rows.filter(F.col("turn") == turn).drop("turn").groupBy("shard").applyInPandas(local, "seen long, sums binary"), "models")
 
 
 def averaged(copies: DataFrame, shards: int) -> np.ndarray | None:
@@ -308,8 +289,9 @@ def fitted(blocks: DataFrame, sizes: np.ndarray, unseen: int) -> dict:
     units = max(1.0, sizes.sum() / SHARD_TOKENS)
     rounds = 2 + int(math.log2(units)) // 2
     shards = max(1, round(units / rounds))
+    rows = training_rows(blocks, unseen, rounds, shards)
     for turn in range(rounds):
-        mean = averaged(trained_copies(blocks, model, edges, unseen, turn, rounds, shards), shards)
+        mean = averaged(trained_copies(rows, model, edges, turn), shards)
         if mean is not None:
             model = recurrent.shaped(mean, edges)
     return model
@@ -324,14 +306,13 @@ def language_model_scores(docs: DataFrame, held_out: Column | None = None) -> Da
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False)) if held_out is None else F.coalesce(held_out, F.lit(False))
-    rows = texts(docs.select("doc_id", "text").withColumn("held", held), F.col("doc_id").cast("long").alias("doc_id"), "held")
-    frequent = frequent_words(rows.filter("not held"), docs.count())
-    blocks = written(packed(rows, spark.sparkContext.broadcast(frequent)), "blocks")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), "text")
+    blocks = written(packed(rows), "blocks")
     buckets = max(1, round((blocks.agg(F.sum("n_words")).first()[0] or 0) / PAIRS))
     totals = counted(blocks, buckets)
-    facts = corpus_facts(blocks, totals, frequent)
+    facts = corpus_facts(totals)
     in_symbols = written(coded(blocks, totals, buckets, spark.sparkContext.broadcast(facts)), "symbols")
-    model, edges = fitted(in_symbols, facts["sizes"], facts["unseen"]), recurrent.class_edges(facts["sizes"])
+    model, edges = fitted(in_symbols, facts["sizes"], int(facts["numbers"][-1])), recurrent.class_edges(facts["sizes"])
     final = spark.sparkContext.broadcast(recurrent.flat(model))
 
     def scored(batches):

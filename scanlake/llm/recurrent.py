@@ -1,4 +1,4 @@
-"""A gated recurrent unit with a class-factored softmax, in numpy: training by truncated backpropagation, and scoring.
+"""A gated recurrent unit (an update gate, and a proposal for the state) with a class-factored softmax, in numpy: training by truncated backpropagation, and scoring.
 
 Symbols are numbers in descending order of their counts; one more input symbol starts a document. Neighbours in that order make a class,
 and P(symbol | state) = P(its class | state) * P(symbol | class, state). Classes share the square roots of the counts evenly: common
@@ -27,7 +27,7 @@ def class_edges(counts: np.ndarray) -> np.ndarray:
 def shapes(edges: np.ndarray) -> dict[str, tuple[int, ...]]:
     symbols, classes = int(edges[-1]), len(edges) - 1
     return {
-        "embed": (symbols + 1, HIDDEN), "input": (3, HIDDEN, HIDDEN), "bias": (3, HIDDEN), "state": (3, HIDDEN, HIDDEN),
+        "embed": (symbols + 1, HIDDEN), "input": (2, HIDDEN, HIDDEN), "bias": (2, HIDDEN), "state": (2, HIDDEN, HIDDEN),
         "to_class": (HIDDEN, classes), "class_bias": (classes,), "to_word": (symbols, HIDDEN), "word_bias": (symbols,),
     }
 
@@ -116,33 +116,30 @@ def _soft(x: np.ndarray, slope: bool) -> np.ndarray | None:
 
 
 def _step(state: np.ndarray, given: np.ndarray, h: np.ndarray, backward: bool = False) -> tuple[np.ndarray, ...]:
-    """The next state (lanes, HIDDEN), of `given` (3, lanes, HIDDEN), which changes; then what the way back needs."""
-    a = np.matmul(h, state)
-    gates, n = given[:2], given[2]
-    gates += a[:2]
-    slope = _soft(gates, backward)
-    gates *= 0.5
-    gates += 0.5
-    n += gates[1] * a[2]
-    slope_n = _soft(n, backward)
+    """The next state (lanes, HIDDEN), of `given` (2, lanes, HIDDEN), which changes; then what the way back needs."""
+    given += np.matmul(h, state)
+    slope = _soft(given, backward)
+    gate, n = given
+    gate *= 0.5
+    gate += 0.5
     after = h - n
-    after *= gates[0]
+    after *= gate
     after += n
-    return after, gates, n, a[2], slope, slope_n
+    return after, gate, n, slope
 
 
 def _sums(rows: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
     """Sums of rows by their number x."""
     order = np.argsort(x, kind="stable")
     x = x[order]
-    last = np.flatnonzero(np.r_[x[1:] != x[:-1], True])
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
     out = np.zeros((size, rows.shape[1]), rows.dtype)
-    out[x[last]] = np.diff(np.cumsum(np.take(rows, order, axis=0), axis=0)[last], axis=0, prepend=rows.dtype.type(0))
+    out[x[first]] = np.add.reduceat(np.take(np.ascontiguousarray(rows.T), order, axis=1), first, axis=1).T
     return out
 
 
 def _table(model: dict) -> np.ndarray:
-    """What each input symbol gives to the gates and the proposal: (3, symbols, HIDDEN)."""
+    """What each input symbol gives to the gate and the proposal: (2, symbols, HIDDEN)."""
     return np.matmul(model["embed"], model["input"]) + model["bias"][:, None, :]
 
 
@@ -172,32 +169,26 @@ def window_gradients(model: dict, edges: np.ndarray, x: np.ndarray, y: np.ndarra
         dstates = np.zeros_like(flat_states)
         out, dstates[at] = _outputs(model, edges, flat_states[at], y[at], gradients)
     dstates = dstates.reshape(steps, lanes, HIDDEN)
-    given, inner = (np.empty((3, steps, lanes, HIDDEN), h.dtype) for _ in range(2))
+    given = np.empty((2, steps, lanes, HIDDEN), h.dtype)
     carry = np.zeros_like(h)
     back = np.ascontiguousarray(model["state"].transpose(0, 2, 1))
     for t in range(steps - 1, -1, -1):
-        gates, n, a, slope, slope_n = kept[t]
+        gate, n, slope = kept[t]
         dh = dstates[t]
         dh += carry
-        slope *= 0.5
-        np.multiply(dh, gates[0], out=carry)
-        dn = dh - carry
-        dn *= slope_n
-        given[2, t] = dn
-        np.multiply(dn, gates[1], out=inner[2, t])
+        np.multiply(dh, gate, out=carry)
         np.subtract(before[t], n, out=n)
         n *= dh
+        n *= 0.5
         np.multiply(n, slope[0], out=given[0, t])
-        dn *= a
-        np.multiply(dn, slope[1], out=given[1, t])
-        inner[:2, t] = given[:2, t]
-        da = np.matmul(inner[:, t], back)
-        for part in da:
+        dh -= carry
+        np.multiply(dh, slope[1], out=given[1, t])
+        for part in np.matmul(given[:, t], back):
             carry += part
         if starts[t].any():
             carry[starts[t]] = 0
-    given, inner, before = given.reshape(3, -1, HIDDEN), inner.reshape(3, -1, HIDDEN), before.reshape(-1, HIDDEN)
-    gradients["state"] += np.matmul(before.T, inner)
+    given, before = given.reshape(2, -1, HIDDEN), before.reshape(-1, HIDDEN)
+    gradients["state"] += np.matmul(before.T, given)
     gradients["input"] += np.matmul(np.take(model["embed"], flat_x, axis=0).T, given)
     gradients["bias"] += np.matmul(np.ones(len(y), h.dtype), given)
     gradients["embed"] += _sums(np.matmul(given, model["input"].transpose(0, 2, 1)).sum(axis=0), flat_x, len(model["embed"]))

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from scanlake.llm import language_model as M
 from scanlake.llm import recurrent
@@ -21,7 +22,7 @@ def plain_scores(rows, model, wanted):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     tokens = [(i, [*(t or "").encode().lower().split(), b""]) for i, t in rows]
     counts = Counter(w for i, ws in tokens if not held(i) for w in ws)
-    own = [b"", *sorted((w for w, c in counts.items() if c > 1 and w and len(w) <= 64), key=lambda w: (-counts[w], w))[: M.WORDS - 1]]
+    own = sorted((w for w, c in counts.items() if c > 1 and len(w) <= 64), key=lambda w: (-counts[w], w))[: M.WORDS]
     slot = lambda w: int(M.SLOTS[w[-1] + 256 * (w[-2] if len(w) > 1 else 0)])
     tail = [[c for w, c in counts.items() if w not in set(own) and slot(w) == k] for k in range(M.TAIL)]
     mass = [sum(c - M.DISCOUNT for c in cs) for cs in tail]
@@ -36,11 +37,9 @@ def plain_scores(rows, model, wanted):
             continue
         h, x, total = np.zeros(recurrent.HIDDEN), len(sizes), 0.0
         for w in words:
-            z, r, n = model["embed"][x] @ model["input"] + model["bias"]
-            a = h @ model["state"]
+            z, n = model["embed"][x] @ model["input"] + model["bias"] + h @ model["state"]
             soft = lambda v: v / (1 + abs(v))
-            gate, reset = 0.5 + 0.5 * soft(z + a[0]), 0.5 + 0.5 * soft(r + a[1])
-            n = soft(n + reset * a[2])
+            gate, n = 0.5 + 0.5 * soft(z), soft(n)
             h = n + gate * (h - n)
             if w in own:
                 x = number[own.index(w)]
@@ -87,7 +86,7 @@ def test_edges(spark, edge_docs, no_docs):
 
 
 def test_every_training_document_is_learnt_from(spark, sf_dir, monkeypatch):
-    """Over the rounds the copies see all training tokens, each once; the sample of frequent words changes no score."""
+    """Over the rounds the copies see all training tokens, each once."""
     monkeypatch.setattr(M, "TOKENS", 20_000)
     monkeypatch.setattr(M, "SHARD_TOKENS", 8000)
     seen, copies = [], M.trained_copies
@@ -108,9 +107,17 @@ def test_models_are_averaged_in_a_tree(spark):
     assert np.allclose(got, sum(i * (i + 1) for i in range(100)) / sum(i + 1 for i in range(100)))
 
 
-def test_frequent_sample_decides_no_score(spark, sf_dir, monkeypatch):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").coalesce(1)
-    monkeypatch.setattr(M, "WORDS", 200)
-    one = {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 2)) for r in M.language_model_scores(docs).collect()}
-    monkeypatch.setattr(M, "frequent_words", lambda rows, n: [M.END, b"zzz-not-there", b"the"])
-    assert {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 2)) for r in M.language_model_scores(docs).collect()} == one
+def test_words_are_those_of_the_contract():
+    texts = [None, "", " \t\n ", "One two", " a\x0bB\x0cc\r\n", "x\x1cy\u00a0z \u00c4B"]
+    words, lengths = M.words_of(pa.array(texts, pa.string()))
+    want = [[*(t or "").encode().lower().split(), b""] for t in texts]
+    assert lengths.tolist() == [len(w) for w in want] and words.cast(pa.binary()).to_pylist() == sum(want, [])
+
+
+def test_buckets_keep_equal_words_together():
+    words = pa.array(["", "a", "b", "ab", "ba", "a", "", "\u00e4" * 70, "ab"])
+    for part in (words, words[3:]):
+        order, ends = M.in_buckets(part, 4)
+        of = {i: k for k in range(4) for i in order[ends[k] : ends[k + 1]]}
+        assert sorted(of) == list(range(len(part)))
+        assert len({(w, of[i]) for i, w in enumerate(part.to_pylist())}) == len(set(part.to_pylist()))
