@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlake.registry import table
@@ -82,3 +82,13 @@ def pixels(spark: SparkSession, sf_dir: str, color: bool = False, levels: float
     to = F.transform(F.array(*[F.lit(c) for c in range(3)]), lambda c: F.struct(c.alias("c"), ((F.col("p") - 16 * c + 64) % 64).alias("q")))
     rows = rows.select("vec_id", "v", F.explode(to).alias("to"))
     return rows.select("vec_id", F.floor(F.col("to.q") / 8).cast("int").alias("y"), (F.col("to.q") % 8).alias("x"), F.col("to.c").alias("c"), value)
+
+
+def digest(content) -> Column:
+    """An aggregate of contents that no order changes: the sums of both 60-bit ends of their md5, as text."""
+    ends = [F.conv(F.substring(F.md5(content), at, 15), 16, 10).cast("decimal(20,0)") for at in (1, 18)]
+    return F.concat_ws("-", *[F.sum(e).cast("string") for e in ends])
+
+
+def digest_sql(content: str) -> str:
+    return "concat(" + ", '-', ".join(f"cast(sum(('0x' || substr(md5({content}), {at}, 15))::bigint) as varchar)" for at in (1, 18)) + ")"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,22 @@ def rule_contraband() -> Column:
     return F.when(flag("no_contraband") == 1, 0).otherwise(1)
 
 
+def consistent(rows: DataFrame, rule, on_bad: str = "raise") -> tuple[DataFrame, DataFrame | None]:
+    """rows with class_id by rule, and the rows set aside.
+
+    on_bad: what is done with rows that the rule gives no class: "raise" (when they are read), "quarantine" (they are set aside), or "keep".
+    """
+    classed = rows.withColumn("class_id", rule())
+    if on_bad == "keep":
+        return classed, None
+    if on_bad == "quarantine":
+        return classed.filter("class_id is not null"), classed.filter("class_id is null").drop("class_id")
+    if on_bad != "raise":
+        raise ValueError(f"on_bad must be raise, quarantine or keep, got {on_bad}")
+    bad = F.raise_error(F.concat(F.lit("inconsistent labels: "), F.to_json(F.struct(*rows.columns))))
+    return classed.withColumn("class_id", F.coalesce("class_id", bad)), None
+
+
 def box_normalized(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, strict: bool = True) -> Column:
     """[x/W, y/H, w/W, h/H]; a size of 0 raises if strict, else gives NULLs."""
     divide = (lambda a, b: a / b) if strict else F.try_divide

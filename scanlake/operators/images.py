@@ -1,13 +1,14 @@
 """Image operators on a pixel table (id, y, x, c, v): visible to the optimizer, one row a sample; and the same kernels on whole images.
 
-Neighbourhoods are equi joins on explicit target cells, never range joins; weights of a resize come from one small cell map.
+Images of one table may differ in size, channels and depth: what an operator needs of these it takes from the image's own rows. A pixel
+finds the target cells that it counts in by arithmetic on its own place, so that resizing needs no join with a map of cells.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Weights in thousandths, in channel order blue, green, red.
@@ -28,65 +29,95 @@ def to_gray(pixels: DataFrame, key: str = "vec_id") -> DataFrame:
     return sums.select(key, "y", "x", F.lit(0).alias("c"), F.when(F.col("n") == 1, F.col("one")).otherwise(F.floor((F.col("s") + 500) / 1000)).cast("int").alias("v"))
 
 
+def sized(pixels: DataFrame, key: str = "vec_id") -> DataFrame:
+    """pixels with height, width and channels of each image, taken from its rows unless the table has them."""
+    if {"height", "width", "channels"} <= set(pixels.columns):
+        return pixels
+    sizes = pixels.groupBy(key).agg(*[(F.max(c) + 1).cast("int").alias(name) for c, name in (("y", "height"), ("x", "width"), ("c", "channels"))])
+    return pixels.drop("height", "width", "channels").join(sizes, key)
+
+
 def to_color(pixels: DataFrame, key: str = "vec_id") -> DataFrame:
-    """Three equal channels of a single one."""
-    return pixels.select(key, "y", "x", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("c"), "v")
+    """Three equal channels of a single one; images with more pass through."""
+    to = F.when(F.col("channels") == 1, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array("c"))
+    return sized(pixels, key).select(key, "y", "x", F.explode(to).alias("c"), "v")
 
 
 def normalize_depth(pixels: DataFrame, key: str = "vec_id") -> DataFrame:
-    """16-bit values stretched to the whole range: truncated (v - min) / (max - min + 1e-6) * 65535 per image."""
+    """16-bit values stretched to the whole range: truncated (v - min) / (max - min + 1e-6) * 65535 per image.
+
+    A column dtype tells the depth of each image; what is not uint16 passes through. Without the column all images are of 16 bits.
+    """
+    deep = F.col("dtype") == "uint16" if "dtype" in pixels.columns else F.lit(True)
     ends = pixels.groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    value = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-6) * 65535
-    return pixels.join(ends, key).select(key, "y", "x", "c", F.floor(value).cast("int").alias("v"))
+    value = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-6) * 65535)
+    return pixels.join(ends, key).select(key, "y", "x", "c", F.when(deep, value).otherwise(F.col("v")).cast("int").alias("v"))
+
+
+def _resized(pixels: DataFrame, target: tuple[int, int], key: str, cells) -> DataFrame:
+    """Sums of v by target cell. cells(at, source, target): the (t, w) that a source cell counts in, along one side."""
+    rows = sized(pixels, key)
+    for c, size, to in (("y", "height", target[0]), ("x", "width", target[1])):
+        rows = rows.withColumn(f"_{c}", F.explode(cells(F.col(c), F.col(size).cast("double"), float(to)))).withColumns({f"t{c}": F.col(f"_{c}.t"), f"w{c}": F.col(f"_{c}.w")}).drop(f"_{c}")
+    return rows.groupBy(key, "ty", "tx", "c").agg(F.sum(F.col("v") * F.col("wy") * F.col("wx")).alias("v")).select(key, F.col("ty").alias("y"), F.col("tx").alias("x"), "c", "v")
+
+
+def _cells(low: Column, high: Column, target: float, weight) -> Column:
+    """(t, w) of target cells from low to high, within the target, that weigh anything."""
+    places = F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.lit(target - 1)).cast("int"))
+    return F.filter(F.transform(places, lambda t: F.struct(t.alias("t"), weight(t).alias("w"))), lambda c: c["w"] > 1e-12)
 
 
-def overlaps(spark: SparkSession, source: int, target: int) -> DataFrame:
-    """(t, s, w): the share of target cell t that source cell s covers, along one side; source + target rows at most."""
+def area_cells(at: Column, source: Column, target: float) -> Column:
+    """The share of each target cell that a source cell covers."""
     edge = source / target
-    rows = [(t, s, (min((t + 1) * edge, s + 1) - max(t * edge, s)) / edge) for t in range(target) for s in range(int(t * edge), min(source, int(np.ceil((t + 1) * edge))))]
-    return spark.createDataFrame([r for r in rows if r[2] > 1e-12], "t int, s int, w double")
+    weight = lambda t: (F.least((t + 1) * edge, at + 1) - F.greatest(t * edge, at)) / edge
+    return _cells(F.floor(at / edge) - 1, F.ceil((at + 1) / edge), target, weight)
 
 
-def resize_area(pixels: DataFrame, size: tuple[int, int], target: tuple[int, int], key: str = "vec_id") -> DataFrame:
-    """Area averaging of (height, width) images to a smaller size; v is a double."""
-    spark = pixels.sparkSession
-    sides = [overlaps(spark, a, b).toDF(f"t{c}", c, f"w{c}") for a, b, c in zip(size, target, ("y", "x"), strict=True)]
-    rows = pixels.join(F.broadcast(sides[0]), "y").join(F.broadcast(sides[1]), "x")
-    return rows.groupBy(key, "ty", "tx", "c").agg(F.sum(F.col("v") * F.col("wy") * F.col("wx")).alias("v")).select(key, F.col("ty").alias("y"), F.col("tx").alias("x"), "c", "v")
+def bilinear_cells(at: Column, source: Column, target: float) -> Column:
+    """What a source cell weighs in the target cells whose centre is near it: half-pixel centres, clamped at the borders."""
+    centre = lambda t: F.least(F.greatest((t + 0.5) * source / target - 0.5, F.lit(0.0)), source - 1)
+    low, high = F.floor((at - 0.5) * target / source - 0.5) - 1, F.ceil((at + 1.5) * target / source - 0.5) + 1
+    return _cells(F.when(at == 0, 0).otherwise(low), F.when(at == source - 1, target - 1).otherwise(high), target, lambda t: 1 - F.abs(centre(t) - at))
 
 
-def bilinear_map(spark: SparkSession, source: int, target: int) -> DataFrame:
-    """(t, s, w): the two source cells of each target cell, half-pixel centres, clamped at the borders."""
-    rows = {}
-    for t in range(target):
-        at = min(max((t + 0.5) * source / target - 0.5, 0.0), source - 1.0)
-        low = int(at)
-        for s, w in ((low, 1 - (at - low)), (min(low + 1, source - 1), at - low)):
-            rows[t, s] = rows.get((t, s), 0.0) + w
-    return spark.createDataFrame([(t, s, w) for (t, s), w in rows.items() if w > 0], "t int, s int, w double")
+def resize_area(pixels: DataFrame, target: tuple[int, int], key: str = "vec_id") -> DataFrame:
+    """Area averaging of images to (height, width); v is a double."""
+    return _resized(pixels, target, key, area_cells)
 
 
-def resize_bilinear(pixels: DataFrame, size: tuple[int, int], target: tuple[int, int], key: str = "vec_id") -> DataFrame:
-    spark = pixels.sparkSession
-    sides = [bilinear_map(spark, a, b).toDF(f"t{c}", c, f"w{c}") for a, b, c in zip(size, target, ("y", "x"), strict=True)]
-    rows = pixels.join(F.broadcast(sides[0]), "y").join(F.broadcast(sides[1]), "x")
-    return rows.groupBy(key, "ty", "tx", "c").agg(F.sum(F.col("v") * F.col("wy") * F.col("wx")).alias("v")).select(key, F.col("ty").alias("y"), F.col("tx").alias("x"), "c", "v")
+def resize_bilinear(pixels: DataFrame, target: tuple[int, int], key: str = "vec_id") -> DataFrame:
+    return _resized(pixels, target, key, bilinear_cells)
+
+
+def median3(pixels: DataFrame, key: str = "vec_id") -> DataFrame:
+    """3 x 3 median per channel with the border repeated. An image's pixels meet once, and it is filtered whole; one that lacks pixels raises."""
+    fields = pixels.select(key, "y", "x", "c", "v").schema
 
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            parts, ends = lists.flatten(), np.cumsum(np.r_[0, np.diff(lists.offsets.to_numpy())])
+            c, y, x, v = (parts.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            out = np.empty_like(v)
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                shape = (c[a:b].max() + 1, y[a:b].max() + 1, x[a:b].max() + 1)
+                if np.prod(shape) != b - a:
+                    raise ValueError(f"an image of {shape} has {b - a} pixels")
+                out[a:b] = median(v[a:b].reshape(shape).transpose(1, 2, 0)).transpose(2, 0, 1).ravel()
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(lists)), np.diff(ends))))
+            yield pa.RecordBatch.from_arrays([keys, parts.field(1), parts.field(2), parts.field(0), pa.array(out, parts.field(3).type)], names=[key, "y", "x", "c", "v"])
 
-def median3(pixels: DataFrame, size: tuple[int, int], key: str = "vec_id") -> DataFrame:
-    """3 x 3 median per channel with the border repeated. Each pixel is sent to the targets whose window holds it, once for each time it counts."""
-    height, width = size
+    images = pixels.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("c", "y", "x", "v"))).alias("p"))
+    return images.select(key, "p").mapInArrow(run, fields)
 
-    def targets(at, last):
-        """The 9-window places that see row (or column) `at`: its neighbours, and at a border itself once more."""
-        near = F.array(at - 1, at, at + 1)
-        inside = F.filter(near, lambda t: (t >= 0) & (t <= last))
-        again = F.when(F.lit(last) == 0, F.array(at, at)).when((at == 0) | (at == last), F.array(at)).otherwise(F.array().cast("array<int>"))
-        return F.concat(inside, again)
 
-    rows = pixels.withColumn("ty", F.explode(targets(F.col("y"), height - 1))).withColumn("tx", F.explode(targets(F.col("x"), width - 1)))
-    middle = F.sort_array(F.collect_list("v"))
-    return rows.groupBy(key, "ty", "tx", "c").agg(F.element_at(middle, 5).alias("v")).select(key, F.col("ty").alias("y"), F.col("tx").alias("x"), "c", "v")
+def median(image: np.ndarray) -> np.ndarray:
+    """The 3 x 3 median of an [H, W, C] array, the border repeated."""
+    padded = np.pad(image, ((1, 1), (1, 1), (0, 0)), mode="edge")
+    near = [padded[i : i + image.shape[0], j : j + image.shape[1]] for i in range(3) for j in range(3)]
+    return np.partition(np.stack(near), 4, axis=0)[4]
 
 
 def kernel(image: np.ndarray, target: tuple[int, int] | None = None, channels: str = "gray", denoise: bool = True) -> np.ndarray:
@@ -107,22 +138,29 @@ def kernel(image: np.ndarray, target: tuple[int, int] | None = None, channels: s
             sides.append(np.clip(np.minimum(high, cells + 1) - np.maximum(low, cells), 0, None) * b / a)
         x = np.einsum("ty,sx,yxc->tsc", sides[0], sides[1], x.astype(np.float64))
         x = np.floor(x + (0.5 + SLACK)).astype(np.int64)
-    if denoise:
-        padded = np.pad(x, ((1, 1), (1, 1), (0, 0)), mode="edge")
-        x = np.median(np.stack([padded[i : i + x.shape[0], j : j + x.shape[1]] for i in range(3) for j in range(3)]), axis=0).astype(np.int64)
-    return x
-
-
-def preprocess(images: DataFrame, target: tuple[int, int] | None = (512, 512), channels: str = "gray", denoise: bool = True) -> DataFrame:
-    """decoded images (path, height, width, channels, dtype, data), each through the kernels in its own task; no shuffle."""
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                x = kernel(np.asarray(r.data).reshape(r.height, r.width, r.channels).astype(r.dtype), target, channels, denoise)
-                out.append((r.path, *x.shape, r.dtype, x.reshape(-1).tolist()))
-            yield pd.DataFrame(out, columns=["path", "height", "width", "channels", "dtype", "data"])
+    return median(x) if denoise else x
+
+
+def preprocess(images: DataFrame, target: tuple[int, int] | None = (512, 512), channels: str = "gray", denoise: bool = True, transform=None) -> DataFrame:
+    """decoded images (path, height, width, channels, dtype, data), each through the kernels in its own task; no shuffle.
+
+    transform: a function of an [H, W, C] array to such an array, applied last.
+    """
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+
+    def run(batches):
+        for batch in batches:
+            lists, dtypes = batch.column(5), batch.column(4).to_pylist()
+            ends, data = lists.offsets.to_numpy(), lists.values.to_numpy()
+            shapes, out = [], []
+            for i, (h, w, c) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                x = kernel(data[ends[i] : ends[i + 1]].reshape(h, w, c).astype(dtypes[i]), target, channels, denoise)
+                x = transform(x) if transform else x
+                shapes.append(x.shape)
+                out.append(x.reshape(-1).astype(np.int32))
+            flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
+            columns = [batch.column(0), *([s[k] for s in shapes] for k in range(3)), dtypes]
+            yield pa.RecordBatch.from_arrays([*(c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), flat], names=["path", "height", "width", "channels", "dtype", "data"])
 
     schema = "path string, height int, width int, channels int, dtype string, data array<int>"
-    return images.select("path", "height", "width", "channels", "dtype", "data").mapInPandas(run, schema)
+    return images.select("path", "height", "width", "channels", "dtype", "data").mapInArrow(run, schema)

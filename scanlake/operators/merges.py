@@ -20,11 +20,17 @@ def with_labels(files: DataFrame, labels: DataFrame, key: str, default: int | No
     return joined if default is None else joined.withColumn("label", F.coalesce("label", F.lit(default)))
 
 
-def in_split(index: DataFrame, split: str) -> DataFrame:
-    """Rows of a split: by its column, or where that is blank by the path; slashes are normalised."""
+def in_split(index: DataFrame, split: str, empty: str = "raise") -> DataFrame:
+    """Rows of a split: by its column, or where that is blank by the path; slashes are normalised.
+
+    empty: "raise" where the split has no rows, or "allow".
+    """
     own = names.normalized_split(F.col("split"))
     fixed = index.withColumn("filepath", names.normalized(F.col("filepath")))
-    return fixed.filter((own == split) | ((own == "") & F.col("filepath").contains(f"images/{split}/")))
+    rows = fixed.filter((own == split) | ((own == "") & F.col("filepath").contains(f"images/{split}/")))
+    if empty == "raise" and rows.isEmpty():
+        raise ValueError(f"no rows in split {split}")
+    return rows
 
 
 def matched(df: DataFrame, images: DataFrame, path: Column, name: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,15 +13,21 @@ def check_ratios(*ratios: float) -> None:
         raise ValueError(f"ratios must sum to 1, got {sum(ratios)}")
 
 
+#: Rows of a bucket of seeded_rank, about, which one task sorts.
+BUCKET = 1 << 20
+
+
 def seeded_rank(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """df with `rank`, its place (from 1) in the order of md5(seed:key), ties by key, and `total`, the number of rows.
 
-    Rows are ranked in 256 buckets of their hash; a bucket starts after the rows of those before it. Null keys come last.
+    Rows are ranked in buckets by the first digits of their hash, so many that a bucket holds about BUCKET rows; a bucket starts after the
+    rows of those before it. Null keys come last, in a bucket of their own.
     """
-    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("_b", F.coalesce(F.substring("_h", 1, 2), F.lit("~")))
+    digits = max(2, math.ceil(math.log(max(1, df.count() / BUCKET), 16)))
+    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("_b", F.coalesce(F.substring("_h", 1, digits), F.lit("~")))
     sizes = hashed.groupBy("_b").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 257 rows.
+    # A row for about BUCKET rows of df, and at most 16 times as many.
     starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("total"))
     own = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
     return hashed.join(F.broadcast(starts), "_b").withColumn("rank", (F.col("_start") + own).cast("long")).drop("_h", "_b", "_start")
@@ -54,3 +62,46 @@ def holdout(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
 
 def minibatches(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
     return seeded_rank(df, key, seed).withColumn("batch", F.floor((F.col("rank") - 1) / F.lit(size)).cast("long"))
+
+
+def ranked_within(df: DataFrame, key: str, order: Column, *ties: str) -> DataFrame:
+    """df with `i`, the place (from 1) of a row among those of its key by order (a column that coarsens what ties sort by) and ties; and `n`, their number.
+
+    A key's rows are ranked in the parts that `order` makes of them, so that one key of very many rows is not the work of one task.
+    """
+    parts = df.withColumn("_part", order)
+    sizes = parts.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    of_key = Window.partitionBy(key)
+    before = F.sum("_n").over(of_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), F.coalesce(before, F.lit(0)).alias("_start"), F.sum("_n").over(of_key).alias("n"))
+    own = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*ties))
+    joined = parts.withColumn("_own", own).join(starts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_part").eqNullSafe(F.col("_of")))
+    return joined.withColumn("i", (F.col("_start") + F.col("_own")).cast("long")).drop("_part", "_own", "_key", "_of", "_start")
+
+
+def exact_median(df: DataFrame, column: str, bins: int = 1024) -> float | None:
+    """The median of a column of doubles (mean of the two middle values), without sorting all of it; nulls and NaN are left out.
+
+    Rows are counted in equal bins, of which at most two hold the middle; these are cut again until they hold few values.
+    """
+    rows = df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    n, lo, hi = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    wanted, found = [(n - 1) // 2, n // 2], []
+    for place in wanted:
+        low, high, skipped = lo, hi, 0
+        while low < high:
+            part = rows.filter(F.col("v").between(low, high))
+            if part.limit(bins + 1).count() <= bins:
+                low = high = sorted(r.v for r in part.collect())[place - skipped]
+                break
+            at = F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1)).alias("bin")
+            counts = part.groupBy(at).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("bin").collect()
+            for r in counts:
+                if skipped + r["n"] > place:
+                    low, high = r["low"], r["high"]
+                    break
+                skipped += r["n"]
+        found.append(low)
+    return sum(found) / 2

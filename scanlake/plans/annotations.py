@@ -40,7 +40,8 @@ def nested_tasks(spark, sf_dir):
 
 def written_tasks(spark, sf_dir):
     path = new_folder(spark, "tasks")
-    nested_tasks(spark, sf_dir).write.json(path)
+    tasks = nested_tasks(spark, sf_dir).groupBy(F.floor(F.col("task") / 100)).agg(F.collect_list(F.struct("task", "data", "annotations")).alias("tasks"))
+    T.write_documents(tasks, path, F.col("tasks"))
     return T.annotation_tasks(spark, path, "task long")
 
 

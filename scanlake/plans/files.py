@@ -14,27 +14,39 @@ from scanlake.sources import tables as T
 from scanlake.sources.work import new_folder
 
 
-@query()
+def png_folder(spark, sf_dir):
+    """A folder in the shared place with a PNG file for each row of embeddings."""
+    path = new_folder(spark, "png")
+    S.write_files(S.encoded(as_images(spark, sf_dir)), path).count()
+    return path
+
+
+def image_path():
+    """The path of a scanned file as the table of images has it."""
+    return F.concat(F.lit("/images/"), names.basename(F.col("path"))).alias("path")
+
+
+@query("select concat('/images/', lpad(cast(vec_id as string), 9, '0'), '.png') as path, true as has_bytes from embeddings")
 def scan_image_files(spark, sf_dir):
-    """The files of a folder by suffix, in order of their path; contents stay unread. The tables' own files stand for images."""
-    found = S.scan_files(spark, sf_dir, (".parquet",))
-    return found.select(F.regexp_extract("path", "([^/]+(/part-[^/]+)?)$", 1).alias("file"), "length").orderBy("file")
+    """The image files of a folder, by suffix, in order of their path; contents stay unread."""
+    found = S.scan_files(spark, png_folder(spark, sf_dir), names.FINALIZE_EXTENSIONS)
+    return found.select(image_path(), (F.col("length") > 0).alias("has_bytes")).orderBy("path")
 
 
 @query(
     f"with {X.F5}, {X.GRAY} select concat('/images/', lpad(cast(vec_id as string), 9, '0'), '.png') as path, 8 as width, 8 as height, 1 as channels, 'uint8' as dtype, sum(v)::bigint as total, sum(v*(y*8+x+1))::bigint as place from gray group by vec_id"
 )
 def scan_image_decoded(spark, sf_dir):
-    """PNG files made of the embeddings, decoded; checksums of their pixels."""
-    out = S.decoded(S.encoded(as_images(spark, sf_dir)))
+    """PNG files made of the embeddings, read from their folder and decoded; checksums of their pixels."""
+    out = S.pixels_of_8_bits(spark, png_folder(spark, sf_dir)).withColumn("path", image_path())
     rows = out.select("path", "width", "height", "channels", "dtype", F.posexplode("data").alias("p", "v"))
     return rows.groupBy("path", "width", "height", "channels", "dtype").agg(F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("p") + 1)).alias("place"))
 
 
 @query("select concat('/images/', lpad(cast(vec_id as string), 9, '0'), '.png') as path, 8 as width, 8 as height, 1 as channels, 'uint8' as dtype from embeddings")
 def image_attributes(spark, sf_dir):
-    """Size, channels and depth from the headers of PNG files."""
-    return S.encoded(as_images(spark, sf_dir)).select("path", *S.header(F.col("content")))
+    """Size, channels and depth from the headers of PNG files in a folder."""
+    return S.scan_files(spark, png_folder(spark, sf_dir), (".png",), content=True).select(image_path(), *S.header(F.col("content")))
 
 
 @query(with_f1("select filename, toxic as has_contraband from f1 join labels using (doc_id)"))
@@ -62,16 +74,17 @@ def scan_label_json(spark, sf_dir):
     listed = rows.filter("pos % 2 = 0").groupBy("doc").agg(F.to_json(F.collect_list(F.struct("image", "no_contraband", "isolated_items", "empty"))).alias("value"))
     key = F.concat(F.lit("images\\train\\"), F.col("image"))
     mapped = rows.filter("pos % 2 = 1").groupBy("doc").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, "isolated_items")))).alias("value"))
-    # One document a file: the number of partitions is that of the documents, each of 50 rows.
-    both = listed.select("value").union(mapped.select("value"))
-    both.repartition(max(1, both.count())).sortWithinPartitions("value").write.option("maxRecordsPerFile", 1).text(path)
+    # One document a file, many files a task.
+    listed.select("value").union(mapped.select("value")).write.option("maxRecordsPerFile", 1).text(path)
     return T.label_json(spark, path, labels.rule_empty)
 
 
 @query(f"with {X.F1}, {X.F2} select image, no_contraband, isolated_items, empty from f2")
 def scan_label_list(spark, sf_dir):
+    """Label files as tools write them, indented arrays of 500 rows at most, read with one schema."""
     path = new_folder(spark, "labels")
-    X.flags(spark, sf_dir).drop("pos").write.json(path)
+    rows = X.flags(spark, sf_dir).groupBy(F.floor(F.col("pos") / 500)).agg(F.collect_list(F.struct("image", "no_contraband", "isolated_items", "empty")).alias("rows"))
+    T.write_documents(rows, path, F.col("rows"))
     return T.label_list(spark, path).select("image", "no_contraband", "isolated_items", "empty")
 
 
@@ -89,9 +102,8 @@ def scan_coco(spark, sf_dir):
         F.collect_list(F.struct("id", "image_id", "category_id")).alias("annotations"),
     )
     path = new_folder(spark, "coco")
-    documents.drop("doc").write.json(path)
-    schema = "images array<struct<id long, file_name string>>, categories array<struct<id int, name string>>, annotations array<struct<id long, image_id long, category_id int>>"
-    found, _, marks = coco_relations(spark.read.schema(schema).json(path))
+    T.write_documents(documents, path, F.struct("images", "categories", "annotations"))
+    found, _, marks = coco_relations(T.coco_documents(spark, path))
     rows = marks.join(found.select(F.col("id").alias("image_id")), "image_id")
     return rows.groupBy("image_id").agg(F.count("*").alias("n_annotations"), F.max("id").alias("last_annotation"))
 
@@ -102,7 +114,7 @@ def manifest_counts(spark, sf_dir):
     path = new_folder(spark, "manifest")
     rows = table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / 500))
     parts = rows.groupBy("part").agg(F.collect_set("source").alias("labels"), F.collect_list(F.col("doc_id").cast("string")).alias("samples"))
-    parts.select("labels", "samples").write.json(path)
+    T.write_documents(parts, path, F.struct("labels", "samples"))
     read = T.manifest(spark, path)
     labels = read.select(F.explode("labels").alias("l")).agg(F.countDistinct("l").alias("n_labels"))
     return labels.crossJoin(read.agg(F.sum(F.size("samples")).alias("n_samples")))
@@ -133,7 +145,7 @@ def write_labels(spark, sf_dir):
     path = new_folder(spark, "labels")
     rows = X.files(spark, sf_dir).filter(names.has_extension(F.col("path"), names.LABEL_EXTENSIONS))
     rows.select(F.col("filename").alias("image"), F.lit(1).alias("no_contraband"), F.lit(0).alias("isolated_items"), F.lit(1).alias("empty")).sort("image").write.json(path)
-    return T.label_list(spark, path).select("image", "no_contraband", "isolated_items", "empty")
+    return T.label_list(spark, path, lines=True).select("image", "no_contraband", "isolated_items", "empty")
 
 
 def media(spark, sf_dir):
@@ -162,14 +174,13 @@ def save_or_load_dataset(spark, sf_dir):
     return T.save_or_load(spark, path, lambda: table(spark, sf_dir, "labels")).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query(f"select split, count(*) as n_files from (select {X.SPLIT} as split, doc_id from documents) t where split <> 'val' or doc_id%20 = 0 group by split")
+@query(f"select split, count(*) as n_files from (select {X.SPLIT} as split, doc_id from documents) t where split = 'train' or (split = 'val' and doc_id%20 = 0) group by split")
 def rebuild_dataset(spark, sf_dir):
-    """Writing a split again replaces that split and leaves the others."""
+    """Building a dataset again empties every split first: val shrinks, and test, which has no rows any more, goes."""
     path = new_folder(spark, "dataset")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(X.SPLIT).alias("split"))
-    rows.write.partitionBy("split").parquet(path)
-    again = rows.filter("split = 'val' and doc_id % 20 = 0")
-    again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split").parquet(path)
+    T.rebuild(rows, path, "split")
+    T.rebuild(rows.filter("split = 'train' or (split = 'val' and doc_id % 20 = 0)"), path, "split")
     return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n_files"))
 
 
@@ -192,11 +203,8 @@ def export_dataset(spark, sf_dir):
     return read.select("doc_id", F.coalesce(listed, F.lit("")).alias("labels"), F.coalesce(F.size("det"), F.lit(0)).cast("long").alias("n_detections"))
 
 
-@query("select count(*) as n_files, sum(strlen(text))::bigint as n_bytes, sum(('0x' || substr(md5(text), 1, 8))::bigint)::bigint as digest from documents")
+@query(f"select count(*) as n_files, sum(strlen(text))::bigint as n_bytes, {X.digest_sql('text')} as digest from documents")
 def dataset_fingerprint(spark, sf_dir):
-    """Files, bytes and a digest that no order changes: the sum of the files' own digests, so no list of them is gathered."""
+    """Files, bytes and a digest that no order changes: two sums over the files' whole hashes, so no list of them is gathered."""
     text = F.col("text").cast("binary")
-    part = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n_files"), F.sum(F.octet_length(text)).cast("long").alias("n_bytes"), F.sum(part).alias("digest"))
-
-
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n_files"), F.sum(F.octet_length(text)).cast("long").alias("n_bytes"), X.digest(text).alias("digest"))

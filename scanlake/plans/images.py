@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scanlake import fixtures as X
 from scanlake.operators import images as I
-from scanlake.registry import query
+from scanlake.registry import query, table
 
 
 @query(f"with {X.F5}, {X.COLOR} select vec_id, y, x, cast(floor((sum(v*case c when 0 then 114 when 1 then 587 else 299 end)+500)/1000.0) as int) as v from color group by vec_id, y, x")
@@ -34,7 +34,7 @@ def overlap_sql(target: int) -> str:
 
 @query(f"with {X.F5}, {X.GRAY}, {overlap_sql(3)} select vec_id, cast(wy.t as int) as y, cast(wx.t as int) as x, round(sum(v*wy.w*wx.w), 6) as v from gray join w wy on wy.s=y join w wx on wx.s=x group by 1, 2, 3")
 def resize_area(spark, sf_dir):
-    out = I.resize_area(X.pixels(spark, sf_dir), (8, 8), (3, 3))
+    out = I.resize_area(X.pixels(spark, sf_dir), (3, 3))
     return out.select("vec_id", "y", "x", F.round("v", 6).alias("v"))
 
 
@@ -43,7 +43,7 @@ def resize_area(spark, sf_dir):
  join gray m on m.vec_id=g.vec_id and m.y=least(greatest(g.y+a.d,0),7) and m.x=least(greatest(g.x+b.d,0),7)) select vec_id, y, x, cast(median(v) as int) as v from n group by vec_id, y, x"""
 )
 def median_denoise(spark, sf_dir):
-    return I.median3(X.pixels(spark, sf_dir), (8, 8)).select("vec_id", "y", "x", "v")
+    return I.median3(X.pixels(spark, sf_dir)).select("vec_id", "y", "x", "v")
 
 
 BILINEAR = """b as (select t, s, sum(w) as w from (select t, cast(floor(a) as int) as s, 1-(a-floor(a)) as w from q union all select t, cast(least(floor(a)+1, {last}) as int), a-floor(a) from q) u group by t, s having sum(w) > 0),"""
@@ -56,7 +56,7 @@ def bilinear_sql(source: int, target: int) -> str:
 
 @query(f"with {X.F5}, {X.GRAY}, {bilinear_sql(8, 5)} r as (select vec_id, by1.t as y, bx.t as x, sum(v*by1.w*bx.w) as v from gray join b by1 on by1.s=y join b bx on bx.s=x group by 1, 2, 3) select vec_id, cast(y as int) as y, cast(x as int) as x, round(v, 5) as v from r")
 def resize_bilinear(spark, sf_dir):
-    out = I.resize_bilinear(X.pixels(spark, sf_dir), (8, 8), (5, 5))
+    out = I.resize_bilinear(X.pixels(spark, sf_dir), (5, 5))
     return out.select("vec_id", "y", "x", F.round("v", 5).alias("v"))
 
 
@@ -70,10 +70,16 @@ def standardize(spark, sf_dir):
     return X.pixels(spark, sf_dir).select("vec_id", "y", "x", F.round((F.col("v") / 255 - 0.5) / 0.5, 6).alias("v"))
 
 
-def features(spark, sf_dir):
-    """vec_id, values: an image's pixels in order, scaled to [0, 1]."""
-    rows = X.pixels(spark, sf_dir).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
-    return rows.select("vec_id", F.transform("p", lambda s: s["v"] / 255).alias("values"))
+def levels(embedding):
+    """An image's 64 gray values in order, from the components of a vector; a vector of another length raises."""
+    values = F.transform(embedding.cast("array<double>"), lambda v: F.floor((v + 1) * 127.5).cast("int"))
+    return F.when(F.size(embedding) == 64, values).otherwise(F.raise_error(F.lit("an image has 64 components")))
+
+
+def features(spark, sf_dir, *more):
+    """vec_id, values (an image's pixels in order, scaled to [0, 1]) and the columns named in more; nothing is shuffled."""
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", F.transform(levels(F.col("embedding")), lambda v: v / 255).alias("values"), *more)
 
 
 @query(f"with {X.F5}, {X.GRAY} select vec_id, count(*) as size, round(max(case when y=0 and x=0 then v/255.0 end), 6)::double as first, round(max(case when y=7 and x=7 then v/255.0 end), 6)::double as last from gray group by vec_id")
@@ -84,9 +90,27 @@ def image_features(spark, sf_dir):
 
 def as_images(spark, sf_dir):
     """8 x 8 gray images: path, height, width, channels, dtype, data."""
-    rows = X.pixels(spark, sf_dir).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
     path = F.concat(F.lit("/images/"), F.lpad(F.col("vec_id").cast("string"), 9, "0"), F.lit(".png"))
-    return rows.select(path.alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.lit("uint8").alias("dtype"), F.transform("p", lambda s: s["v"]).alias("data"))
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select(path.alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.lit("uint8").alias("dtype"), levels(F.col("embedding")).alias("data"))
+
+
+MIXED = """mixed as (select vec_id, case when vec_id%2=0 then 8 else 4 end as h, case when vec_id%2=0 then 8 else 16 end as w, p, cast(floor((v+1)*case when vec_id%3=0 then 32767.5 else 127.5 end) as int) as v, vec_id%3=0 as deep from px),
+ ends as (select vec_id, min(v) as lo, max(v) as hi from mixed group by vec_id),
+ flat as (select vec_id, h, w, cast(floor(p/w::double) as int) as y, cast(p%w as int) as x, case when deep then cast(floor((v-lo)/(hi-lo+1e-6::double)*65535) as int) else v end as v from mixed join ends using (vec_id))"""
+
+
+@query(
+    f"""with {X.F5}, {MIXED}, k as (select unnest(range(3)) as t),
+ c as (select vec_id, ky.t as y, kx.t as x, v, (least((ky.t+1)*h/3.0::double, y+1) - greatest(ky.t*h/3.0::double, y))/(h/3.0::double) as wy, (least((kx.t+1)*w/3.0::double, x+1) - greatest(kx.t*w/3.0::double, x))/(w/3.0::double) as wx from flat cross join k ky cross join k kx)
+ select vec_id, cast(y as int) as y, cast(x as int) as x, round(sum(v*wy*wx), 4) as v from c where wy > 1e-12 and wx > 1e-12 group by 1, 2, 3"""
+)
+def resize_mixed_images(spark, sf_dir):
+    """Images of two sizes (8 x 8 and 4 x 16) and two depths in one table: 16-bit values stretched, then all resized to 3 x 3 by area."""
+    deep, width = F.col("vec_id") % 3 == 0, F.when(F.col("vec_id") % 2 == 0, 8).otherwise(16)
+    value = F.floor((F.col("v") + 1) * F.when(deep, 32767.5).otherwise(127.5)).cast("int")
+    rows = X.components(spark, sf_dir).select("vec_id", F.floor(F.col("p") / width).cast("int").alias("y"), (F.col("p") % width).alias("x"), F.lit(0).alias("c"), value.alias("v"), F.when(deep, "uint16").otherwise("uint8").alias("dtype"))
+    return I.resize_area(I.normalize_depth(rows), (3, 3)).select("vec_id", "y", "x", F.round("v", 4).alias("v"))
 
 
 @query(
@@ -130,4 +154,4 @@ def activation_map(spark, sf_dir):
 @query(f"with {HEAT}, {bilinear_sql(4, 8)} r as (select vec_id, by1.t as y, bx.t as x, sum(v*by1.w*bx.w) as v from ht join b by1 on by1.s=y join b bx on bx.s=x group by 1, 2, 3) select vec_id, cast(y as int) as y, cast(x as int) as x, round(v, 5) as v from r")
 def activation_map_upsample(spark, sf_dir):
     rows = heat(activations(spark, sf_dir)).withColumn("c", F.lit(0))
-    return I.resize_bilinear(rows, (4, 4), (8, 8)).select("vec_id", "y", "x", F.round("v", 5).alias("v"))
+    return I.resize_bilinear(rows, (8, 8)).select("vec_id", "y", "x", F.round("v", 5).alias("v"))

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from scanlake.operators import models
 from scanlake.plans.images import features
-from scanlake.registry import query, table
+from scanlake.registry import query
 
 
 def labelled(spark, sf_dir):
     """vec_id, path, values, label (two classes)."""
-    rows = features(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).cast("double").alias("label")), "vec_id")
+    rows = features(spark, sf_dir, (F.col("label") % 2).cast("double").alias("label"))
     return rows.withColumn("path", F.concat(F.lit("/images/"), F.col("vec_id").cast("string"), F.lit(".png")))
 
 
@@ -45,4 +45,4 @@ def score_images(spark, sf_dir):
 def score_one_image(spark, sf_dir):
     """The same for one path; the filter reaches the scan before any vector is built."""
     rows = labelled(spark, sf_dir)
-    return models.score(models.fit_classifier(rows), rows.filter("vec_id = 7"), "vec_id", "path", "label")
+    return models.score(models.fit_classifier(rows), rows.filter("path = '/images/7.png'"), "vec_id", "path", "label")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scanlake import fixtures as X
@@ -100,8 +99,7 @@ def assign_minibatches(spark, sf_dir):
 @query("select user_id, event_id, i from (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as i, count(*) over (partition by user_id) as n from events) t where i%10=0 or i=n")
 def sample_every_nth_or_last(spark, sf_dir):
     """Every tenth row of a user, and the last one."""
-    own = Window.partitionBy("user_id")
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(own.orderBy("ts", "event_id")).cast("long").alias("i"), F.count("*").over(own).alias("n"))
+    rows = ranks.ranked_within(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", F.date_trunc("day", "ts"), "ts", "event_id")
     return rows.filter("i % 10 = 0 or i = n").select("user_id", "event_id", "i")
 
 
@@ -127,14 +125,30 @@ def split_counts(spark, sf_dir):
     return every.join(counts, "split", "left").select("split", F.coalesce("n_files", F.lit(0)).alias("n_files"))
 
 
+MANIFEST = f"""{X.F1}, ranked as (select doc_id, r, {cut_sql(f"(select doc_id, {RANK} as r, count(*) over () as n from documents) t", "round_even(n*0.8::double, 0)", "round_even(n*0.1::double, 0)")})"""
+
+
+def manifest_rows(spark, sf_dir):
+    """doc_id, rank, split, group_id: the lists of a split manifest, as rows."""
+    rows = ranks.split_rows(documents(spark, sf_dir), "doc_id", (0.8, 0.1, 0.1), "round")
+    return rows.join(X.files(spark, sf_dir).select("doc_id", names.group_id(F.col("filename")).alias("group_id")), "doc_id")
+
+
 @query(
-    f"""with p as (select split, count(*) as n_files, min(doc_id) as first_doc, max(doc_id) as last_doc, md5(string_agg(cast(doc_id as string), ',' order by doc_id)) as files_md5
- from (select doc_id, {cut_sql(f"(select doc_id, {RANK} as r, count(*) over () as n from documents) t", "round_even(n*0.8::double, 0)", "round_even(n*0.1::double, 0)")}) t group by split)
- select *, 42 as seed, 'tag' as dataset_tag from p"""
+    f"""with {MANIFEST} select split, count(*) as n_files, count(distinct {GROUP_SQL}) as n_groups, min(doc_id) as first_doc, max(doc_id) as last_doc, {X.digest_sql("cast(doc_id as string)")} as files_digest,
+ case split when 'train' then 0.8 else 0.1 end::double as ratio, 42 as seed, 'tag' as dataset_tag, 'by image' as grouping from ranked join f1 using (doc_id) group by split"""
 )
 def split_manifest(spark, sf_dir):
-    """A row for each split: seed, tag, count and a digest of its file list; the lists themselves stay rows."""
-    rows = ranks.split_rows(documents(spark, sf_dir), "doc_id", (0.8, 0.1, 0.1), "round")
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda i: i.cast("string")), ",")
-    out = rows.groupBy("split").agg(F.count("*").alias("n_files"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.md5(listed).alias("files_md5"))
-    return out.withColumns({"seed": F.lit(42), "dataset_tag": F.lit("tag")})
+    """A row for each split: seed, tag, ratio, grouping, counts and a digest of its files, which are rows of split_manifest_files."""
+    rows = manifest_rows(spark, sf_dir)
+    out = rows.groupBy("split").agg(
+        F.count("*").alias("n_files"), F.countDistinct("group_id").alias("n_groups"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), X.digest(F.col("doc_id").cast("string")).alias("files_digest")
+    )
+    ratio = F.when(F.col("split") == "train", 0.8).otherwise(0.1)
+    return out.withColumns({"ratio": ratio, "seed": F.lit(42), "dataset_tag": F.lit("tag"), "grouping": F.lit("by image")})
+
+
+@query(f"with {MANIFEST} select split, r as place, doc_id, {GROUP_SQL} as group_id from ranked join f1 using (doc_id)")
+def split_manifest_files(spark, sf_dir):
+    """The file lists of the manifest: split, place in the seeded order, file and group."""
+    return manifest_rows(spark, sf_dir).select("split", F.col("rank").alias("place"), "doc_id", "group_id")

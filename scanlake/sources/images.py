@@ -1,4 +1,8 @@
-"""Image files: scans that read no bytes they do not need, headers, and decoding of 8- and 16-bit PNG."""
+"""Image files: scans that read no bytes they do not need, headers, and pixels.
+
+Files of 8 bits (PNG, JPEG, BMP) are decoded by Spark's own image source. PNG files of 16 bits, which it does not read, have the small
+decoder here; palettes, interlaced files and TIFF are not read and raise, or give rows of nulls if asked to.
+"""
 
 from __future__ import annotations
 
@@ -17,18 +21,52 @@ CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 DECODED = "path string, height int, width int, channels int, dtype string, data array<int>"
 
 
-def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...], recursive: bool = True) -> DataFrame:
-    """path, length of files by lowercased suffix; contents are not read."""
+def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...], recursive: bool = True, content: bool = False) -> DataFrame:
+    """path, length of files by lowercased suffix; contents are read if asked for. Raises where there is no such file."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    return rows.select("path", "length").filter(names.has_extension(F.col("path"), extensions))
+    found = rows.select("path", "length", *(["content"] if content else [])).filter(names.has_extension(F.col("path"), extensions))
+    if found.select("path").isEmpty():
+        raise ValueError(f"no files with {', '.join(extensions)} in {root}")
+    return found
+
+
+def pixels_of_8_bits(spark: SparkSession, root: str) -> DataFrame:
+    """Images by Spark's image source: path, height, width, channels (blue, green, red), dtype, data as unsigned bytes; what is no image is left out."""
+    rows = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root).select("image.*")
+    raw = F.hex("data")
+    value = F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") * F.col("nChannels") - 1), lambda i: F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    return rows.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), F.lit("uint8").alias("dtype"), value.alias("data"))
+
+
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """Write files(path, content), each under its path in root, a folder that all executors share; returns their paths, written.
+
+    A task that runs again writes the same files again.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                to = f"{folder.rstrip('/')}/{path.lstrip('/')}"
+                store.create_dir(to.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(to) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    return files.select("path", "content").mapInArrow(run, "path string")
 
 
 def header(content: Column) -> list[Column]:
-    """width, height, channels, dtype from a PNG's header, without decoding."""
-    number = lambda at, n: F.conv(F.hex(F.substring(content, at, n)), 16, 10).cast("int")
+    """width, height, channels, dtype from a PNG's header, without decoding; nulls where the signature is not that of a PNG."""
+    is_png = F.substring(content, 1, 8) == F.lit(SIGNATURE)
+    number = lambda at, n: F.when(is_png, F.conv(F.hex(F.substring(content, at, n)), 16, 10).cast("int"))
     kind = number(26, 1)
     channels = F.when(kind == 0, 1).when(kind == 2, 3).when(kind == 4, 2).when(kind == 6, 4)
-    return [number(17, 4).alias("width"), number(21, 4).alias("height"), channels.alias("channels"), F.when(number(25, 1) == 16, "uint16").otherwise("uint8").alias("dtype")]
+    dtype = F.when(number(25, 1) == 16, "uint16").when(is_png, "uint8")
+    return [number(17, 4).alias("width"), number(21, 4).alias("height"), channels.alias("channels"), dtype.alias("dtype")]
 
 
 def encode_png(pixels: np.ndarray) -> bytes:

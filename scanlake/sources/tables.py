@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.functions import names
+from scanlake.functions import labels, names
 from scanlake.operators.annotations import TASK
 
 #: One nullable schema for all stages' label lists.
@@ -36,35 +36,63 @@ def index_csv(spark: SparkSession, path: str) -> DataFrame:
     return require_rows(require(spark.read.csv(path, header=True), "filepath"), "index rows")
 
 
-def label_list(spark: SparkSession, path: str, missing: str = "raise") -> DataFrame:
-    """A label list (JSON array or lines). missing: "raise", or "empty" for no rows where the file is absent."""
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """JSON documents (one value or array a file, indented or not), or one value a line; what does not parse raises when it is read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", str(not lines).lower()).json(path)
+
+
+def label_list(spark: SparkSession, path: str, missing: str = "raise", lines: bool = False) -> DataFrame:
+    """A label list, as a JSON array or as lines. missing: "raise", or "empty" for no rows where the file is absent."""
     try:
-        return spark.read.schema(LABEL_LIST).json(path, multiLine=False)
+        return read_json(spark, path, LABEL_LIST, lines)
     except Exception as error:
         if missing == "empty" and "PATH_NOT_FOUND" in str(error):
             return spark.createDataFrame([], LABEL_LIST)
         raise
 
 
-def label_json(spark: SparkSession, path: str, rule) -> DataFrame:
-    """image, class_id from JSON texts that are lists of label rows (by rule) or objects of path to class (by base name)."""
-    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
-    bad = text.filter(~F.col("value").rlike(r"^[\[{]"))
-    if not bad.isEmpty():
-        raise ValueError("labels must be a JSON list or object")
-    listed = text.filter(F.col("value").startswith("[")).select(F.explode(F.from_json("value", f"array<struct<{LABEL_LIST.replace(' ', ':').replace(',:', ',')}>>")).alias("r")).select("r.*")
-    mapped = text.filter(F.col("value").startswith("{")).select(F.explode(F.from_json("value", "map<string,int>")).alias("path", "class_id"))
-    return listed.select("image", rule().alias("class_id")).unionByName(mapped.select(names.basename(names.normalized(F.col("path"))).alias("image"), "class_id"))
+def _parsed(schema: str):
+    """The JSON text in `value` by schema; raises with the file's path where it does not parse."""
+    return F.coalesce(F.from_json("value", schema), F.raise_error(F.concat(F.lit("broken labels in "), F.col("file"))))
+
+
+def label_json(spark: SparkSession, path: str, rule, on_bad: str = "raise") -> DataFrame:
+    """image, class_id from JSON texts that are lists of label rows (by rule) or objects of path to class (by base name).
 
+    A text that is neither, or does not parse, raises with its path. on_bad: what happens to rows whose flags contradict each other (the rule
+    gives no class): "raise", or "keep" for rows with a null class, to be set aside by labels.consistent.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"), F.input_file_name().alias("file"))
+    other = F.raise_error(F.concat(F.lit("labels must be a JSON list or object: "), F.col("file")))
+    text = text.withColumn("value", F.when(F.col("value").rlike(r"^[\[{]"), F.col("value")).otherwise(other))
+    rows = f"array<struct<{LABEL_LIST.replace(' ', ':').replace(',:', ',')}>>"
+    listed = text.filter(F.col("value").startswith("[")).select(F.explode(_parsed(rows)).alias("r")).select("r.*")
+    mapped = text.filter(F.col("value").startswith("{")).select(F.explode(_parsed("map<string,int>")).alias("path", "class_id"))
+    classed = labels.consistent(listed, rule, on_bad)[0]
+    return classed.select("image", "class_id").unionByName(mapped.select(names.basename(names.normalized(F.col("path"))).alias("image"), "class_id"))
 
-def annotation_tasks(spark: SparkSession, path: str, more: str = "") -> DataFrame:
-    """Tasks with an image; value of a result stays JSON text."""
+
+def annotation_tasks(spark: SparkSession, path: str, more: str = "", lines: bool = False) -> DataFrame:
+    """Tasks with an image, from export documents or lines; value of a result stays JSON text."""
     schema = ", ".join(filter(None, (more, TASK)))
-    return spark.read.schema(schema).json(path).filter("data.image is not null")
+    return read_json(spark, path, schema, lines).filter("data.image is not null")
+
+
+def manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return read_json(spark, path, "labels array<string>, samples array<string>", lines)
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("labels array<string>, samples array<string>").json(path)
+COCO = "images array<struct<id long, file_name string>>, categories array<struct<id int, name string>>, annotations array<struct<id long, image_id long, category_id int>>"
+
+
+def coco_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return read_json(spark, path, COCO, lines)
+
+
+def write_documents(df: DataFrame, path: str, value: Column) -> None:
+    """A file for each row of df, holding the indented JSON of value."""
+    text = df.select(F.to_json(value, {"pretty": "true"}).alias("value"))
+    text.write.option("maxRecordsPerFile", 1).text(path)
 
 
 def write_index(df: DataFrame, path: str, *columns: str) -> None:
@@ -81,3 +109,8 @@ def save_or_load(spark: SparkSession, path: str, build, overwrite: bool = False)
             raise
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def rebuild(df: DataFrame, path: str, *folders: str) -> None:
+    """Write df in folders; every folder of an earlier version goes first, those that df has no rows for as well."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*folders).parquet(path)

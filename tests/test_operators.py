@@ -141,13 +141,131 @@ def test_filtered_png_rows():
 
 
 def test_pixel_table_equals_kernel(spark):
-    picture8 = picture(4, (6, 9), np.uint8)
-    rows = [(1, y, x, 0, int(v)) for (y, x), v in np.ndenumerate(picture8)]
+    """Images of several sizes in one table, each as the kernel has it."""
+    pictures = {1: picture(4, (6, 9), np.uint8), 2: picture(5, (3, 4), np.uint8), 3: picture(6, (7, 5), np.uint8), 4: picture(7, (1, 1), np.uint8)}
+    rows = [(k, y, x, 0, int(v)) for k, p in pictures.items() for (y, x), v in np.ndenumerate(p)]
+    df = spark.createDataFrame(rows, "vec_id int, y int, x int, c int, v int").repartition(3)
+    small = images.resize_area(df, (3, 4)).withColumn("v", images.whole(F.col("v")))
+    got = {(r.vec_id, r.y, r.x): r.v for r in images.median3(small).collect()}
+    want = {k: images.kernel(p[:, :, None], (3, 4)) for k, p in pictures.items()}
+    assert got == {(k, y, x): int(w[y, x, 0]) for k, w in want.items() for y in range(3) for x in range(4)}
+    alone = {(r.vec_id, r.y, r.x): r.v for r in images.median3(df).collect()}
+    assert alone == {(k, y, x): int(v) for k, p in pictures.items() for (y, x, _), v in np.ndenumerate(images.median(p[:, :, None]))}
+    with pytest.raises(Exception, match="pixels"):
+        images.median3(df.filter("not (vec_id = 1 and y = 2 and x = 2)")).collect()
+
+
+def test_bilinear_cells_of_any_size(spark):
+    for source, target in ((8, 5), (4, 8), (1, 3), (7, 7), (3, 11), (9, 2)):
+        line = np.arange(source) ** 2 + 1.0
+        df = spark.createDataFrame([(1, 0, x, 0, float(v)) for x, v in enumerate(line)], "vec_id int, y int, x int, c int, v double")
+        got = {r.x: r.v for r in images.resize_bilinear(df, (1, target)).collect()}
+        at = np.clip((np.arange(target) + 0.5) * source / target - 0.5, 0, source - 1)
+        assert np.allclose([got[t] for t in range(target)], np.interp(at, np.arange(source), line))
+
+
+def test_color_and_depth_pass_through(spark):
+    rows = [(1, 0, 0, 0, 5), *[(2, 0, 0, c, 10 + c) for c in range(3)]]
     df = spark.createDataFrame(rows, "vec_id int, y int, x int, c int, v int")
-    small = images.resize_area(df, (6, 9), (3, 4)).withColumn("v", images.whole(F.col("v")))
-    got = {(r.y, r.x): r.v for r in images.median3(small, (3, 4)).collect()}
-    want = images.kernel(picture8[:, :, None], (3, 4))
-    assert got == {(y, x): int(want[y, x, 0]) for y in range(3) for x in range(4)}
+    assert sorted((r.vec_id, r.c, r.v) for r in images.to_color(df).collect()) == [(1, 0, 5), (1, 1, 5), (1, 2, 5), (2, 0, 10), (2, 1, 11), (2, 2, 12)]
+    depth = spark.createDataFrame([(1, 0, 0, 0, 7, "uint8"), (2, 0, 0, 0, 0, "uint16"), (2, 0, 1, 0, 9, "uint16")], "vec_id int, y int, x int, c int, v int, dtype string")
+    assert sorted((r.vec_id, r.x, r.v) for r in images.normalize_depth(depth).collect()) == [(1, 0, 7), (2, 0, 0), (2, 1, 65534)]
+
+
+def test_preprocess_applies_a_transform(spark):
+    df = spark.createDataFrame([("a", 2, 2, 1, "uint8", [1, 2, 3, 4]), ("b", 1, 3, 1, "uint8", [5, 6, 7])], "path string, height int, width int, channels int, dtype string, data array<int>")
+    got = {r.path: (r.height, r.width, r.data) for r in images.preprocess(df, None, denoise=False, transform=lambda x: x[:, ::-1] * 2).collect()}
+    assert got == {"a": (2, 2, [4, 2, 8, 6]), "b": (1, 3, [14, 12, 10])}
+
+
+def test_files_are_written_and_scanned(spark, tmp_path):
+    root = str(tmp_path / "png")
+    eight, sixteen = picture(1, (4, 6), np.uint8), picture(2, (5, 3), np.uint16)
+    df = spark.createDataFrame([("/in/a.png", files.encode_png(eight)), ("/in/b.png", files.encode_png(sixteen)), ("/c.txt", b"text")], "path string, content binary")
+    assert files.write_files(df, root).count() == 3
+    with pytest.raises(ValueError, match="no files"):
+        files.scan_files(spark, root, (".bmp",))
+    found = files.scan_files(spark, root, (".png", ".txt"), content=True)
+    heads = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.channels, r.dtype) for r in found.select("path", *files.header(F.col("content"))).collect()}
+    assert heads == {"a.png": (6, 4, 1, "uint8"), "b.png": (3, 5, 1, "uint16"), "c.txt": (None, None, None, None)}
+    by_source = {r.path.rsplit("/", 1)[1]: r for r in files.pixels_of_8_bits(spark, root).collect()}
+    assert by_source["a.png"].data == eight.ravel().tolist() and by_source["a.png"].height == 4
+    decoded = {r.path.rsplit("/", 1)[1]: r.data for r in files.decoded(found, on_bad="null").collect()}
+    assert decoded["b.png"] == sixteen.ravel().tolist() and decoded["c.txt"] is None
+
+
+INDENTED = """[
+    {
+        "image": "a.png",
+        "no_contraband": 1,
+        "isolated_items": 0,
+        "empty": 1
+    },
+    {
+        "image": "b.png",
+        "no_contraband": 1,
+        "isolated_items": 1,
+        "overlapping_items": 0,
+        "empty": 0
+    }
+]
+"""
+
+
+def test_indented_documents(spark, tmp_path):
+    (tmp_path / "val.json").write_text(INDENTED)
+    (tmp_path / "cut.json").write_text(INDENTED[:180])
+    got = tables.label_list(spark, str(tmp_path / "val.json")).collect()
+    assert [(r.image, r.isolated_items, r.overlapping_items) for r in got] == [("a.png", 0, None), ("b.png", 1, 0)]
+    assert [(r.image, r.class_id) for r in tables.label_json(spark, str(tmp_path / "val.json"), labels.rule_combo).collect()] == [("a.png", 0), ("b.png", 1)]
+    for read in (lambda p: tables.label_list(spark, p), lambda p: tables.label_json(spark, p, labels.rule_empty)):
+        with pytest.raises(Exception, match="(?i)malformed|broken labels in .*cut.json"):
+            read(str(tmp_path / "cut.json")).collect()
+    (tmp_path / "tasks.json").write_text('[\n {"id": 1, "data": {"image": "/x/a.png"},\n "annotations": [{"result": []}]},\n {"id": 2, "data": {}}\n]')
+    assert tables.annotation_tasks(spark, str(tmp_path / "tasks.json"), "id long").count() == 1
+    (tmp_path / "manifest.json").write_text('{\n "labels": ["x", "y"],\n "samples": ["1"]\n}')
+    assert tables.manifest(spark, str(tmp_path / "manifest.json")).first().labels == ["x", "y"]
+    (tmp_path / "coco.json").write_text('{\n "images": [{"id": 1, "file_name": "a"}],\n "categories": [],\n "annotations": [\n {"id": 5, "image_id": 1, "category_id": 2}]\n}')
+    assert tables.coco_documents(spark, str(tmp_path / "coco.json")).first().annotations[0].category_id == 2
+    (tmp_path / "lines.json").write_text('{"image": "a.png", "empty": 1}\n{"image": "b.png"}\n')
+    assert tables.label_list(spark, str(tmp_path / "lines.json"), lines=True).count() == 2
+
+
+def test_contradicting_labels(spark):
+    rows = spark.createDataFrame([("a", 1, 0, 1), ("b", 1, 1, 1)], "image string, no_contraband int, isolated_items int, empty int")
+    good, bad = labels.consistent(rows, labels.rule_combo, "quarantine")
+    assert [r.image for r in good.collect()] == ["a"] and [r.image for r in bad.collect()] == ["b"]
+    with pytest.raises(Exception, match="inconsistent labels"):
+        labels.consistent(rows, labels.rule_combo)[0].collect()
+
+
+def test_empty_split_raises(spark):
+    index = spark.createDataFrame([("images/val/a.png", "val")], "filepath string, split string")
+    assert merges.in_split(index, "val").count() == 1 and merges.in_split(index, "test", empty="allow").count() == 0
+    with pytest.raises(ValueError, match="split test"):
+        merges.in_split(index, "test")
+
+
+def test_exact_median_and_ranks_within(spark):
+    rnd = np.random.default_rng(8)
+    for values in ([3.0], [1.0, 2.0], [5.0] * 9, list(rnd.random(2001)), [*rnd.random(3000), 1e9, -1e9], [1.0] * 50 + [2.0] * 50):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        assert ranks.exact_median(df, "v", bins=16) == np.median(values)
+    assert ranks.exact_median(spark.createDataFrame([], "v double"), "v") is None
+    rows = [(int(u), int(t)) for u, t in zip([7] * 500 + list(rnd.integers(0, 5, 100)), rnd.permutation(600), strict=True)]
+    got = ranks.ranked_within(spark.createDataFrame(rows, "u int, t int"), "u", F.floor(F.col("t") / 50), "t").collect()
+    order = {}
+    for u, t in sorted(rows):
+        order.setdefault(u, []).append(t)
+    assert all(order[r.u][r.i - 1] == r.t and r.n == len(order[r.u]) for r in got) and len(got) == 600
+
+
+def test_rank_buckets_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "BUCKET", 1)
+    df = spark.range(700).withColumnRenamed("id", "k")
+    many = {r.k: r["rank"] for r in ranks.seeded_rank(df, "k").collect()}
+    monkeypatch.setattr(ranks, "BUCKET", 1 << 20)
+    assert many == {r.k: r["rank"] for r in ranks.seeded_rank(df, "k").collect()} and sorted(many.values()) == list(range(1, 701))
 
 
 def test_readers_guard(spark, tmp_path):
@@ -158,8 +276,8 @@ def test_readers_guard(spark, tmp_path):
         tables.metadata_csv(spark, str(tmp_path / "m.csv"))
     with pytest.raises(ValueError, match="index"):
         tables.index_csv(spark, str(tmp_path / "e.csv"))
-    with pytest.raises(ValueError, match="list or object"):
-        tables.label_json(spark, str(tmp_path / "l.json"), labels.rule_empty)
+    with pytest.raises(Exception, match="list or object"):
+        tables.label_json(spark, str(tmp_path / "l.json"), labels.rule_empty).collect()
     assert tables.label_list(spark, str(tmp_path / "none.json"), missing="empty").count() == 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         tables.label_list(spark, str(tmp_path / "none.json"))
