@@ -225,9 +225,11 @@ def _several(state: DataFrame) -> DataFrame:
 
 
 def links(entries: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """From entries(key, id), bucket members: links (a, b) of at least percent / 100 that connect all that any link in a bucket connects."""
+    """From distinct entries(key, id), bucket members: links (a, b) of at least percent / 100 that connect all that any link in a bucket connects."""
     entries = written(entries, "entries")
-    buckets = written(entries.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).filter("centre < last").select("key", "centre"), "buckets")
+    # Buckets with the same members are one: near copies share most of their bands.
+    buckets = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre"), F.bit_xor(F.xxhash64("id")).alias("members")).filter("n > 1")
+    buckets = written(buckets.groupBy("n", "centre", "members").agg(F.min("key").alias("key")).select("key", "centre"), "buckets")
     state = written(entries.join(buckets, "key"), "members").withColumn("component", F.col("id"))
     # The texts of bucket members alone; they are read several times.
     whole = written(texts(docs, F.col("doc_id").cast("long").alias("id")).join(state.select("id").distinct(), "id", "left_semi"), "texts")
@@ -248,6 +250,7 @@ def links(entries: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
         state = written(_several(state), "undecided")
         if state.isEmpty():
             return found
+        whole = written(whole.join(state.select("id").distinct(), "id", "left_semi"), "texts")
     return found.union(_by_prefix(written(state.select("id", "component").distinct(), "left"), whole, percent))
 
 
@@ -261,7 +264,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     rows = written(described(docs), "described")
     classes = written(rows.filter("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     members = written(rows.join(classes, ["s1", "s2"]).select("doc_id", "rep", "n_shingles", "keys"), "members")
-    entries = members.filter("doc_id = rep").select(F.explode("keys").alias("key"), F.col("rep").alias("id")).distinct()
+    entries = members.filter("doc_id = rep").select("keys", "rep").distinct().select(F.explode("keys").alias("key"), F.col("rep").alias("id"))
     edges = links(entries, docs, percent)
     # A doc_id with different texts joins the classes of all of them.
     double = members.groupBy("doc_id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).filter("r0 < r1").select(F.col("r0").alias("a"), F.col("r1").alias("b"))
