@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from scanlake.llm import recurrent
 from scanlake.llm.common import batch_of, mix, slices, written
+from scanlake.llm.words import bytes_of, word_hashes_of, words_of
 
 WORDS, TAIL, DISCOUNT = 4096, 64, 0.6
 TOKENS, PAIRS, SHARD_TOKENS, RATE = 1 << 21, 1 << 20, 1 << 22, 0.02
@@ -47,13 +48,6 @@ SYMBOLS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("hel
 SYMBOLS_SQL = "block long, ids array<long>, held array<boolean>, lengths array<int>, symbols binary, once binary, base array<double>, rare array<double>, known array<long>"
 
 
-def bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word begins in the bytes of an Arrow array of words, and the end; and the bytes."""
-    ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-    data = words.buffers()[2]
-    return ends - ends[0], np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
-
-
 def tail_classes(words: pa.Array) -> np.ndarray:
     ends, data = bytes_of(words)
     data = np.r_[data, np.zeros(2, np.uint8)].astype(np.int64)
@@ -63,31 +57,11 @@ def tail_classes(words: pa.Array) -> np.ndarray:
 
 def in_buckets(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of words by their bucket, and where each bucket begins and ends in it. Equal words have equal buckets."""
-    ends, data = bytes_of(words)
-    size = np.diff(ends)
-    powers = np.cumprod(np.full(int(size.max(initial=0)) + 1, 0xD1342543DE82EF95, dtype=np.uint64), dtype=np.uint64)
-    sums = np.r_[np.uint64(0), np.cumsum((data + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(ends[:-1], size)], dtype=np.uint64)]
-    of = mix(sums[ends[1:]] - sums[ends[:-1]]) % np.uint64(buckets)
+    of = word_hashes_of(words) % np.uint64(buckets)
     order = np.argsort(of, kind="stable")
     return order, np.searchsorted(of[order], np.arange(buckets + 1, dtype=np.uint64))
 
 
-def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of texts in lower case, and an empty word at the end of each text; and how many there are in each."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
-    # What stands at either end of a text is an empty piece if there is white space, and so is a text without words.
-    words, doc = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    some = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-    words, doc = words.filter(pa.array(some)), doc[some]
-    words = pa.concat_arrays([words, pa.array([""], words.type)])
-    lengths = np.bincount(doc, minlength=len(lists)) + 1
-    at = np.full(lengths.sum(), len(words) - 1)
-    inside = np.ones(len(at), dtype=bool)
-    inside[np.cumsum(lengths) - 1] = False
-    at[inside] = np.arange(len(words) - 1)
-    return words.take(pa.array(at)), lengths
-
-
 def packed(rows: DataFrame) -> DataFrame:
     """Blocks of whole documents as numbers, with the training counts of their words; numbered by partition, so a retry gives the same."""
 

@@ -63,8 +63,8 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mixed(documents(spark, sf_dir), MIX, MIX_SHARE)
-    return mixed.select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
+    mixed = mixing.mixed(documents(spark, sf_dir), MIX, MIX_SHARE, public_tokenizers.path("piece_bpe_32k.model"))
+    return mixed.select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("off", 6).alias("off"), F.round("probability", 6).alias("probability"), "kept")
 
 
 def op10_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

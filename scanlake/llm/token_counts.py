@@ -1,7 +1,8 @@
 """Token counts (operator 1): a map-side lookup in two tiers.
 
 Tier one is a bounded table of frequent pre-tokens and their token counts, broadcast once. Tier two is a cache in each
-Python worker that the sentencepiece library fills on a miss. Texts stay in their partition and no pre-token is shuffled.
+Python worker that the sentencepiece library fills on a miss. Texts stay in their partition and no pre-token is shuffled. Some texts are
+taken together: their pre-tokens are numbered by Arrow, and each distinct one is looked up once.
 
 A pre-token starts at a run of spaces or at a line feed. No piece of the vocabulary has a space after another character
 and none has a line feed, so no merge crosses these places and counts add up; `check_pieces` refuses other models.
@@ -9,10 +10,11 @@ and none has a line feed, so no merge crosses these places and counts add up; `c
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,6 @@ from scanlake.llm.common import CACHE, batch_of, slices
 
 #: How sentencepiece writes a space.
 SPACE = "▁"
-PRE_TOKEN = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
 
 _processors: dict = {}
 
@@ -56,30 +57,65 @@ class Counts(dict):
         self[key] = n
         return n
 
-    def of(self, text: str) -> int:
-        return sum(map(self.__getitem__, PRE_TOKEN.findall(SPACE + text.replace(" ", SPACE)))) if text else 0
+    def of(self, texts: pa.Array) -> np.ndarray:
+        """The tokens of each text."""
+        pieces, doc = pre_tokens(texts)
+        found = pieces.dictionary_encode()
+        distinct = pc.replace_substring(found.dictionary, " ", SPACE).to_pylist()
+        n = np.fromiter(map(self.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        return np.bincount(doc, weights=n[found.indices.to_numpy()], minlength=len(texts)).astype(np.int64) if len(doc) else np.zeros(len(texts), dtype=np.int64)
+
+
+def pre_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pre-tokens of texts, each text with a space before it, and the text that each belongs to. Null and empty texts have none."""
+    some = np.flatnonzero(pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0).to_numpy(zero_copy_only=False))
+    if not len(some):
+        return pa.array([], pa.string()), some
+    # The mark that the library writes for a space counts as one in a text as well.
+    spaced = pc.replace_substring(pc.binary_join_element_wise("", texts.take(pa.array(some)), " "), SPACE, " ")
+    ends = np.frombuffer(spaced.buffers()[1], dtype=np.int32)[spaced.offset : spaced.offset + len(spaced) + 1]
+    data = np.frombuffer(spaced.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+    first = np.zeros(len(data), dtype=bool)
+    first[ends[:-1] - ends[0]] = True
+    is_space = data == 32
+    at = np.flatnonzero(first | (data == 10) | (is_space & ~np.r_[False, is_space[:-1]]))
+    cuts = np.r_[at, len(data)].astype(np.int32)
+    doc = some[np.cumsum(first[at]) - 1]
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(cuts), pa.py_buffer(data)), doc
+
+
+#: Texts of a batch that are cut together.
+TOGETHER = 64
 
 
 def frequent_pre_tokens(docs: DataFrame, model: str, entries: int = 65_536, sample_rows: int = 8_192, longest: int = 32) -> dict[str, int]:
-    """The table of tier one: at most `entries` pre-tokens of at most `longest` characters, from about `sample_rows` rows.
+    """The table of tier one: at most `entries` pre-tokens of at most `longest` bytes, from about `sample_rows` rows, counted within tasks first.
 
     The sample only decides what is looked up fast; counts are the same with any table, so the bound holds at any size.
     """
 
     def count(batches):
         seen: Counter = Counter()
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                seen.update(k for k in PRE_TOKEN.findall(SPACE + text.replace(" ", SPACE)) if len(k) <= longest)
-                if len(seen) > 16 * entries:
-                    seen = Counter(dict(seen.most_common(4 * entries)))
-        top, counts = [k for k, _ in seen.most_common(entries)], Counts(model, {})
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array([counts[k] for k in top], pa.int32())], names=["k", "n"])
+        for batch in slices(batches, TOGETHER):
+            pieces, _ = pre_tokens(batch.column(0))
+            found = pc.value_counts(pieces.filter(pc.less_equal(pc.binary_length(pieces), longest)))
+            seen.update(dict(zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True)))
+            if len(seen) > 16 * entries:
+                seen = Counter(dict(seen.most_common(4 * entries)))
+        top = seen.most_common(2 * entries)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["k", "seen"])
+
+    def counted(batches):
+        counts = Counts(model, {})
+        for batch in batches:
+            keys = pc.replace_substring(batch.column(0), " ", SPACE).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[k] for k in keys], pa.int32())], names=["k", "n"])
 
     rows = docs.select("text").filter("text is not null and text <> ''")
     share = min(1.0, sample_rows / max(1, docs.count()))
     rows = rows.sample(share, seed=1) if share < 1 else rows
-    return dict(map(tuple, rows.repartition(1).mapInArrow(count, "k string, n int").collect()))
+    top = rows.mapInArrow(count, "k string, seen long").groupBy("k").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "k").limit(entries)
+    return dict(map(tuple, top.select("k").mapInArrow(counted, "k string, n int").collect()))
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = 4096, frequent: dict[str, int] | None = None) -> DataFrame:
@@ -93,8 +129,8 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, frequent: dict[
 
     def run(batches):
         counts = Counts(model, table.value)
-        for batch in slices(batches):
-            yield batch_of(schema, batch.column(0), batch.column(2), [counts.of(t) for t in batch.column(1).to_pylist()])
+        for batch in slices(batches, TOGETHER):
+            yield batch_of(schema, batch.column(0), batch.column(2), counts.of(batch.column(1)))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))

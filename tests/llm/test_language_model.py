@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from scanlake.llm import language_model as M
-from scanlake.llm import recurrent
+from scanlake.llm import recurrent, words
 
 
 def brute(rows):
@@ -109,14 +109,14 @@ def test_models_are_averaged_in_a_tree(spark):
 
 def test_words_are_those_of_the_contract():
     texts = [None, "", " \t\n ", "One two", " a\x0bB\x0cc\r\n", "x\x1cy\u00a0z \u00c4B"]
-    words, lengths = M.words_of(pa.array(texts, pa.string()))
+    found, lengths = words.words_of(pa.array(texts, pa.string()))
     want = [[*(t or "").encode().lower().split(), b""] for t in texts]
-    assert lengths.tolist() == [len(w) for w in want] and words.cast(pa.binary()).to_pylist() == sum(want, [])
+    assert lengths.tolist() == [len(w) for w in want] and found.cast(pa.binary()).to_pylist() == sum(want, [])
 
 
 def test_buckets_keep_equal_words_together():
-    words = pa.array(["", "a", "b", "ab", "ba", "a", "", "\u00e4" * 70, "ab"])
-    for part in (words, words[3:]):
+    every = pa.array(["", "a", "b", "ab", "ba", "a", "", "\u00e4" * 70, "ab"])
+    for part in (every, every[3:]):
         order, ends = M.in_buckets(part, 4)
         of = {i: k for k in range(4) for i in order[ends[k] : ends[k + 1]]}
         assert sorted(of) == list(range(len(part)))

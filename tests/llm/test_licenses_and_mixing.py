@@ -2,12 +2,17 @@ import collections
 import textwrap
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from scanlake.llm import license_scan as L
 from scanlake.llm import mixing as M
 
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def found(spark, *texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -46,7 +51,7 @@ def test_license_edges(spark, edge_docs, no_docs):
 @pytest.fixture(scope="module")
 def mixed(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return M.mixed(docs, {"source": 0.5, "lang": 0.5, "topic": 0.5}, 0.5).collect()
+    return M.mixed(docs, {"source": 0.5, "lang": 0.5, "topic": 0.5}, 0.5, MODEL).collect()
 
 
 def test_weights_equal_plain_fitting(mixed):
@@ -94,18 +99,47 @@ def test_expected_tokens(mixed):
 
 
 def test_mixing_edges(spark, edge_docs, no_docs):
-    got = M.mixed(edge_docs, {"source": 0.5, "lang": 0.5, "topic": 0.5}, 0.9).collect()
+    got = M.mixed(edge_docs, {"source": 0.5, "lang": 0.5, "topic": 0.5}, 0.9, MODEL).collect()
     assert len(got) == edge_docs.count()
     assert all(r.kept and r.topic == "empty" for r in got if r.row.doc_id in (1, 2, 3))
     assert len({r.kept for r in got if r.row.doc_id == 5}) == 1
-    assert M.mixed(no_docs, {"source": 0.5, "topic": 0.5}, 0.5).count() == 0
-
-
-def test_topics(spark):
-    texts = [None, "", "a | b | c | d", "a### b$$$ " * 20, "12 345 67 word " * 20, "word " * 10, "word " * 200]
-    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("topic", M.topic())
-    assert [r.topic for r in df.collect()] == ["empty", "empty", "table", "symbols", "figures", "notes", "prose"]
-    assert df.select(M.tokens().alias("n")).agg(F.sum("n")).first()[0] == 7 + 40 + 80 + 10 + 200
+    assert M.mixed(no_docs, {"source": 0.5, "topic": 0.5}, 0.5, MODEL).count() == 0
+
+
+def test_masses_are_tokens_of_the_library(mixed):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert all(r.n_tokens == len(library.encode(r.row.text or "")) for r in mixed[::7])
+    assert all(r.off <= M.TOLERANCE for r in mixed if r.n_tokens)
+
+
+def test_topics_of_unseen_texts(spark, monkeypatch):
+    """Three vocabularies: topics fitted on a third of the texts tell the vocabularies of the others apart."""
+    rnd = np.random.default_rng(5)
+    kind = rnd.integers(0, 3, 300)
+    texts = [" ".join(f"{'abc'[k]}{i}" for i in rnd.integers(0, 80, rnd.integers(20, 90))) for k in kind]
+    vectors = M.word_vectors(pa.array([*texts, None, "", " \n"]))
+    assert not vectors[300:].any()
+    monkeypatch.setattr(M, "TOPICS", 3)
+    weights, centres = M.fit_topics(vectors[:100])
+    found = (M.directions(vectors[100:300], weights) @ centres.T).argmax(axis=1)
+    assert len({(int(f), int(k)) for f, k in zip(found, kind[100:], strict=True)}) == 3
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate([*texts[:60], None])], "doc_id long, text string, topic string").repartition(3)
+    got = {r.row.doc_id: r for r in M.mixed(df, {"topic": 0.5}, 0.9, MODEL).collect()}
+    assert len({(r.topic, kind[i]) for i, r in got.items() if i < 60}) == 3 and got[60].topic == "empty" and got[5].row.topic == "s"
+    again = {r.row.doc_id: r.topic for r in M.mixed(df.coalesce(1), {"topic": 0.5}, 0.9, MODEL).collect()}
+    assert again == {i: r.topic for i, r in got.items()}
+
+
+def test_what_cannot_be_met_is_reported(spark):
+    """Cells without mass make these targets contradict each other."""
+    cells = spark.createDataFrame([("a", "x", 10), ("b", "y", 10)], "m string, n string, mass long")
+    targets = {"m": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "m string, share double"), "n": spark.createDataFrame([("x", 0.2), ("y", 0.8)], "n string, share double")}
+    for most in (100_000, 0):
+        M.IN_ONE_TASK, kept = most, M.IN_ONE_TASK
+        try:
+            assert all(r.off > 0.5 for r in M.raked(cells, targets, sweeps=3).collect())
+        finally:
+            M.IN_ONE_TASK = kept
 
 
 def test_wrapped_notices(spark):

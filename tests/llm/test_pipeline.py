@@ -1,8 +1,10 @@
+import hashlib
+
 import public_tokenizers
 import pytest
 
 import corpus_pipeline as P
-from scanlake.llm import byte_bpe
+from scanlake.llm import byte_bpe, mixing, toxicity
 from tests.llm.test_near_duplicates import brute as brute_near
 from tests.llm.test_substring_repeats import brute as brute_repeats
 
@@ -23,8 +25,10 @@ def test_columns(stages, spark, sf_dir):
     assert all(after.columns == columns for _, after in stages[:-1])
 
 
-def test_toxicity_drops_what_it_predicts(stages):
+def test_toxicity_drops_what_it_predicts(stages, spark, sf_dir):
     before, after = stages[0]
+    scores = toxicity.toxicity_scores(before, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()
+    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in scores if r.score < 0.5}
     assert 0.5 * before.count() < after.count() <= before.count()
     assert after.exceptAll(before).count() == 0
 
@@ -47,7 +51,13 @@ def test_repeats_are_cut(stages):
 
 
 def test_mixing_samples(stages):
+    """The documents that a plain draw by the cells' probabilities keeps."""
     before, after = stages[3]
+    rows = mixing.mixed(before, P.MIX, P.MIX_SHARE, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    draw = lambda i: int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:13], 16) / 16**13
+    assert {r.doc_id for r in after.collect()} == {r.row.doc_id for r in rows if draw(r.row.doc_id) < r.probability}
+    total = sum(r.n_tokens for r in rows)
+    assert abs(sum(r.n_tokens * r.probability for r in rows) - P.MIX_SHARE * total) < 0.01 * total
     assert after.exceptAll(before).count() == 0 and 0.5 * before.count() < after.count() <= before.count()
 
 
