@@ -39,12 +39,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and topics are flattened a little."""
-    return mixing.mixed(docs, MIX, MIX_SHARE).filter("kept").select("row.*")
+    """A sample whose sources, languages and topics are flattened a little; rows without tokens (null or empty text) stay, no rows give none."""
+    return mixing.mixed(docs, MIX, MIX_SHARE, public_tokenizers.path("piece_bpe_32k.model")).filter("kept").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and whether decoding gave the text back."""
+    """doc_id, lang, source, n_tokens, ids, and whether decoding gave the text back; null and empty texts have no ids, no rows give none."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode_documents(docs, ranks, pattern, "doc_id", "lang", "source", "text")
     decoded = byte_bpe.decode_documents(encoded, ranks, pattern)
