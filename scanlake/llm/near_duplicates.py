@@ -9,11 +9,12 @@
 5. What a star may have missed is found exactly. Jaccard distance is a metric, so a member over 0.5 away from the centre cannot
    link to one that the centre is linked to. Members that stay undecided, and lie in different components, get new centres, STARS times;
    each takes the ball of its links out of the bucket, so groups of near copies are closed here.
-6. The rest are bucket members that are alike but not enough, such as pages of one template. Of two sets of similarity 0.75 one
-   holds, among the rarest quarter of its shingles, a shingle that is in the other's rarest quarter too (prefix filter). Members meet by those
-   shingles alone, so what a template shares costs nothing. At most SMALL members of a shingle are compared as pairs; more, in
-   blocks of about BLOCK members, of which a task takes two and multiplies their membership matrices, and returns a spanning
-   forest of their links, never pairs.
+6. The rest are bucket members that are alike but not enough, such as pages of one template. At most SMALL members of a bucket are compared
+   as pairs; more, in blocks of about BLOCK members, of which a task takes two and multiplies their membership matrices, and
+   returns a spanning forest of their links, never pairs.
+7. Buckets of more than LARGE such members are cut up first, without loss: of two sets of similarity 0.75 one holds, among the rarest
+   quarter of its shingles, a shingle that is in the other's rarest quarter too (prefix filter). Their members meet by those shingles
+   in place of the bucket, so that what a template shares brings none of its pages together.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.llm.common import batch_of, mix, runs_hash, slices, texts, word_hashes, written
 from scanlake.llm.components import components
 
-WORDS, BANDS, ROWS, STARS, SMALL, BLOCK = 5, 32, 4, 4, 16, 384
+WORDS, BANDS, ROWS, STARS, SMALL, BLOCK, LARGE = 5, 32, 4, 2, 16, 384, 1536
 BINS = BANDS * ROWS
 #: Bins that an empty bin tries in turn before it takes the nearest filled one.
 TRIES = 2048
@@ -150,6 +151,17 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
         label = lower
 
 
+def told_apart(entries: DataFrame, *more: Column) -> DataFrame:
+    """(key, n, centre: the smallest id, and what more asks for) of keys with several members; of keys with the same members, one.
+
+    Near copies share most of their bands and rare shingles, so this leaves few keys. Members are told by their number, the smallest and a
+    64-bit sum of their hashes.
+    """
+    keys = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre"), F.bit_xor(F.xxhash64("id")).alias("members"), *more).filter("n > 1")
+    others = [c for c in keys.columns if c not in ("key", "n", "centre", "members")]
+    return keys.groupBy("n", "centre", "members").agg(F.min("key").alias("key"), *[F.min(c).alias(c) for c in others])
+
+
 def hashed_sets(whole: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, found): the shingle set of each text of the given ids."""
     schema = pa.schema([("id", pa.int64()), ("found", pa.list_(pa.int64()))])
@@ -177,7 +189,7 @@ def _in_blocks(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, id, size): the rarest shingles of each set, one of which two sets of at least percent / 100 share.
+    """(key, id): the rarest shingles of each set, one of which two sets of at least percent / 100 share.
 
     Two such sets share at least percent / 100 of either one's shingles; in any one order of all shingles, here by how many sets
     have them, the first (100 - percent) / 100 of each and one more meet. Shingles of one set alone come first and meet nothing.
@@ -187,20 +199,23 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     often = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     ordered = rows.join(often, "key").groupBy("id", "set", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("shared"))
     take = F.greatest(F.lit(0), F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1 - (F.col("size") - F.size("shared")))
-    return ordered.select("id", "size", F.explode(F.slice("shared", 1, take)).alias("p")).select(F.col("p.key").alias("key"), "id", "size")
-
-
-def _by_prefix(undecided: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """undecided(id, component): links (a, b) that connect all that links between different components connect."""
-    sets = written(hashed_sets(whole, undecided), "sets")
-    entries = prefixes(sets, percent).join(undecided, "id").groupBy("key", "id", "component").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    entries = written(entries, "prefixes")
-    sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
-    entries = written(entries.join(sizes.select("key", "n"), "key"), "prefixes")
+    return ordered.select("id", F.explode(F.slice("shared", 1, take)).alias("p")).select(F.col("p.key").alias("key"), "id")
+
+
+def _compared(state: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """state(key, id, component): links (a, b) that connect all that links between members of a key in different components connect."""
+    sizes = written(state.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+    large = state.join(sizes.filter(F.col("n") > LARGE).select("key"), "key")
+    state = state.join(sizes.filter(F.col("n") <= LARGE).select("key"), "key").select("key", "id", "component")
+    sets = written(hashed_sets(whole, state.union(large.select("key", "id", "component")).select("id").distinct()), "sets")
+    of_large = prefixes(sets.join(large.select("id").distinct(), "id", "left_semi"), percent)
+    by_shingle = of_large.join(large.select("id", "component").distinct(), "id").select("key", "id", "component").distinct()
+    entries = written(state.withColumn("by", F.lit(0)).union(by_shingle.withColumn("by", F.lit(1))).withColumn("key", F.xxhash64("by", "key")).drop("by"), "undecided")
+    several = [F.min("component").alias("c0"), F.max("component").alias("c1")]
+    entries = written(entries.join(told_apart(entries, *several).filter("c0 < c1").select("key", "n"), "key"), "undecided")
     small = entries.filter(F.col("n") <= SMALL)
-    one, other = (small.select("key", F.col("id").alias(c), *[F.col(x).alias(x + c) for x in ("component", "low", "high")]) for c in "ab")
-    alike = f"a < b and componenta <> componentb and 100 * highb >= {percent} * lowa and 100 * higha >= {percent} * lowb"
-    pairs = written(one.join(other, "key").filter(alike).select("a", "b").distinct(), "rest")
+    one, other = (small.select("key", F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    pairs = written(one.join(other, "key").filter("a < b and of_a <> of_b").select("a", "b").distinct(), "rest")
     more = similarities(pairs, whole).filter(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
     return more.union(_in_blocks(entries.filter(F.col("n") > SMALL).select("key", "id", "n"), sets, percent))
 
@@ -227,9 +242,7 @@ def _several(state: DataFrame) -> DataFrame:
 def links(entries: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     """From distinct entries(key, id), bucket members: links (a, b) of at least percent / 100 that connect all that any link in a bucket connects."""
     entries = written(entries, "entries")
-    # Buckets with the same members are one: near copies share most of their bands.
-    buckets = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre"), F.bit_xor(F.xxhash64("id")).alias("members")).filter("n > 1")
-    buckets = written(buckets.groupBy("n", "centre", "members").agg(F.min("key").alias("key")).select("key", "centre"), "buckets")
+    buckets = written(told_apart(entries).select("key", "centre"), "buckets")
     state = written(entries.join(buckets, "key"), "members").withColumn("component", F.col("id"))
     # The texts of bucket members alone; they are read several times.
     whole = written(texts(docs, F.col("doc_id").cast("long").alias("id")).join(state.select("id").distinct(), "id", "left_semi"), "texts")
@@ -251,7 +264,7 @@ def links(entries: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
         if state.isEmpty():
             return found
         whole = written(whole.join(state.select("id").distinct(), "id", "left_semi"), "texts")
-    return found.union(_by_prefix(written(state.select("id", "component").distinct(), "left"), whole, percent))
+    return found.union(_compared(state, whole, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

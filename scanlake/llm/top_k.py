@@ -5,6 +5,9 @@ index has, for each component, its rows in order of the integer component, cut i
 For a query, segments are processed by descending contribution (weight times largest impact) and added to accumulators.
 What a row can still gain is bounded by the next segment of each component. Processing stops when few rows can reach the
 k-th best score that is already proven, or no segment can add anything; those rows are scored exactly.
+
+Queries search one block first. The k-th score that each has found there is proven for all blocks: a query passes over a block whose
+bound does not reach it, and stops the sooner in the others.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanlake.llm.common import written
 from scanlake.llm.vectors import matrix, valid_vectors
 
 ROWS, QUERIES, LEVELS, ROUND = 16_384, 4_096, 6, 24
@@ -40,8 +44,8 @@ class Index:
         at = np.flatnonzero(np.r_[True, level[1:] != level[:-1]])
         return [(int(values[a]), order[a:b], values[a:b]) for a, b in zip(at, np.r_[at[1:], len(values)], strict=True)]
 
-    def search(self, query: np.ndarray, k: int, own: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and scores of the k best rows, own excepted; ties to the smaller id."""
+    def search(self, query: np.ndarray, k: int, own: int, ids: np.ndarray, proven: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and scores of the k best rows, own excepted; ties to the smaller id. Rows under a score that is proven may be left out."""
         n = len(self.x)
         total = np.zeros(n, dtype=np.int64)
         plan = []
@@ -53,7 +57,9 @@ class Index:
         for p in plan:
             following.setdefault(p[1], []).append(p[0])
         rest, done = sum(f[0] for f in following.values()), {d: 0 for d in following}
-        proven, possible = None, np.arange(n)
+        if proven is not None and rest < proven:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        possible = np.arange(n)
         for at in range(0, len(plan), ROUND):
             for most, d, _, weight, rows, values in plan[at : at + ROUND]:
                 total[rows] += weight * values
@@ -74,14 +80,20 @@ class Index:
         return possible[order], scores[order]
 
 
+def quantised(vectors, width: int) -> np.ndarray:
+    x = np.floor(256 * matrix(vectors, width))
+    if width and np.abs(x).max(initial=0) ** 2 * width >= 2.0**62:
+        raise ValueError("components are too large for scores of 64 bits")
+    return x.astype(np.int64)
+
+
 def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     width = max((len(v) // 8 for v in [*queries["vector"], *rows["vector"]]), default=0)
-    quantised = lambda t: np.floor(256 * matrix(t["vector"], width)).astype(np.int64)
-    q, ids, index = quantised(queries), rows["vec_id"].to_numpy(), Index(quantised(rows))
+    q, ids, index = quantised(queries["vector"], width), rows["vec_id"].to_numpy(), Index(quantised(rows["vector"], width))
     place = {v: i for i, v in enumerate(ids.tolist())}
     found = []
-    for query_id, query in zip(queries["vec_id"].tolist(), q, strict=True):
-        at, scores = index.search(query, k, place.get(query_id, -1), ids)
+    for query_id, query, proven in zip(queries["vec_id"].tolist(), q, queries["proven"], strict=True):
+        at, scores = index.search(query, k, place.get(query_id, -1), ids, None if pd.isna(proven) else int(proven))
         found.append((np.full(len(at), query_id), ids[at], scores))
     columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(3)]
     return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True))).astype("int64")
@@ -92,19 +104,30 @@ def top_k(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
 
     Ties go to the smaller vec_id; with fewer than k other rows all are returned. Rows whose vec_id or vector is null, or
     whose vector holds null or non-finite components, take no part; rows that repeat a vec_id count once; shorter vectors
-    count as zero beyond their end. Other columns are ignored; an empty table gives an empty result.
+    count as zero beyond their end. Other columns are ignored; an empty table gives an empty result. Scores are 64-bit integers:
+    components so large that a score might not fit (about 8 million at 64 components; more at fewer) raise.
     """
     vectors = valid_vectors(embeddings)
     total = embeddings.count()
     n_rows, n_queries = max(1, -(-total // ROWS)), max(1, -(-embeddings.filter(is_query).count() // QUERIES))
-    dealt = lambda n, other, own, to: [F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(to)]
-    rows = vectors.select("vec_id", "vector", *dealt(n_rows, n_queries, "block", "asked"))
-    queries = vectors.filter(is_query).select("vec_id", "vector", *dealt(n_queries, n_rows, "asked", "block"))
-    rows, queries = (t.select(F.col("block").cast("int"), F.col("asked").cast("int"), "vec_id", "vector") for t in (rows, queries))
+    rows = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)).cast("int").alias("block"), "vec_id", "vector")
+    queries = vectors.filter(is_query).select(F.pmod(F.xxhash64("vec_id"), F.lit(n_queries)).cast("int").alias("asked"), "vec_id", "vector")
 
     def searched(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         return search_block(asked, block, k)
 
-    found = queries.groupBy("block", "asked").cogroup(rows.groupBy("block", "asked")).applyInPandas(searched, "query_id long, vec_id long, score long")
+    def search(queries: DataFrame, first: int, last: int) -> DataFrame:
+        """Queries (asked, vec_id, vector, proven) in the blocks from first to last."""
+        each = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b)))
+        asked = queries.withColumn("block", each(first, last)).select("block", "asked", "vec_id", "vector", "proven")
+        held = rows.filter(F.col("block").between(first, last)).withColumn("asked", each(0, n_queries - 1)).select("block", "asked", "vec_id", "vector")
+        return asked.groupBy("block", "asked").cogroup(held.groupBy("block", "asked")).applyInPandas(searched, "query_id long, vec_id long, score long")
+
+    found = search(queries.withColumn("proven", F.lit(None).cast("long")), 0, 0)
+    if n_rows > 1:
+        found = written(found, "found")
+        best = found.groupBy(F.col("query_id").alias("proven_for")).agg(F.when(F.count("*") >= k, F.min("score")).alias("proven"))
+        known = queries.join(best, F.col("vec_id") == F.col("proven_for"), "left").select("asked", "vec_id", "vector", "proven")
+        found = found.union(search(written(known, "queries"), 1, n_rows - 1))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

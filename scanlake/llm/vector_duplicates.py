@@ -1,8 +1,8 @@
 """Embedding near-duplicates (operator 10) by a forest of random-projection trees.
 
-Each tree halves the space again and again at the median of a random direction; vectors within a margin of a cut go down
-both sides (spill), so that near pairs are seldom parted, and several trees make up for those that are. Trees are fitted on a
-sample of at most SAMPLE vectors; every vector is then placed in all its leaves. Pairs are compared within leaves only,
+Each tree halves the space again and again at the median of a random direction, one for each level of a tree, which tasks draw from a
+seed; vectors within a margin of a cut go down both sides (spill), so that near pairs are seldom parted, and several trees make up for
+those that are. The cuts are fitted on a sample of at most SAMPLE vectors; every vector is then placed in all its leaves. Pairs are compared within leaves only,
 by cosine in double precision, and links are united to components.
 
 Equal vectors become one class first. A leaf returns, for each of its classes, how many vectors it links to and an edge to the
@@ -22,38 +22,57 @@ from scanlake.llm.common import batch_of, written
 from scanlake.llm.components import components
 from scanlake.llm.vectors import matrix, valid_vectors
 
-TREES, LEAF, MARGIN, SAMPLE, FEWEST, BLOCK = 8, 512, 0.02, 16_384, 8, 2_048
+TREES, LEAF, MARGIN, SAMPLE, FEWEST, BLOCK = 8, 512, 0.02, 65_536, 8, 2_048
 
 
-def unit(vectors) -> np.ndarray:
-    x = matrix(vectors)
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, whatever their size: components are divided by the largest first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=np.finfo(float).tiny)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def short(x: np.ndarray) -> bytes:
+    """A vector's components in 4 bytes each where that keeps them whole, else in 8; the first byte tells."""
+    with np.errstate(over="ignore"):
+        less = x.astype("<f4")
+    return b"\4" + less.tobytes() if np.array_equal(less, x) else b"\x08" + x.astype("<f8").tobytes()
+
+
+def long(vectors) -> np.ndarray:
+    return np.stack([np.frombuffer(v, dtype=f"<f{v[0]}", offset=1) for v in vectors]).astype(np.float64)
+
+
+def direction(seed: int, level: int, width: int) -> np.ndarray:
+    found = np.random.default_rng([seed, level]).standard_normal(width)
+    return found / np.linalg.norm(found)
+
+
 def grow(sample: np.ndarray, leaf: float, seed: int, margin: float = MARGIN) -> list[tuple]:
-    """A tree as a list of nodes: (direction, cut, left node, right node), or None for a leaf."""
-    rnd, nodes, work = np.random.default_rng(seed), [None], [(0, np.arange(len(sample)))]
+    """A tree as a list of nodes: (level, cut, left node, right node), or None for a leaf."""
+    nodes, work, projected = [None], [(0, 0, np.arange(len(sample)))], {}
     while work:
-        node, own = work.pop()
+        node, level, own = work.pop()
         if len(own) <= leaf:
             continue
-        direction = rnd.standard_normal(sample.shape[1])
-        direction /= np.linalg.norm(direction)
-        at = sample[own] @ direction
+        if level not in projected:
+            projected[level] = sample @ direction(seed, level, sample.shape[1])
+        at = projected[level][own]
         cut = float(np.median(at))
         sides = [own[at < cut + margin], own[at >= cut - margin]]
         if max(map(len, sides)) > 0.9 * len(own):  # too dense to be cut; compared in blocks
             continue
-        nodes[node] = (direction, cut, len(nodes), len(nodes) + 1)
-        work += [(len(nodes), sides[0]), (len(nodes) + 1, sides[1])]
+        nodes[node] = (level, cut, len(nodes), len(nodes) + 1)
+        work += [(len(nodes), level + 1, sides[0]), (len(nodes) + 1, level + 1, sides[1])]
         nodes += [None, None]
     return nodes
 
 
 def leaves(trees: list[list], x: np.ndarray, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) of each row of x in each leaf that it reaches; leaves are numbered through all trees."""
+    """(row, leaf) of each row of x in each leaf that it reaches; leaves are numbered through all trees, whose seeds are their places."""
     rows, found, base = [], [], 0
-    for nodes in trees:
+    for seed, nodes in enumerate(trees):
+        depth = max((n[0] + 1 for n in nodes if n), default=0)
+        projected = x @ np.array([direction(seed, k, x.shape[1]) for k in range(depth)]).T if depth else None
         work = [(0, np.arange(len(x)))]
         while work:
             node, own = work.pop()
@@ -61,9 +80,10 @@ def leaves(trees: list[list], x: np.ndarray, margin: float = MARGIN) -> tuple[np
                 rows.append(own)
                 found.append(np.full(len(own), base + node))
                 continue
-            direction, cut, left, right = nodes[node]
-            at = x[own] @ direction
-            work += [(left, own[at < cut + margin]), (right, own[at >= cut - margin])]
+            level, cut, left, right = nodes[node]
+            at = projected[own, level]
+            sides = own[at < cut + margin], own[at >= cut - margin]
+            work += [(to, side) for to, side in zip((left, right), sides, strict=True) if len(side)]
         base += len(nodes)
     return np.concatenate(rows), np.concatenate(found)
 
@@ -104,7 +124,7 @@ def vector_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
 
     Vectors that are null, zero or hold null or non-finite components link with nothing: 0 links, their own component, kept.
     A null vec_id gives a null component_id and is kept. Rows that repeat a vec_id are one vector (the smallest). Vectors of
-    different lengths are compared as if the shorter ended in zeros. Other columns are ignored.
+    different lengths are compared as if the shorter ended in zeros. Other columns are ignored; an empty table gives an empty result.
     """
     spark = embeddings.sparkSession
     nonzero = "exists(embedding, x -> x is null or x <> 0)"
@@ -115,20 +135,18 @@ def vector_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
     total, width = classes.agg(F.count("*"), F.coalesce(F.max(F.octet_length("vector")), F.lit(0))).first()
     drawn = classes.select("vector").filter(F.pmod(F.xxhash64("vector"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.9 * SAMPLE / max(1, total)))).limit(SAMPLE)
     sample = [bytes(r.vector) for r in drawn.collect()]
-    x = matrix(sample, width // 8)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(matrix(sample, width // 8))
     leaf = max(FEWEST, LEAF * len(sample) / max(1, total))
     shared = spark.sparkContext.broadcast([grow(x, leaf, seed) for seed in range(TREES)])
-    schema = pa.schema([("leaf", pa.int64()), ("id", pa.int64()), ("size", pa.int64()), ("vector", pa.binary()), ("places", pa.list_(pa.int64()))])
+    schema = pa.schema([("leaf", pa.int64()), ("id", pa.int64()), ("size", pa.int64()), ("vector", pa.binary()), ("places", pa.list_(pa.int32()))])
 
     def placed(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = batch.column(0).to_pylist()
-            own = matrix(vectors, width // 8)
-            own /= np.linalg.norm(own, axis=1, keepdims=True)
-            row, leaf = leaves(shared.value, own)
+            own = matrix(batch.column(0).to_pylist(), width // 8)
+            vectors = [short(v) for v in own]
+            row, leaf = leaves(shared.value, unit(own))
             order = np.lexsort((leaf, row))
             row, leaf = row[order], leaf[order]
             at = np.r_[np.flatnonzero(np.r_[True, row[1:] != row[:-1]]), len(row)]
@@ -138,13 +156,13 @@ def vector_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
                 part = slice(lo, lo + 8192)
                 yield batch_of(schema, leaf[part], ids[row[part]], sizes[row[part]], [vectors[i] for i in row[part]], [places[i] for i in row[part]])
 
-    in_leaves = written(classes.select("vector", "id", "size").mapInArrow(placed, "leaf long, id long, size long, vector binary, places array<long>"), "leaves")
+    in_leaves = written(classes.select("vector", "id", "size").mapInArrow(placed, "leaf long, id long, size long, vector binary, places array<int>"), "leaves")
     blocks = written(in_leaves.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     dealt = in_leaves.join(blocks, "leaf").withColumn("own", F.expr("cast(pmod(xxhash64(id, leaf), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
     def compared(group: pd.DataFrame) -> pd.DataFrame:
-        return compare(group["id"].to_numpy(), group["size"].to_numpy(), unit(group["vector"]), list(group["places"]), int(group["leaf"].iloc[0]), group["own"].to_numpy(), least)
+        return compare(group["id"].to_numpy(), group["size"].to_numpy(), unit(long(group["vector"])), list(group["places"]), int(group["leaf"].iloc[0]), group["own"].to_numpy(), least)
 
     found = dealt.groupBy("leaf", "i", "j").applyInPandas(compared, "id long, links long, low long")
     found = written(found, "links")

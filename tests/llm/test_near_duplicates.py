@@ -88,6 +88,7 @@ def test_one_bucket_holds_nearly_all_pages_of_a_template(spark, monkeypatch):
 
     monkeypatch.setattr(N, "bands", lambda found: np.array([7], dtype=np.uint64))
     monkeypatch.setattr(N, "STARS", 2)
+    monkeypatch.setattr(N, "LARGE", 20)
     monkeypatch.setattr(N, "similarities", watched)
     rows = template_pages(1, 60)
     assert collected(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)

@@ -80,3 +80,32 @@ def test_duplicates_edges(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in V.vector_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 9: (3, 1, False), **{i: (0, i, True) for i in (4, 5, 6, 7, 8)}, None: (0, None, True)}
     assert V.vector_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_sizes_do_not_matter_to_cosine(spark):
+    rows = [(i, [v * s for v in (1.0, 2.0, -0.5)]) for i, s in enumerate((1.0, 1e200, 1e-200, 5e-324 * 4, 1e307))] + [(9, [-1e200, 1.0, 0.0])]
+    got = {r.vec_id: r.n_links for r in V.vector_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: 4, 1: 4, 2: 4, 3: 4, 4: 4, 9: 0}
+
+
+def test_short_vectors_are_whole():
+    rnd = np.random.default_rng(1)
+    for x in (rnd.standard_normal(7).astype(np.float32).astype(float), rnd.standard_normal(7), np.array([1e300, 1.0])):
+        assert (V.long([V.short(x)])[0] == x).all()
+    assert len(V.short(np.ones(8))) == 33 and len(V.short(np.full(8, 0.1))) == 65
+
+
+def test_too_large_components_raise(spark):
+    df = spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        K.top_k(df, F.pmod("vec_id", F.lit(50)) == 0).collect()
+
+
+def test_proven_scores_pass_over_blocks():
+    """A block whose bound is under a proven score is not searched; one whose bound meets it is, ties included."""
+    x = np.array([[3, 1], [2, 2], [1, 3]])
+    index, ids = K.Index(x), np.array([10, 11, 12])
+    query = np.array([2, 1])
+    assert len(index.search(query, 2, -1, ids, proven=10)[0]) == 0
+    at, scores = index.search(query, 2, -1, ids, proven=7)
+    assert scores.tolist() == [7, 6] or scores.tolist() == [7]
