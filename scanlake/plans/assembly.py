@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scanlake import fixtures as X
 from scanlake.functions import names
 from scanlake.operators import merges, ranks
-from scanlake.plans.names import GROUP_SQL
+from scanlake.plans.names import DOT, GROUP_SQL, TIME_SQL
 from scanlake.plans.splitting import RATIOS, cut_sql
 from scanlake.registry import query, table
 
@@ -119,19 +119,47 @@ def merge_stages_append(spark, sf_dir):
     return stamped.groupBy("split", "stage", "origin").agg(F.count("*").alias("n_files"))
 
 
-@query(
-    f"""with {X.F1}, {X.F3}, n as (select f1.doc_id, f1.filename, {GROUP_SQL.replace("filename", "f1.filename")} as group_id from f1 where {STAGE1}),
+REBUILT = f"""with {X.F1}, {X.F3}, n as (select f1.doc_id, f1.filename, {GROUP_SQL.replace("filename", "f1.filename")} as group_id from f1 where {STAGE1}),
  g as (select group_id, row_number() over (order by md5(concat('42:', group_id)), group_id) as r, count(*) over () as n from (select distinct group_id from n) t),
  c as (select group_id, {cut_sql("g", "floor(n*0.85::double)", "floor(n*0.1::double)")}), s1 as (select n.doc_id, n.filename, c.split, 'Stage1' as stage from n join c using (group_id)),
  s0 as (select doc_id, filename, true_split as split, 'Stage0' as stage from f3 where {STAGE0}),
- m as (select * from s1 union all select * from s0 where not exists (select 1 from s1 where s1.split=s0.split and s1.filename=s0.filename))
- select split, stage, count(*) as n_files, min(filename) as first_file, max(filename) as last_file from m group by split, stage"""
-)
-def merge_stages_rebuild(spark, sf_dir):
-    """Stage 1 split by group, Stage 0 as it was split before, collisions skipped, stages kept; then the manifest's counts."""
+ m as (select * from s1 union all select * from s0 where not exists (select 1 from s1 where s1.split=s0.split and s1.filename=s0.filename))"""
+
+
+def rebuilt(spark, sf_dir):
+    """Stage 1 split by group and Stage 0 as it was split before, without what collides."""
     rows = X.index(spark, sf_dir)
     stage1 = rows.filter(STAGE1).select("doc_id", "filename", names.group_id(F.col("filename")).alias("group_id"))
     stage1 = ranks.split_groups(stage1, "group_id", RATIOS).select("doc_id", "filename", "split", F.lit("Stage1").alias("stage"))
     stage0 = rows.filter(STAGE0).select("doc_id", "filename", F.col("true_split").alias("split"), F.lit("Stage0").alias("stage"))
-    merged, _ = merges.merge_skipping(stage1, stage0, ["split", "filename"])
+    return merges.merge_skipping(stage1, stage0, ["split", "filename"])[0]
+
+
+@query(
+    f"""{REBUILT}
+ select split, stage, count(*) as n_files, min(filename) as first_file, max(filename) as last_file from m group by split, stage"""
+)
+def merge_stages_rebuild(spark, sf_dir):
+    """Stage 1 split by group, Stage 0 as it was split before, collisions skipped, stages kept; then the manifest's counts."""
+    merged = rebuilt(spark, sf_dir)
     return merged.groupBy("split", "stage").agg(F.count("*").alias("n_files"), F.min("filename").alias("first_file"), F.max("filename").alias("last_file"))
+
+
+@query(f"{REBUILT} select concat('images/', split, '/', filename) as filepath, split, stage, filename, regexp_replace({DOT}, '_(orig|aug[0-9]{{2}})$', '') as group_id, {TIME_SQL} as scan_timestamp from m")
+def merge_stages_index(spark, sf_dir):
+    """The index rows of the merged stages."""
+    name = F.col("filename")
+    path = names.join_path(F.lit("images"), F.col("split"), name)
+    return rebuilt(spark, sf_dir).select(path.alias("filepath"), "split", "stage", "filename", names.group_id(name).alias("group_id"), names.scan_timestamp(name).alias("scan_timestamp"))
+
+
+@query(
+    f"""{REBUILT} select split, count(*) as n_files, count(distinct case when stage='Stage1' then regexp_replace({DOT}, '_(orig|aug[0-9]{{2}})$', '') end) as n_groups_stage1, {X.digest_sql("filename")} as files_digest,
+ case split when 'train' then 0.85 when 'val' then 0.1 else 0.05 end::double as ratio_stage1, 42 as seed, 'base name' as grouping_stage1, 'Stage1|Stage0' as sources from m group by split"""
+)
+def merge_stages_manifest(spark, sf_dir):
+    """The combined manifest, a row for each split; its file lists are rows of merge_stages_index."""
+    group = F.when(F.col("stage") == "Stage1", names.group_id(F.col("filename")))
+    out = rebuilt(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n_files"), F.countDistinct(group).alias("n_groups_stage1"), X.digest(F.col("filename")).alias("files_digest"))
+    ratio = F.when(F.col("split") == "train", RATIOS[0]).when(F.col("split") == "val", RATIOS[1]).otherwise(RATIOS[2])
+    return out.withColumns({"ratio_stage1": ratio, "seed": F.lit(42), "grouping_stage1": F.lit("base name"), "sources": F.lit("Stage1|Stage0")})

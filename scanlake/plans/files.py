@@ -139,6 +139,36 @@ def write_index(spark, sf_dir):
     return T.index_csv(spark, path).select(*WRITTEN_INDEX)
 
 
+#: The layout of the last stage: no tag and no group, and the source under another name.
+WITHOUT_GROUP = ("filepath", "split", "stage", "scan_session_id", "filename", "scan_timestamp")
+
+
+@query(with_f1(f"select filepath, split, stage, scan_session_id, filename, scan_timestamp, source_path as source_interim_path from ({INDEX_SQL}) t"))
+def write_index_without_group(spark, sf_dir):
+    path = new_folder(spark, "index")
+    T.write_index(X.files(spark, sf_dir).select(*index_columns(F.expr(X.SPLIT))), path, *WITHOUT_GROUP, F.col("source_path").alias("source_interim_path"))
+    return T.index_csv(spark, path)
+
+
+WITH_ATTRIBUTES = ("filepath", "split", "dataset_tag", "stage", "scan_session_id", "source_path", "width", "height", "channels", "dtype")
+
+
+@query(
+    f"""with p as (select *, concat(lpad(cast(vec_id as string), 9, '0'), '.png') as name, {X.SPLIT.replace("doc_id", "vec_id")} as split from embeddings)
+ select concat('images/', split, '/', name) as filepath, split, 'tag' as dataset_tag, 'Stage0' as stage, 'images' as scan_session_id, concat('images/', name) as source_path, '8' as width, '8' as height, '1' as channels, 'uint8' as dtype from p"""
+)
+def write_index_with_attributes(spark, sf_dir):
+    """The layout of the command line tool: size, channels and depth of each file, from its header."""
+    files = S.scan_files(spark, png_folder(spark, sf_dir), names.FINALIZE_EXTENSIONS, content=True)
+    name = names.basename(F.col("path"))
+    rows = files.select(name.alias("name"), *S.header(F.col("content"))).withColumn("doc_id", F.regexp_extract("name", "^([0-9]+)", 1).cast("long"))
+    rows = rows.select("*", F.expr(X.SPLIT).alias("split"), F.lit("tag").alias("dataset_tag"), F.lit("Stage0").alias("stage"), F.lit("images").alias("scan_session_id"))
+    rows = rows.withColumns({"filepath": names.join_path(F.lit("images"), F.col("split"), F.col("name")), "source_path": names.join_path(F.lit("images"), F.col("name"))})
+    path = new_folder(spark, "index")
+    T.write_index(rows, path, *WITH_ATTRIBUTES)
+    return T.index_csv(spark, path)
+
+
 @query(with_f1("select filename as image, 1 as no_contraband, 0 as isolated_items, 1 as empty from f1 where lower(filename) like '%.png'"))
 def write_labels(spark, sf_dir):
     """Stamped labels of a folder as JSON lines, sorted by name, read again."""
@@ -203,6 +233,26 @@ def export_dataset(spark, sf_dir):
     return read.select("doc_id", F.coalesce(listed, F.lit("")).alias("labels"), F.coalesce(F.size("det"), F.lit(0)).cast("long").alias("n_detections"))
 
 
+@query(
+    """select count(*) as n_samples, count(l.toxic) as n_labelled, sum(coalesce(a.n, 0))::bigint as n_detections, sum(strlen(d.text))::bigint as n_bytes, 'tag' as dataset_tag
+ from documents d left join labels l using (doc_id) left join (select user_id as doc_id, count(*) as n from events group by user_id) a using (doc_id)"""
+)
+def export_manifest(spark, sf_dir):
+    """An export with media beside the samples, and its manifest of one row, worked out from what was written."""
+    from scanlake.plans.annotations import coco
+
+    _, annotations, _ = coco(spark, sf_dir)
+    marks = annotations.groupBy(F.col("image_id").alias("doc_id")).agg(F.collect_list("category_id").alias("det"))
+    known = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("cls"))
+    path = new_folder(spark, "export")
+    media(spark, sf_dir).select("doc_id", "name", "content").write.parquet(f"{path}/media")
+    table(spark, sf_dir, "documents").select("doc_id").join(known, "doc_id", "left").join(marks, "doc_id", "left").write.parquet(f"{path}/samples")
+    samples, contents = spark.read.parquet(f"{path}/samples"), spark.read.parquet(f"{path}/media")
+    counts = samples.agg(F.count("*").alias("n_samples"), F.count("cls").alias("n_labelled"), F.sum(F.coalesce(F.size("det"), F.lit(0))).cast("long").alias("n_detections"))
+    counts.crossJoin(contents.agg(F.sum(F.octet_length("content")).cast("long").alias("n_bytes"))).withColumn("dataset_tag", F.lit("tag")).write.json(f"{path}/manifest")
+    return T.read_json(spark, f"{path}/manifest", "n_samples long, n_labelled long, n_detections long, n_bytes long, dataset_tag string", lines=True)
+
+
 @query(f"select count(*) as n_files, sum(strlen(text))::bigint as n_bytes, {X.digest_sql('text')} as digest from documents")
 def dataset_fingerprint(spark, sf_dir):
     """Files, bytes and a digest that no order changes: two sums over the files' whole hashes, so no list of them is gathered."""
