@@ -2,39 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanlake.sources.work import new_folder
+
 #: Rows that a worker turns into Python objects at a time.
 ROWS = 256
 #: Entries that a worker's cache may hold; a full cache is emptied.
 CACHE = 1 << 18
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a temporary one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="scanlake-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends here and any executor can reread it.
 
     folders: columns by whose values the files are kept apart, so that a filter on them reads no other files.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete the files of tables that `written` gave, once nothing that is still to be computed reads them."""
+    for table in tables:
+        path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches, rows: int = ROWS):

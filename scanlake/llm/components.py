@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import written
+from scanlake.llm.common import removed, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,17 +19,23 @@ def components(links: DataFrame) -> DataFrame:
     left = written(
         links.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"
     )
+    tables = [left]
     found = left.select(F.col("a").alias("id")).union(left.select("b")).distinct().withColumn("component", F.col("id"))
     while not left.isEmpty():
         both = left.union(left.select(F.col("b"), F.col("a")))
         hooks = written(both.groupBy("a").agg(F.min("b").alias("to")).filter("to < a"), "hooks")
+        tables.append(hooks)
         further = hooks.select(F.col("a").alias("to"), F.col("to").alias("further"))
         while not hooks.join(further, "to", "left_semi").isEmpty():
             hooks = written(hooks.join(further, "to", "left").select("a", F.coalesce("further", "to").alias("to")), "hooks")
+            tables.append(hooks)
             further = hooks.select(F.col("a").alias("to"), F.col("to").alias("further"))
         ends = [hooks.select(F.col("a").alias(end), F.col("to").alias(f"{end}_to")) for end in ("a", "b")]
         left = left.join(ends[0], "a", "left").withColumn("a", F.coalesce("a_to", "a")).join(ends[1], "b", "left").withColumn("b", F.coalesce("b_to", "b"))
         left = written(left.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        tables.append(left)
         found = found.join(hooks.select(F.col("a").alias("component"), F.col("to").alias("root")), "component", "left")
         found = found.select("id", F.coalesce("root", "component").alias("component"))
-    return written(found, "components")
+    found = written(found, "components")
+    removed(*tables)
+    return found

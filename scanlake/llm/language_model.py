@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.llm import recurrent
-from scanlake.llm.common import batch_of, mix, slices, written
+from scanlake.llm.common import batch_of, mix, removed, slices, written
 from scanlake.llm.words import bytes_of, word_hashes_of, words_of
 
 WORDS, TAIL, DISCOUNT = 4096, 64, 0.6
@@ -251,9 +251,11 @@ def averaged(copies: DataFrame, shards: int) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([total.tobytes()], pa.binary())], names=["seen", "sums"])
 
     while shards > 32:
-        shards = -(-shards // 32)
+        shards, before = -(-shards // 32), copies
         copies = written(copies.repartition(shards).mapInArrow(add, copies.schema), "sums")
+        removed(before)
     row = copies.repartition(1).mapInArrow(add, copies.schema).first()
+    removed(copies)
     return None if row is None else np.frombuffer(row["sums"]) / row["seen"]
 
 
@@ -268,6 +270,7 @@ def fitted(blocks: DataFrame, sizes: np.ndarray, unseen: int) -> dict:
         mean = averaged(trained_copies(rows, model, edges, turn), shards)
         if mean is not None:
             model = recurrent.shaped(mean, edges)
+    removed(rows)
     return model
 
 
@@ -286,6 +289,7 @@ def language_model_scores(docs: DataFrame, held_out: Column | None = None) -> Da
     totals = counted(blocks, buckets)
     facts = corpus_facts(totals)
     in_symbols = written(coded(blocks, totals, buckets, spark.sparkContext.broadcast(facts)), "symbols")
+    removed(blocks, totals)
     model, edges = fitted(in_symbols, facts["sizes"], int(facts["numbers"][-1])), recurrent.class_edges(facts["sizes"])
     final = spark.sparkContext.broadcast(recurrent.flat(model))
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 
 from scanlake.llm import language_model as M
 from scanlake.llm import recurrent, words
+from scanlake.llm.common import written
 
 
 def brute(rows):
@@ -103,7 +104,7 @@ def test_every_training_document_is_learnt_from(spark, sf_dir, monkeypatch):
 
 def test_models_are_averaged_in_a_tree(spark):
     rows = [(i + 1, (np.full(7, float(i)) * (i + 1)).tobytes()) for i in range(100)]
-    got = M.averaged(spark.createDataFrame(rows, "seen long, sums binary").repartition(5), 100)
+    got = M.averaged(written(spark.createDataFrame(rows, "seen long, sums binary").repartition(5), "models"), 100)
     assert np.allclose(got, sum(i * (i + 1) for i in range(100)) / sum(i + 1 for i in range(100)))
 
 
