@@ -30,6 +30,8 @@ from scanlake.llm.components import components
 
 WORDS, BANDS, ROWS, STARS, SMALL, BLOCK, LARGE = 5, 32, 4, 2, 16, 384, 1536
 BINS = BANDS * ROWS
+#: Rows of a table of numbers that may be broadcast.
+FEW = 1 << 20
 #: Bins that an empty bin tries in turn before it takes the nearest filled one.
 TRIES = 2048
 
@@ -88,6 +90,11 @@ def signed_list(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def few(numbers: DataFrame) -> DataFrame:
+    """A written table of numbers, to be broadcast if it has few rows (FEW, some 64 MB in an executor), so that what it picks from need not be shuffled."""
+    return F.broadcast(numbers) if numbers.limit(FEW + 1).count() <= FEW else numbers.hint("merge")
+
+
 def described(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, s1 and s2 (a 128-bit digest of the set; null without shingles), keys (array)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))])
@@ -120,8 +127,9 @@ def similarities(pairs: DataFrame, whole: DataFrame) -> DataFrame:
                 rows.append((a, b, both, len(of_last) + len(other) - both))
             yield batch_of(schema, *([r[i] for r in rows] for i in range(4)))
 
-    rows = pairs.join(whole.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = rows.join(whole.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    # Texts are never broadcast.
+    rows = pairs.join(whole.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    rows = rows.join(whole.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, either long")
 
 
@@ -243,9 +251,10 @@ def links(entries: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     """From distinct entries(key, id), bucket members: links (a, b) of at least percent / 100 that connect all that any link in a bucket connects."""
     entries = written(entries, "entries")
     buckets = written(told_apart(entries).select("key", "centre"), "buckets")
-    state = written(entries.join(buckets, "key"), "members").withColumn("component", F.col("id"))
+    state = written(entries.join(few(buckets), "key"), "members").withColumn("component", F.col("id"))
     # The texts of bucket members alone; they are read several times.
-    whole = written(texts(docs, F.col("doc_id").cast("long").alias("id")).join(state.select("id").distinct(), "id", "left_semi"), "texts")
+    ids = written(state.select("id").distinct(), "ids")
+    whole = written(texts(docs, F.col("doc_id").cast("long").alias("id")).join(few(ids), "id", "left_semi"), "texts")
     found = None
     for turn in range(STARS):
         if turn:
@@ -263,7 +272,8 @@ def links(entries: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
         state = written(_several(state), "undecided")
         if state.isEmpty():
             return found
-        whole = written(whole.join(state.select("id").distinct(), "id", "left_semi"), "texts")
+        ids = written(state.select("id").distinct(), "ids")
+        whole = written(whole.join(few(ids), "id", "left_semi"), "texts")
     return found.union(_compared(state, whole, percent))
 
 
