@@ -106,7 +106,8 @@ def tree(ranks: str, pattern: str) -> Tree:
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, *keep: str) -> DataFrame:
     """Per row of docs: `row`, a struct of the columns named in keep, and `ids` (array of int), the text's token ids.
 
-    Null and empty texts have no ids. Repeated rows are each returned; other columns are ignored; texts are encoded whole.
+    Null and empty texts have no ids. Repeated rows are each returned; other columns are ignored; texts are encoded whole; an empty
+    table gives an empty result.
     """
     rows = docs.select(F.struct(*keep).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -136,7 +137,8 @@ def bpe_digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256.
 
     Encoding and decoding share a pass, so that ids need not travel between Python and the JVM twice. Null and empty
-    texts have 0 tokens and the digests of no bytes.
+    texts have 0 tokens and the digests of no bytes. Repeated rows are each returned; a null doc_id is returned as null; other columns are
+    ignored; an empty table gives an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 

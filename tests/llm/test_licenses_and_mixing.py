@@ -6,7 +6,6 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
-from pyspark.sql import functions as F
 
 from scanlake.llm import license_scan as L
 from scanlake.llm import mixing as M
