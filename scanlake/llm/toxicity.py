@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import CACHE, batch_of, slices, texts, written
+from scanlake.llm.common import batch_of, slices, texts, written
 
 POSITIVES, LISTS = 6000, 200_000
 COMMON, SHARE, LEAST, LIFT, LARGEST = 3, 0.01, 2.0, 4.0, 500
 STEPS, RATE, DECAY = 500, 0.05, 1.0
 EDGE = b".,;:!?\"'()[]{}|*#%&$-"
-#: Distinct lists of features that a task keeps before it sends their counts on.
-TOGETHER = 50_000
+#: Distinct lists of features that a task keeps before it sends their counts on, and words that it remembers.
+TOGETHER, WORDS = 50_000, 1 << 17
 
 
 def word_features(word: bytes) -> tuple[str, ...]:
@@ -45,7 +45,7 @@ class Features(dict):
         self.names = names
 
     def __missing__(self, word: bytes) -> tuple:
-        if len(self) >= CACHE:
+        if len(self) >= WORDS:
             self.clear()
         found = word_features(word)
         if self.names is not None:
