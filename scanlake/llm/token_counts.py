@@ -60,10 +60,13 @@ class Counts(dict):
     def of(self, texts: pa.Array) -> np.ndarray:
         """The tokens of each text."""
         pieces, doc = pre_tokens(texts)
-        found = pieces.dictionary_encode()
+        return self.of_pieces(pieces.dictionary_encode(), doc, len(texts))
+
+    def of_pieces(self, found: pa.DictionaryArray, doc: np.ndarray, texts: int) -> np.ndarray:
+        """The tokens of each of so many texts, from their numbered pre-tokens."""
         distinct = pc.replace_substring(found.dictionary, " ", SPACE).to_pylist()
         n = np.fromiter(map(self.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        return np.bincount(doc, weights=n[found.indices.to_numpy()], minlength=len(texts)).astype(np.int64) if len(doc) else np.zeros(len(texts), dtype=np.int64)
+        return np.bincount(doc, weights=n[found.indices.to_numpy()], minlength=texts).astype(np.int64) if len(doc) else np.zeros(texts, dtype=np.int64)
 
 
 def pre_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -116,7 +116,7 @@ def test_topics_of_unseen_texts(spark, monkeypatch):
     rnd = np.random.default_rng(5)
     kind = rnd.integers(0, 3, 300)
     texts = [" ".join(f"{'abc'[k]}{i}" for i in rnd.integers(0, 80, rnd.integers(20, 90))) for k in kind]
-    vectors = M.word_vectors(pa.array([*texts, None, "", " \n"]))
+    vectors = M.word_vectors(*M.numbered(pa.array([*texts, None, "", " \n"])))
     assert not vectors[300:].any()
     monkeypatch.setattr(M, "TOPICS", 3)
     weights, centres = M.fit_topics(vectors[:100])
