@@ -37,4 +37,33 @@ OP10 = f"""with recursive v as (select vec_id, cast(embedding as double[]) as e
  nodes as (select vec_id as id from embeddings), {REACH}, c as (select a as id, count(*) as n from both_ways group by a)
  select l.id as vec_id, coalesce(c.n, 0) as n_links, l.component_id, l.id = l.component_id as kept from lowest l left join c using (id)"""
 
-ORACLES = {"op2_substring_dedup": OP2, "op6_near_duplicates": OP6, "op8_top_k": OP8, "op10_embedding_duplicates": OP10}
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11 = f"""with d as (select row_number() over () as r, doc_id, regexp_extract_all({LOWER}, '{TERM}') as ws from documents where text is not null),
+ size as (select r, doc_id, len(ws) as n from d where len(ws) > 0), total as (select count(*) as docs, sum(n) as terms from size),
+ tf as (select r, term, count(*) as tf from (select r, unnest(ws) as term from d) t group by r, term),
+ asked as (select distinct item_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) as term from benchmark where item_id is not null),
+ df as (select term, count(*) as df from tf group by term),
+ w as (select a.item_id, a.term, cast(floor(1000*ln((2.0*docs+2)/(2*df+1))) as bigint) as w from asked a join df using (term), total),
+ s as (select w.item_id, s.doc_id, s.r, cast(sum(w.w*((1000000000*tf.tf)//(1000*tf.tf+20*(50+(50*s.n*docs)//terms)))) as bigint) as score
+  from w join tf using (term) join size s using (r), total group by w.item_id, s.doc_id, s.r)
+ select item_id, cast(rank as int) as rank, doc_id, score from
+  (select *, row_number() over (partition by item_id order by score desc, doc_id nulls first) as rank from s where score > 0) t where rank <= 50"""
+
+OP12 = f"""with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{WORD}') as ws from documents),
+ firsts as (select t, min(doc_id) as first from w group by t),
+ l as (select doc_id, max(cast(quality = 1 as int)) as good, max(cast(toxic = 1 as int)) as toxic from labels group by doc_id),
+ f as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, [len(ws) < 200, 100*len(list_distinct(ws)) < 50*len(ws), 100*len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2*length(t),
+  regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > first, false)] as fails from w join firsts using (t) left join l using (doc_id)),
+ m as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by part, fails),
+ letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as c),
+ orders as (select a.c||b.c||c.c||d.c||e.c as o from letters a, letters b, letters c, letters d, letters e where a.c not in (b.c, c.c, d.c, e.c) and b.c not in (c.c, d.c, e.c) and c.c not in (d.c, e.c) and d.c <> e.c),
+ gone_at as (select part, n, good, toxic, fails, o, list_min([case when fails[i] then instr(o, substr('ABCDE', i, 1)) else 6 end for i in range(1, 6)]) as gone from m, orders),
+ s as (select part, o, step, ascii(substr(o, step, 1)) - 64 as f, n, good, toxic, fails, gone from gone_at, (select unnest(range(1, 6)) as step) t),
+ g as (select part, o as filter_order, step, f, sum(case when gone > step then n else 0 end) as kept, sum(case when gone = step then n else 0 end) as removed,
+  sum(case when fails[f] and gone < step then n else 0 end) as redundant, sum(case when fails[f] and len(list_filter(fails, lambda x: x)) = 1 then n else 0 end) as unique_fails,
+  sum(case when gone = step then good else 0 end) as good_lost, sum(case when gone = step then toxic else 0 end) as toxic_lost from s group by part, o, step, f)
+ select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) as shapley from g"""
+
+ORACLES = {"op2_substring_dedup": OP2, "op6_near_duplicates": OP6, "op8_top_k": OP8, "op10_embedding_duplicates": OP10, "op11_lexical_search": OP11, "op12_filter_audit": OP12}

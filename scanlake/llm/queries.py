@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from scanlake.llm import (
     byte_bpe,
+    filter_audit,
     language_model,
+    lexical_search,
     license_scan,
     mixing,
     near_duplicates,
@@ -17,6 +19,7 @@ from scanlake.llm import (
     top_k,
     toxicity,
     vector_duplicates,
+    word_bpe,
 )
 from scanlake.llm.oracles import ORACLES
 
@@ -71,9 +74,35 @@ def op10_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_duplicates.vector_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.word_bpe_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_substring_dedup, op3_toxicity, op4_lm_scores, op5_license_scan, op6_near_duplicates, op7_byte_bpe, op8_top_k, op9_mixing, op10_embedding_duplicates)
+    for f in (
+        op1_token_counts,
+        op2_substring_dedup,
+        op3_toxicity,
+        op4_lm_scores,
+        op5_license_scan,
+        op6_near_duplicates,
+        op7_byte_bpe,
+        op8_top_k,
+        op9_mixing,
+        op10_embedding_duplicates,
+        op11_lexical_search,
+        op12_filter_audit,
+        op13_word_bpe,
+    )
 }
