@@ -1,13 +1,14 @@
 """Word-level BPE encoding and decoding (operator 13) by a backtracking encoder.
 
-A pre-token is a string of symbols, the last of which is marked as the word's end. An Aho-Corasick automaton over the reversed tokens
-gives the longest token that starts at each symbol in one pass. The encoder takes that token if it is compatible with the token before it, else
-the next shorter prefix that is a token, else it steps back and marks the place as one that nothing leads on from. Two tokens are compatible if
-applying the merges to their symbols gives just these two, which a table of pairs remembers. A row of pairwise compatible tokens is what
-the merges give, so ids are exact; a place is given up once at most, so the time is linear in the symbols. Decoding reads an offset table.
-
-The tokenizers library cleans and splits words as the file says; it merges nothing here. Neither cleaning nor splitting looks across ASCII white
-space, so each distinct word of a batch is encoded once, and remembered.
+A pre-token is a string of symbols, the last of which is marked as the word's end. An Aho-Corasick automaton over the tokens gives the longest
+token that starts at a place. The encoder takes that token if it is compatible with the token before it, else the next shorter prefix that is a
+token, else it steps back and marks the place as one that nothing leads on from. Two tokens are compatible if applying the merges to their
+symbols gives just these two, which a table of pairs remembers. A row of pairwise compatible tokens is what the merges give, so ids are
+exact; a place is given up once at most, so the time is linear in the symbols. Decoding reads an offset table.
+
+Texts are cut into pieces without an object for each: pre-tokens of words of printable ASCII, in lower case, and other words whole. Each distinct
+piece of a batch is encoded once, and remembered. Other words are cleaned and split by the tokenizers library as the file says (it merges
+nothing here); neither looks across ASCII white space.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import hashlib
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,8 +31,50 @@ from scanlake.llm.common import CACHE, batch_of, slices
 #: How the file marks a word's end, and what is added to a symbol's code point for it here.
 END, LAST = "</w>", 1 << 12
 #: Pairs of tokens that a worker's table may hold; texts of a batch whose words are numbered together; ids that are written out together.
-PAIRS, TOGETHER, AT_ONCE = 1 << 20, 64, 1 << 18
+PAIRS, TOGETHER, AT_ONCE = 1 << 20, 256, 1 << 18
+#: The parts of a file that a tokenizer must share with this module.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What a byte is: white space, a letter, a digit, another printable character of ASCII, or something else.
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+KIND = np.array([SPACE if b in b" \t\n\v\f\r" else OTHER if b < 33 or b > 126 else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else SIGN for b in range(256)], dtype=np.uint8)
+LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+
+
+def pieces_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of texts (strings without nulls) and the text that each belongs to.
+
+    A piece is a pre-token in lower case if its word is of printable ASCII and has no "<|", with which special tokens begin, and else the word as it is.
+    """
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+    ends, n = ends - ends[0], len(data)
+    first = np.zeros(n + 3, dtype=bool)
+    first[ends] = True
+    first[n:] = True
+    kind, low = KIND[data], np.r_[LOWER[data], np.zeros(3, np.uint8)]
+    filled = kind != SPACE
+    word = filled & (first[:n] | np.r_[True, ~filled[:-1]][:n])
+    number = np.cumsum(word) - 1
+    special = (low[:n] == ord("<")) & (low[1 : n + 1] == ord("|")) & ~first[1 : n + 1]
+    odd = np.zeros(n, dtype=bool)
+    if word.any():
+        odd = (np.bincount(number[(kind == OTHER) | special], minlength=number[-1] + 1) > 0)[number] & filled
+    start = word | (filled & ~odd & ((kind == DIGIT) | (kind != np.r_[kind[:1], kind[:-1]])))
+    # A quotation mark that begins a piece takes some letters with it, and what follows these begins another.
+    mark = np.flatnonzero((low[:n] == ord("'")) & start & ~odd)
+    mark = mark[~first[mark + 1]]
+    one, two = low[mark + 1], low[mark + 2]
+    longer = ~first[mark + 2] & (((two == ord("e")) & np.isin(one, (ord("r"), ord("v")))) | ((one == ord("l")) & (two == ord("l"))))
+    taken = longer | np.isin(one, np.frombuffer(b"stmd", dtype=np.uint8))
+    start[mark[taken] + 1] = False
+    after = (mark + 2 + longer)[taken]
+    after = after[after < n]
+    start[after[filled[after]]] = True
+    at = np.flatnonzero(start)
+    cuts = np.r_[np.cumsum(filled)[at] - 1, np.count_nonzero(filled)].astype(np.int32)
+    pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(cuts), pa.py_buffer(np.where(odd, data, low[:n])[filled]))
+    return pieces, np.searchsorted(ends, at, side="right") - 1
 
 
 class Compatible(dict):
@@ -96,86 +140,85 @@ class Encoder:
         token = {s: i for i, s in enumerate(symbols) if made[i]}
         self.size = [len(s) for s in symbols]
         self.shorter = [next((token[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in token), -1) for s in symbols]
-        self.automaton = ahocorasick.Automaton()
+        automaton = ahocorasick.Automaton()
         for s, i in token.items():
-            self.automaton.add_word(s[::-1], i)
-        self.automaton.make_automaton()
+            automaton.add_word(s, i)
+        automaton.make_automaton()
+        self.longest = automaton.iter_long  # from a place on: a token begins at each, so the first match is the longest token there
         everything = ids | added
         content = [""] * (max(everything.values()) + 1)
         for text, i in everything.items():
             content[i] = text
         self.contents, self.numbers = OffsetTable(content), OffsetTable(map(str, range(len(content))))
-        self.words: dict[str, np.ndarray] = {}
+        self.pieces = Pieces(self)
 
     @staticmethod
     def _check(told: dict) -> None:
         model, split = told["model"], (told["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
         plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")) and model["end_of_word_suffix"] == END
         added = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in told["added_tokens"])
-        words = [s["type"] for s in split] == ["Split", "ByteLevel"] and split[0]["invert"] and split[0]["behavior"] == "Removed" and not split[1]["add_prefix_space"] and not split[1]["use_regex"]
+        words = [s["type"] for s in split] == ["Split", "ByteLevel"] and split[0]["invert"] and split[0]["behavior"] == "Removed" and split[0]["pattern"] == {"Regex": PATTERN} and not split[1]["add_prefix_space"] and not split[1]["use_regex"]
         if not (plain and added and words) or told["normalizer"].get("normalizers") != NORMALIZERS or told["decoder"] or told["post_processor"]:
             raise ValueError("words of this tokenizer cannot be encoded one by one")
 
-    def longest(self, symbols: str) -> list[int]:
-        """The longest token that starts at each symbol."""
-        n = len(symbols)
-        found, size = [-1] * n, self.size
-        for end, token in self.automaton.iter(symbols[::-1]):
-            at = n - 1 - end
-            if found[at] < 0 or size[token] > size[found[at]]:
-                found[at] = token
-        return found
-
     def merge(self, pre_token: str) -> list[int]:
         """The ids of one pre-token, given in the characters that stand for bytes."""
         symbols = pre_token[:-1] + chr(ord(pre_token[-1]) + LAST)
-        longest, size, shorter, compatible = self.longest(symbols), self.size, self.shorter, self.compatible
-        n, at, ids, closed = len(symbols), 0, [], bytearray(len(symbols) + 1)
-        token = longest[0]
-        while at < n:
+        longest, size, shorter, compatible = self.longest, self.size, self.shorter, self.compatible
+        n, at, ids, closed = len(symbols), 0, [], set()
+        _, token = next(longest(symbols))
+        while True:
             end = at + size[token]
-            if not closed[end] and (not ids or compatible[ids[-1], token]):
+            if end not in closed and (not ids or compatible[ids[-1], token]):
                 ids.append(token)
+                if end == n:
+                    return ids
                 at = end
-                token = longest[at] if at < n else -1
+                _, token = next(longest(symbols, at))
             elif shorter[token] >= 0:
                 token = shorter[token]
             else:
-                closed[at] = 1
+                closed.add(at)
                 token = ids.pop()  # its end is closed now, so a shorter one follows
                 at -= size[token]
-        return ids
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> list[int]:
         """The ids of a piece of text without ASCII white space."""
-        found = self.words.get(word)
-        if found is None:
-            ids, at = [], 0
-            for special in self._added.finditer(word) if self._added else ():
-                ids += self._plain(word[at : special.start()])
-                ids.append(self.added[special.group()])
-                at = special.end()
-            ids += self._plain(word[at:])
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            found = self.words[word] = np.array(ids, dtype=np.int32)
-        return found
+        ids, at = [], 0
+        for special in self._added.finditer(word) if self._added else ():
+            ids += self._plain(word[at : special.start()])
+            ids.append(self.added[special.group()])
+            at = special.end()
+        return ids + self._plain(word[at:])
 
     def _plain(self, text: str) -> list[int]:
         return [i for piece, _ in self._split(self._clean(text)) for i in self.merge(piece)] if text else []
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and how many belong to each. Null and empty texts have none."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        words, doc = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        if not len(words):
+        pieces, doc = pieces_of(pc.fill_null(texts, ""))
+        if not len(pieces):
             return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
-        found = words.dictionary_encode()
-        ids = [self.word(w) for w in found.dictionary.to_pylist()]
-        at = found.indices.to_numpy()
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        start = np.cumsum(size) - size
-        return gathered(np.concatenate(ids), start[at], size[at]), np.bincount(doc, weights=size[at], minlength=len(texts)).astype(np.int64)
+        found = pieces.dictionary_encode()
+        ids = list(map(self.pieces.__getitem__, found.dictionary.to_pylist()))
+        at, size = found.indices.to_numpy(), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        start, flat = np.cumsum(size) - size, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=size.sum())
+        return gathered(flat, start[at], size[at]), np.bincount(doc, weights=size[at], minlength=len(texts)).astype(np.int64)
+
+
+class Pieces(dict):
+    """Pieces of texts to their ids, as they are met; a full table is emptied."""
+
+    def __init__(self, code: Encoder):
+        super().__init__()
+        self.merge, self.word = code.merge, code.word
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) >= CACHE:
+            self.clear()
+        plain = piece.isascii() and piece.isprintable() and "<|" not in piece
+        found = self[piece] = tuple(self.merge(piece) if plain else self.word(piece))
+        return found
 
 
 def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
