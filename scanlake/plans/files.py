@@ -11,13 +11,14 @@ from scanlake.plans.names import INDEX_SQL, index_columns, with_f1
 from scanlake.registry import query, table
 from scanlake.sources import images as S
 from scanlake.sources import tables as T
+from scanlake.sources.headers import image_headers
 from scanlake.sources.work import new_folder
 
 
 def png_folder(spark, sf_dir):
     """A folder in the shared place with a PNG file for each row of embeddings."""
     path = new_folder(spark, "png")
-    S.write_files(S.encoded(as_images(spark, sf_dir)), path).count()
+    S.write_files(S.encoded(as_images(spark, sf_dir)), path)
     return path
 
 
@@ -37,16 +38,16 @@ def scan_image_files(spark, sf_dir):
     f"with {X.F5}, {X.GRAY} select concat('/images/', lpad(cast(vec_id as string), 9, '0'), '.png') as path, 8 as width, 8 as height, 1 as channels, 'uint8' as dtype, sum(v)::bigint as total, sum(v*(y*8+x+1))::bigint as place from gray group by vec_id"
 )
 def scan_image_decoded(spark, sf_dir):
-    """PNG files made of the embeddings, read from their folder and decoded; checksums of their pixels."""
-    out = S.pixels_of_8_bits(spark, png_folder(spark, sf_dir)).withColumn("path", image_path())
+    """PNG files made of the embeddings, read from their folder and decoded; checksums of their pixels. A file that is no image raises."""
+    out = S.decoded_images(spark, png_folder(spark, sf_dir)).withColumn("path", image_path())
     rows = out.select("path", "width", "height", "channels", "dtype", F.posexplode("data").alias("p", "v"))
     return rows.groupBy("path", "width", "height", "channels", "dtype").agg(F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("p") + 1)).alias("place"))
 
 
 @query("select concat('/images/', lpad(cast(vec_id as string), 9, '0'), '.png') as path, 8 as width, 8 as height, 1 as channels, 'uint8' as dtype from embeddings")
 def image_attributes(spark, sf_dir):
-    """Size, channels and depth from the headers of PNG files in a folder."""
-    return S.scan_files(spark, png_folder(spark, sf_dir), (".png",), content=True).select(image_path(), *S.header(F.col("content")))
+    """Size, channels and depth of image files in a folder, from their first bytes."""
+    return image_headers(spark, png_folder(spark, sf_dir)).select(image_path(), "width", "height", "channels", "dtype")
 
 
 @query(with_f1("select filename, toxic as has_contraband from f1 join labels using (doc_id)"))
@@ -159,9 +160,9 @@ WITH_ATTRIBUTES = ("filepath", "split", "dataset_tag", "stage", "scan_session_id
 )
 def write_index_with_attributes(spark, sf_dir):
     """The layout of the command line tool: size, channels and depth of each file, from its header."""
-    files = S.scan_files(spark, png_folder(spark, sf_dir), names.FINALIZE_EXTENSIONS, content=True)
+    files = image_headers(spark, png_folder(spark, sf_dir))
     name = names.basename(F.col("path"))
-    rows = files.select(name.alias("name"), *S.header(F.col("content"))).withColumn("doc_id", F.regexp_extract("name", "^([0-9]+)", 1).cast("long"))
+    rows = files.select(name.alias("name"), "width", "height", "channels", "dtype").withColumn("doc_id", F.regexp_extract("name", "^([0-9]+)", 1).cast("long"))
     rows = rows.select("*", F.expr(X.SPLIT).alias("split"), F.lit("tag").alias("dataset_tag"), F.lit("Stage0").alias("stage"), F.lit("images").alias("scan_session_id"))
     rows = rows.withColumns({"filepath": names.join_path(F.lit("images"), F.col("split"), F.col("name")), "source_path": names.join_path(F.lit("images"), F.col("name"))})
     path = new_folder(spark, "index")

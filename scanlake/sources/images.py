@@ -1,22 +1,26 @@
-"""Image files: scans that read no bytes they do not need, headers, and pixels.
+"""Image files: scans that read no bytes they do not need, headers, pixels, and a sink for files by name.
 
-Files of 8 bits (PNG, JPEG, BMP) are decoded by Spark's own image source. PNG files of 16 bits, which it does not read, have the small
-decoder here; palettes, interlaced files and TIFF are not read and raise, or give rows of nulls if asked to.
+Files of 8 bits (PNG, JPEG, BMP) are decoded by Spark's own image source. PNG files of 16 bits, which it cuts to 8 without a word, have the small
+decoder here; 16-bit palettes, interlaced files and TIFF are not read and raise, or give rows of nulls if asked to.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlake.functions import names
+from scanlake.sources.headers import SIGNATURE, filesystem, image_headers
+from scanlake.sources.versions import delete
+from scanlake.sources.work import new_folder
 
-SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 DECODED = "path string, height int, width int, channels int, dtype string, data array<int>"
 
@@ -30,33 +34,97 @@ def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...], recu
     return found
 
 
-def pixels_of_8_bits(spark: SparkSession, root: str) -> DataFrame:
-    """Images by Spark's image source: path, height, width, channels (blue, green, red), dtype, data as unsigned bytes; what is no image is left out."""
-    rows = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root).select("image.*")
-    raw = F.hex("data")
-    value = F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") * F.col("nChannels") - 1), lambda i: F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    return rows.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), F.lit("uint8").alias("dtype"), value.alias("data"))
+def pixels_of_8_bits(spark: SparkSession, root: str, extensions: tuple[str, ...] = names.FINALIZE_EXTENSIONS, on_bad: str = "raise", skip: DataFrame | None = None) -> DataFrame:
+    """Images by Spark's image source: path, height, width, channels (blue, green, red), dtype, data as unsigned bytes.
 
+    on_bad: what a file that is no image does: "raise" with its path, or "null" for a row without data. skip(path): files to leave out. The bytes
+    of a batch become its samples in one step, so the cost is in proportion to the pixels.
+    """
+    rows = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root).select("image.*")
+    # The image source writes file:/// where the other sources have file:/.
+    rows = rows.withColumn("origin", F.regexp_replace("origin", "^file:/+", "file:/")).filter(names.has_extension(F.col("origin"), extensions))
+    if skip is not None:
+        rows = rows.join(skip.select(F.col("path").alias("origin")), "origin", "left_anti")
 
-def write_files(files: DataFrame, root: str) -> DataFrame:
-    """Write files(path, content), each under its path in root, a folder that all executors share; returns their paths, written.
+    def run(batches):
+        for batch in batches:
+            height = batch.column(1).to_numpy()
+            good = height >= 0
+            if on_bad == "raise" and not good.all():
+                raise ValueError(f"cannot read {batch.column(0)[int(np.argmin(good))].as_py()}")
+            data, lost = batch.column(4), pa.array(~good)
+            ends = np.frombuffer(data.buffers()[1], dtype=np.int32)[data.offset : data.offset + len(data) + 1]
+            samples = np.frombuffer(data.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]] if data.buffers()[2] is not None else np.zeros(0, np.uint8)
+            lists = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(samples, pa.int32()), mask=lost)
+            sizes = [pa.array(batch.column(i).to_numpy(), pa.int32(), mask=~good) for i in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, pa.array(["uint8"] * len(data), pa.string(), mask=~good), lists], names=["path", "height", "width", "channels", "dtype", "data"])
+
+    return rows.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, DECODED)
 
-    A task that runs again writes the same files again.
+
+def decoded_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = names.FINALIZE_EXTENSIONS, on_bad: str = "raise") -> DataFrame:
+    """All images of a folder, of 8 and of 16 bits: path, height, width, channels, dtype, data.
+
+    Headers are read first, which tell files of 16 bits; only PNG is decoded at that depth. on_bad as for `pixels_of_8_bits`; see `quarantined`.
     """
+    deep = image_headers(spark, root, "list", extensions).filter("dtype = 'uint16'").select("path")
+    files = scan_files(spark, root, extensions, content=True)
+    return pixels_of_8_bits(spark, root, extensions, on_bad, skip=deep).unionByName(decoded(files.join(deep, "path", "left_semi"), on_bad))
 
-    def run(batches):
+
+def quarantined(images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(images that could be read, paths of files that could not) of images that were decoded with on_bad="null"."""
+    return images.filter("data is not null"), images.filter("data is null").select("path")
+
+
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """Write files(path, content), each under its path in root, a folder that all executors share; returns their paths.
+
+    Tasks write to a hidden folder, under names of their own attempt. What the attempts that won have written is a table, committed by Spark;
+    only then are the files in it renamed into place, by tasks as well, which may run again. So no half file and none of a
+    failed or speculative attempt is ever under its name; if the job fails, nothing is. Of equal paths one wins.
+    """
+    spark, staging = files.sparkSession, f"_staging-{uuid.uuid4().hex}"
+    root = root.rstrip("/")
+
+    def stage(batches):
+        store, folder = filesystem(root)
+        context, n = TaskContext.get(), 0
+        own = f"{staging}/{context.partitionId()}-{context.taskAttemptId()}"
+        store.create_dir(f"{folder}/{own}", recursive=True)
+        for batch in batches:
+            staged = []
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                if not path.is_valid or not content.is_valid:
+                    raise ValueError(f"no path or no content: {path}")
+                staged.append(f"{own}/{n}")
+                n += 1
+                with store.open_output_stream(f"{folder}/{staged[-1]}") as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(staged, pa.string())], names=["path", "staged"])
+
+    def rename(batches):
         from pyarrow import fs
 
-        store, folder = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        store, folder = filesystem(root)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                to = f"{folder.rstrip('/')}/{path.lstrip('/')}"
+            for path, staged in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                to = f"{folder}/{path.lstrip('/')}"
                 store.create_dir(to.rsplit("/", 1)[0], recursive=True)
-                with store.open_output_stream(to) as out:
-                    out.write(content)
+                if store.get_file_info(f"{folder}/{staged}").type != fs.FileType.NotFound:  # else an earlier attempt has renamed it
+                    store.move(f"{folder}/{staged}", to)
+                elif store.get_file_info(to).type == fs.FileType.NotFound:
+                    raise ValueError(f"lost {path}")
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
 
-    return files.select("path", "content").mapInArrow(run, "path string")
+    won, done = new_folder(spark, "staged"), new_folder(spark, "renamed")
+    try:
+        files.select("path", "content").mapInArrow(stage, "path string, staged string").write.parquet(won)
+        winners = spark.read.parquet(won).groupBy("path").agg(F.max("staged").alias("staged"))
+        winners.mapInArrow(rename, "path string").write.parquet(done)
+    finally:
+        delete(spark, f"{root}/{staging}")
+    return spark.read.parquet(done)
 
 
 def header(content: Column) -> list[Column]:
@@ -97,30 +165,35 @@ def decode_png(content: bytes) -> np.ndarray:
     width, height, depth, channels = head[0], head[1], head[2], CHANNELS[head[3]]
     step = channels * depth // 8
     raw = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(height, 1 + width * step)
-    out, above = np.zeros((height, width * step), dtype=np.uint8), np.zeros(width * step, dtype=np.uint8)
-    for y in range(height):
-        above = out[y] = _unfiltered(int(raw[y, 0]), raw[y, 1:], above, step)
+    out = unfiltered(raw[:, 0], raw[:, 1:].reshape(height, width, step)).reshape(height, width * step)
     return out.view(">u2" if depth == 16 else np.uint8).reshape(height, width, channels).astype(np.uint16 if depth == 16 else np.uint8)
 
 
-def _unfiltered(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
-    if kind == 0:
-        return row
-    if kind == 2:
-        return row + above
-    if kind == 1:
-        return np.cumsum(row.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
-    out = np.zeros(len(row) + step, dtype=np.int32)
-    up = np.concatenate([np.zeros(step, dtype=np.int32), above.astype(np.int32)])
-    for i in range(step, len(out)):
-        a, b, c = int(out[i - step]), int(up[i]), int(up[i - step])
-        if kind == 3:
-            guess = (a + b) // 2
-        else:
-            p = a + b - c
-            guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-        out[i] = (int(row[i - step]) + guess) & 255
-    return out[step:].astype(np.uint8)
+def unfiltered(kinds: np.ndarray, coded: np.ndarray) -> np.ndarray:
+    """The bytes [H, W, bytes of a pixel] of rows that were coded as differences from their neighbours, by the kind of each row.
+
+    Rows that look left alone, or up alone, are done at once each. If some look at both, all pixels on an ascending diagonal are done together: their
+    neighbours on the left, above, and between these lie on the two diagonals before.
+    """
+    height, width, step = coded.shape
+    if not np.isin(kinds, (3, 4)).any():
+        out = coded.copy()
+        for y in range(height):
+            if kinds[y] == 1:
+                out[y] = np.cumsum(coded[y], axis=0, dtype=np.uint8)
+            elif kinds[y] == 2 and y:
+                out[y] += out[y - 1]
+        return out
+    out = np.zeros((height + 1, width + 1, step), dtype=np.int16)
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]  # left, above, and above left
+        to_a, to_b, to_c = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        nearest = np.where((to_a <= to_b) & (to_a <= to_c), a, np.where(to_b <= to_c, b, c))
+        guess = np.choose(kinds[y, None], (0, a, b, (a + b) >> 1, nearest))
+        out[y + 1, x + 1] = (coded[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def decoded(files: DataFrame, on_bad: str = "raise") -> DataFrame:

@@ -127,17 +127,24 @@ def test_png_round_trip(spark, tmp_path):
     assert heads["a.png"] == (7, 5, 1, "uint8") and heads["b.PNG"] == (3, 4, 3, "uint8") and heads["c.png"] == (6, 6, 1, "uint16")
 
 
-def test_filtered_png_rows():
-    rows = np.arange(24, dtype=np.uint8).reshape(2, 12)
-    above = np.zeros(12, dtype=np.uint8)
-    for kind in range(5):
-        coded = rows[1].astype(int).copy()
-        for i in range(12):
-            a, b, c = (int(rows[1][i - 3]) if i >= 3 else 0), int(rows[0][i]), (int(rows[0][i - 3]) if i >= 3 else 0)
-            guess = [0, a, b, (a + b) // 2, min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]][kind]
-            coded[i] = (coded[i] - guess) % 256
-        assert (files._unfiltered(kind, coded.astype(np.uint8), rows[0], 3) == rows[1]).all()
-    assert (files._unfiltered(0, rows[0], above, 3) == rows[0]).all()
+def coded_rows(pixels, kinds):
+    """PNG filters applied byte by byte, as their definition has it."""
+    h, w, step = pixels.shape
+    out = np.zeros_like(pixels)
+    for y in range(h):
+        for x in range(w):
+            for i in range(step):
+                a, b, c = (int(pixels[y, x - 1, i]) if x else 0), (int(pixels[y - 1, x, i]) if y else 0), (int(pixels[y - 1, x - 1, i]) if x and y else 0)
+                guess = [0, a, b, (a + b) // 2, min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]][kinds[y]]
+                out[y, x, i] = (int(pixels[y, x, i]) - guess) % 256
+    return out
+
+
+@pytest.mark.parametrize("kinds", [[0, 1, 2, 1, 2, 2, 0], [4, 3, 2, 1, 0, 4, 3], [3, 3, 4, 4, 4, 1, 2], [2] * 7])
+def test_filtered_png_rows(kinds):
+    for shape in ((7, 5, 3), (7, 1, 1), (7, 12, 2)):
+        pixels = picture(sum(kinds), shape, np.uint8)
+        assert (files.unfiltered(np.array(kinds), coded_rows(pixels, kinds)) == pixels).all()
 
 
 def test_pixel_table_equals_kernel(spark):
