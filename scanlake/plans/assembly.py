@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from scanlake import fixtures as X
 from scanlake.functions import names
-from scanlake.operators import merges, ranks
+from scanlake.operators import datasets, merges, ranks
 from scanlake.plans.names import DOT, GROUP_SQL, TIME_SQL
 from scanlake.plans.splitting import RATIOS, cut_sql
 from scanlake.registry import query, table
+from scanlake.sources import versions
+from scanlake.sources.work import new_folder
 
 STAGE1, STAGE0 = "doc_id % 3 <> 0", "doc_id % 2 = 0"
 
@@ -108,15 +110,38 @@ def union_sources(spark, sf_dir):
     return rows.select("source", F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]")).alias("sources"))
 
 
+def appended(spark, sf_dir):
+    """The folder of a frozen Stage 1 that Stage 0 was added to."""
+    stage1, stage0 = (t.select("split", "filename") for t in two_indexes(spark, sf_dir))
+    root = new_folder(spark, "frozen")
+    datasets.freeze(datasets.index_rows(stage1, "Stage1", "session", "/interim/Stage1"), root, "Stage1")
+    datasets.append_stage(spark, root, stage0, "/processed/Stage0")
+    return root
+
+
+APPENDED = f"""with {TWO}, m as (select split, filename, 'Stage1' as stage, 'session' as origin, '/interim/Stage1' as source from s1 union all
+ select split, filename, 'Stage01_combined', 'merged_stage0_stage1', '/processed/Stage0' from s0 where not exists (select 1 from s1 where s1.split=s0.split and s1.filename=s0.filename))"""
+
+
 @query(
-    f"""with {TWO}, m as (select split, 'Stage01_combined' as stage, 'merged_stage0_stage1' as origin from s1 union all select split, 'Stage01_combined', 'merged_stage0_stage1' from s0 where doc_id not in (select doc_id from s1))
- select split, stage, origin, count(*) as n_files from m group by split, stage, origin"""
+    f"""{APPENDED} select split, stage, origin, count(*) as n_files, sum(count(*)) over (partition by split)::bigint as n_split, 'Stage1|/processed/Stage0' as sources from m group by split, stage, origin"""
 )
 def merge_stages_append(spark, sf_dir):
-    """Stage 0 appended to a frozen Stage 1, every row stamped, counts recomputed."""
-    merged, _ = merges.merge_skipping(*two_indexes(spark, sf_dir), ["split", "filename"])
-    stamped = merged.withColumns({"stage": F.lit("Stage01_combined"), "origin": F.lit("merged_stage0_stage1")})
-    return stamped.groupBy("split", "stage", "origin").agg(F.count("*").alias("n_files"))
+    """Stage 0 added to a frozen Stage 1: its own rows stay as they are, added ones are stamped; counts and sources are those of the manifest."""
+    root = appended(spark, sf_dir)
+    told = versions.current(spark, root)
+    counts = F.create_map(*[F.lit(v) for pair in told["counts"].items() for v in pair])
+    rows = versions.load(spark, root, "index").groupBy("split", "stage", F.col("scan_session_id").alias("origin")).agg(F.count("*").alias("n_files"))
+    return rows.withColumns({"n_split": counts[F.col("split")].cast("long"), "sources": F.lit("|".join(told["sources"]))})
+
+
+@query(
+    f"""{APPENDED} select concat('images/', split, '/', filename) as filepath, split, stage, origin as scan_session_id, regexp_replace({DOT}, '_(orig|aug[0-9]{{2}})$', '') as group_id, filename, {TIME_SQL} as scan_timestamp,
+ concat(source, '/', split, '/', filename) as source_interim_path from m"""
+)
+def merge_stages_append_index(spark, sf_dir):
+    """The index after adding, which is the manifest's lists of files as well."""
+    return versions.load(spark, appended(spark, sf_dir), "index")
 
 
 REBUILT = f"""with {X.F1}, {X.F3}, n as (select f1.doc_id, f1.filename, {GROUP_SQL.replace("filename", "f1.filename")} as group_id from f1 where {STAGE1}),

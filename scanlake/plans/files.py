@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scanlake import fixtures as X
@@ -205,14 +207,21 @@ def save_or_load_dataset(spark, sf_dir):
     return T.save_or_load(spark, path, lambda: table(spark, sf_dir, "labels")).groupBy("source").agg(F.count("*").alias("n"))
 
 
+@query("select lang, count(*) as n from documents group by lang")
+def save_or_load_table(spark, sf_dir):
+    """The same as a table of the catalog."""
+    name = f"dataset_{uuid.uuid4().hex}"
+    T.save_or_load_table(spark, name, lambda: table(spark, sf_dir, "documents").select("doc_id", "lang"))
+    return T.save_or_load_table(spark, name, lambda: table(spark, sf_dir, "labels")).groupBy("lang").agg(F.count("*").alias("n"))
+
+
 @query(f"select split, count(*) as n_files from (select {X.SPLIT} as split, doc_id from documents) t where split = 'train' or (split = 'val' and doc_id%20 = 0) group by split")
 def rebuild_dataset(spark, sf_dir):
     """Building a dataset again empties every split first: val shrinks, and test, which has no rows any more, goes."""
     path = new_folder(spark, "dataset")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(X.SPLIT).alias("split"))
     T.rebuild(rows, path, "split")
-    T.rebuild(rows.filter("split = 'train' or (split = 'val' and doc_id % 20 = 0)"), path, "split")
-    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n_files"))
+    return T.rebuild(rows.filter("split = 'train' or (split = 'val' and doc_id % 20 = 0)"), path, "split").groupBy("split").agg(F.count("*").alias("n_files"))
 
 
 @query(

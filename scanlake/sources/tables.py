@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from scanlake.functions import labels, names
 from scanlake.operators.annotations import TASK
+from scanlake.sources import versions
+from scanlake.sources.work import new_folder
 
 #: One nullable schema for all stages' label lists.
 LABEL_LIST = "image string, no_contraband int, isolated_items int, overlapping_items int, empty int"
@@ -100,17 +102,34 @@ def write_index(df: DataFrame, path: str, *columns: str) -> None:
 
 
 def save_or_load(spark: SparkSession, path: str, build, overwrite: bool = False) -> DataFrame:
-    """The stored dataset, or build() stored: rebuilt if overwrite."""
-    try:
-        if not overwrite:
-            return spark.read.parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """The stored dataset, or build() stored: built where none was ever finished, or if overwrite. What a failed attempt left behind does not count."""
+    if overwrite or versions.current(spark, path) is None:
+        versions.publish(spark, path, lambda folder: build().write.parquet(folder))
+    return versions.load(spark, path)
+
 
+def save_or_load_table(spark: SparkSession, name: str, build, overwrite: bool = False) -> DataFrame:
+    """The same for a table of the catalog. Its rows are written to a new folder first; then the catalog is told where they are.
 
-def rebuild(df: DataFrame, path: str, *folders: str) -> None:
-    """Write df in folders; every folder of an earlier version goes first, those that df has no rows for as well."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*folders).parquet(path)
+    A table that is replaced by rows of the same columns changes its place in one step; other columns make a new table.
+    """
+    if overwrite or not spark.catalog.tableExists(name):
+        folder = new_folder(spark, name)
+        build().write.parquet(folder)
+        rows = spark.read.parquet(folder)
+        if spark.catalog.tableExists(name) and spark.table(name).schema == rows.schema:
+            spark.sql(f"alter table {name} set location '{folder}'")
+            spark.catalog.refreshTable(name)
+        else:
+            spark.sql(f"drop table if exists {name}")
+            spark.catalog.createTable(name, path=folder, source="parquet")
+    return spark.table(name)
+
+
+def rebuild(df: DataFrame, path: str, *folders: str) -> DataFrame:
+    """Write df in folders as the new version of a dataset, which is read again; folders that df has no rows for are not in it.
+
+    The version before counts until the new one is complete, and can still be read by those that began with it.
+    """
+    versions.publish(df.sparkSession, path, lambda folder: df.write.partitionBy(*folders).parquet(folder))
+    return versions.load(df.sparkSession, path)
