@@ -1,7 +1,7 @@
 """Image operators on a pixel table (id, y, x, c, v): visible to the optimizer, one row a sample; and the same kernels on whole images.
 
-Images of one table may differ in size, channels and depth: what an operator needs of these it takes from the image's own rows. A pixel
-finds the target cells that it counts in by arithmetic on its own place, so that resizing needs no join with a map of cells.
+Images of one table may differ in size, channels and depth: what an operator needs of these it takes from the image's own rows. Resizing and
+denoising need an image as a whole: its pixels meet in one exchange, as one row, and come out as pixels again.
 """
 
 from __future__ import annotations
@@ -54,41 +54,52 @@ def normalize_depth(pixels: DataFrame, key: str = "vec_id") -> DataFrame:
     return pixels.join(ends, key).select(key, "y", "x", "c", F.when(deep, value).otherwise(F.col("v")).cast("int").alias("v"))
 
 
-def _resized(pixels: DataFrame, target: tuple[int, int], key: str, cells) -> DataFrame:
-    """Sums of v by target cell. cells(at, source, target): the (t, w) that a source cell counts in, along one side."""
-    rows = sized(pixels, key)
-    for c, size, to in (("y", "height", target[0]), ("x", "width", target[1])):
-        rows = rows.withColumn(f"_{c}", F.explode(cells(F.col(c), F.col(size).cast("double"), float(to)))).withColumns({f"t{c}": F.col(f"_{c}.t"), f"w{c}": F.col(f"_{c}.w")}).drop(f"_{c}")
-    return rows.groupBy(key, "ty", "tx", "c").agg(F.sum(F.col("v") * F.col("wy") * F.col("wx")).alias("v")).select(key, F.col("ty").alias("y"), F.col("tx").alias("x"), "c", "v")
+def area_weights(source: int, target: int) -> np.ndarray:
+    """[target, source]: the share of a target cell that each source cell covers."""
+    t, cells = np.arange(target)[:, None], np.arange(source)[None]
+    return np.clip(np.minimum((t + 1) * source / target, cells + 1) - np.maximum(t * source / target, cells), 0, None) * target / source
 
 
-def _cells(low: Column, high: Column, target: float, weight) -> Column:
-    """(t, w) of target cells from low to high, within the target, that weigh anything."""
-    places = F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.lit(target - 1)).cast("int"))
-    return F.filter(F.transform(places, lambda t: F.struct(t.alias("t"), weight(t).alias("w"))), lambda c: c["w"] > 1e-12)
+def bilinear_weights(source: int, target: int) -> np.ndarray:
+    """[target, source]: what each source cell weighs in a target cell, by half-pixel centres that are clamped at the borders."""
+    centre = np.clip((np.arange(target)[:, None] + 0.5) * source / target - 0.5, 0, source - 1)
+    return np.clip(1 - np.abs(centre - np.arange(source)[None]), 0, None)
 
 
-def area_cells(at: Column, source: Column, target: float) -> Column:
-    """The share of each target cell that a source cell covers."""
-    edge = source / target
-    weight = lambda t: (F.least((t + 1) * edge, at + 1) - F.greatest(t * edge, at)) / edge
-    return _cells(F.floor(at / edge) - 1, F.ceil((at + 1) / edge), target, weight)
+def _resized(pixels: DataFrame, target: tuple[int, int], key: str, weights) -> DataFrame:
+    """An image's pixels meet once; images of one shape are resized together, by a matrix for each side. One that lacks pixels raises.
 
+    weights(source, target) is a side's matrix. What leaves the task is pixels of the target size.
+    """
 
-def bilinear_cells(at: Column, source: Column, target: float) -> Column:
-    """What a source cell weighs in the target cells whose centre is near it: half-pixel centres, clamped at the borders."""
-    centre = lambda t: F.least(F.greatest((t + 0.5) * source / target - 0.5, F.lit(0.0)), source - 1)
-    low, high = F.floor((at - 0.5) * target / source - 0.5) - 1, F.ceil((at + 1.5) * target / source - 0.5) + 1
-    return _cells(F.when(at == 0, 0).otherwise(low), F.when(at == source - 1, target - 1).otherwise(high), target, lambda t: 1 - F.abs(centre(t) - at))
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            parts, ends = lists.flatten(), np.cumsum(np.r_[0, np.diff(lists.offsets.to_numpy())])
+            place, v = np.stack([parts.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]), parts.field(3).to_numpy(zero_copy_only=False)
+            shapes = np.maximum.reduceat(place, ends[:-1], axis=1).T + 1
+            if (shapes.prod(axis=1) != np.diff(ends)).any():
+                raise ValueError("an image lacks pixels")
+            for shape in np.unique(shapes, axis=0):
+                at = np.flatnonzero((shapes == shape).all(axis=1))
+                own = (ends[at][:, None] + np.arange(shape.prod())).ravel()
+                images = np.empty((len(at), *shape))
+                images[(np.repeat(np.arange(len(at)), shape.prod()), *place[:, own])] = v[own]
+                out = weights(shape[1], target[0]) @ images @ weights(shape[2], target[1]).T
+                cells = [pa.array(np.tile(i.ravel(), len(at)), pa.int32()) for i in np.indices(out.shape[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(at, out[0].size))), cells[1], cells[2], cells[0], pa.array(out.ravel())], names=[key, "y", "x", "c", "v"])
+
+    images = pixels.groupBy(key).agg(F.collect_list(F.struct("c", "y", "x", "v")).alias("p"))
+    return images.select(key, "p").mapInArrow(run, f"{key} {pixels.schema[key].dataType.simpleString()}, y int, x int, c int, v double")
 
 
 def resize_area(pixels: DataFrame, target: tuple[int, int], key: str = "vec_id") -> DataFrame:
     """Area averaging of images to (height, width); v is a double."""
-    return _resized(pixels, target, key, area_cells)
+    return _resized(pixels, target, key, area_weights)
 
 
 def resize_bilinear(pixels: DataFrame, target: tuple[int, int], key: str = "vec_id") -> DataFrame:
-    return _resized(pixels, target, key, bilinear_cells)
+    return _resized(pixels, target, key, bilinear_weights)
 
 
 def median3(pixels: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -131,11 +142,7 @@ def kernel(image: np.ndarray, target: tuple[int, int] | None = None, channels: s
         lo, hi = x.min(), x.max()
         x = np.floor((x - lo) / (hi - lo + 1e-6) * 65535).astype(np.int64)
     if target and target != x.shape[:2]:
-        sides = []
-        for a, b in zip(x.shape[:2], target, strict=True):
-            low, high = np.arange(b)[:, None] * a / b, (np.arange(b)[:, None] + 1) * a / b
-            cells = np.arange(a)[None]
-            sides.append(np.clip(np.minimum(high, cells + 1) - np.maximum(low, cells), 0, None) * b / a)
+        sides = [area_weights(a, b) for a, b in zip(x.shape[:2], target, strict=True)]
         x = np.einsum("ty,sx,yxc->tsc", sides[0], sides[1], x.astype(np.float64))
         x = np.floor(x + (0.5 + SLACK)).astype(np.int64)
     return median(x) if denoise else x

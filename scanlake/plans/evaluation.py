@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanlake import fixtures as X
 from scanlake.functions import scores
+from scanlake.operators import models
 from scanlake.operators.ranks import exact_median
 from scanlake.registry import query, table
 
@@ -70,8 +71,7 @@ def epoch_metrics(spark, sf_dir):
     """Loss and accuracy of an epoch from its batches, weighted by their sizes."""
     n = F.col("l_quantity").cast("int")
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("epoch"), n.alias("n"), F.col("l_discount").cast("double").alias("loss"), F.floor(F.col("l_quantity") * F.col("l_discount") * 10).cast("int").alias("correct"))
-    total = F.greatest(F.lit(1), F.sum("n"))
-    return rows.groupBy("epoch").agg(F.round(F.sum(F.col("loss") * F.col("n")) / total, 6).alias("loss"), F.round(F.sum("correct") / total, 6).alias("accuracy"))
+    return models.epoch_means(rows, "epoch")
 
 
 @query(f"with {PRED} select round(avg(ce), 6) as loss, round(avg(case when y=pred then 1.0 else 0.0 end), 6)::double as accuracy, count(*) as n from pred")

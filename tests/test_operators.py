@@ -171,6 +171,24 @@ def test_bilinear_cells_of_any_size(spark):
         assert np.allclose([got[t] for t in range(target)], np.interp(at, np.arange(source), line))
 
 
+def test_resizing_at_unequal_ratios(spark):
+    """Every cell by its definition, for images of several shapes and channels in one table."""
+    pictures = {"a": picture(1, (6, 9, 1), np.uint8), "b": picture(2, (3, 4, 3), np.uint8), "c": picture(3, (2, 11, 1), np.uint8)}
+    rows = [(k, y, x, c, int(v)) for k, p in pictures.items() for (y, x, c), v in np.ndenumerate(p)]
+    df = spark.createDataFrame(rows, "name string, y int, x int, c int, v int").repartition(5)
+    share = lambda t, s, n, m: max(0.0, min((t + 1) * n / m, s + 1) - max(t * n / m, s)) * m / n
+    near = lambda t, s, n, m: max(0.0, 1 - abs(min(max((t + 0.5) * n / m - 0.5, 0), n - 1) - s))
+    for resize, weight in ((images.resize_area, share), (images.resize_bilinear, near)):
+        for ty, tx in ((4, 5), (7, 2)):
+            got = {(r.name, r.y, r.x, r.c): r.v for r in resize(df, (ty, tx), "name").collect()}
+            assert len(got) == ty * tx * 5
+            for (k, y, x, c), v in got.items():
+                h, w, _ = pictures[k].shape
+                assert abs(v - sum(weight(y, a, h, ty) * weight(x, b, w, tx) * int(pictures[k][a, b, c]) for a in range(h) for b in range(w))) < 1e-9
+    with pytest.raises(Exception, match="lacks pixels"):
+        images.resize_area(df.filter("not (name = 'a' and y = 2 and x = 2)"), (2, 2), "name").collect()
+
+
 def test_color_and_depth_pass_through(spark):
     rows = [(1, 0, 0, 0, 5), *[(2, 0, 0, c, 10 + c) for c in range(3)]]
     df = spark.createDataFrame(rows, "vec_id int, y int, x int, c int, v int")
