@@ -54,22 +54,23 @@ def normalize_depth(pixels: DataFrame, key: str = "vec_id") -> DataFrame:
     return pixels.join(ends, key).select(key, "y", "x", "c", F.when(deep, value).otherwise(F.col("v")).cast("int").alias("v"))
 
 
-def area_weights(source: int, target: int) -> np.ndarray:
-    """[target, source]: the share of a target cell that each source cell covers."""
+def area_weights(source: int, target: int) -> tuple[np.ndarray, int]:
+    """[target, source] and a divisor: the share of a target cell that each source cell covers. Both are whole numbers, so sums are exact."""
     t, cells = np.arange(target)[:, None], np.arange(source)[None]
-    return np.clip(np.minimum((t + 1) * source / target, cells + 1) - np.maximum(t * source / target, cells), 0, None) * target / source
+    return np.clip(np.minimum((t + 1) * source, (cells + 1) * target) - np.maximum(t * source, cells * target), 0, None), source
 
 
-def bilinear_weights(source: int, target: int) -> np.ndarray:
-    """[target, source]: what each source cell weighs in a target cell, by half-pixel centres that are clamped at the borders."""
-    centre = np.clip((np.arange(target)[:, None] + 0.5) * source / target - 0.5, 0, source - 1)
-    return np.clip(1 - np.abs(centre - np.arange(source)[None]), 0, None)
+def bilinear_weights(source: int, target: int) -> tuple[np.ndarray, int]:
+    """The same for what each source cell weighs in a target cell by half-pixel centres, which are clamped at the borders."""
+    unit = 2 * target
+    centre = np.clip((2 * np.arange(target)[:, None] + 1) * source - target, 0, (source - 1) * unit)
+    return np.clip(unit - np.abs(centre - np.arange(source)[None] * unit), 0, None), unit
 
 
 def _resized(pixels: DataFrame, target: tuple[int, int], key: str, weights) -> DataFrame:
     """An image's pixels meet once; images of one shape are resized together, by a matrix for each side. One that lacks pixels raises.
 
-    weights(source, target) is a side's matrix. What leaves the task is pixels of the target size.
+    weights(source, target) is a side's matrix and divisor. What leaves the task is pixels of the target size.
     """
 
     def run(batches):
@@ -85,7 +86,8 @@ def _resized(pixels: DataFrame, target: tuple[int, int], key: str, weights) -> D
                 own = (ends[at][:, None] + np.arange(shape.prod())).ravel()
                 images = np.empty((len(at), *shape))
                 images[(np.repeat(np.arange(len(at)), shape.prod()), *place[:, own])] = v[own]
-                out = weights(shape[1], target[0]) @ images @ weights(shape[2], target[1]).T
+                (rows, by), (columns, times) = (weights(a, b) for a, b in zip(shape[1:].tolist(), target, strict=True))
+                out = rows @ images @ columns.T / (by * times)
                 cells = [pa.array(np.tile(i.ravel(), len(at)), pa.int32()) for i in np.indices(out.shape[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(at, out[0].size))), cells[1], cells[2], cells[0], pa.array(out.ravel())], names=[key, "y", "x", "c", "v"])
 
@@ -102,6 +104,27 @@ def resize_bilinear(pixels: DataFrame, target: tuple[int, int], key: str = "vec_
     return _resized(pixels, target, key, bilinear_weights)
 
 
+def resize_area_by_pixel(pixels: DataFrame, target: tuple[int, int], key: str = "vec_id") -> DataFrame:
+    """Area averaging for images that are too large to be one row: pixels find the target cells that they count in, and are summed there; partial sums are shuffled."""
+    rows = sized(pixels, key)
+    for c, size, to in (("y", "height", target[0]), ("x", "width", target[1])):
+        rows = rows.withColumn(f"_{c}", F.explode(area_cells(F.col(c), F.col(size).cast("double"), float(to)))).withColumns({f"t{c}": F.col(f"_{c}.t"), f"w{c}": F.col(f"_{c}.w")}).drop(f"_{c}")
+    return rows.groupBy(key, "ty", "tx", "c").agg(F.sum(F.col("v") * F.col("wy") * F.col("wx")).alias("v")).select(key, F.col("ty").alias("y"), F.col("tx").alias("x"), "c", "v")
+
+
+def _cells(low: Column, high: Column, target: float, weight) -> Column:
+    """(t, w) of target cells from low to high, within the target, that weigh anything."""
+    places = F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.lit(target - 1)).cast("int"))
+    return F.filter(F.transform(places, lambda t: F.struct(t.alias("t"), weight(t).alias("w"))), lambda c: c["w"] > 1e-12)
+
+
+def area_cells(at: Column, source: Column, target: float) -> Column:
+    """The share of each target cell that a source cell covers."""
+    edge = source / target
+    weight = lambda t: (F.least((t + 1) * edge, at + 1) - F.greatest(t * edge, at)) / edge
+    return _cells(F.floor(at / edge) - 1, F.ceil((at + 1) / edge), target, weight)
+
+
 def median3(pixels: DataFrame, key: str = "vec_id") -> DataFrame:
     """3 x 3 median per channel with the border repeated. An image's pixels meet once, and it is filtered whole; one that lacks pixels raises."""
     fields = pixels.select(key, "y", "x", "c", "v").schema
@@ -142,8 +165,8 @@ def kernel(image: np.ndarray, target: tuple[int, int] | None = None, channels: s
         lo, hi = x.min(), x.max()
         x = np.floor((x - lo) / (hi - lo + 1e-6) * 65535).astype(np.int64)
     if target and target != x.shape[:2]:
-        sides = [area_weights(a, b) for a, b in zip(x.shape[:2], target, strict=True)]
-        x = np.einsum("ty,sx,yxc->tsc", sides[0], sides[1], x.astype(np.float64))
+        (rows, by), (columns, times) = (area_weights(a, b) for a, b in zip(x.shape[:2], target, strict=True))
+        x = np.einsum("ty,sx,yxc->tsc", rows, columns, x.astype(np.float64), optimize=True) / (by * times)
         x = np.floor(x + (0.5 + SLACK)).astype(np.int64)
     return median(x) if denoise else x
 

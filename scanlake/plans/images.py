@@ -106,11 +106,11 @@ MIXED = """mixed as (select vec_id, case when vec_id%2=0 then 8 else 4 end as h,
  select vec_id, cast(y as int) as y, cast(x as int) as x, round(sum(v*wy*wx), 4) as v from c where wy > 1e-12 and wx > 1e-12 group by 1, 2, 3"""
 )
 def resize_mixed_images(spark, sf_dir):
-    """Images of two sizes (8 x 8 and 4 x 16) and two depths in one table: 16-bit values stretched, then all resized to 3 x 3 by area."""
+    """Images of two sizes (8 x 8 and 4 x 16) and two depths in one table: 16-bit values stretched, then all resized to 3 x 3 by area, pixel by pixel."""
     deep, width = F.col("vec_id") % 3 == 0, F.when(F.col("vec_id") % 2 == 0, 8).otherwise(16)
     value = F.floor((F.col("v") + 1) * F.when(deep, 32767.5).otherwise(127.5)).cast("int")
     rows = X.components(spark, sf_dir).select("vec_id", F.floor(F.col("p") / width).cast("int").alias("y"), (F.col("p") % width).alias("x"), F.lit(0).alias("c"), value.alias("v"), F.when(deep, "uint16").otherwise("uint8").alias("dtype"))
-    return I.resize_area(I.normalize_depth(rows), (3, 3)).select("vec_id", "y", "x", F.round("v", 4).alias("v"))
+    return I.resize_area_by_pixel(I.normalize_depth(rows), (3, 3)).select("vec_id", "y", "x", F.round("v", 4).alias("v"))
 
 
 @query(

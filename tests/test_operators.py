@@ -178,7 +178,7 @@ def test_resizing_at_unequal_ratios(spark):
     df = spark.createDataFrame(rows, "name string, y int, x int, c int, v int").repartition(5)
     share = lambda t, s, n, m: max(0.0, min((t + 1) * n / m, s + 1) - max(t * n / m, s)) * m / n
     near = lambda t, s, n, m: max(0.0, 1 - abs(min(max((t + 0.5) * n / m - 0.5, 0), n - 1) - s))
-    for resize, weight in ((images.resize_area, share), (images.resize_bilinear, near)):
+    for resize, weight in ((images.resize_area, share), (images.resize_area_by_pixel, share), (images.resize_bilinear, near)):
         for ty, tx in ((4, 5), (7, 2)):
             got = {(r.name, r.y, r.x, r.c): r.v for r in resize(df, (ty, tx), "name").collect()}
             assert len(got) == ty * tx * 5
