@@ -44,10 +44,16 @@ def ordered_distinct(rows: DataFrame) -> DataFrame:
     return rows.groupBy("task", "label").agg(F.min(place).alias("first"), F.min_by("confidence", place).alias("confidence"))
 
 
-def coco_relations(document: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """images, categories and annotations of a detection document; of equal ids the last wins."""
-    images = document.select(F.posexplode("images").alias("pos", "r")).select("pos", "r.*")
-    categories = document.select(F.posexplode("categories").alias("pos", "r")).select("pos", "r.*")
-    annotations = document.select(F.posexplode("annotations").alias("pos", "r")).select("pos", "r.*")
-    last = lambda t: t.groupBy("id").agg(F.max_by(F.struct(*[c for c in t.columns if c not in ("id", "pos")]), "pos").alias("_r")).select("id", "_r.*")
-    return last(images), last(categories), annotations
+def coco_relations(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """images, categories and annotations of detection documents; of equal ids the last wins, by document, then by place.
+
+    A column `document` tells the order of documents; without it there must be one document only, or this raises.
+    """
+    if "document" not in documents.columns:
+        if documents.limit(2).count() > 1:
+            raise ValueError("several detection documents need a column `document` that tells their order")
+        documents = documents.withColumn("document", F.lit(0))
+    part = lambda c: documents.select("document", F.posexplode(c).alias("pos", "r")).select("document", "pos", "r.*")
+    order = F.struct("document", "pos")
+    last = lambda t: t.groupBy("id").agg(F.max_by(F.struct(*[c for c in t.columns if c not in ("id", "document", "pos")]), order).alias("_r")).select("id", "_r.*")
+    return last(part("images")), last(part("categories")), part("annotations").drop("document")

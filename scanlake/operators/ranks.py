@@ -79,29 +79,31 @@ def ranked_within(df: DataFrame, key: str, order: Column, *ties: str) -> DataFra
     return joined.withColumn("i", (F.col("_start") + F.col("_own")).cast("long")).drop("_part", "_own", "_key", "_of", "_start")
 
 
-def exact_median(df: DataFrame, column: str, bins: int = 1024) -> float | None:
-    """The median of a column of doubles (mean of the two middle values), without sorting all of it; nulls and NaN are left out.
+def exact_median(df: DataFrame, column: str, most: int = 1024, accuracy: int = 1000) -> float | None:
+    """The median of a column of doubles (mean of the two middle values), without sorting all of it; nulls and NaN are left out, infinities count.
 
-    Rows are counted in equal bins, of which at most two hold the middle; these are cut again until they hold few values.
+    Approximate quantiles on both sides of a middle place bracket it, whatever the scale of the values. What lies below and at the ends of the bracket
+    is counted exactly; the place is at an end, or strictly between, where a small share of the rows is left. That is repeated until `most` rows are.
     """
     rows = df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    n, lo, hi = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
-    if not n:
-        return None
-    wanted, found = [(n - 1) // 2, n // 2], []
-    for place in wanted:
-        low, high, skipped = lo, hi, 0
-        while low < high:
-            part = rows.filter(F.col("v").between(low, high))
-            if part.limit(bins + 1).count() <= bins:
-                low = high = sorted(r.v for r in part.collect())[place - skipped]
-                break
-            at = F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1)).alias("bin")
-            counts = part.groupBy(at).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("bin").collect()
-            for r in counts:
-                if skipped + r["n"] > place:
-                    low, high = r["low"], r["high"]
-                    break
-                skipped += r["n"]
-        found.append(low)
-    return sum(found) / 2
+    total = rows.count()
+
+    def at(place: int) -> float:
+        part, n, width = rows, total, 3.0
+        while n > most:
+            share = [min(1.0, max(0.0, place / n + d * width / accuracy)) for d in (-1, 1)]
+            low, high = part.agg(F.percentile_approx("v", share, accuracy)).first()[0]
+            v = F.col("v")
+            below, first, inside, last = part.agg(F.count_if(v < low), F.count_if(v == low), F.count_if((v > low) & (v < high)), F.count_if((v == high) & (v > low))).first()
+            place -= below
+            if not 0 <= place < first + inside + last:  # not within the error that was allowed for
+                place, width = place + below, 4 * width
+            elif place < first:
+                return low
+            elif place >= first + inside:
+                return high
+            else:
+                part, n, place = part.filter((v > low) & (v < high)), inside, place - first
+        return sorted(r.v for r in part.collect())[place]
+
+    return (at((total - 1) // 2) + at(total // 2)) / 2 if total else None

@@ -88,7 +88,9 @@ COCO = "images array<struct<id long, file_name string>>, categories array<struct
 
 
 def coco_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    return read_json(spark, path, COCO, lines)
+    """Detection documents, with `document`, which sorts them by file, then by place in it."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return read_json(spark, path, COCO, lines).withColumn("document", place)
 
 
 def write_documents(df: DataFrame, path: str, value: Column) -> None:

@@ -256,6 +256,20 @@ def test_indented_documents(spark, tmp_path):
     assert tables.label_list(spark, str(tmp_path / "lines.json"), lines=True).count() == 2
 
 
+def test_the_last_document_wins(spark, tmp_path):
+    """An id that a later document has at a smaller place."""
+    (tmp_path / "a.json").write_text('{"images": [{"id": 9, "file_name": "x"}, {"id": 1, "file_name": "old"}], "categories": [{"id": 3, "name": "c"}], "annotations": []}')
+    (tmp_path / "b.json").write_text('{"images": [{"id": 1, "file_name": "new"}], "categories": [], "annotations": [{"id": 5, "image_id": 1, "category_id": 3}]}')
+    documents = tables.coco_documents(spark, str(tmp_path))
+    found, categories, marks = annotations.coco_relations(documents)
+    assert {r.id: r.file_name for r in found.collect()} == {9: "x", 1: "new"} and categories.count() == marks.count() == 1
+    assert marks.columns == ["pos", "id", "image_id", "category_id"]
+    with pytest.raises(ValueError, match="several detection documents"):
+        annotations.coco_relations(documents.drop("document"))
+    (tmp_path / "c.json").write_text("\n".join('{"images": [{"id": 1, "file_name": "%d"}], "categories": [], "annotations": []}' % i for i in range(50)))
+    assert annotations.coco_relations(tables.coco_documents(spark, str(tmp_path / "c.json"), lines=True))[0].first().file_name == "49"
+
+
 def test_contradicting_labels(spark):
     rows = spark.createDataFrame([("a", 1, 0, 1), ("b", 1, 1, 1)], "image string, no_contraband int, isolated_items int, empty int")
     good, bad = labels.consistent(rows, labels.rule_combo, "quarantine")
@@ -273,9 +287,12 @@ def test_empty_split_raises(spark):
 
 def test_exact_median_and_ranks_within(spark):
     rnd = np.random.default_rng(8)
-    for values in ([3.0], [1.0, 2.0], [5.0] * 9, list(rnd.random(2001)), [*rnd.random(3000), 1e9, -1e9], [1.0] * 50 + [2.0] * 50):
+    for values in ([3.0], [1.0, 2.0], [5.0] * 9, list(rnd.random(2001)), [*rnd.random(3000), 1e9, -1e9], [1.0] * 50 + [2.0] * 50, [10.0**k for k in range(-300, 300)], [*rnd.random(900), *[np.inf] * 80], [*[-np.inf] * 700, *rnd.random(699)],
+                   [-1.7e308, *rnd.random(800) * 1e308, 1.7e308], [np.inf] * 90, [*[np.nan] * 50, *range(40)]):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
-        assert ranks.exact_median(df, "v", bins=16) == np.median(values)
+        want = np.sort([v for v in values if not np.isnan(v)])
+        assert ranks.exact_median(df, "v", most=16, accuracy=50) == (want[(len(want) - 1) // 2] + want[len(want) // 2]) / 2
+    assert ranks.exact_median(spark.createDataFrame([(float(v),) for v in [*rnd.random(5000), np.inf]], "v double"), "v") < 1
     assert ranks.exact_median(spark.createDataFrame([], "v double"), "v") is None
     rows = [(int(u), int(t)) for u, t in zip([7] * 500 + list(rnd.integers(0, 5, 100)), rnd.permutation(600), strict=True)]
     got = ranks.ranked_within(spark.createDataFrame(rows, "u int, t int"), "u", F.floor(F.col("t") / 50), "t").collect()
