@@ -9,7 +9,7 @@ from scanlake import fixtures as X
 from scanlake.functions import labels as L
 from scanlake.functions import names
 from scanlake.operators import annotations as A
-from scanlake.operators import merges
+from scanlake.operators import chunks, merges
 from scanlake.registry import query, table
 from scanlake.sources import tables as T
 from scanlake.sources.work import new_folder
@@ -127,20 +127,37 @@ def join_coco_to_images(spark, sf_dir):
     return X.files(spark, sf_dir).select("doc_id", "filename").join(by_name, "filename", "left").select("doc_id", "image_id")
 
 
+def detections(spark, sf_dir):
+    """Annotations with the name of their category, and how one is shown."""
+    images, annotations, categories = coco(spark, sf_dir)
+    rows = annotations.join(images.select(F.col("id").alias("image_id")), "image_id").join(categories.withColumnRenamed("id", "category_id"), "category_id", "left")
+    label = F.coalesce("name", F.col("category_id").cast("string"))
+    return rows, F.concat(label, F.lit(":"), F.col("x").cast("int").cast("string"))
+
+
 @query(
     f"""with {COCO} select image_id, count(*) as n, string_agg(concat(coalesce(n.n_name, cast(category_id as string)), ':', cast(cast(x as int) as string)), '|' order by an.id) as found
  from an join im on im.id = an.image_id left join nation n on n.n_nationkey = an.category_id group by image_id"""
 )
 def detections_by_image(spark, sf_dir):
     """Detections of an image in order, with category names; shown as text."""
-    images, annotations, categories = coco(spark, sf_dir)
-    rows = annotations.join(images.select(F.col("id").alias("image_id")), "image_id").join(categories.withColumnRenamed("id", "category_id"), "category_id", "left")
-    label = F.coalesce("name", F.col("category_id").cast("string"))
-    shown = F.concat(label, F.lit(":"), F.col("x").cast("int").cast("string"))
+    rows, shown = detections(spark, sf_dir)
     found = F.transform(F.array_sort(F.collect_list(F.struct("id", shown.alias("t")))), lambda s: s["t"])
     return rows.groupBy("image_id").agg(F.count("*").alias("n"), F.array_join(found, "|").alias("found"))
 
 
+@query(
+    f"""with {COCO}, c as (select image_id, an.id, (row_number() over (partition by image_id order by an.id) - 1)//3 as chunk, concat(coalesce(n.n_name, cast(category_id as string)), ':', cast(cast(x as int) as string)) as shown
+  from an join im on im.id = an.image_id left join nation n on n.n_nationkey = an.category_id)
+ select image_id, chunk::bigint as chunk, count(*) as n, string_agg(shown, '|' order by id) as found from c group by image_id, chunk"""
+)
+def detection_chunks(spark, sf_dir):
+    """The same in lists of three at most, so that an image with very many detections is no single row."""
+    rows, shown = detections(spark, sf_dir)
+    found = chunks.chunked(rows.select("image_id", "id", shown.alias("shown")), "image_id", ["id"], F.col("shown"), 3)
+    return found.select("image_id", "chunk", "n", F.array_join("found", "|").alias("found"))
+
+
 @query(
     f"""with {COCO}, s as (select f.doc_id, f.doc_id%13 <> 1 as matched, exists (select 1 from an where an.image_id=f.doc_id) as has from f1 f)
  select count(*) filter (matched and has) as merged, count(*) filter (not matched) as missing, count(*) filter (matched and not has) as empty from s"""

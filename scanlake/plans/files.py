@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scanlake import fixtures as X
 from scanlake.functions import labels, names
+from scanlake.operators import chunks
 from scanlake.plans.images import as_images
 from scanlake.plans.names import INDEX_SQL, index_columns, with_f1
 from scanlake.registry import query, table
@@ -268,3 +269,48 @@ def dataset_fingerprint(spark, sf_dir):
     """Files, bytes and a digest that no order changes: two sums over the files' whole hashes, so no list of them is gathered."""
     text = F.col("text").cast("binary")
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("n_files"), F.sum(F.octet_length(text)).cast("long").alias("n_bytes"), X.digest(text).alias("digest"))
+
+
+TREE = """leaf as (select {side}, substr(md5(path), 1, 2) as node, count(*) as n, md5(string_agg(concat(path, ':', md5(text)), ',' order by path)) as digest from f group by {side}, substr(md5(path), 1, 2)),
+ mid as (select {side}, substr(node, 1, 1) as node, sum(n)::bigint as n, md5(string_agg(concat(node, ':', digest), ',' order by node)) as digest from leaf group by {side}, substr(node, 1, 1)),
+ top as (select {side}, '' as node, sum(n)::bigint as n, md5(string_agg(concat(node, ':', digest), ',' order by node)) as digest from mid group by {side}),
+ tree as (select 2 as level, * from leaf union all select 1, * from mid union all select 0, * from top)"""
+
+
+def hashed(rows):
+    """path and digest of rows(doc_id, text)."""
+    return rows.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"with f as (select 0 as side, concat('docs/', cast(doc_id as string), '.txt') as path, text from documents), {TREE.format(side='side')} select level, node, n, digest from tree")
+def dataset_hash_tree(spark, sf_dir):
+    """Digests of a dataset, of sixteenths of it, and of sixteenths of these, by the hash of the files' paths."""
+    return chunks.hash_tree(hashed(table(spark, sf_dir, "documents")), digits=2)
+
+
+@query(
+    f"""with f as (select 0 as side, concat('docs/', cast(doc_id as string), '.txt') as path, text from documents union all
+ select 1, concat('docs/', cast(doc_id as string), '.txt'), case when doc_id%97=5 then concat(text, '.') else text end from documents where doc_id%151<>7), {TREE.format(side='side')},
+ a as (select * from tree where side=0), b as (select * from tree where side=1)
+ select coalesce(a.level, b.level) as level, coalesce(a.node, b.node) as node, coalesce(a.n, 0) as n_a, coalesce(b.n, 0) as n_b from a full join b on a.level=b.level and a.node=b.node where a.digest is distinct from b.digest"""
+)
+def dataset_differences(spark, sf_dir):
+    """Where two versions of a dataset differ: some texts are changed in the second, and some are not in it."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    changed = rows.filter("doc_id % 151 <> 7").withColumn("text", F.when(F.col("doc_id") % 97 == 5, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    return chunks.tree_differences(*(chunks.hash_tree(hashed(r), digits=2) for r in (rows, changed)))
+
+
+@query(
+    f"""with {X.F5}, {X.GRAY}, r as (select vec_id, cast(floor(y/2.0) as int) as y, cast(floor(x/2.0) as int) as x, cast(floor(avg(v)+0.5) as int) as v from gray group by 1, 2, 3), o as (select unnest([-1,0,1]) as d),
+ n as (select g.vec_id, g.y, g.x, m.v from r g cross join o a cross join o b join r m on m.vec_id=g.vec_id and m.y=least(greatest(g.y+a.d,0),3) and m.x=least(greatest(g.x+b.d,0),3)),
+ m as (select vec_id, y, x, cast(median(v) as int) as v from n group by vec_id, y, x)
+ select concat('interim/images/', lpad(cast(vec_id as string), 9, '0'), '.png') as path, 4 as height, 4 as width, 'uint8' as dtype, sum(v)::bigint as total, sum(v*(y*4+x+1))::bigint as place from m group by vec_id"""
+)
+def preprocess_folder(spark, sf_dir):
+    """The job from folder to folder: read images, transform them, write each under its relative path; then what was written, read again."""
+    out = f"{new_folder(spark, 'preprocessed')}/interim"
+    S.preprocess_folder(spark, png_folder(spark, sf_dir), out, (4, 4))
+    read = S.decoded_images(spark, out).withColumn("path", F.regexp_extract("path", "(interim/.*)$", 1))
+    rows = read.select("path", "height", "width", "dtype", F.posexplode("data").alias("p", "v"))
+    return rows.groupBy("path", "height", "width", "dtype").agg(F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("p") + 1)).alias("place"))

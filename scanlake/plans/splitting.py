@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scanlake import fixtures as X
 from scanlake.functions import names
-from scanlake.operators import ranks
+from scanlake.operators import chunks, ranks
 from scanlake.plans.names import DOT, GROUP_SQL
 from scanlake.registry import query, table
 
@@ -73,6 +73,17 @@ def group_members(spark, sf_dir):
     return rows.groupBy("group_id").agg(F.count("*").alias("n_files"), F.array_join(F.sort_array(F.collect_list("filename")), "|").alias("files"))
 
 
+@query(
+    f"""with {groups_cte()}, c as (select group_id, filename, (row_number() over (partition by group_id order by filename, doc_id) - 1)//2 as chunk from parts)
+ select group_id, chunk::bigint as chunk, count(*) as n, string_agg(filename, '|' order by filename) as files from c group by group_id, chunk"""
+)
+def group_member_chunks(spark, sf_dir):
+    """The same in lists of two files at most, so that a group of any size is no single row."""
+    rows = X.files(spark, sf_dir).withColumn("group_id", names.group_id(F.col("filename")))
+    found = chunks.chunked(rows.select("group_id", "filename", "doc_id"), "group_id", ["filename", "doc_id"], F.col("filename"), 2)
+    return found.select("group_id", "chunk", "n", F.array_join("found", "|").alias("files"))
+
+
 @query(
     f"""with {groups_cte()}, l as (select doc_id, max(toxic) as label from labels group by doc_id)
  select split, count(*) as n_images, count(distinct group_id) as n_groups, sum(coalesce(label, 0))::bigint as n_positive, round(avg(coalesce(label, 0)), 6) as positive_rate from parts left join l using (doc_id) group by split"""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from scanlake.functions import names
 from scanlake.sources.headers import SIGNATURE, filesystem, image_headers
-from scanlake.sources.versions import delete
+from scanlake.sources.versions import delete, qualified
 from scanlake.sources.work import new_folder
 
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -217,11 +217,33 @@ def decoded(files: DataFrame, on_bad: str = "raise") -> DataFrame:
 
 
 def encoded(images: DataFrame) -> DataFrame:
-    """files(path, content, length) from images(path, height, width, data) of one channel of 8 bits."""
+    """files(path, content, length), as PNG, from images(path, height, width, channels, dtype, data) of one channel, or of three with blue first."""
 
     def run(batches):
         for batch in batches:
-            out = [encode_png(np.array(d, dtype=np.uint8).reshape(h, w)) for h, w, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            lists, out = batch.column(5), []
+            ends, data = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i, (h, w, c, dtype) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True)):
+                pixels = data[ends[i] : ends[i + 1]].astype(dtype).reshape(h, w, c)
+                out.append(encode_png(pixels[:, :, ::-1] if c == 3 else pixels[:, :, 0]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array([len(o) for o in out], pa.int64())], names=["path", "content", "length"])
 
-    return images.select("path", "height", "width", "data").mapInArrow(run, "path string, content binary, length long")
+    return images.select("path", "height", "width", "channels", "dtype", "data").mapInArrow(run, "path string, content binary, length long")
+
+
+def preprocess_folder(spark: SparkSession, source: str, target: str, size: tuple[int, int] | None = (512, 512), channels: str = "gray", denoise: bool = True, transform=None, on_bad: str = "raise") -> DataFrame:
+    """Each image of a folder through the kernels (see operators.images.preprocess), written as PNG in another under its relative path.
+
+    Paths that differ in their suffix alone would be one file, and raise. Returns the paths that were written, relative to target. on_bad: "raise",
+    or "skip" for files that cannot be read. Nothing is shuffled but paths.
+    """
+    from scanlake.operators.images import preprocess
+
+    files = scan_files(spark, source, names.PREPROCESS_EXTENSIONS)
+    root = qualified(spark, source)
+    renamed = names.with_suffix(names.relative(F.col("path"), root), ".png")
+    twice = files.groupBy(renamed.alias("path")).agg(F.count("*").alias("n"), F.min("path").alias("first")).filter("n > 1").head()
+    if twice:
+        raise ValueError(f"{twice['n']} files would be written as {twice['path']}, {twice['first']} among them")
+    images = decoded_images(spark, source, names.PREPROCESS_EXTENSIONS, "raise" if on_bad == "raise" else "null").filter("data is not null")
+    return write_files(encoded(preprocess(images, size, channels, denoise, transform)).withColumn("path", renamed), target)

@@ -24,6 +24,11 @@ def store_of(spark: SparkSession, path: str):
     return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as file scans show it, with its scheme."""
+    return store_of(spark, path).makeQualified(_path(spark, path)).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     return store_of(spark, path).exists(_path(spark, path))
 

@@ -174,3 +174,29 @@ def test_files_appear_only_when_their_job_has_won(spark, tmp_path):
     assert {f"/{p.relative_to(root)}": p.read_bytes() for p in root.rglob("*") if p.is_file()} == dict(rows)
     S.write_files(spark.createDataFrame([("/s/3.bin", b"new")], "path string, content binary"), str(root))
     assert (root / "s" / "3.bin").read_bytes() == b"new" and len(list(root.iterdir())) == 1
+
+
+def test_a_folder_is_preprocessed_into_another(spark, tmp_path):
+    from scanlake.operators.images import kernel
+
+    made = pictures()
+    (tmp_path / "in" / "s1").mkdir(parents=True)
+    for name, pixels in made.items():
+        (tmp_path / "in" / "s1" / name.replace("a.png", "A.PNG")).write_bytes(S.encode_png(pixels))
+    (tmp_path / "in" / "note.txt").write_text("x")
+    done = S.preprocess_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), (10, 12))
+    assert sorted(r.path for r in done.collect()) == ["s1/A.png", "s1/b.png", "s1/c.png"]
+    for name, pixels in made.items():
+        got = S.decode_png((tmp_path / "out" / "s1" / name.replace("a.png", "A.png")).read_bytes())
+        stored = pixels[:, :, ::-1] if pixels.ndim == 3 else pixels[:, :, None]
+        assert got.dtype == pixels.dtype and (got == kernel(stored, (10, 12))).all()
+    (tmp_path / "in" / "s1" / "b.jpg").write_text("no image")
+    with pytest.raises(ValueError, match="written as s1/b.png"):
+        S.preprocess_folder(spark, str(tmp_path / "in"), str(tmp_path / "out2"))
+    (tmp_path / "in" / "s1" / "b.png").unlink()
+    with pytest.raises(Exception, match="cannot read .*b.jpg"):
+        S.preprocess_folder(spark, str(tmp_path / "in"), str(tmp_path / "out2"))
+    assert not [p for p in (tmp_path / "out2").rglob("*") if p.is_file()]
+    S.preprocess_folder(spark, str(tmp_path / "in"), str(tmp_path / "out2"), None, channels="color", on_bad="skip")
+    assert sorted(p.name for p in (tmp_path / "out2").rglob("*") if p.is_file()) == ["A.png", "c.png"]
+    assert S.decode_png((tmp_path / "out2" / "s1" / "A.png").read_bytes()).shape == (512, 512, 3)
