@@ -7,8 +7,8 @@ so that the expected sample has the wanted share of all tokens; a probability ca
 kept whole. The choice is a hash of the id, so the same rows are taken again after a lost executor.
 
 Tokens are those of a tokenizer's model (token_counts). Topics are learnt: a text is the counts of its words (what spaces and line feeds part) in DIMENSIONS hash buckets (square
-roots, weighted by how few sampled texts have the bucket), and TOPICS centres are fitted to the directions of about SAMPLE texts by
-spherical k-means; every text has the topic of its nearest centre. Both are worked out from whole texts once and written with the row.
+roots, weighted by how few texts have the bucket), and TOPICS centres are fitted to the directions of all texts by spherical k-means, a sum over
+the tasks for each sweep; a text has the topic of its nearest centre. Counts and tokens are worked out from whole texts once and written with the row.
 """
 
 from __future__ import annotations
@@ -21,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.llm.common import slices, written
-from scanlake.llm.token_counts import TOGETHER, Counts, frequent_pre_tokens, pre_tokens
+from scanlake.llm.token_counts import Counts, frequent_pre_tokens, pre_tokens
 from scanlake.llm.words import word_hashes_of
 
 SWEEPS, TOLERANCE, GRID = 200, 1e-6, 64
 #: Cells that one task may rake; more are raked by joins, with a table written after each sweep.
 IN_ONE_TASK = 100_000
-TOPICS, DIMENSIONS, SAMPLE, ROUNDS = 8, 512, 4096, 30
+#: Sweeps end early where no centre moves by more than MOVED. Directions are summed as whole numbers of 1 / FINE, so that no order of tasks shows.
+TOPICS, DIMENSIONS, ROUNDS, STARTS, MOVED, FINE = 8, 512, 10, 4096, 1e-3, 1 << 20
+#: Texts of a batch that are numbered together.
+TOGETHER = 256
 
 
 def word_vectors(found: pa.DictionaryArray, doc: np.ndarray, texts: int) -> np.ndarray:
@@ -49,54 +52,113 @@ def directions(vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def fit_topics(vectors: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket weights and at most TOPICS centres, in descending order of their texts, by spherical k-means."""
-    vectors = vectors[vectors.any(axis=1)]
-    vectors = vectors[np.lexsort(vectors.T)]
-    weights = np.log((len(vectors) + 1) / ((vectors > 0).sum(axis=0) + 1)).astype(np.float32) + np.float32(0.01)
-    if not len(vectors):
-        return weights, np.zeros((0, DIMENSIONS), np.float32)
-    x, rnd = directions(vectors, weights), np.random.default_rng(seed)
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Rows of float32 from vectors as written: float16, little-endian."""
+    found = np.frombuffer(b"".join(vectors.to_pylist()), dtype="<f2") if len(vectors) else np.zeros(0, dtype="<f2")
+    return found.astype(np.float32).reshape(-1, DIMENSIONS)
+
+
+def described(rows: DataFrame, model: str, frequent) -> DataFrame:
+    """rows(keep, text) as keep, n_tokens and vector (see word_vectors), null for texts without words."""
+
+    def run(batches):
+        counts = Counts(model, frequent.value)
+        for batch in slices(batches, TOGETHER):
+            pieces = numbered(batch.column(1))
+            vectors = [v.tobytes() if v.any() else None for v in word_vectors(*pieces).astype("<f2")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.of_pieces(*pieces)), pa.array(vectors, pa.binary())], names=["keep", "n_tokens", "vector"])
+
+    return rows.select("keep", "text").mapInArrow(run, f"keep {rows.schema['keep'].dataType.simpleString()}, n_tokens long, vector binary")
+
+
+def bucket_weights(vectors: DataFrame) -> tuple[np.ndarray, int]:
+    """The weight of each bucket, from the number of texts that have it, and the number of texts."""
+
+    def count(batches):
+        n, held = 0, np.zeros(DIMENSIONS, dtype=np.int64)
+        for batch in slices(batches, 4096):
+            x = matrix(batch.column(0))
+            n, held = n + len(x), held + (x > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMENSIONS), pa.int32()), pa.array(np.r_[n, held], pa.int64())], names=["bucket", "n"])
+
+    found = dict(map(tuple, vectors.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect()))
+    n, held = found.get(-1, 0), np.array([found.get(i, 0) for i in range(DIMENSIONS)])
+    return (np.log((n + 1) / (held + 1)) + 0.01).astype(np.float32), n
+
+
+def first_centres(x: np.ndarray, seed: int) -> np.ndarray:
+    """At most TOPICS directions to begin with: rows of x that are far from each other, drawn one after another, then moved to the middle of the rows nearest to them."""
+    rnd = np.random.default_rng(seed)
+    x = x[np.lexsort(x.T)]
     centres = x[[rnd.integers(len(x))]]
     while len(centres) < min(TOPICS, len(x)):
         far = np.maximum(0, 1 - (x @ centres.T).max(axis=1)).astype(float)
         if far.sum() < 1e-6:
             break
         centres = np.r_[centres, x[[rnd.choice(len(x), p=far / far.sum())]]]
-    for _ in range(ROUNDS):
+    for _ in range(3 * ROUNDS):
         own = (x @ centres.T).argmax(axis=1)
-        sums = np.stack([x[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))])
-        centres = directions(sums, np.float32(1))
-    size = np.bincount((x @ centres.T).argmax(axis=1), minlength=len(centres))
-    return weights, centres[np.argsort(-size, kind="stable")]
-
+        centres = directions(np.stack([x[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))]), np.float32(1))
+    return centres
 
-def sampled_topics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Topics of about SAMPLE rows of docs, at most twice as many, drawn by a hash of the row: a documented bound of the fit alone."""
 
-    def vectors(batches):
-        for batch in slices(batches, TOGETHER):
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in word_vectors(*numbered(batch.column(0)))], pa.binary())], names=["v"])
+def swept(vectors: DataFrame, weights: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of the directions that are nearest to each centre, in whole numbers of 1 / FINE, and their numbers."""
 
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * share)) if share < 1 else docs
-    found = [np.frombuffer(r.v, dtype=np.float32) for r in drawn.select("text").limit(2 * SAMPLE).mapInArrow(vectors, "v binary").collect()]
-    return fit_topics(np.stack(found) if found else np.zeros((0, DIMENSIONS), np.float32))
+    def run(batches):
+        sums, n = np.zeros((len(centres), DIMENSIONS), dtype=np.int64), np.zeros(len(centres), dtype=np.int64)
+        for batch in slices(batches, 4096):
+            x = directions(matrix(batch.column(0)), weights)
+            own = (x @ centres.T).argmax(axis=1)
+            whole = np.rint(x * FINE).astype(np.int64)
+            for k in range(len(centres)):
+                sums[k] += whole[own == k].sum(axis=0)
+            n += np.bincount(own, minlength=len(centres))
+        cells = np.c_[n, sums]
+        k, at = np.nonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(at, pa.int32()), pa.array(cells[k, at], pa.int64())], names=["k", "at", "v"])
+
+    cells = np.zeros((len(centres), DIMENSIONS + 1), dtype=np.int64)
+    for k, at, v in vectors.mapInArrow(run, "k int, at int, v long").groupBy("k", "at").agg(F.sum("v")).collect():
+        cells[k, at] = v
+    return cells[:, 1:], cells[:, 0]
+
+
+def fit_topics(vectors: DataFrame, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket weights and at most TOPICS centres, in descending order of their texts, from all rows of vectors(vector), without nulls.
+
+    Sweeps begin at centres fitted to the STARTS different rows with the smallest hashes; every sweep is over all rows.
+    """
+    weights, n = bucket_weights(vectors)
+    if not n:
+        return weights, np.zeros((0, DIMENSIONS), np.float32)
+    key = F.xxhash64("vector").alias("key")
+    least = [r.key for r in vectors.select(key).distinct().orderBy("key").limit(STARTS).collect()]
+    starts = vectors.select(key, "vector").filter(F.col("key") <= least[-1]).groupBy("key").agg(F.min("vector").alias("vector")).orderBy("key").collect()
+    centres = first_centres(directions(matrix(pa.array([bytes(r.vector) for r in starts], pa.binary())), weights), seed)
+    for _ in range(ROUNDS):
+        sums, sizes = swept(vectors, weights, centres)
+        moved = np.where(sizes[:, None] > 0, directions(sums.astype(np.float64), 1.0), centres).astype(np.float32)
+        done, centres = np.abs(moved - centres).max() <= MOVED, moved
+        if done:
+            break
+    return weights, centres[np.argsort(-sizes, kind="stable")]
 
 
-def described(rows: DataFrame, model: str, frequent, topics) -> DataFrame:
-    """rows(keep, text) as keep, n_tokens and topic ("empty" without words, else its number)."""
+def topic_of(topics):
+    """A column function: the topic of a vector ("empty" where it is null), by broadcast weights and centres."""
 
-    def run(batches):
-        counts, (weights, centres) = Counts(model, frequent.value), topics.value
-        for batch in slices(batches, TOGETHER):
-            pieces = numbered(batch.column(1))
-            vectors = word_vectors(*pieces)
-            nearest = (directions(vectors, weights) @ centres.T).argmax(axis=1) if len(centres) else np.zeros(len(vectors), dtype=int)
-            names = [f"topic {k}" if some else "empty" for k, some in zip(nearest, vectors.any(axis=1), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.of_pieces(*pieces)), pa.array(names, pa.string())], names=["keep", "n_tokens", "topic"])
+    @F.pandas_udf("string")
+    def nearest(vector: pd.Series) -> pd.Series:
+        weights, centres = topics.value
+        out = pd.Series(["empty"] * len(vector), index=vector.index)
+        some = vector.notna()
+        if some.any() and len(centres):
+            x = directions(matrix(pa.array(vector[some], pa.binary())), weights)
+            out[some] = [f"topic {k}" for k in (x @ centres.T).argmax(axis=1)]
+        return out
 
-    return rows.select("keep", "text").mapInArrow(run, f"keep {rows.schema['keep'].dataType.simpleString()}, n_tokens long, topic string")
+    return nearest
 
 
 def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
@@ -179,11 +241,12 @@ def mixed(docs: DataFrame, powers: dict[str, float], share: float, model: str, s
     empty result.
     """
     spark = docs.sparkSession
-    frequent, topics = spark.sparkContext.broadcast(frequent_pre_tokens(docs, model)), spark.sparkContext.broadcast(sampled_topics(docs))
+    frequent = spark.sparkContext.broadcast(frequent_pre_tokens(docs, model))
     value = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
     names = {f"_m{i}": c for i, c in enumerate(powers)}
-    rows = described(docs.select(F.struct(*docs.columns).alias("keep"), "text"), model, frequent, topics)
-    rows = written(rows.select(F.col("keep").alias("row"), "n_tokens", "topic"), "described")
+    rows = written(described(docs.select(F.struct(*docs.columns).alias("keep"), "text"), model, frequent).withColumnRenamed("keep", "row"), "described")
+    topics = spark.sparkContext.broadcast(fit_topics(rows.select("vector").filter("vector is not null")))
+    rows = rows.select("row", "n_tokens", topic_of(topics)("vector").alias("topic"))
     keyed = rows.select("*", *[value(F.col("topic") if c == "topic" else F.col(f"row.{c}")).alias(m) for m, c in names.items()])
     cells = written(keyed.groupBy(*names).agg(F.sum("n_tokens").alias("mass")), "masses")
     fitted = written(raked(cells, {m: written(tempered(cells, m, p), "targets") for m, p in zip(names, powers.values(), strict=True)}), "weights")

@@ -57,6 +57,16 @@ class Counts(dict):
         self[key] = n
         return n
 
+    def met(self, keys: list[str]) -> list[int]:
+        """The tokens of pre-tokens that are not in the table, encoded together; as many as it holds are remembered."""
+        if len(self) + len(keys) > CACHE:
+            self.clear()
+            self.update(self.frequent)
+        found = self.encode([k if k[0] == "\n" else k[1:] for k in keys], num_threads=1) if keys else []
+        sizes = [len(ids) - 1 if k[0] == "\n" else len(ids) or 1 for k, ids in zip(keys, found, strict=True)]
+        self.update(zip(keys[: max(0, CACHE - len(self))], sizes, strict=False))
+        return sizes
+
     def of(self, texts: pa.Array) -> np.ndarray:
         """The tokens of each text."""
         pieces, doc = pre_tokens(texts)
@@ -65,7 +75,11 @@ class Counts(dict):
     def of_pieces(self, found: pa.DictionaryArray, doc: np.ndarray, texts: int) -> np.ndarray:
         """The tokens of each of so many texts, from their numbered pre-tokens."""
         distinct = pc.replace_substring(found.dictionary, " ", SPACE).to_pylist()
-        n = np.fromiter(map(self.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        n = list(map(self.get, distinct))
+        missing = [i for i, known in enumerate(n) if known is None]
+        for i, size in zip(missing, self.met([distinct[i] for i in missing]), strict=True):
+            n[i] = size
+        n = np.array(n, dtype=np.int64)
         return np.bincount(doc, weights=n[found.indices.to_numpy()], minlength=texts).astype(np.int64) if len(doc) else np.zeros(texts, dtype=np.int64)
 
 

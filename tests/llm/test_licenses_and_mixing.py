@@ -119,7 +119,8 @@ def test_topics_of_unseen_texts(spark, monkeypatch):
     vectors = M.word_vectors(*M.numbered(pa.array([*texts, None, "", " \n"])))
     assert not vectors[300:].any()
     monkeypatch.setattr(M, "TOPICS", 3)
-    weights, centres = M.fit_topics(vectors[:100])
+    table = lambda x: spark.createDataFrame([(v.tobytes(),) for v in x.astype("<f2")], "vector binary").repartition(3)
+    weights, centres = M.fit_topics(table(vectors[:100]))
     found = (M.directions(vectors[100:300], weights) @ centres.T).argmax(axis=1)
     assert len({(int(f), int(k)) for f, k in zip(found, kind[100:], strict=True)}) == 3
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate([*texts[:60], None])], "doc_id long, text string, topic string").repartition(3)
@@ -129,6 +130,32 @@ def test_topics_of_unseen_texts(spark, monkeypatch):
     assert again == {i: r.topic for i, r in got.items()}
 
 
+def test_topics_are_fitted_to_all_rows(spark, monkeypatch):
+    """Every sweep in numpy over all rows, a third of which are copies of one; neither their order nor their partitions matter."""
+    monkeypatch.setattr(M, "STARTS", 6)
+    monkeypatch.setattr(M, "ROUNDS", 4)
+    rnd = np.random.default_rng(1)
+    vectors = np.sqrt(rnd.poisson(0.2, (900, M.DIMENSIONS)) + 3 * (rnd.integers(0, 12, 900)[:, None] == np.arange(M.DIMENSIONS) % 12)).astype("<f2")
+    vectors[::3] = vectors[0]
+    table = lambda x, n: spark.createDataFrame([(v.tobytes(),) for v in x], "vector binary").repartition(n)
+    weights, centres = M.fit_topics(table(vectors, 5))
+    again = M.fit_topics(table(vectors[rnd.permutation(900)], 2))
+    assert (again[0] == weights).all() and (again[1] == centres).all() and len(centres) == 6
+    assert np.allclose(weights, np.log(901 / ((vectors > 0).sum(axis=0) + 1)) + 0.01, atol=1e-5)
+    x = M.directions(vectors.astype(np.float32), weights)
+    hashes = {}
+    for r in table(vectors, 1).selectExpr("xxhash64(vector) as h", "vector").collect():
+        hashes[r.h] = np.frombuffer(r.vector, "<f2").astype(np.float32)
+    want = M.first_centres(M.directions(np.stack([hashes[h] for h in sorted(hashes)[:6]]), weights), 0)
+    for _ in range(4):
+        own = (x @ want.T).argmax(axis=1)
+        size = np.bincount(own, minlength=len(want))
+        want = np.stack([v / np.linalg.norm(v) for v in (x[own == k].astype(float).sum(axis=0) if size[k] else want[k] for k in range(len(want)))]).astype(np.float32)
+    assert np.allclose(centres, want[np.argsort(-size, kind="stable")], atol=1e-4)
+    none = M.fit_topics(table(vectors[:0], 1))
+    assert none[1].shape == (0, M.DIMENSIONS)
+
+
 def test_what_cannot_be_met_is_reported(spark):
     """Cells without mass make these targets contradict each other."""
     cells = spark.createDataFrame([("a", "x", 10), ("b", "y", 10)], "m string, n string, mass long")
