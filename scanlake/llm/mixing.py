@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.llm.common import slices, written
-from scanlake.llm.token_counts import Counts, frequent_pre_tokens, pre_tokens
+from scanlake.llm.token_counts import Counts, pre_tokens
 from scanlake.llm.words import word_hashes_of
 
 SWEEPS, TOLERANCE, GRID = 200, 1e-6, 64
@@ -30,7 +30,7 @@ IN_ONE_TASK = 100_000
 #: Sweeps end early where no centre moves by more than MOVED. Directions are summed as whole numbers of 1 / FINE, so that no order of tasks shows.
 TOPICS, DIMENSIONS, ROUNDS, STARTS, MOVED, FINE = 8, 512, 10, 4096, 1e-3, 1 << 20
 #: Texts of a batch that are numbered together.
-TOGETHER = 256
+TOGETHER = 1024
 
 
 def word_vectors(found: pa.DictionaryArray, doc: np.ndarray, texts: int) -> np.ndarray:
@@ -53,16 +53,18 @@ def directions(vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def matrix(vectors: pa.Array) -> np.ndarray:
-    """Rows of float32 from vectors as written: float16, little-endian."""
-    found = np.frombuffer(b"".join(vectors.to_pylist()), dtype="<f2") if len(vectors) else np.zeros(0, dtype="<f2")
-    return found.astype(np.float32).reshape(-1, DIMENSIONS)
+    """Rows of float32 from vectors as written (float16, little-endian), without nulls."""
+    if not len(vectors):
+        return np.zeros((0, DIMENSIONS), np.float32)
+    ends = np.frombuffer(vectors.buffers()[1], dtype=np.int32)[vectors.offset : vectors.offset + len(vectors) + 1]
+    return np.frombuffer(vectors.buffers()[2], dtype="<f2", offset=int(ends[0]), count=len(vectors) * DIMENSIONS).astype(np.float32).reshape(-1, DIMENSIONS)
 
 
-def described(rows: DataFrame, model: str, frequent) -> DataFrame:
+def described(rows: DataFrame, model: str) -> DataFrame:
     """rows(keep, text) as keep, n_tokens and vector (see word_vectors), null for texts without words."""
 
     def run(batches):
-        counts = Counts(model, frequent.value)
+        counts = Counts(model, {})
         for batch in slices(batches, TOGETHER):
             pieces = numbered(batch.column(1))
             vectors = [v.tobytes() if v.any() else None for v in word_vectors(*pieces).astype("<f2")]
@@ -110,9 +112,8 @@ def swept(vectors: DataFrame, weights: np.ndarray, centres: np.ndarray) -> tuple
         for batch in slices(batches, 4096):
             x = directions(matrix(batch.column(0)), weights)
             own = (x @ centres.T).argmax(axis=1)
-            whole = np.rint(x * FINE).astype(np.int64)
-            for k in range(len(centres)):
-                sums[k] += whole[own == k].sum(axis=0)
+            chosen = (own[:, None] == np.arange(len(centres))).astype(np.float64)
+            sums += (chosen.T @ np.rint(x * FINE)).astype(np.int64)  # whole numbers below 2 ** 53, so exact
             n += np.bincount(own, minlength=len(centres))
         cells = np.c_[n, sums]
         k, at = np.nonzero(cells)
@@ -241,10 +242,9 @@ def mixed(docs: DataFrame, powers: dict[str, float], share: float, model: str, s
     empty result.
     """
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_pre_tokens(docs, model))
     value = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
     names = {f"_m{i}": c for i, c in enumerate(powers)}
-    rows = written(described(docs.select(F.struct(*docs.columns).alias("keep"), "text"), model, frequent).withColumnRenamed("keep", "row"), "described")
+    rows = written(described(docs.select(F.struct(*docs.columns).alias("keep"), "text"), model).withColumnRenamed("keep", "row"), "described")
     topics = spark.sparkContext.broadcast(fit_topics(rows.select("vector").filter("vector is not null")))
     rows = rows.select("row", "n_tokens", topic_of(topics)("vector").alias("topic"))
     keyed = rows.select("*", *[value(F.col("topic") if c == "topic" else F.col(f"row.{c}")).alias(m) for m, c in names.items()])
