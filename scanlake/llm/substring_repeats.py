@@ -5,10 +5,13 @@ A window is SPAN consecutive words; it is removed if the same words start earlie
 1. Seeds. The anchor of a window is the smallest hash of its GRAM-word runs (winnowing), so equal windows have equal
    anchors at equal offsets, and every window belongs to exactly one anchor. An anchor stands for a run of neighbouring windows.
 2. Join. Anchors meet by hash. Within an Arrow batch only the first of equal ones is sent, so a passage that fills a third
-   of the corpus weighs one row a batch.
+   of the corpus weighs one row a batch. Where a batch holds one anchor in many stretches, as a phrase of GRAM words in a third
+   of all documents does, two of them are sent under the anchor, which tells all others of that anchor that it has more than one
+   stretch; the rest need not meet anyone to be extended, and go under keys of their own.
 3. Extend. Each anchor carries a hash of its whole stretch, the words that its windows cover to the left and right. Equal
    stretches repeat as a whole. Where the stretches of one anchor differ, the first row of each is extended word by word:
-   its windows are compared one by one by a 128-bit hash.
+   its windows are compared one by one by a 128-bit hash. Pairs of documents are never formed: n stretches of an anchor would
+   make n * n / 2 extensions, while the windows to the left and right of an anchor are at most RUNS a stretch.
 4. Overlapping repeated windows merge into maximal repeats, at least SPAN words long, and their words go.
 
 Rows are told apart by doc_id and a hash of the text: rows that repeat a doc_id are not earlier than each other.
@@ -34,8 +37,10 @@ TOGETHER = 4096
 
 KEYED = pa.schema([("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("row", pa.int32()), ("at", pa.int64())])
 KEYED_SQL = "kind int, k1 long, k2 long, doc long, row int, at long"
-#: Kinds of rows: to be compared by key, and known to repeat an earlier one.
-OPEN, REPEAT = 0, 1
+#: Kinds of rows: to be compared by key, known to repeat an earlier one, and known to be one of several stretches of an anchor.
+OPEN, REPEAT, EXTEND = 0, 1, 2
+#: Stretches of one anchor that a batch sends under the anchor's hash: as many as it takes to tell that there are several.
+MEET = 2
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -63,9 +68,11 @@ def windows(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return runs_hash(h, SPAN, 2)[start], runs_hash(h, SPAN, 3)[start], start
 
 
-def _first_only(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def _first_only(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, meet: int | None) -> pa.RecordBatch:
     """Rows of one batch: of those with equal keys only the first stays OPEN; keys of the others are spread out.
 
+    With meet, no more than so many different k2 of a k1 stay OPEN; the first rows of further ones become EXTEND and are spread out too.
+
     Rows that are equal in everything are sent once: marks return by (doc, row), so one stands for all of them.
     """
     order = np.lexsort((at, row, doc, k2, k1))
@@ -77,16 +84,21 @@ def _first_only(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, row: np.ndarray
     same, again = equal(k1, k2), equal(k1, k2, doc, row)
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(k1))))
     again |= doc > doc[head]
-    k1 = np.where(again, mix(k1 ^ mix(doc.view(np.uint64) * np.uint64(31) + at.view(np.uint64))), k1)
-    return batch_of(KEYED, again.astype(np.int32), signed(k1), signed(k2), doc, row, at)
+    kind = np.where(again, REPEAT, OPEN)
+    if meet is not None:
+        stretch = np.cumsum(~same)
+        nth = stretch - stretch[np.maximum.accumulate(np.where(equal(k1), 0, np.arange(len(k1))))]
+        kind = np.where(~again & (nth >= meet), EXTEND, kind)
+    k1 = np.where(kind == OPEN, k1, mix(k1 ^ mix(doc.view(np.uint64) * np.uint64(31) + at.view(np.uint64))))
+    return batch_of(KEYED, kind.astype(np.int32), signed(k1), signed(k2), doc, row, at)
 
 
-def _gathered(parts: list[tuple]) -> pa.RecordBatch:
+def _gathered(parts: list[tuple], meet: int | None = None) -> pa.RecordBatch:
     """parts: (k1, k2, at, doc, row) of each document."""
     size = [len(p[0]) for p in parts]
     join = lambda i, kind: np.concatenate([p[i] for p in parts]).astype(kind, copy=False) if parts else np.zeros(0, dtype=kind)
     doc, row = np.repeat(np.array([p[3] for p in parts], dtype=np.int64), size), np.repeat(np.array([p[4] for p in parts], dtype=np.int32), size)
-    return _first_only(join(0, np.uint64), join(1, np.uint64), doc, row, join(2, np.int64))
+    return _first_only(join(0, np.uint64), join(1, np.uint64), doc, row, join(2, np.int64), meet)
 
 
 def _rows(docs: DataFrame, *more: Column) -> DataFrame:
@@ -106,7 +118,7 @@ def _anchors_of(rows: DataFrame) -> DataFrame:
                 if len(words) >= SPAN:
                     gram, stretch, first, more = anchors(word_hashes(words))
                     parts.append((gram, stretch, first * 16 + more, doc, row))
-            yield _gathered(parts)
+            yield _gathered(parts, MEET)
 
     return rows.select("doc", "row", "text").mapInArrow(run, KEYED_SQL)
 
@@ -136,7 +148,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     by_anchor = Window.partitionBy("k1")
     seen = _compared(_anchors_of(rows), F.min("k2").over(by_anchor), F.max("k2").over(by_anchor))
     seen = seen.withColumn("repeat", (F.col("kind") == REPEAT) | (F.col("doc") > F.col("first")))
-    marks = written(seen.filter("repeat or m0 <> m1").select("doc", "row", "at", "repeat"), "anchors")
+    marks = written(seen.filter((F.col("kind") == EXTEND) | F.expr("repeat or m0 <> m1")).select("doc", "row", "at", "repeat"), "anchors")
     extend = marks.filter("not repeat").groupBy("doc", "row").agg(F.collect_set("at").alias("ats"))
     found = _compared(_windows_of(rows.join(extend.hint("shuffle_hash"), ["doc", "row"])))
     found = found.filter((F.col("kind") == REPEAT) | (F.col("doc") > F.col("first"))).select("doc", "row", "at")

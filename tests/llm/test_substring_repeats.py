@@ -89,3 +89,22 @@ def test_repeated_rows_that_hold_their_text_first_keep_it(spark, monkeypatch):
         got = [(r.row.doc_id, r.n_words, r.n_removed) for r in S.without_repeats(docs.repartition(parts), "doc_id").collect()]
         assert sorted(x for x in got if x[0]) == [(3, 25, 0), (3, 25, 0), (5, 40, 0), (5, 40, 0), (6, 30, 30), (7, 24, 0), (7, 49, 24)]
         assert sorted(x[1:] for x in got if x[0] is None) == [(35, 0), (61, 30), (61, 30)]
+
+
+def test_one_phrase_in_all_documents_is_no_hot_anchor(spark, monkeypatch):
+    """A phrase with other words around it in each document, and a passage around it in some: whole results, few rows under one key."""
+    rnd = random.Random(9)
+    phrase = [f"ph{i}" for i in range(8)]
+    passage = [*(f"l{i}" for i in range(15)), *phrase, *(f"r{i}" for i in range(15))]
+    rows = []
+    for i in range(400):
+        around = lambda k, i=i: [f"w{i}_{j}" for j in range(k)]
+        middle = passage[rnd.randrange(10) : len(passage) - rnd.randrange(10)] if i % 7 == 0 else phrase
+        rows.append((i, " ".join([*around(rnd.randrange(25)), *middle, *around(25)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for together in (64, 4096):
+        monkeypatch.setattr(S, "TOGETHER", together)
+        assert collected(S.repeat_digests(docs.repartition(3))) == brute(rows)
+        keyed = S._anchors_of(S._rows(docs.coalesce(1))).filter(f"kind = {S.OPEN}").groupBy("k1").count()
+        assert keyed.agg({"count": "max"}).first()[0] <= S.MEET * -(-400 // together)
+    assert sum(x[1] for x in brute(rows).values()) > 500
