@@ -1,26 +1,30 @@
 """Exact top-k inner products (operator 8) over an impact-ordered index, score at a time.
 
-Rows are dealt to blocks; a task holds one block of rows and one of queries, so neither side is broadcast whole. A block's
-index has, for each component, its rows in order of the integer component, cut into posting segments by quantised impact.
+Rows are dealt to blocks. A task builds the index of a block once and queries stream past it, so that a row is shuffled once and
+neither side is broadcast or held whole. A block's index has, for each component, its rows in order of the integer component, cut into posting segments by quantised impact.
 For a query, segments are processed by descending contribution (weight times largest impact) and added to accumulators.
 What a row can still gain is bounded by the next segment of each component. Processing stops when few rows can reach the
 k-th best score that is already proven, or no segment can add anything; those rows are scored exactly.
 
 Queries search one block first. The k-th score that each has found there is proven for all blocks: a query passes over a block whose
-bound does not reach it, and stops the sooner in the others.
+bound does not reach it, and stops the sooner in the others. That first block is copied to each lot of QUERIES queries, four rows
+a query, so that its search is not one task.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import written
+from scanlake.llm.common import batch_of, written
 from scanlake.llm.vectors import matrix, valid_vectors
 
 ROWS, QUERIES, LEVELS, ROUND = 16_384, 4_096, 6, 24
+#: In a lane the rows of its block come first, then the queries.
+HELD, ASKED = 0, 1
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 class Index:
@@ -87,16 +91,39 @@ def quantised(vectors, width: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    width = max((len(v) // 8 for v in [*queries["vector"], *rows["vector"]]), default=0)
-    q, ids, index = quantised(queries["vector"], width), rows["vec_id"].to_numpy(), Index(quantised(rows["vector"], width))
-    place = {v: i for i, v in enumerate(ids.tolist())}
-    found = []
-    for query_id, query, proven in zip(queries["vec_id"].tolist(), q, queries["proven"], strict=True):
-        at, scores = index.search(query, k, place.get(query_id, -1), ids, None if pd.isna(proven) else int(proven))
-        found.append((np.full(len(at), query_id), ids[at], scores))
-    columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(3)]
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True))).astype("int64")
+class Block:
+    """The rows of one block as they arrive, indexed when the first query comes."""
+
+    def __init__(self, lane: int):
+        self.lane, self.ids, self.vectors, self.index = lane, [], [], None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.ids += rows["vec_id"].to_pylist()
+        self.vectors += rows["vector"].to_pylist()
+
+    def search(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        """The k best rows of this block for each query."""
+        vectors = queries["vector"].to_pylist()
+        if self.index is None:
+            self.width = max((len(v) // 8 for v in self.vectors), default=0)
+            self.index, self.ids = Index(quantised(self.vectors, self.width)), np.array(self.ids, dtype=np.int64)
+            self.place = {v: i for i, v in enumerate(self.ids.tolist())}
+        width = max(self.width, max((len(v) // 8 for v in vectors), default=0))
+        q = quantised(vectors, width)[:, : self.width]
+        parts = []
+        for query_id, query, proven in zip(queries["vec_id"].to_pylist(), q, queries["proven"].to_pylist(), strict=True):
+            at, scores = self.index.search(query, k, self.place.get(query_id, -1), self.ids, proven)
+            parts.append((np.full(len(at), query_id), self.ids[at], scores))
+        return batch_of(FOUND, *[np.concatenate([p[i] for p in parts]) for i in range(3)])
+
+
+def lane_pieces(batches):
+    """(lane, kind, rows) of neighbouring rows with the same lane and kind, at most an Arrow batch at a time."""
+    for batch in batches:
+        lane, kind = batch["lane"].to_numpy(), batch["kind"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (lane[1:] != lane[:-1]) | (kind[1:] != kind[:-1])]) if len(lane) else []
+        for a, b in zip(starts, np.r_[starts[1:], len(lane)].astype(int), strict=True):
+            yield int(lane[a]), int(kind[a]), batch.slice(a, b - a)
 
 
 def top_k(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
@@ -110,24 +137,32 @@ def top_k(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
     vectors = valid_vectors(embeddings)
     total = embeddings.count()
     n_rows, n_queries = max(1, -(-total // ROWS)), max(1, -(-embeddings.filter(is_query).count() // QUERIES))
-    rows = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)).cast("int").alias("block"), "vec_id", "vector")
-    queries = vectors.filter(is_query).select(F.pmod(F.xxhash64("vec_id"), F.lit(n_queries)).cast("int").alias("asked"), "vec_id", "vector")
-
-    def searched(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        return search_block(asked, block, k)
-
-    def search(queries: DataFrame, first: int, last: int) -> DataFrame:
-        """Queries (asked, vec_id, vector, proven) in the blocks from first to last."""
-        each = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b)))
-        asked = queries.withColumn("block", each(first, last)).select("block", "asked", "vec_id", "vector", "proven")
-        held = rows.filter(F.col("block").between(first, last)).withColumn("asked", each(0, n_queries - 1)).select("block", "asked", "vec_id", "vector")
-        return asked.groupBy("block", "asked").cogroup(held.groupBy("block", "asked")).applyInPandas(searched, "query_id long, vec_id long, score long")
-
-    found = search(queries.withColumn("proven", F.lit(None).cast("long")), 0, 0)
+    rows = vectors.withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)).cast("int"), "kind": F.lit(HELD), "proven": F.lit(None).cast("long")})
+    queries = vectors.filter(is_query).select(F.pmod(F.xxhash64("vec_id"), F.lit(n_queries)).cast("int").alias("lot"), "vec_id", "vector")
+    each = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b)))
+
+    def searched(batches):
+        block = None
+        for lane, kind, piece in lane_pieces(batches):
+            if block is None or block.lane != lane:
+                block = Block(lane)
+            if kind == HELD:
+                block.add(piece)
+            elif len(block.ids):
+                yield block.search(piece, k)
+
+    def search(held: DataFrame, asked: DataFrame) -> DataFrame:
+        """Queries in the block of their lane: a lane's rows come first in its task, then its queries."""
+        lanes = [t.select("lane", "kind", "vec_id", "vector", "proven") for t in (held, asked.withColumn("kind", F.lit(ASKED)))]
+        return lanes[0].union(lanes[1]).repartition("lane").sortWithinPartitions("lane", "kind").mapInArrow(searched, "query_id long, vec_id long, score long")
+
+    first = rows.filter("block = 0").withColumn("lane", each(0, n_queries - 1))
+    found = search(first, queries.withColumns({"lane": F.col("lot"), "proven": F.lit(None).cast("long")}))
     if n_rows > 1:
         found = written(found, "found")
         best = found.groupBy(F.col("query_id").alias("proven_for")).agg(F.when(F.count("*") >= k, F.min("score")).alias("proven"))
-        known = queries.join(best, F.col("vec_id") == F.col("proven_for"), "left").select("asked", "vec_id", "vector", "proven")
-        found = found.union(search(written(known, "queries"), 1, n_rows - 1))
+        known = queries.join(best, F.col("vec_id") == F.col("proven_for"), "left").select("vec_id", "vector", "proven")
+        asked = written(known, "queries").withColumn("lane", each(1, n_rows - 1))
+        found = found.union(search(rows.filter("block > 0").withColumn("lane", F.col("block")), asked))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

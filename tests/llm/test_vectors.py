@@ -48,6 +48,18 @@ def test_top_k_equals_brute_force(spark, monkeypatch, rows, queries):
     assert got == brute_top(fine)
 
 
+def test_a_block_spans_arrow_batches(spark, monkeypatch):
+    """Rows of a block and its queries arrive in many Arrow batches, and a task has more than one block."""
+    monkeypatch.setattr(K, "ROWS", 90)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        x = vectors(5, 300)
+        got = {tuple(r) for r in K.top_k(frame(spark, x).coalesce(2), F.pmod("vec_id", F.lit(50)) == 0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute_top([(i * 5, row) for i, row in enumerate(x)])
+
+
 def test_top_k_small_tables(spark):
     is_query = F.pmod("vec_id", F.lit(50)) == 0
     assert K.top_k(spark.createDataFrame([], SCHEMA), is_query).count() == 0
@@ -109,3 +121,22 @@ def test_proven_scores_pass_over_blocks():
     assert len(index.search(query, 2, -1, ids, proven=10)[0]) == 0
     at, scores = index.search(query, 2, -1, ids, proven=7)
     assert scores.tolist() == [7, 6] or scores.tolist() == [7]
+
+
+def test_planted_links_at_default_sizes(spark):
+    """Several leaves of the default size: planted pairs of cosine 0.9 to 0.99 are found, and no link that brute force does not have."""
+    rnd = np.random.default_rng(11)
+    x = rnd.standard_normal((6_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = rnd.standard_normal(x.shape)
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rnd.uniform(0.9, 0.99, (len(x), 1))
+    x = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * other])
+    got = {r.vec_id: r for r in V.vector_duplicates(frame(spark, x)).collect()}
+    linked = brute_links(x)
+    found = np.array([got[i * 5].n_links for i in range(len(x))])
+    want = linked.sum(axis=1)
+    assert len(x) > 2 * V.LEAF and (found <= want).all() and found.sum() >= 0.9 * want.sum() > 10_000
+    pairs = [i for i in range(6_000) if got[(i + 6_000) * 5].component_id == i * 5]
+    assert len(pairs) >= 0.9 * 6_000
