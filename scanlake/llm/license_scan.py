@@ -6,6 +6,10 @@ dictionary, in lower case: the template is ranked by how much smaller the window
 lack too many of its words, in any order, are not compressed. Those that save LEAST_SAVED are confirmed by the exact wording, best
 first: the template's words are laid along the window's words, and a template is found if at most a share of its words is missing or
 changed. Blocks are told by content, so a notice that fills a corpus is compressed once a worker.
+
+A license is told by its parts: `licenses` gives a row for each license of a document, whose grant, conditions and disclaimer may
+stand in several paragraphs. Tags of the form SPDX-License-Identifier are templates like others; a tag that joins licenses by OR, AND or
+WITH is first written out as a tag for each.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import CACHE, slices, texts
+from scanlake.llm.common import CACHE, batch_of, slices, texts
 
 # Identifiers and wordings of common license notices; whole licenses where they are short, else their headers.
 WARRANTY = (
@@ -63,6 +67,47 @@ TEMPLATES = {
     "Unlicense grant": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
 }
+# Other short references, headers with their versions, and license identifiers that tags hold.
+OR_LATER = "as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+TEMPLATES |= {
+    "BSD-2-Clause short": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause short": "Licensed under the BSD 3-Clause License.",
+    "EUPL-1.2": "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL.",
+    "GPL-2.0-or-later header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License " + OR_LATER.format(2),
+    "GPL-3.0-or-later header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License " + OR_LATER.format(3),
+    "GPL-2.0 short": "Licensed under the GNU GPL v2.",
+    "GPL-3.0 short": "Licensed under the GNU GPL v3.",
+    "LGPL-2.1-or-later header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License " + OR_LATER.format(2.1),
+    "LGPL-3.0-or-later header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License " + OR_LATER.format(3),
+    "MIT short": "Licensed under the MIT License.",
+    "MIT reference": "Distributed under the terms of the MIT license.",
+    "MPL-2.0 short": "Licensed under the Mozilla Public License 2.0.",
+}
+IDENTIFIERS = (
+    "0BSD AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 "
+    "EPL-1.0 EPL-2.0 EUPL-1.2 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later "
+    "LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-2.0 PostgreSQL Python-2.0 Unlicense WTFPL Zlib"
+)
+TEMPLATES |= {f"{i} tag": f"SPDX-License-Identifier: {i}" for i in IDENTIFIERS.split()}
+#: The parts that make a license text whole; of other licenses each template stands for the license.
+WHOLE = {
+    "Apache-2.0": {"Apache-2.0 header", "Apache-2.0 terms"},
+    "BSD-2-Clause": {"BSD-3-Clause", "BSD-2-Clause conditions", "BSD disclaimer"},
+    "BSD-3-Clause": {"BSD-3-Clause", "BSD-2-Clause conditions", "BSD-3-Clause endorsement", "BSD disclaimer"},
+    "ISC": {"ISC", "ISC warranty"},
+    "MIT": {"MIT grant", "MIT rights", "MIT conditions", "MIT warranty"},
+    "MPL-2.0": {"MPL-2.0", "MPL-2.0 copy"},
+    "Unlicense": {"Unlicense", "Unlicense grant"},
+}
+#: Parts that several licenses share, with those licenses from the most to the least telling, and what they are without any of them.
+SHARED = {
+    "BSD disclaimer": (("BSD-3-Clause", "BSD-2-Clause"), "BSD"),
+    "BSD-2-Clause conditions": (("BSD-3-Clause",), "BSD-2-Clause"),
+    "BSD-3-Clause": (("BSD-3-Clause", "BSD-2-Clause"), "BSD-3-Clause"),
+    "GPL header": (("GPL-3.0-or-later", "GPL-2.0-or-later", "GPL-3.0", "GPL-2.0"), "GPL"),
+    "GPL warranty": (("GPL-3.0-or-later", "GPL-2.0-or-later", "GPL-3.0", "GPL-2.0"), "GPL"),
+    "LGPL header": (("LGPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0"), "LGPL"),
+}
 CUE = re.compile(rb"licen[sc]|copyright|permission|redistribut|distributed|public domain|warrant|free (?:software|to copy)", re.I)
 #: Bytes of text on either side of a cue that make a block, at most to the ends of its paragraph; twice the longest template if that is more.
 AROUND = 512
@@ -71,6 +116,24 @@ BLANK = re.compile(rb"\n[ \t\r]*\n")
 MARK = re.compile(r"^[ \t]*(?:/\*+|//+|--+|[#*;%!>|]+|(?:rem|dnl)\b)", re.M)
 LEAST_SAVED, MOST_CHANGED = 0.3, 0.1
 WORD = re.compile(r"[\w.+/:-]*\w")
+#: A tag of several licenses, in lower case.
+TAG = re.compile(r"spdx-license-identifier:\s*(\(*[\w.+-]+\)*(?:[ \t]+(?:or|and|with)[ \t]+\(*[\w.+-]+\)*)+)")
+
+
+def tags(found: re.Match) -> str:
+    return "".join(f"spdx-license-identifier: {i} " for i in re.findall(r"[\w.+-]+", found[1]) if i not in ("or", "and", "with"))
+
+
+def by_license(names: set[str]) -> dict[str, set[str]]:
+    """The templates that a document has, by license. A shared part goes with a license that other parts tell, else it stands for itself."""
+    parts: dict[str, set[str]] = {}
+    for name in sorted(names - SHARED.keys()):
+        parts.setdefault(name.split(" ")[0], set()).add(name)
+    # Conditions first: they tell a license that the parts after them may go with.
+    for name in sorted(names & SHARED.keys(), key=lambda n: (n != "BSD-2-Clause conditions", n)):
+        licenses, other = SHARED[name]
+        parts.setdefault(next((i for i in licenses if i in parts), other), set()).add(name)
+    return parts
 
 
 class Templates:
@@ -96,8 +159,8 @@ class Templates:
 
     def _found(self, block: bytes) -> list[tuple[str, float, int, int]]:
         """The best confirmed templates are taken out of the block, and the rest is ranked again, until nothing is confirmed."""
-        own, found = WORD.findall(MARK.sub(" ", block.decode("utf-8", "replace").lower())), []
-        while confirmed := sorted(c for i in range(len(self.words)) for c in self._confirmed(i, own)):
+        own, found = WORD.findall(TAG.sub(tags, MARK.sub(" ", block.decode("utf-8", "replace").lower()))), []
+        while confirmed := self._all_confirmed(own):
             taken = np.zeros(len(own), dtype=bool)
             for _, _, i, share, missing, added, first, last in confirmed:
                 if not taken[first:last].any():
@@ -106,13 +169,15 @@ class Templates:
             own = [w if not t else "\n" for w, t, before in zip(own, taken, np.r_[False, taken[:-1]], strict=True) if not (t and before)]
         return sorted(found)
 
+    def _all_confirmed(self, own: list[str]) -> list[tuple]:
+        counted = Counter(own)
+        return sorted(c for i, bag in enumerate(self.bags) if (counted & bag).total() >= (1 - MOST_CHANGED) * len(self.words[i]) for c in self._confirmed(i, own))
+
     def _confirmed(self, i: int, own: list[str]):
         """Where a template is found, by windows that a notice of so many words cannot miss and that hold little else, as prose around hides what is saved."""
         template, bag = self.words[i], self.bags[i]
         n, step = len(template), max(1, len(template) // 4)
         changed = MOST_CHANGED * n
-        if (Counter(own) & bag).total() < n - changed:
-            return
         for at in range(0, len(own), step):
             part = own[at : at + n + int(changed) + step]
             if (Counter(part) & bag).total() < n - changed:
@@ -123,7 +188,7 @@ class Templates:
             if share >= LEAST_SAVED:
                 missing, added, first, last = wording(template, part)
                 if missing + added <= changed:
-                    yield missing + added, first - last, i, -share, missing, added, at + first, at + last
+                    yield 2 * missing + added - n, first - last, i, -share, missing, added, at + first, at + last
 
 
 def wording(template: list[str], block: list[str]) -> tuple[int, int, int, int]:
@@ -157,24 +222,51 @@ def blocks(text: bytes, around: int = AROUND) -> list[tuple[int, int]]:
     return found
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """A row for each license found in a block: doc_id, start and end (bytes of the block), license, saved, n_missing, n_added.
-
-    Null and empty texts have none; every cue of a text of any length is tried; repeated rows are each reported; a null doc_id
-    is returned as null; other columns are ignored. saved: the bytes that the
-    template saves, as a share of the smaller of the notice's window and template.
-    """
+def _scanned(docs: DataFrame, templates: dict[str, str], rows_of, fields: list[tuple[str, str]]) -> DataFrame:
+    """rows_of(doc, found) gives the rows of one document; found: (start, end, template, saved, missing, added) of each template found."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([("doc_id", pa.int64()), *((name, kinds[kind]) for name, kind in fields)])
 
     def run(batches):
         known = Templates(templates)
         for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for a, b in blocks(text or b"", known.around):
-                    rows += [(doc, a, b, *found) for found in known.of(text[a:b])]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
-            names = ("doc_id", "start", "end", "license", "saved", "n_missing", "n_added")
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+                found = [(a, b, *f) for a, b in blocks(text or b"", known.around) for f in known.of(text[a:b])]
+                rows += [(doc, *row) for row in rows_of(found)]
+            yield batch_of(schema, *[[r[i] for r in rows] for i in range(len(schema))])
 
     whole = texts(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    return whole.mapInArrow(run, "doc_id long, start long, end long, license string, saved double, n_missing long, n_added long")
+    return whole.mapInArrow(run, ", ".join(["doc_id long", *(f"{name} {kind}" for name, kind in fields)]))
+
+
+def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """A row for each template found in a block: doc_id, start and end (bytes of the block), license, saved, n_missing, n_added.
+
+    Null and empty texts have none; every cue of a text of any length is tried; repeated rows are each reported; a null doc_id
+    is returned as null; other columns are ignored; an empty table gives an empty result. Of templates that fit the same words, the one that
+    explains most counts, in words less changes; then the longer, then the first. saved: the bytes that the template saves, as a share of the smaller of
+    the notice's window and template.
+    """
+    fields = [("start", "long"), ("end", "long"), ("license", "string"), ("saved", "double"), ("n_missing", "long"), ("n_added", "long")]
+    return _scanned(docs, templates, lambda found: found, fields)
+
+
+def licenses(docs: DataFrame) -> DataFrame:
+    """A row for each license of a document: doc_id, license, whole, parts, start, end, saved, n_missing, n_added.
+
+    parts: the templates found, in order of name; whole: all parts of the license's text are there, or a header or notice of a license that has
+    no parts. start and end: bytes from the first block with a part to the last. saved is the largest of the parts', the counts
+    are sums. Edge cases are those of `license_scan`.
+    """
+
+    def merged(found: list[tuple]) -> list[tuple]:
+        rows = []
+        for name, parts in sorted(by_license({f[2] for f in found}).items()):
+            own = [f for f in found if f[2] in parts]
+            whole = WHOLE[name] <= parts if name in WHOLE else any(not p.endswith((" tag", " short")) and p not in SHARED for p in parts)
+            rows.append((name, whole, sorted(parts), min(f[0] for f in own), max(f[1] for f in own), max(f[3] for f in own), sum(f[4] for f in own), sum(f[5] for f in own)))
+        return rows
+
+    fields = [("license", "string"), ("whole", "boolean"), ("parts", "array<string>"), ("start", "long"), ("end", "long"), ("saved", "double"), ("n_missing", "long"), ("n_added", "long")]
+    return _scanned(docs, TEMPLATES, merged, fields)

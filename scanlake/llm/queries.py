@@ -45,7 +45,7 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(documents(spark, sf_dir))
+    return license_scan.licenses(documents(spark, sf_dir))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,3 +183,67 @@ def test_wrapped_notices(spark):
 def test_blocks_end_with_the_paragraph():
     assert L.blocks(b"one\n\ntwo\nlicense three\nfour \n \nfive") == [(5, 28)]
     assert L.blocks(b"x" * 2000 + b"license" + b"y" * 2000, 700) == [(1300, 2706)]
+
+
+MIT = "MIT License\n\nCopyright (c) 2020 Somebody\n\n{MIT grant}, {MIT rights}\n\n{MIT conditions}\n\n{MIT warranty}\n"
+BSD = "Copyright 2019 Somebody. All rights reserved.\n\n{BSD-3-Clause}\n\n{BSD-2-Clause conditions}\n\n%s{BSD disclaimer}\n"
+TEXTS = {
+    "MIT": MIT,
+    "BSD-2-Clause": BSD % "",
+    "BSD-3-Clause": BSD % "3. {BSD-3-Clause endorsement}\n\n",
+    "ISC": "Copyright 2018 Somebody\n\n{ISC}\n\n{ISC warranty}\n",
+    "Apache-2.0": "Copyright 2021 Somebody\n\n{Apache-2.0 header}\n\n{Apache-2.0 terms}\n",
+    "GPL-3.0-or-later": "{GPL-3.0-or-later header}\n\n{GPL warranty}\n",
+    "GPL-2.0-or-later": "{GPL-2.0-or-later header}\n\n{GPL warranty}\n",
+    "MPL-2.0": "{MPL-2.0} {MPL-2.0 copy}\n",
+    "Unlicense": "{Unlicense}\n\n{Unlicense grant}\n",
+}
+
+
+def full(name):
+    text = TEXTS[name]
+    for part in sorted(L.TEMPLATES, key=len, reverse=True):
+        text = text.replace("{" + part + "}", L.TEMPLATES[part])
+    return text
+
+
+def merged(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted((r.doc_id, r.license, r.whole) for r in L.licenses(df).collect())
+
+
+def test_a_whole_license_is_one_row(spark):
+    texts = [full(n) for n in TEXTS]
+    assert merged(spark, *texts) == sorted((i, n, True) for i, n in enumerate(TEXTS))
+    assert merged(spark, L.TEMPLATES["MIT grant"], L.TEMPLATES["BSD disclaimer"], L.TEMPLATES["GPL warranty"]) == [(0, "MIT", False), (1, "BSD", False), (2, "GPL", False)]
+
+
+def test_tags_and_references(spark):
+    texts = ["# SPDX-License-Identifier: MIT\nimport os", "/* SPDX-License-Identifier: GPL-3.0-or-later */", "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND ISC", "SPDX-License-Identifier: Nothing-1.0"]
+    texts += ["Licensed under the GNU GPL v3", "It is distributed under the terms of the MIT license. Have fun.", "SPDX-License-Identifier: 0BSD"]
+    want = [(0, "MIT"), (1, "GPL-3.0-or-later"), (2, "Apache-2.0"), (2, "ISC"), (2, "MIT"), (4, "GPL-3.0"), (5, "MIT"), (6, "0BSD")]
+    assert [r[:2] for r in merged(spark, *texts)] == want
+
+
+def test_precision_and_recall_on_changed_licenses(spark):
+    """A word in forty replaced, dropped or added, wrapped anew, as plain text or comment, amid prose; and texts of the same words out of order."""
+    rnd = np.random.default_rng(4)
+    prose = "He went home by the river and said that it was late, as it was every day of the year.\n\n"
+    texts, want = [], []
+    for name in TEXTS:
+        for mark in ("", "// ", " * ") * 5:
+            lines = []
+            for paragraph in full(name).split("\n\n"):
+                words = []
+                for w in paragraph.split():
+                    what = rnd.integers(0, 120)
+                    words += [] if what == 0 else ["thing"] if what == 1 else [w, "really"] if what == 2 else [w]
+                lines += [*(mark + x for x in textwrap.wrap(" ".join(words), int(rnd.integers(45, 90)))), ""]
+            want.append((len(texts), name))
+            texts.append(prose + "\n".join(lines) + "\n" + prose)
+        shuffled = full(name).split()
+        rnd.shuffle(shuffled)
+        texts.append(" ".join(shuffled))
+    got = {r[:2] for r in merged(spark, *texts)}
+    right = len(got & set(want))
+    assert right >= 0.97 * len(want) and right >= 0.97 * len(got), (right, len(want), len(got), *sorted(got ^ set(want)))
