@@ -17,20 +17,24 @@ def check_ratios(*ratios: float) -> None:
 BUCKET = 1 << 20
 
 
-def seeded_rank(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+def seeded_rank(df: DataFrame, key: str, seed: int = 42, ties: tuple[str, ...] = ()) -> DataFrame:
     """df with `rank`, its place (from 1) in the order of md5(seed:key), ties by key, and `total`, the number of rows.
 
     Rows are ranked in buckets by the first digits of their hash, so many that a bucket holds about BUCKET rows; a bucket starts after the
-    rows of those before it. Null keys come last, in a bucket of their own.
+    rows of those before it. Null keys come last, in the order of a hash of the columns `ties`, which
+    spreads them over buckets too; without ties they are one bucket, in any order, and no other column is read.
     """
     digits = max(2, math.ceil(math.log(max(1, df.count() / BUCKET), 16)))
-    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("_b", F.coalesce(F.substring("_h", 1, digits), F.lit("~")))
+    by_key, by_row = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.md5(F.concat(F.lit(f"{seed}:"), F.to_json(F.struct(*ties)) if ties else F.lit("")))
+    hashed = df.withColumn("_h", F.coalesce(by_key, F.concat(F.lit("~"), by_row))).withColumn("_b", F.substring("_h", 1, digits + 1))
+    hashed = hashed.withColumn("_b", F.when(F.startswith("_h", F.lit("~")), F.col("_b")).otherwise(F.substring("_h", 1, digits)))
     sizes = hashed.groupBy("_b").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # A row for about BUCKET rows of df, and at most 16 times as many.
+    # A row for about BUCKET rows of df, and at most 32 times as many. Rows are ranked where they lie by bucket, so that a join by bucket
+    # that is not broadcast moves none of them again.
     starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("total"))
     own = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    return hashed.join(F.broadcast(starts), "_b").withColumn("rank", (F.col("_start") + own).cast("long")).drop("_h", "_b", "_start")
+    return hashed.withColumn("_own", own).join(starts, "_b").withColumn("rank", (F.col("_start") + F.col("_own")).cast("long")).drop("_h", "_b", "_own", "_start")
 
 
 def cut(train: float, val: float, test: float, mode: str) -> Column:

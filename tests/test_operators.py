@@ -343,3 +343,17 @@ def test_stream_of_files(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.table("indexed").collect()
     assert [(r.filename, r.group_id, r.stage, r.scan_timestamp) for r in got] == [("2026-01-21_10-32-05-130_aug01.png", "2026-01-21_10-32-05-130", "Stage1", "2026-01-21T10:32:05.130")]
+
+
+def test_null_keys_are_ranked_last_and_spread(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "BUCKET", 1)
+    rows = [(i if i % 3 else None, f"v{i}") for i in range(300)]
+    df = spark.createDataFrame([*rows, (None, "v0")], "k long, v string")
+    out = ranks.seeded_rank(df.repartition(5), "k", ties=("v",))
+    got = [(r["rank"], r.k, r.v, r.total) for r in out.collect()]
+    assert sorted(x[0] for x in got) == list(range(1, 302)) and {x[3] for x in got} == {301}
+    assert {x[0] for x in got if x[1] is None} == set(range(201, 302))
+    again = {(r["rank"], r.k, r.v) for r in ranks.seeded_rank(df.coalesce(1), "k", ties=("v",)).collect()}
+    assert again == {x[:3] for x in got}
+    plain = ranks.seeded_rank(df, "k").collect()
+    assert sorted(r["rank"] for r in plain) == list(range(1, 302)) and {r["rank"] for r in plain if r.k is None} == set(range(201, 302))
