@@ -2,16 +2,19 @@
 
 Each tree halves the space again and again at the median of a random direction, one for each level of a tree, which tasks draw from a
 seed; vectors within a margin of a cut go down both sides (spill), so that near pairs are seldom parted, and several trees make up for
-those that are. The cuts are fitted on a sample of at most SAMPLE vectors; every vector is then placed in all its leaves. Pairs are compared within leaves only,
-by cosine in double precision, and links are united to components.
+those that are. The first cuts are fitted on a sample of at most SAMPLE vectors; every vector is then placed in all its leaves. Leaves of
+more than LARGE classes, which a large table has, are split again by a tree of their own, fitted on a sample of their members, and so on,
+so that leaves keep their size while the table grows. Pairs are compared within leaves only, by cosine in double precision, and links are united to components.
 
 Equal vectors become one class first. A leaf returns, for each of its classes, how many vectors it links to and an edge to the
 smallest id that it reaches there, never pairs. A pair that shares several leaves counts in the first of them. Leaves of
-more than BLOCK classes are compared in pairs of blocks, which are tasks of their own.
+more than BLOCK classes, such as those of many vectors that no cut parts, are compared in pairs of blocks, which are tasks of their own.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,7 +25,11 @@ from scanlake.llm.common import batch_of, written
 from scanlake.llm.components import components
 from scanlake.llm.vectors import matrix, valid_vectors
 
-TREES, LEAF, MARGIN, SAMPLE, FEWEST, BLOCK = 8, 512, 0.02, 65_536, 8, 2_048
+TREES, LEAF, SAMPLE, FEWEST, BLOCK = 8, 512, 65_536, 8, 2_048
+#: Spill on each side of a cut, times the root of the vectors' length: projections of two near vectors are apart in that proportion.
+MARGIN = 0.16
+#: Classes of a leaf that is split again; members (about) that its tree is fitted on; members (about) that a task places; bits for a leaf's number in that tree; times.
+LARGE, MEMBERS, PLACED, BITS, TIMES = 8_192, 4_096, 16_384, 13, 3
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -42,17 +49,41 @@ def long(vectors) -> np.ndarray:
     return np.stack([np.frombuffer(v, dtype=f"<f{v[0]}", offset=1) for v in vectors]).astype(np.float64)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1, which rounds nothing but what vanishes beside it."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=np.finfo(float).tiny))[1])
+
+
+def cosines(x: np.ndarray, least: float) -> np.ndarray:
+    """Cosines of all pairs of rows; those that rounding might move past `least` are worked out from the components as they are."""
+    own = unit(x)
+    found = own @ own.T
+    i, j = np.nonzero(np.abs(found - least) < 1e-9)
+    if len(i):
+        x = scaled(x)
+        length = np.sqrt((x * x).sum(axis=1))
+        for lo in range(0, len(i), 65_536):
+            a, b = i[lo : lo + 65_536], j[lo : lo + 65_536]
+            found[a, b] = (x[a] * x[b]).sum(axis=1) / (length[a] * length[b])
+    return found
+
+
 def direction(seed: int, level: int, width: int) -> np.ndarray:
     found = np.random.default_rng([seed, level]).standard_normal(width)
     return found / np.linalg.norm(found)
 
 
-def grow(sample: np.ndarray, leaf: float, seed: int, margin: float = MARGIN) -> list[tuple]:
-    """A tree as a list of nodes: (level, cut, left node, right node), or None for a leaf."""
-    nodes, work, projected = [None], [(0, 0, np.arange(len(sample)))], {}
+def margin_of(width: int) -> float:
+    return MARGIN / max(1, width) ** 0.5
+
+
+def grow(sample: np.ndarray, leaf: float, seed: int, most: int | None = None) -> list[tuple]:
+    """A tree as a list of nodes (at most `most`): (level, cut, left node, right node), or None for a leaf."""
+    nodes, work, projected = [None], deque([(0, 0, np.arange(len(sample)))]), {}
+    margin = margin_of(sample.shape[1])
     while work:
-        node, level, own = work.pop()
-        if len(own) <= leaf:
+        node, level, own = work.popleft()
+        if len(own) <= leaf or (most and len(nodes) + 2 > most):
             continue
         if level not in projected:
             projected[level] = sample @ direction(seed, level, sample.shape[1])
@@ -67,10 +98,11 @@ def grow(sample: np.ndarray, leaf: float, seed: int, margin: float = MARGIN) ->
     return nodes
 
 
-def leaves(trees: list[list], x: np.ndarray, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) of each row of x in each leaf that it reaches; leaves are numbered through all trees, whose seeds are their places."""
+def leaves(trees: list[list], x: np.ndarray, seeds: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of each row of x in each leaf that it reaches; leaves are numbered through all trees, whose seeds are their places if not given."""
     rows, found, base = [], [], 0
-    for seed, nodes in enumerate(trees):
+    margin = margin_of(x.shape[1])
+    for seed, nodes in zip(seeds or range(len(trees)), trees, strict=True):
         depth = max((n[0] + 1 for n in nodes if n), default=0)
         projected = x @ np.array([direction(seed, k, x.shape[1]) for k in range(depth)]).T if depth else None
         work = [(0, np.arange(len(x)))]
@@ -78,7 +110,7 @@ def leaves(trees: list[list], x: np.ndarray, margin: float = MARGIN) -> tuple[np
             node, own = work.pop()
             if nodes[node] is None:
                 rows.append(own)
-                found.append(np.full(len(own), base + node))
+                found.append(np.full(len(own), base + node, dtype=np.int64))
                 continue
             level, cut, left, right = nodes[node]
             at = projected[own, level]
@@ -93,7 +125,7 @@ def compare(ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, places: list[np.n
 
     sides: the block of each class; with two blocks, only pairs across them count.
     """
-    linked = x @ x.T >= least
+    linked = cosines(x, least) >= least
     np.fill_diagonal(linked, False)
     if sides.min() != sides.max():
         linked &= sides[:, None] != sides[None]
@@ -119,6 +151,52 @@ def compare(ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, places: list[np.n
         low = lower
 
 
+def split_again(rows: DataFrame) -> DataFrame:
+    """rows(leaf, id, size, vector, places), with leaves of more than LARGE classes split, TIMES at most; leaves and places are numbered anew.
+
+    A leaf's tree is fitted on about MEMBERS of its members, and its members are placed by tasks of about PLACED each, so a leaf that a third
+    of all vectors reach is no single task. Leaves that no cut parts stay as they are. The order of leaves is the same for all vectors.
+    """
+    names = ("level", "cut", "left", "right")
+
+    def fitted(group: pd.DataFrame) -> pd.DataFrame:
+        leaf, n = int(group["leaf"].iloc[0]), int(group["n"].iloc[0])
+        nodes = grow(unit(long(group["vector"])), max(FEWEST, LEAF * len(group) / n), TREES + leaf, 1 << BITS)
+        columns = zip(*(node or (-1, 0.0, 0, 0) for node in nodes), strict=True)
+        return pd.DataFrame({"leaf": [leaf], **{c: [list(v)] for c, v in zip(names, columns, strict=True)}})
+
+    def placed(group: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        if not len(group):
+            return group[["leaf", "id", "size", "vector"]]
+        leaf = int(group["leaf"].iloc[0])
+        nodes = [node if node[0] >= 0 else None for node in zip(*(tree[c].iloc[0] for c in names), strict=True)] if len(tree) else [None]
+        row, node = leaves([nodes], unit(long(group["vector"])), [TREES + leaf])
+        return group[["id", "size", "vector"]].iloc[row].assign(leaf=(leaf << BITS) + node)[["leaf", "id", "size", "vector"]]
+
+    first, found = rows, rows.select("leaf", "id", "size", "vector")
+    for turn in range(TIMES):
+        sizes = found.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE)
+        if turn:  # what was not parted before is not tried again
+            sizes = sizes.filter(F.col("leaf").bitwiseAND((1 << BITS) - 1) != 0)
+        sizes = written(sizes, "large")
+        if sizes.isEmpty():
+            break
+        large = found.join(sizes, "leaf")
+        sample = large.filter(F.pmod(F.xxhash64("id", "leaf"), F.lit(1_000_000)) < 1_000_000 * F.lit(MEMBERS) / F.col("n"))
+        trees = written(sample.groupBy("leaf").applyInPandas(fitted, "leaf long, level array<int>, cut array<double>, left array<int>, right array<int>"), "trees")
+        parts = F.ceil(F.col("n") / PLACED).cast("int")
+        dealt = large.withColumn("part", F.pmod(F.xxhash64("id"), parts)).select("leaf", "part", "id", "size", "vector")
+        sent = trees.join(sizes, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("n")
+        again = dealt.groupBy("leaf", "part").cogroup(sent.groupBy("leaf", "part")).applyInPandas(placed, "leaf long, id long, size long, vector binary")
+        kept = found.join(sizes, "leaf", "left_anti").select((F.col("leaf") * (1 << BITS)).alias("leaf"), "id", "size", "vector")
+        found = written(kept.union(again), "leaves")
+        rows = found
+    if rows is first:
+        return first
+    places = found.groupBy("id").agg(F.sort_array(F.collect_list("leaf")).alias("places"))
+    return written(found.join(places, "id").select("leaf", "id", "size", "vector", "places"), "leaves")
+
+
 def vector_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
     """Per row of embeddings: vec_id, n_links, component_id (smallest vec_id reachable), kept (vec_id = component_id).
 
@@ -157,12 +235,13 @@ def vector_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
                 yield batch_of(schema, leaf[part], ids[row[part]], sizes[row[part]], [vectors[i] for i in row[part]], [places[i] for i in row[part]])
 
     in_leaves = written(classes.select("vector", "id", "size").mapInArrow(placed, "leaf long, id long, size long, vector binary, places array<int>"), "leaves")
+    in_leaves = split_again(in_leaves)
     blocks = written(in_leaves.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     dealt = in_leaves.join(blocks, "leaf").withColumn("own", F.expr("cast(pmod(xxhash64(id, leaf), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
     def compared(group: pd.DataFrame) -> pd.DataFrame:
-        return compare(group["id"].to_numpy(), group["size"].to_numpy(), unit(long(group["vector"])), list(group["places"]), int(group["leaf"].iloc[0]), group["own"].to_numpy(), least)
+        return compare(group["id"].to_numpy(), group["size"].to_numpy(), long(group["vector"]), list(group["places"]), int(group["leaf"].iloc[0]), group["own"].to_numpy(), least)
 
     found = dealt.groupBy("leaf", "i", "j").applyInPandas(compared, "id long, links long, low long")
     found = written(found, "links")

@@ -87,6 +87,50 @@ def test_duplicates_against_brute_force(spark, monkeypatch):
     assert (found <= want).all() and found.sum() >= 0.95 * want.sum()
 
 
+@pytest.mark.parametrize("times", [1, 3])
+def test_large_leaves_are_split_again(spark, monkeypatch, times):
+    """First cuts that are far too few for the table: leaves are split by trees of their own, links are counted once, and few are lost."""
+    for name, value in {"SAMPLE": 100, "LARGE": 40, "MEMBERS": 30, "PLACED": 16, "LEAF": 20, "TIMES": times}.items():
+        monkeypatch.setattr(V, name, value)
+    x = vectors(2, 600, d=32)
+    sizes = []
+    compare = V.split_again
+    monkeypatch.setattr(V, "split_again", lambda rows: sizes.append((rows, compare(rows))) or sizes[-1][1])
+    got = {r.vec_id: r for r in V.vector_duplicates(frame(spark, x)).collect()}
+    want = brute_links(x).sum(axis=1)
+    found = np.array([got[i * 5].n_links for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.95 * want.sum()
+    before, after = ([r["count"] for r in rows.groupBy("leaf").count().collect()] for rows in sizes[0])
+    assert len(after) > 2 * len(before) and max(after) < max(before)
+    assert {r.id for r in sizes[0][0].select("id").distinct().collect()} == {r.id for r in sizes[0][1].select("id").distinct().collect()}
+
+
+def test_vectors_that_no_cut_parts_lose_no_link(spark, monkeypatch):
+    """A third of all vectors are within a cut's margin of each other: their leaf stays whole and is compared in blocks."""
+    for name, value in {"SAMPLE": 100, "LARGE": 40, "MEMBERS": 30, "PLACED": 16, "LEAF": 20, "BLOCK": 25}.items():
+        monkeypatch.setattr(V, name, value)
+    x = np.random.default_rng(3).standard_normal((240, 16))
+    x[::3] = x[0] + 1e-3 * np.random.default_rng(4).standard_normal((80, 16))
+    got = {r.vec_id: r.n_links for r in V.vector_duplicates(frame(spark, x)).collect()}
+    assert all(got[i * 5] == 79 for i in range(0, 240, 3))
+
+
+def test_cosine_of_exactly_the_threshold(spark):
+    """9 / (1 * 10) is 0.9 and links; one unit in the last place less does not, whatever the vectors' sizes."""
+    rows = [(0, [1.0, 0.0, 0.0, 0.0]), (1, [9.0, 3.0, 3.0, 1.0]), (2, [0.0, 9e-300, 0.0, 0.0]), (3, [0.0, 9.0, -3.0, 1.0]), (4, [0.0, 0.0, 0.0, -1.0])]
+    rows.append((5, [0.0, 0.0, -9.0 * (1 - 2**-40), -3.0]))
+    df = spark.createDataFrame([*rows, (6, [0.0, 0.0, 3.0, 1.0]), (7, [-9.0, 0.0, 3.0, 1.0 + 2**-40])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in V.vector_duplicates(df).collect()}
+
+    def cosine(a, b):
+        return sum(p * q for p, q in zip(a, b)) / (sum(p * p for p in a) ** 0.5 * sum(q * q for q in b) ** 0.5)
+
+    by_id = {r.vec_id: [v * (1e300 if r.vec_id == 2 else 1) for v in r.embedding] for r in df.collect()}
+    assert cosine(by_id[0], by_id[1]) == 0.9
+    assert got == {i: sum(cosine(u, v) >= 0.9 for j, v in by_id.items() if j != i) for i, u in by_id.items()}
+    assert got[0] == 1
+
+
 def test_duplicates_edges(spark):
     rows = [(3, [1.0, 0.0]), (2, [2.0, 0.0]), (1, [2.0, 0.0]), (9, [0.9, 0.435]), (4, [0.0, 1.0]), (5, [0.0, 0.0]), (6, None), (None, [1.0, 0.0]), (7, [float("nan"), 1.0]), (8, [])]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in V.vector_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
