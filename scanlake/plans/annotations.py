@@ -9,7 +9,7 @@ from scanlake import fixtures as X
 from scanlake.functions import labels as L
 from scanlake.functions import names
 from scanlake.operators import annotations as A
-from scanlake.operators import chunks, merges
+from scanlake.operators import chunks, merges, samples
 from scanlake.registry import query, table
 from scanlake.sources import tables as T
 from scanlake.sources.work import new_folder
@@ -172,6 +172,51 @@ def detection_import_counts(spark, sf_dir):
     return rows.agg(F.count_if(matched & has).alias("merged"), F.count_if(~matched).alias("missing"), F.count_if(matched & ~has).alias("empty"))
 
 
+def sample_files(spark, sf_dir):
+    """A file of each document in a subfolder, and one of the same name in the folder itself for every third."""
+    i = F.col("doc_id").cast("string")
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    above = docs.filter("doc_id % 3 = 0").select(F.concat(F.lit("images/"), i, F.lit(".png")).alias("path"))
+    return docs.select(F.concat(F.lit("images/sub/"), i, F.lit(".png")).alias("path")).union(above)
+
+
+SAMPLES = "s as (select doc_id, false as above, concat('images/sub/', doc_id, '.png') as path from documents union all select doc_id, true, concat('images/', doc_id, '.png') from documents where doc_id%3=0)"
+
+
+@query(
+    f"""with {TASKS}, {SAMPLES}, o as (select *, row_number() over (partition by task, label order by r, i) as k from r),
+ l as (select task, string_agg(concat(label, '@', coalesce(cast(round(conf*10) as int), -1)), '|' order by r, i) as labels from o where k=1 and task%9 <> 0 group by task),
+ im as (select doc_id as id, 100+cast(doc_id%400 as int) as width, 80+cast(doc_id%300 as int) as height from documents where doc_id%7 <> 1),
+ b as (select im.id, event_id, (row_number() over (partition by im.id order by event_id)-1)//32 as chunk,
+   concat(coalesce(n_name, cast(event_id%30 as string)), ':', cast(floor(1000*(cast(event_id%50 as double)/width)) as int), ':', cast(floor(1000*(cast(4+event_id%10 as double)/height)) as int)) as shown
+  from events join im on im.id = user_id left join nation on n_nationkey = event_id%30),
+ c as (select id, chunk, string_agg(shown, '|' order by event_id) as boxes from b group by id, chunk)
+ select path, labels, coalesce(c.chunk, 0)::bigint as chunk, boxes, case when im.id is null then 'missing' when c.id is null then 'empty' else 'merged' end as outcome
+ from s left join l on l.task = s.doc_id and (above or doc_id%3 <> 0) left join im on im.id = s.doc_id left join c on c.id = s.doc_id"""
+)
+def annotated_samples(spark, sf_dir):
+    """Samples with the labels of task files and the boxes of detection images, in fields of given names; shown as text."""
+    rows, _ = samples.with_classifications(sample_files(spark, sf_dir), written_tasks(spark, sf_dir), "images", "seen_as")
+    images, annotations, categories = coco(spark, sf_dir)
+    images = images.filter("id % 7 <> 1").withColumn("file_name", F.concat(F.lit("ab12cd-"), F.col("id").cast("string"), F.lit(".png")))
+    rows = samples.with_detections(rows, images, annotations, categories, "boxes_at", 32)
+    label = lambda s: F.concat(s["label"], F.lit("@"), F.coalesce(F.round(s["confidence"] * 10).cast("int"), F.lit(-1)).cast("string"))
+    share = lambda s, i: F.floor(1000 * s["bounding_box"][i]).cast("string")
+    box = lambda s: F.concat_ws(":", s["label"], share(s, 0), share(s, 3))
+    return rows.select("path", F.array_join(F.transform("seen_as", label), "|").alias("labels"), "chunk", F.array_join(F.transform("boxes_at", box), "|").alias("boxes"), "outcome")
+
+
+@query(
+    f"""with {TASKS}, {SAMPLES}, w as (select distinct task from t where task%9 <> 0)
+ select w.task, case when w.task%3=0 and d.doc_id is not null then concat('images/', w.task, '.png') when d.doc_id is not null then concat('images/sub/', w.task, '.png') end as path,
+ case when d.doc_id is null then 'missing' else 'labelled' end as outcome from w left join (select doc_id from documents where doc_id%5 <> 2) d on d.doc_id = w.task"""
+)
+def classification_outcomes(spark, sf_dir):
+    """Which file each task labelled, or that there is none; every fifth document has no files."""
+    kept = F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long") % 5 != 2
+    return samples.with_classifications(sample_files(spark, sf_dir).filter(kept), written_tasks(spark, sf_dir), "images")[1]
+
+
 @query("select event_id, coalesce(json_extract_string(props, '$.page'), 'none') as page, coalesce(json_extract_string(props, '$.k'), 'none') as k from events")
 def json_extract(spark, sf_dir):
     """Optional members with a default."""
