@@ -121,7 +121,10 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, *keep: str) -> D
 
 
 def decode_documents(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """encoded(row, ids) with `decoded` (binary), the bytes of the ids; null ids give null."""
+    """encoded(row, ids) with `decoded` (binary), the bytes of the ids; null ids give null, no ids give no bytes.
+
+    Rows that are repeated are each decoded; an empty table gives an empty result; lists of any length are decoded whole.
+    """
     rows = encoded.select("row", "ids")
 
     def run(batches):

@@ -238,8 +238,8 @@ def mixed(docs: DataFrame, powers: dict[str, float], share: float, model: str, s
     powers: for each margin (a column of docs, or "topic", the learnt one; a column of docs of that name is carried but not used) how its
     targets flatten what there is (1: as it is, 0: uniform). share: of all tokens, in the expected sample. model: a tokenizer's file. off:
     how far the fit is from its targets (see raked). A null in a margin is a value of its own. Documents without tokens weigh nothing and
-    are kept (probability 1). Rows that repeat a doc_id share its draw; a null doc_id draws by its text. An empty table gives an
-    empty result.
+    are kept (probability 1). Rows that repeat a doc_id share its draw; a null doc_id draws by its text. Very long texts
+    are counted whole and are kept or not as any other row of their cell. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     value = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
