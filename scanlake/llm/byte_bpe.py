@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import batch_of, slices
+from scanlake.llm.common import batch_of, slices, text_of, with_texts
 
 #: Characters of a leaf; first width of a window on each side of a seam.
 LEAF, WINDOW = 2048, 16
@@ -109,12 +109,12 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, *keep: str) -> D
     Null and empty texts have no ids. Repeated rows are each returned; other columns are ignored; texts are encoded whole; an empty
     table gives an empty result.
     """
-    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_texts(docs, F.struct(*keep).alias("row"), keep)
 
     def run(batches):
         encode = tree(ranks, pattern).encode
         for batch in slices(batches):
-            ids = pa.array([encode(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
+            ids = pa.array([encode(t or "") for t in text_of(batch).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["row", "ids"])
 
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
@@ -136,6 +136,24 @@ def decode_documents(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, decoded binary")
 
 
+def round_trips(docs: DataFrame, ranks: str, pattern: str, *keep: str) -> DataFrame:
+    """`encode_documents` with `round_trip`: whether decoding the ids gives the text's bytes back.
+
+    Both are one pass: two would hold two workers a core, each with its own tables, and the decoded bytes would travel.
+    """
+    rows = with_texts(docs, F.struct(*keep).alias("row"), keep)
+
+    def run(batches):
+        codec = tree(ranks, pattern)
+        for batch in slices(batches):
+            texts = [t or "" for t in text_of(batch).to_pylist()]
+            found = [codec.encode(t) for t in texts]
+            same = [codec.decode(ids) == t.encode() for ids, t in zip(found, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["row", "ids", "round_trip"])
+
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, round_trip boolean")
+
+
 def bpe_digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256.
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.sources.work import new_folder
 
 #: Rows that a worker turns into Python objects at a time.
 ROWS = 256
+#: Rows with texts that Spark hands to a worker at once, at most. Its own bound, 10,000, takes over 60 MB a column for texts of some 3 KB, in the executor and in the worker.
+BATCH = 4096
 #: Entries that a worker's cache may hold; a full cache is emptied.
 CACHE = 1 << 18
 
@@ -43,9 +45,32 @@ def slices(batches, rows: int = ROWS):
             yield batch.slice(at, rows)
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on hands at most BATCH rows to a worker at once; a smaller setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, BATCH)
+    return df
+
+
 def texts(df: DataFrame, *columns: str) -> DataFrame:
     """The given columns, and the text as UTF-8 bytes (null stays null); other columns are not read."""
-    return df.select(*columns, F.col("text").cast("binary").alias("text"))
+    return in_batches(df).select(*columns, F.col("text").cast("binary").alias("text"))
+
+
+def with_texts(df: DataFrame, row: Column, keep: tuple[str, ...]) -> DataFrame:
+    """row (a column that holds the columns named in keep), and the text, unless row holds it: a text goes to a worker once."""
+    return in_batches(df).select(row, *([] if "text" in keep else ["text"]))
+
+
+def text_of(batch: pa.RecordBatch, *path: str) -> pa.Array:
+    """The texts of a batch of `with_texts`; path: where its first column has them if they are no column of their own."""
+    if batch.num_columns > 1:
+        return batch.column(1)
+    found = batch.column(0)
+    for name in (*path, "text"):
+        found = found.field(name)
+    return found
 
 
 class WordHash(dict):

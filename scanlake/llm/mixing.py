@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import slices, written
+from scanlake.llm.common import slices, text_of, with_texts, written
 from scanlake.llm.token_counts import Counts, pre_tokens
 from scanlake.llm.words import word_hashes_of
 
@@ -60,17 +60,18 @@ def matrix(vectors: pa.Array) -> np.ndarray:
     return np.frombuffer(vectors.buffers()[2], dtype="<f2", offset=int(ends[0]), count=len(vectors) * DIMENSIONS).astype(np.float32).reshape(-1, DIMENSIONS)
 
 
-def described(rows: DataFrame, model: str) -> DataFrame:
-    """rows(keep, text) as keep, n_tokens and vector (see word_vectors), null for texts without words."""
+def described(docs: DataFrame, model: str) -> DataFrame:
+    """Per row of docs: row (a struct of its columns), n_tokens and vector (see word_vectors), null for texts without words."""
+    rows = with_texts(docs, F.struct(*docs.columns).alias("row"), tuple(docs.columns))
 
     def run(batches):
         counts = Counts(model, {})
         for batch in slices(batches, TOGETHER):
-            pieces = numbered(batch.column(1))
+            pieces = numbered(text_of(batch))
             vectors = [v.tobytes() if v.any() else None for v in word_vectors(*pieces).astype("<f2")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.of_pieces(*pieces)), pa.array(vectors, pa.binary())], names=["keep", "n_tokens", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.of_pieces(*pieces)), pa.array(vectors, pa.binary())], names=["row", "n_tokens", "vector"])
 
-    return rows.select("keep", "text").mapInArrow(run, f"keep {rows.schema['keep'].dataType.simpleString()}, n_tokens long, vector binary")
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, vector binary")
 
 
 def bucket_weights(vectors: DataFrame) -> tuple[np.ndarray, int]:
@@ -244,7 +245,7 @@ def mixed(docs: DataFrame, powers: dict[str, float], share: float, model: str, s
     spark = docs.sparkSession
     value = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
     names = {f"_m{i}": c for i, c in enumerate(powers)}
-    rows = written(described(docs.select(F.struct(*docs.columns).alias("keep"), "text"), model).withColumnRenamed("keep", "row"), "described")
+    rows = written(described(docs, model), "described")
     topics = spark.sparkContext.broadcast(fit_topics(rows.select("vector").filter("vector is not null")))
     rows = rows.select("row", "n_tokens", topic_of(topics)("vector").alias("topic"))
     keyed = rows.select("*", *[value(F.col("topic") if c == "topic" else F.col(f"row.{c}")).alias(m) for m, c in names.items()])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import batch_of, mix, runs_hash, signed, slices, word_hashes, written
+from scanlake.llm.common import batch_of, in_batches, mix, runs_hash, signed, slices, text_of, word_hashes, written
 
 SPAN, GRAM = 20, 6
 #: GRAM-word runs in a window.
@@ -104,7 +104,7 @@ def _gathered(parts: list[tuple], meet: int | None = None) -> pa.RecordBatch:
 def _rows(docs: DataFrame, *more: Column) -> DataFrame:
     """doc: doc_id, with null last; row: 31 bits of a hash of the text; text: bytes."""
     last = F.lit(2**63 - 1)
-    return docs.select(
+    return in_batches(docs).select(
         F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"), F.xxhash64("text").bitwiseAND(2**31 - 1).cast("int").alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *more
     )
 
@@ -180,8 +180,8 @@ def without_repeats(docs: DataFrame, *keep: str) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
             out = []
-            for text, ats in zip(batch.column(1), batch.column(2), strict=True):
-                words = text.as_py().split()
+            for text, ats in zip(text_of(batch.drop_columns("ats")).cast(pa.binary()), batch.column("ats"), strict=True):
+                words = (text.as_py() or b"").split()
                 spans = merged(ats.values.to_numpy()) if ats.is_valid else []
                 kept, at = [], 0
                 for a, b in spans:
@@ -194,7 +194,7 @@ def without_repeats(docs: DataFrame, *keep: str) -> DataFrame:
             columns.append(pa.array([x[3].decode("utf-8", "replace") for x in out], pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["keep", "n_words", "n_removed", "spans", "kept"])
 
-    joined = rows.join(repeated_windows(docs).hint("shuffle_hash"), ["doc", "row"], "left").select("keep", "text", "ats")
+    joined = rows.join(repeated_windows(docs).hint("shuffle_hash"), ["doc", "row"], "left").select("keep", *([] if "text" in keep else ["text"]), "ats")
     done = joined.mapInArrow(run, f"keep {kept_type}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
     return done.withColumnRenamed("keep", "row")
 

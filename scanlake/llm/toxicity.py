@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import batch_of, slices, texts, written
+from scanlake.llm.common import batch_of, slices, text_of, texts, with_texts, written
 
 POSITIVES, LISTS = 6000, 200_000
 COMMON, SHARE, LEAST, LIFT, LARGEST = 3, 0.01, 2.0, 4.0, 500
@@ -196,14 +196,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame
     weights, bias = train(docs, labels, fold != 0) or ({}, None)
     names = {f: i for i, f in enumerate(weights)}
     shared = docs.sparkSession.sparkContext.broadcast((names, np.array(list(weights.values()), dtype=float), bias))
-    rows = texts(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id"), *([F.struct(*keep).alias("row")] if keep else [])).alias("keep"))
+    rows = with_texts(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id"), *([F.struct(*keep).alias("row")] if keep else [])).alias("keep"), keep)
     schema = pa.schema([("score", pa.float64())])
 
     def run(batches):
         names, weights, bias = shared.value
         features = Features(names)
         for batch in slices(batches):
-            z = np.array([weights[sorted(features.of(text))].sum() if bias is not None else 0.0 for text in batch.column(1).to_pylist()]) + (bias or 0.0)
+            found = text_of(batch, "row").cast(pa.binary()).to_pylist()
+            z = np.array([weights[sorted(features.of(text))].sum() if bias is not None else 0.0 for text in found]) + (bias or 0.0)
             scores = 1 / (1 + np.exp(-np.clip(z, -500, 500))) if bias is not None else np.zeros(len(z))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch_of(schema, scores).column(0)], names=["keep", "score"])
 

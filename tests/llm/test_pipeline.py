@@ -1,10 +1,12 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from scanlake.llm import byte_bpe, mixing, toxicity
+from scanlake.llm import byte_bpe, common, mixing, substring_repeats, toxicity
 from tests.llm.test_near_duplicates import brute as brute_near
 from tests.llm.test_substring_repeats import brute as brute_repeats
 
@@ -79,3 +81,29 @@ def test_edge_rows_pass_every_stage(spark, edge_docs, sf_dir):
 def test_run_on_tables(spark, sf_dir):
     out = P.run(spark, sf_dir)
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"] and out.count() > 50
+
+
+def test_a_text_goes_to_workers_once_and_in_small_batches(spark, sf_dir):
+    """The memory of a stage follows neither from 10,000 texts at once nor from two copies of each."""
+    docs, key = spark.read.parquet(f"{sf_dir}/documents.parquet"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    many = spark.range(0, 20_000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text"), *[F.lit("x").alias(c) for c in docs.columns if c not in ("doc_id", "text", "n_chars")], F.lit(11).alias("n_chars")).select(*docs.columns)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    spark.conf.unset(key)
+    assert max(r.n for r in common.texts(many).mapInArrow(sizes, "n long").collect()) <= common.BATCH
+    spark.conf.set(key, 7)
+    try:
+        common.texts(many)
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.unset(key)
+    kept = tuple(docs.columns)
+    for plan in (P.drop_toxic(spark, docs, sf_dir), substring_repeats.without_repeats(docs, *kept), byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, *kept), mixing.described(docs, public_tokenizers.path("piece_bpe_32k.model"))):
+        node = plan._jdf.queryExecution().optimizedPlan()
+        while node.nodeName() != "MapInArrow":
+            node = node.children().head()
+        assert node.child().output().mkString(" ").count("text#") == 0  # within the row alone
+
+
+def test_the_last_stage_takes_one_worker_a_task(spark, sf_dir):
+    plan = P.encode(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
