@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from scanlake.llm import recurrent
 from scanlake.llm.common import batch_of, mix, removed, slices, written
-from scanlake.llm.words import bytes_of, word_hashes_of, words_of
+from scanlake.llm.words import bytes_of, packed_words, unpacked_words, word_hashes_of, words_of
 
 WORDS, TAIL, DISCOUNT = 4096, 64, 0.6
 TOKENS, PAIRS, SHARD_TOKENS, RATE = 1 << 21, 1 << 20, 1 << 22, 0.02
@@ -40,8 +40,8 @@ LONGEST = 64
 #: Tail classes by the last two bytes of a word.
 SLOTS = (mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) % np.uint64(TAIL)).astype(np.int64)
 
-BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.binary()), ("n_words", pa.int64())])
-BLOCK_SQL = "block long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, words array<string>, counts binary, n_words long"
+BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("n_words", pa.int64())])
+BLOCK_SQL = "block long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, sizes binary, words binary, counts binary, n_words long"
 TOTALS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary()), ("top", pa.list_(pa.string())), ("top_counts", pa.list_(pa.int64())), ("types", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("singles", pa.list_(pa.int64()))])
 TOTALS_SQL = "block long, bucket long, totals binary, top array<string>, top_counts array<long>, types array<long>, tokens array<long>, singles array<long>"
 SYMBOLS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("symbols", pa.binary()), ("once", pa.binary()), ("base", pa.list_(pa.float64())), ("rare", pa.list_(pa.float64())), ("known", pa.list_(pa.int64()))])
@@ -62,6 +62,11 @@ def in_buckets(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(of[order], np.arange(buckets + 1, dtype=np.uint64))
 
 
+def words_in(batch: pa.RecordBatch) -> pa.Array:
+    """The word list of a block's row."""
+    return unpacked_words(batch.column("sizes")[0].as_py(), batch.column("words")[0].as_py())
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """Blocks of whole documents as numbers, with the training counts of their words; numbered by partition, so a retry gives the same."""
 
@@ -74,7 +79,7 @@ def packed(rows: DataFrame) -> DataFrame:
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         return batch_of(
             BLOCK, [number], one(ids), one(pa.array(held)), one(pa.array(lengths.astype(np.int32))), [tokens.astype("<i4").tobytes()],
-            one(words), [counts.astype("<i4").tobytes()], [len(words)],
+            *([v] for v in packed_words(words)), [counts.astype("<i4").tobytes()], [len(words)],
         )
 
     def run(batches):
@@ -103,17 +108,15 @@ def counted(blocks: DataFrame, buckets: int) -> DataFrame:
 
     def dealt(batches):
         for batch in slices(batches, 1):
-            words, counts = batch.column("words")[0].values, np.frombuffer(batch.column("counts")[0].as_py(), dtype="<i4")
+            words, counts = words_in(batch), np.frombuffer(batch.column("counts")[0].as_py(), dtype="<i4")
             order, ends = in_buckets(words, buckets)
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words.take(pa.array(order)))
-            counts, used = counts[order], np.flatnonzero(np.diff(ends))
-            cut = [counts[ends[k] : ends[k + 1]].tobytes() for k in used]
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.repeat(batch.column("block").to_numpy(), len(used))), lists.take(pa.array(used)), pa.array(cut, pa.binary())], names=["bucket", "block", "words", "counts"])
+            words, counts, used = words.take(pa.array(order)), counts[order], np.flatnonzero(np.diff(ends))
+            cut = [(*packed_words(words[ends[k] : ends[k + 1]]), counts[ends[k] : ends[k + 1]].tobytes()) for k in used]
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.repeat(batch.column("block").to_numpy(), len(used))), *(pa.array([c[i] for c in cut], pa.binary()) for i in range(3))], names=["bucket", "block", "sizes", "words", "counts"])
 
     def added(group: pa.Table) -> pa.Table:
-        lists = group.column("words").combine_chunks()
-        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-        found = lists.flatten().dictionary_encode()
+        sizes = group.column("sizes").to_pylist()
+        found = unpacked_words(b"".join(sizes), b"".join(group.column("words").to_pylist())).dictionary_encode()
         numbers, words = found.indices.to_numpy(), found.dictionary
         counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), dtype="<i4")
         totals = np.bincount(numbers, weights=counts, minlength=len(words)).astype(np.int64)
@@ -124,15 +127,15 @@ def counted(blocks: DataFrame, buckets: int) -> DataFrame:
         least = np.sort(totals[able])[-WORDS] if len(able) > WORDS else 0
         able = able[totals[able] >= least]
         top = sorted(zip((-totals[able]).tolist(), words.take(pa.array(able)).to_pylist(), strict=True))[:WORDS]
-        rows, none = len(lists), [None] * len(lists)
-        ends = np.cumsum(np.r_[0, pc.list_value_length(lists).to_numpy()])
+        rows, none = len(sizes), [None] * len(sizes)
+        ends = np.cumsum([0, *(len(s) // 4 for s in sizes)])
         every = totals[numbers]
         return pa.Table.from_batches([batch_of(
             TOTALS, group.column("block").to_pylist() + [None], [group.column("bucket")[0].as_py()] * (rows + 1), [every[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)] + [None],
             none + [[w for _, w in top]], none + [[-c for c, _ in top]], *[none + [v] for v in per_slot],
         )])
 
-    pieces = blocks.select("block", "words", "counts").mapInArrow(dealt, "bucket long, block long, words array<string>, counts binary")
+    pieces = blocks.select("block", "sizes", "words", "counts").mapInArrow(dealt, "bucket long, block long, sizes binary, words binary, counts binary")
     return written(pieces.groupBy("bucket").applyInArrow(added, TOTALS_SQL), "counts")
 
 
@@ -163,7 +166,7 @@ def corpus_facts(totals: DataFrame) -> dict:
 def coded(blocks: DataFrame, totals: DataFrame, buckets: int, facts) -> DataFrame:
     """Blocks in the model's symbols, with each document's base score, known tokens and the part of its score that has no state."""
     lists = totals.filter("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "totals"))).alias("parts"))
-    joined = blocks.select("block", "ids", "held", "lengths", "tokens", "words").join(lists.hint("shuffle_hash"), "block")
+    joined = blocks.select("block", "ids", "held", "lengths", "tokens", "sizes", "words").join(lists.hint("shuffle_hash"), "block")
     joined = joined.withColumn("totals", F.col("parts.totals")).drop("parts")
 
     def run(batches):
@@ -171,7 +174,7 @@ def coded(blocks: DataFrame, totals: DataFrame, buckets: int, facts) -> DataFram
         own, number = f["own"], f["numbers"]
         for batch in slices(batches, 1):
             tokens = np.frombuffer(batch.column("tokens")[0].as_py(), dtype="<i4")
-            words, lengths = batch.column("words")[0].values, batch.column("lengths")[0].values.to_numpy()
+            words, lengths = words_in(batch), batch.column("lengths")[0].values.to_numpy()
             order, _ = in_buckets(words, buckets)
             counts = np.empty(len(words), dtype=np.int64)
             counts[order] = np.frombuffer(b"".join(batch.column("totals")[0].as_py()), dtype=np.int64)

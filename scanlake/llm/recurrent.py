@@ -15,6 +15,8 @@ CLASSES, HIDDEN = 40, 24
 WINDOW, LANES, UPDATES = 24, 320, 400
 #: Lanes in scoring, and states whose outputs are computed at once.
 WIDE, CHUNK = 512, 4096
+#: Scores nearer to 0 than this need no shift before exponentials.
+SMALL = 60
 
 
 def class_edges(counts: np.ndarray) -> np.ndarray:
@@ -59,9 +61,15 @@ def shaped(values: np.ndarray, edges: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _softmax(scores: np.ndarray, chosen: np.ndarray, backward: bool) -> np.ndarray:
-    """Log-probabilities of the chosen columns; with backward, scores become the gradients of their negative sum."""
-    if max(scores.max(), -scores.min()) > 60:  # else no exponential overflows, and no sum vanishes
+def small_scores(model: dict) -> bool:
+    """Whether no state, whose components lie between -1 and 1, gives a score so far from 0 that exponentials overflow or their sums vanish."""
+    most = lambda weights, bias, axis: float((np.abs(weights).sum(axis=axis) + np.abs(bias)).max())
+    return max(most(model["to_class"], model["class_bias"], 0), most(model["to_word"], model["word_bias"], 1)) < SMALL
+
+
+def _softmax(scores: np.ndarray, chosen: np.ndarray, backward: bool, small: bool = False) -> np.ndarray:
+    """Log-probabilities of the chosen columns; with backward, scores become the gradients of their negative sum. small: see small_scores."""
+    if not small and max(scores.max(), -scores.min()) > SMALL:
         scores -= scores.max(axis=1, keepdims=True)
     at = np.arange(len(chosen)) * scores.shape[1] + chosen
     out = scores.ravel()[at]
@@ -74,7 +82,7 @@ def _softmax(scores: np.ndarray, chosen: np.ndarray, backward: bool) -> np.ndarr
     return out
 
 
-def _outputs(model: dict, edges: np.ndarray, h: np.ndarray, y: np.ndarray, gradients: dict | None = None) -> np.ndarray:
+def _outputs(model: dict, edges: np.ndarray, h: np.ndarray, y: np.ndarray, gradients: dict | None = None, small: bool = False) -> np.ndarray:
     """Natural log-probabilities of symbols y after states h (n, HIDDEN); with gradients, of their negative sum, returns those of h too."""
     backward = gradients is not None
     order = np.argsort(y, kind="stable")
@@ -82,7 +90,7 @@ def _outputs(model: dict, edges: np.ndarray, h: np.ndarray, y: np.ndarray, gradi
     own = np.searchsorted(edges, y, side="right") - 1
     scores = h @ model["to_class"]
     scores += model["class_bias"]
-    out = _softmax(scores, own, backward)
+    out = _softmax(scores, own, backward, small)
     if backward:
         gradients["to_class"] += h.T @ scores
         gradients["class_bias"] += np.ones(len(y), h.dtype) @ scores
@@ -92,7 +100,7 @@ def _outputs(model: dict, edges: np.ndarray, h: np.ndarray, y: np.ndarray, gradi
         rows, part = slice(ends[c], ends[c + 1]), slice(edges[c], edges[c + 1])
         scores = h[rows] @ model["to_word"][part].T
         scores += model["word_bias"][part]
-        out[rows] += _softmax(scores, y[rows] - edges[c], backward)
+        out[rows] += _softmax(scores, y[rows] - edges[c], backward, small)
         if backward:
             gradients["to_word"][part] += scores.T @ h[rows]
             gradients["word_bias"][part] += np.ones(len(scores), h.dtype) @ scores
@@ -150,7 +158,7 @@ def window_gradients(model: dict, edges: np.ndarray, x: np.ndarray, y: np.ndarra
     """
     steps, lanes = x.shape
     gradients = {k: np.zeros_like(v) for k, v in model.items()}
-    table = _table(model)
+    table, small = _table(model), small_scores(model)
     kept, states, before = [], np.empty((steps, lanes, HIDDEN), h.dtype), np.empty((steps, lanes, HIDDEN), h.dtype)
     for t in range(steps):
         before[t] = h
@@ -162,12 +170,12 @@ def window_gradients(model: dict, edges: np.ndarray, x: np.ndarray, y: np.ndarra
     flat_states, flat_x, y = states.reshape(-1, HIDDEN), x.ravel(), y.ravel()
     if real is None or real.all():
         count = len(y)
-        out, dstates = _outputs(model, edges, flat_states, y, gradients)
+        out, dstates = _outputs(model, edges, flat_states, y, gradients, small)
     else:
         at = np.flatnonzero(real.ravel())
         count = len(at)
         dstates = np.zeros_like(flat_states)
-        out, dstates[at] = _outputs(model, edges, flat_states[at], y[at], gradients)
+        out, dstates[at] = _outputs(model, edges, flat_states[at], y[at], gradients, small)
     dstates = dstates.reshape(steps, lanes, HIDDEN)
     given = np.empty((2, steps, lanes, HIDDEN), h.dtype)
     carry = np.zeros_like(h)
@@ -261,7 +269,7 @@ def log_probabilities(model: dict, edges: np.ndarray, documents: list[np.ndarray
         x[np.cumsum(np.r_[0, lengths[queue][:-1]]) if queue else [], i] = start
     active = np.searchsorted(-load, -np.arange(steps), side="left")
     fresh = (x == start).any(axis=1)
-    table = _table(model)
+    table, small = _table(model), small_scores(model)
     h = np.zeros((lanes, HIDDEN), dtype=np.float32)
     states, targets, owners, held = [], [], [], 0
     for t in range(steps):
@@ -275,7 +283,7 @@ def log_probabilities(model: dict, edges: np.ndarray, documents: list[np.ndarray
         owners.append(of[t, :n])
         held += n
         if held >= CHUNK or t + 1 == steps:
-            found = _outputs(model, edges, np.concatenate(states), np.concatenate(targets))
+            found = _outputs(model, edges, np.concatenate(states), np.concatenate(targets), small=small)
             result += np.bincount(np.concatenate(owners), weights=found, minlength=len(documents))
             states, targets, owners, held = [], [], [], 0
     return result

@@ -16,6 +16,17 @@ def bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ends - ends[0], np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
 
 
+def packed_words(words: pa.Array) -> tuple[bytes, bytes]:
+    """The sizes of words as 32-bit integers, and their bytes: two values, which Spark moves as they are, in place of one for each word."""
+    ends, data = bytes_of(words)
+    return np.diff(ends).astype("<i4").tobytes(), data.tobytes()
+
+
+def unpacked_words(sizes: bytes, data: bytes) -> pa.Array:
+    ends = np.r_[0, np.cumsum(np.frombuffer(sizes, dtype="<i4"), dtype=np.int64)].astype(np.int32)
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data))
+
+
 def word_hashes_of(words: pa.Array) -> np.ndarray:
     """A 64-bit number for each word, the same for equal words everywhere; for dealing, not for telling words apart."""
     ends, data = bytes_of(words)

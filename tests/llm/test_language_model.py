@@ -122,3 +122,14 @@ def test_buckets_keep_equal_words_together():
         of = {i: k for k in range(4) for i in order[ends[k] : ends[k + 1]]}
         assert sorted(of) == list(range(len(part)))
         assert len({(w, of[i]) for i, w in enumerate(part.to_pylist())}) == len(set(part.to_pylist()))
+
+
+def test_word_lists_travel_as_two_values(spark, edge_docs):
+    for found in (["", "a", "été", "x" * 300], []):
+        assert words.unpacked_words(*words.packed_words(pa.array(found, pa.string()))).to_pylist() == found
+    cut = pa.array(["a", "", "bc", "d"], pa.string())[1:3]
+    assert words.unpacked_words(*words.packed_words(cut)).to_pylist() == ["", "bc"]
+    blocks = M.packed(edge_docs.selectExpr("doc_id", "false as held", "text"))
+    assert all(t != "array<string>" for _, t in blocks.dtypes)
+    row = blocks.first()
+    assert len(row.sizes) == 4 * row.n_words

@@ -68,3 +68,16 @@ def test_training_learns_order():
     start = R.log_probabilities(before, edges, docs).sum()
     after, seen = R.train({k: v.copy() for k, v in before.items()}, edges, docs)
     assert seen == sum(map(len, docs)) and R.log_probabilities(after, edges, docs).sum() > 0.5 * start
+
+
+def test_scores_need_no_shift_where_weights_are_small():
+    """The bound on scores decides for all states at once, and does not change a result; large weights fail it and are shifted as before."""
+    sizes = np.sort(np.random.default_rng(5).integers(1, 1000, 60))[::-1].astype(float)
+    model, edges = R.initial(sizes), R.class_edges(sizes)
+    rnd = np.random.default_rng(6)
+    h, y = rnd.uniform(-1, 1, (50, R.HIDDEN)).astype(np.float32), rnd.integers(0, len(sizes), 50).astype(np.uint16)
+    assert R.small_scores(model) and (R._outputs(model, edges, h, y, small=True) == R._outputs(model, edges, h, y)).all()
+    model["to_word"][:] = 100
+    model["to_class"][:] *= 1e4
+    assert not R.small_scores(model)
+    assert np.isfinite(R.log_probabilities(model, edges, [y, y[:3]])).all()
