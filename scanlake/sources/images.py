@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlake.functions import names
-from scanlake.sources.headers import SIGNATURE, filesystem, image_headers
+from scanlake.sources.headers import FILES, SIGNATURE, filesystem, image_headers
 from scanlake.sources.versions import delete, qualified
-from scanlake.sources.work import new_folder
+from scanlake.sources.work import new_folder, written
 
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+#: Paths of files that may be broadcast, so that what they pick from is not shuffled.
+FEW = 1 << 16
 DECODED = "path string, height int, width int, channels int, dtype string, data array<int>"
 
 
@@ -34,13 +36,14 @@ def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...], recu
     return found
 
 
-def pixels_of_8_bits(spark: SparkSession, root: str, extensions: tuple[str, ...] = names.FINALIZE_EXTENSIONS, on_bad: str = "raise", skip: DataFrame | None = None) -> DataFrame:
+def pixels_of_8_bits(spark: SparkSession, root: str, extensions: tuple[str, ...] = names.FINALIZE_EXTENSIONS, on_bad: str = "raise", skip: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Images by Spark's image source: path, height, width, channels (blue, green, red), dtype, data as unsigned bytes.
 
-    on_bad: what a file that is no image does: "raise" with its path, or "null" for a row without data. skip(path): files to leave out. The bytes
-    of a batch become its samples in one step, so the cost is in proportion to the pixels.
+    on_bad: what a file that is no image does: "raise" with its path, or "null" for a row without data. skip(path): files to leave out. tasks: at most so
+    many (Spark itself makes one for every 32 small files, each of which starts a worker for every Python step that follows). The bytes of a batch become its samples in one step, so the cost is in proportion to the pixels.
     """
     rows = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root).select("image.*")
+    rows = rows.coalesce(tasks) if tasks else rows
     # The image source writes file:/// where the other sources have file:/.
     rows = rows.withColumn("origin", F.regexp_replace("origin", "^file:/+", "file:/")).filter(names.has_extension(F.col("origin"), extensions))
     if skip is not None:
@@ -65,11 +68,17 @@ def pixels_of_8_bits(spark: SparkSession, root: str, extensions: tuple[str, ...]
 def decoded_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = names.FINALIZE_EXTENSIONS, on_bad: str = "raise") -> DataFrame:
     """All images of a folder, of 8 and of 16 bits: path, height, width, channels, dtype, data.
 
-    Headers are read first, which tell files of 16 bits; only PNG is decoded at that depth. on_bad as for `pixels_of_8_bits`; see `quarantined`.
+    Headers are read first, once and at once, which tell files of 16 bits; only PNG is decoded at that depth. Where there are none, which is most folders,
+    each file is read once more and nothing is shuffled; up to FEW of them are told by a broadcast of their paths. on_bad as for `pixels_of_8_bits`; see `quarantined`.
     """
-    deep = image_headers(spark, root, "list", extensions).filter("dtype = 'uint16'").select("path")
     files = scan_files(spark, root, extensions, content=True)
-    return pixels_of_8_bits(spark, root, extensions, on_bad, skip=deep).unionByName(decoded(files.join(deep, "path", "left_semi"), on_bad))
+    heads = written(image_headers(spark, root, "list", extensions).select("path", "dtype"), "headers")
+    deep, tasks = heads.filter("dtype = 'uint16'").select("path"), max(2 * spark.sparkContext.defaultParallelism, -(-heads.count() // FILES))
+    n = deep.limit(FEW + 1).count()
+    if not n:
+        return pixels_of_8_bits(spark, root, extensions, on_bad, tasks=tasks)
+    deep = F.broadcast(deep) if n <= FEW else deep
+    return pixels_of_8_bits(spark, root, extensions, on_bad, skip=deep, tasks=tasks).unionByName(decoded(files.join(deep, "path", "left_semi"), on_bad))
 
 
 def quarantined(images: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,11 +115,12 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
     def rename(batches):
         from pyarrow import fs
 
-        store, folder = filesystem(root)
+        (store, folder), made = filesystem(root), None
         for batch in batches:
             for path, staged in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 to = f"{folder}/{path.lstrip('/')}"
-                store.create_dir(to.rsplit("/", 1)[0], recursive=True)
+                if made != (made := to.rsplit("/", 1)[0]):
+                    store.create_dir(made, recursive=True)
                 if store.get_file_info(f"{folder}/{staged}").type != fs.FileType.NotFound:  # else an earlier attempt has renamed it
                     store.move(f"{folder}/{staged}", to)
                 elif store.get_file_info(to).type == fs.FileType.NotFound:

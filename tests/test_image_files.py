@@ -200,3 +200,12 @@ def test_a_folder_is_preprocessed_into_another(spark, tmp_path):
     S.preprocess_folder(spark, str(tmp_path / "in"), str(tmp_path / "out2"), None, channels="color", on_bad="skip")
     assert sorted(p.name for p in (tmp_path / "out2").rglob("*") if p.is_file()) == ["A.png", "c.png"]
     assert S.decode_png((tmp_path / "out2" / "s1" / "A.png").read_bytes()).shape == (512, 512, 3)
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    """Not one for every 32 files: each task starts a worker for every Python step that follows."""
+    content = S.encode_png(np.zeros((2, 2), dtype=np.uint8))
+    for i in range(400):
+        (tmp_path / f"{i}.png").write_bytes(content)
+    images = S.decoded_images(spark, str(tmp_path))
+    assert images.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and images.count() == 400
