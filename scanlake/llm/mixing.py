@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.llm.common import slices, text_of, with_texts, written
@@ -29,8 +29,10 @@ SWEEPS, TOLERANCE, GRID = 200, 1e-6, 64
 IN_ONE_TASK = 100_000
 #: Sweeps end early where no centre moves by more than MOVED. Directions are summed as whole numbers of 1 / FINE, so that no order of tasks shows.
 TOPICS, DIMENSIONS, ROUNDS, STARTS, MOVED, FINE = 8, 512, 10, 4096, 1e-3, 1 << 20
-#: Texts of a batch that are numbered together.
-TOGETHER = 1024
+#: Texts of a batch that are numbered together, and vectors that are worked on together (few, so that they stay in a core's cache).
+TOGETHER, ROWS = 2048, 512
+#: The number that each 16 bits stand for as a float16: a look-up is several times faster than numpy's conversion.
+HALVES = np.arange(1 << 16, dtype="<u2").view("<f2").astype(np.float32)
 
 
 def word_vectors(found: pa.DictionaryArray, doc: np.ndarray, texts: int) -> np.ndarray:
@@ -57,7 +59,7 @@ def matrix(vectors: pa.Array) -> np.ndarray:
     if not len(vectors):
         return np.zeros((0, DIMENSIONS), np.float32)
     ends = np.frombuffer(vectors.buffers()[1], dtype=np.int32)[vectors.offset : vectors.offset + len(vectors) + 1]
-    return np.frombuffer(vectors.buffers()[2], dtype="<f2", offset=int(ends[0]), count=len(vectors) * DIMENSIONS).astype(np.float32).reshape(-1, DIMENSIONS)
+    return HALVES[np.frombuffer(vectors.buffers()[2], dtype="<u2", offset=int(ends[0]), count=len(vectors) * DIMENSIONS)].reshape(-1, DIMENSIONS)
 
 
 def described(docs: DataFrame, model: str) -> DataFrame:
@@ -79,7 +81,7 @@ def bucket_weights(vectors: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches):
         n, held = 0, np.zeros(DIMENSIONS, dtype=np.int64)
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, ROWS):
             x = matrix(batch.column(0))
             n, held = n + len(x), held + (x > 0).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMENSIONS), pa.int32()), pa.array(np.r_[n, held], pa.int64())], names=["bucket", "n"])
@@ -110,7 +112,7 @@ def swept(vectors: DataFrame, weights: np.ndarray, centres: np.ndarray) -> tuple
 
     def run(batches):
         sums, n = np.zeros((len(centres), DIMENSIONS), dtype=np.int64), np.zeros(len(centres), dtype=np.int64)
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, ROWS):
             x = directions(matrix(batch.column(0)), weights)
             own = (x @ centres.T).argmax(axis=1)
             chosen = (own[:, None] == np.arange(len(centres))).astype(np.float64)
@@ -147,20 +149,19 @@ def fit_topics(vectors: DataFrame, seed: int = 0) -> tuple[np.ndarray, np.ndarra
     return weights, centres[np.argsort(-sizes, kind="stable")]
 
 
-def topic_of(topics):
-    """A column function: the topic of a vector ("empty" where it is null), by broadcast weights and centres."""
+def topic_of(topics, vector: Column) -> Column:
+    """The topic of a vector ("empty" where it is null), by broadcast weights and centres."""
 
-    @F.pandas_udf("string")
-    def nearest(vector: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def nearest(vectors: pa.Array) -> pa.Array:
         weights, centres = topics.value
-        out = pd.Series(["empty"] * len(vector), index=vector.index)
-        some = vector.notna()
-        if some.any() and len(centres):
-            x = directions(matrix(pa.array(vector[some], pa.binary())), weights)
-            out[some] = [f"topic {k}" for k in (x @ centres.T).argmax(axis=1)]
-        return out
+        own, some = np.zeros(len(vectors), dtype=np.int32), vectors.is_valid().to_numpy(zero_copy_only=False)
+        found = vectors.drop_null()
+        if len(found):
+            own[some] = np.concatenate([(directions(matrix(found.slice(at, ROWS)), weights) @ centres.T).argmax(axis=1) for at in range(0, len(found), ROWS)])
+        return pa.array(own, mask=~some)
 
-    return nearest
+    return F.coalesce(F.concat(F.lit("topic "), nearest(vector).cast("string")), F.lit("empty"))
 
 
 def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
@@ -247,7 +248,7 @@ def mixed(docs: DataFrame, powers: dict[str, float], share: float, model: str, s
     names = {f"_m{i}": c for i, c in enumerate(powers)}
     rows = written(described(docs, model), "described")
     topics = spark.sparkContext.broadcast(fit_topics(rows.select("vector").filter("vector is not null")))
-    rows = rows.select("row", "n_tokens", topic_of(topics)("vector").alias("topic"))
+    rows = rows.select("row", "n_tokens", topic_of(topics, F.col("vector")).alias("topic"))
     keyed = rows.select("*", *[value(F.col("topic") if c == "topic" else F.col(f"row.{c}")).alias(m) for m, c in names.items()])
     cells = written(keyed.groupBy(*names).agg(F.sum("n_tokens").alias("mass")), "masses")
     fitted = written(raked(cells, {m: written(tempered(cells, m, p), "targets") for m, p in zip(names, powers.values(), strict=True)}), "weights")

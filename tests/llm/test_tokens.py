@@ -68,3 +68,33 @@ def test_edges(edge_docs, no_docs):
     assert [r.n_tokens for r in bpe if r.doc_id in (1, 2)] == [0, 0]
     assert any(r.doc_id is None for r in counts) and [r.over_limit for r in counts if r.doc_id == 7] == [True]
     assert T.token_counts(no_docs, MODEL).count() == B.bpe_digests(no_docs, RANKS, PATTERN).count() == 0
+
+
+def test_words_are_encoded_once_whatever_stands_beside_them(monkeypatch):
+    """No piece holds a letter beside these marks, so 40 words with 7 endings, in 2 places, are 80 parts and the marks."""
+    seen, counts, rnd = [], T.Counts(MODEL, {}), random.Random(2)
+    monkeypatch.setattr(counts, "encode", lambda keys, **more: seen.extend(keys) or PIECES.encode(keys, **more))
+    words = ["".join(rnd.choices("abcdefgh", k=9)) for _ in range(40)]
+    text = "".join(before + w + end for w in words for before in (" ", "\n") for end in ("", ".", ",", "!", "***", ").", "?&&"))
+    assert counts.of(pa.array([text])).tolist() == [len(PIECES.encode(text))]
+    assert len(seen) == len(set(seen)) < 250  # 560 pre-tokens
+
+
+def test_models_that_change_characters_are_refused(tmp_path):
+    """Between letter and accent no piece would tell that they are composed."""
+    for rule in ("identity", "nmt_nfkc"):
+        options = {"vocab_size": 280, "model_type": "bpe", "byte_fallback": True, "remove_extra_whitespaces": False, "minloglevel": 2}
+        sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(["the cat sat on a mat"] * 9), model_prefix=f"{tmp_path}/{rule}", normalization_rule_name=rule, **options)
+    sp, apart = T.processor(f"{tmp_path}/identity.model")
+    assert sp.encode("the mat") and apart[256 * ord("x") + ord("y")] and not apart[256 * ord("a") + ord("t")]
+    with pytest.raises(ValueError, match="cannot be counted"):
+        T.processor(f"{tmp_path}/nmt_nfkc.model")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*PARTS, *"tehxqzw.,*é\u0301ñß-", "▁▁", "th", "\u200b", "ＡＢ"]), max_size=40).map("".join))
+def test_parts_add_up(text):
+    """Against the library, and the parts of any text are that text."""
+    pieces, piece = T.parts(pa.array([text, text] if text else []), T.processor(MODEL)[1])
+    assert "".join(pieces.to_pylist()) == 2 * text and "".join(p for p, k in zip(pieces.to_pylist(), piece, strict=True) if k) == text
+    assert COUNTS.of(pa.array(["x" + text, text])).tolist() == [len(PIECES.encode("x" + text)), len(PIECES.encode(text))]
