@@ -8,7 +8,8 @@ kept whole. The choice is a hash of the id, so the same rows are taken again aft
 
 Tokens are those of a tokenizer's model (token_counts). Topics are learnt: a text is the counts of its words (what spaces and line feeds part) in DIMENSIONS hash buckets (square
 roots, weighted by how few texts have the bucket), and TOPICS centres are fitted to the directions of all texts by spherical k-means, a sum over
-the tasks for each sweep; a text has the topic of its nearest centre. Counts and tokens are worked out from whole texts once and written with the row.
+the tasks for each sweep; a text has the topic of its nearest centre. Counts and tokens are worked out from whole texts once and written with the row;
+sweeps read a copy of the vectors alone, which is deleted when topics are fitted.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import slices, text_of, with_texts, written
+from scanlake.llm.common import removed, slices, text_of, with_texts, written
 from scanlake.llm.token_counts import Counts, pre_tokens
 from scanlake.llm.words import word_hashes_of
 
@@ -29,8 +30,10 @@ SWEEPS, TOLERANCE, GRID = 200, 1e-6, 64
 IN_ONE_TASK = 100_000
 #: Sweeps end early where no centre moves by more than MOVED. Directions are summed as whole numbers of 1 / FINE, so that no order of tasks shows.
 TOPICS, DIMENSIONS, ROUNDS, STARTS, MOVED, FINE = 8, 512, 10, 4096, 1e-3, 1 << 20
-#: Texts of a batch that are numbered together, and vectors that are worked on together (few, so that they stay in a core's cache).
-TOGETHER, ROWS = 2048, 512
+#: Bytes of a batch's texts that are numbered together, about; a longer text is alone.
+TOGETHER = 12 << 20
+#: Vectors that are worked on together: few, so that they stay in a core's cache.
+ROWS = 512
 #: The number that each 16 bits stand for as a float16: a look-up is several times faster than numpy's conversion.
 HALVES = np.arange(1 << 16, dtype="<u2").view("<f2").astype(np.float32)
 
@@ -49,6 +52,17 @@ def numbered(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, int]:
     return pieces.dictionary_encode(), doc, len(texts)
 
 
+def together(batches):
+    """Cut batches of `with_texts` into pieces whose texts have TOGETHER bytes at most, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(text_of(batch)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, TOGETHER + (ends[at - 1] if at else 0), side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def directions(vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
     x = vectors * weights
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
@@ -68,7 +82,7 @@ def described(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         counts = Counts(model, {})
-        for batch in slices(batches, TOGETHER):
+        for batch in together(batches):
             pieces = numbered(text_of(batch))
             vectors = [v.tobytes() if v.any() else None for v in word_vectors(*pieces).astype("<f2")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.of_pieces(*pieces)), pa.array(vectors, pa.binary())], names=["row", "n_tokens", "vector"])
@@ -247,7 +261,9 @@ def mixed(docs: DataFrame, powers: dict[str, float], share: float, model: str, s
     value = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
     names = {f"_m{i}": c for i, c in enumerate(powers)}
     rows = written(described(docs, model), "described")
-    topics = spark.sparkContext.broadcast(fit_topics(rows.select("vector").filter("vector is not null")))
+    vectors = written(rows.select("vector").filter("vector is not null"), "vectors")
+    topics = spark.sparkContext.broadcast(fit_topics(vectors))
+    removed(vectors)
     rows = rows.select("row", "n_tokens", topic_of(topics, F.col("vector")).alias("topic"))
     keyed = rows.select("*", *[value(F.col("topic") if c == "topic" else F.col(f"row.{c}")).alias(m) for m, c in names.items()])
     cells = written(keyed.groupBy(*names).agg(F.sum("n_tokens").alias("mass")), "masses")

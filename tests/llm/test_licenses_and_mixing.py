@@ -156,6 +156,17 @@ def test_topics_are_fitted_to_all_rows(spark, monkeypatch):
     assert none[1].shape == (0, M.DIMENSIONS)
 
 
+def test_few_long_texts_are_numbered_together(monkeypatch):
+    """Pieces of a batch hold so many bytes at most, or one text, and all rows in order."""
+    monkeypatch.setattr(M, "TOGETHER", 100)
+    texts = [None, "", *(["x" * 30] * 8), "y" * 400, "z" * 100, None, "é" * 50, "a"]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["row", "text"])
+    pieces = list(M.together([batch, batch.slice(0, 0), batch.slice(9)]))
+    assert [t for p in pieces for t in p.column(1).to_pylist()] == texts + texts[9:]
+    sizes = [[len((t or "").encode()) for t in p.column(1).to_pylist()] for p in pieces]
+    assert all(len(s) == 1 or sum(s) <= 100 for s in sizes) and len(sizes[0]) == 5
+
+
 def test_what_cannot_be_met_is_reported(spark):
     """Cells without mass make these targets contradict each other."""
     cells = spark.createDataFrame([("a", "x", 10), ("b", "y", 10)], "m string, n string, mass long")
