@@ -155,7 +155,7 @@ def frequent_pre_tokens(docs: DataFrame, model: str, entries: int = 65_536, samp
         counts = Counts(model, {})
         for batch in batches:
             keys = pc.replace_substring(batch.column(0), " ", SPACE).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[k] for k in keys], pa.int32())], names=["k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(counts.met(keys), pa.int32())], names=["k", "n"])
 
     rows = docs.select("text").filter("text is not null and text <> ''")
     share = min(1.0, sample_rows / max(1, docs.count()))
