@@ -209,3 +209,74 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
         (tmp_path / f"{i}.png").write_bytes(content)
     images = S.decoded_images(spark, str(tmp_path))
     assert images.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and images.count() == 400
+
+
+def odd_folder(root, large=5):
+    """Small PNGs, gray and of three channels, with all row filters, and files that are left to the image source; names that a URL or a pattern would change."""
+    from tests.test_operators import coded_rows
+
+    rnd, made = np.random.default_rng(4), {}
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    for name, shape, extra in (("s 1/a+b%20[1].png", (9, 12, 1), b""), ("s 1/{x}.png", (7, 5, 3), b""), ("text?.png", (4, 6, 1), chunk(b"tEXt", b"a\0b")), ("s 1/t u/gray.PNG", (1, 1, 1), b"")):
+        pixels, kinds = rnd.integers(0, 256, shape, dtype=np.uint8), np.arange(shape[0], dtype=np.uint8) % 5
+        rows = np.c_[kinds, coded_rows(pixels, kinds).reshape(shape[0], -1)].tobytes()
+        head = struct.pack(">IIBBBBB", shape[1], shape[0], 8, 2 if shape[2] == 3 else 0, 0, 0, 0)
+        made[name] = pixels, S.SIGNATURE + chunk(b"IHDR", head) + extra + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    for i in range(large):
+        pixels = rnd.integers(0, 256, (70, 65, 3) if i % 2 else (70, 65, 1), dtype=np.uint8)
+        made[f"s 1/large {i} [a]%41.png"] = pixels, S.encode_png(pixels if i % 2 else pixels[:, :, 0])
+    deep = rnd.integers(0, 65536, (6, 5, 3), dtype=np.uint16)
+    made["deep #1.png"] = deep, S.encode_png(deep)
+    for name, (_, content) in made.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(content)
+    for name in ("_hidden.png", ".hidden.png", "_h/a.png"):
+        (root / name).parent.mkdir(exist_ok=True)
+        (root / name).write_text("no image")
+    return {name: pixels for name, (pixels, _) in made.items()}
+
+
+def test_the_driver_lists_no_small_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "IMAGES", 3)
+    for i in range(40):
+        (tmp_path / f"{i}.png").write_bytes(S.encode_png(np.full((2, 2), i, dtype=np.uint8)))
+    images = S.decoded_images(spark, str(tmp_path))
+    assert not [f for f in images.inputFiles() if f.endswith(".png")]  # what a scan has listed
+    assert sorted(r.data[3] for r in images.collect()) == list(range(40))
+
+
+def test_parts_hold_every_image_once_and_few_files_at_a_time(spark, tmp_path, monkeypatch):
+    """Decoded here or by the image source, an image is the same, under its own name."""
+    monkeypatch.setattr(S, "SLICE", 3)
+    made = odd_folder(tmp_path / "in dir")
+    parallel = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    parts = list(S.image_parts(spark, str(tmp_path / "in dir"), (".png",)))
+    assert len(parts) == 3 and sum(len([f for f in p.inputFiles() if f.lower().endswith(".png")]) for p in parts) == 6 and spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == parallel
+    rows = [r for p in parts for r in p.collect()]
+    got = {r.path.split("/in dir/")[1]: r for r in rows}
+    assert len(rows) == len(got) and set(got) == set(made)
+    for name, pixels in made.items():
+        assert got[name].data == (pixels[:, :, ::-1] if pixels.shape[2] == 3 else pixels).ravel().tolist() and (got[name].height, got[name].width, got[name].channels, got[name].dtype) == (*pixels.shape, str(pixels.dtype))
+    by_source = {r.path.split("/in dir/")[1]: r for r in S.pixels_of_8_bits(spark, str(tmp_path / "in dir"), (".png",)).collect()}
+    assert all(by_source[n] == r for n, r in got.items() if not n.startswith("deep"))
+
+
+def test_a_folder_is_preprocessed_in_parts(spark, tmp_path, monkeypatch):
+    """All parts, under names as they were; a file of the last part that is no image leaves nothing."""
+    from scanlake.operators.images import kernel
+
+    monkeypatch.setattr(S, "SLICE", 2)
+    made = odd_folder(tmp_path / "in")
+    for channels in ("gray", "color"):
+        S.preprocess_folder(spark, str(tmp_path / "in"), str(tmp_path / channels), (10, 12), channels=channels)
+        assert {str(p.relative_to(tmp_path / channels)) for p in (tmp_path / channels).rglob("*") if p.is_file()} == {n.replace(".PNG", ".png") for n in made}
+        for name, pixels in made.items():
+            want = kernel(pixels[:, :, ::-1] if pixels.shape[2] == 3 else pixels, (10, 12), channels)
+            got = S.decode_png((tmp_path / channels / name.replace(".PNG", ".png")).read_bytes())
+            assert (got == want[:, :, ::-1]).all() if want.shape[2] == 3 else (got == want).all()
+    (tmp_path / "in" / "z.jpg").write_text("no image")
+    with pytest.raises(Exception, match="cannot read file:.*z.jpg"):
+        S.preprocess_folder(spark, str(tmp_path / "in"), str(tmp_path / "none"))
+    assert not [p for p in (tmp_path / "none").rglob("*") if p.is_file()]
+    with pytest.raises(ValueError, match="no files with"):
+        S.decoded_images(spark, str(tmp_path / "in"), (".bmp",))
