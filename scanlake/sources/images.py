@@ -8,6 +8,7 @@ here as well, and the image source is given the others a slice at a time.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -129,13 +130,15 @@ def headed(files: DataFrame, root: str) -> DataFrame:
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: int):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(value))
+def _settings(spark: SparkSession, values: dict[str, int]):
+    before = {key: spark.conf.get(key, None) for key in values}
     try:
+        for key, value in values.items():
+            spark.conf.set(key, str(value))
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def pixels_of_8_bits(spark: SparkSession, root: str | list[str], extensions: tuple[str, ...] = names.FINALIZE_EXTENSIONS, on_bad: str = "raise", tasks: int | None = None) -> DataFrame:
@@ -147,8 +150,8 @@ def pixels_of_8_bits(spark: SparkSession, root: str | list[str], extensions: tup
     source = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true")
     if isinstance(root, str):
         rows = source.load(root)
-    else:  # looked up by few tasks, not by one for each file; names are no patterns
-        with _setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", tasks or _tasks(spark)):
+    else:  # looked up by few tasks, not by one for each file, and not kept for later scans; names are no patterns
+        with _settings(spark, {"spark.sql.sources.parallelPartitionDiscovery.parallelism": tasks or _tasks(spark), "spark.sql.hive.filesourcePartitionFileCacheSize": 0}):
             rows = source.load([re.sub(r"([\\{}\[\]*?])", r"\\\1", path) for path in root])
     rows = rows.select("image.*")
     rows = rows.coalesce(tasks) if tasks else rows
@@ -189,6 +192,7 @@ def image_parts(spark: SparkSession, root: str, extensions: tuple[str, ...] = na
         for i in range(parts):
             if not exists(spark, f"{place}/slice={i}"):  # by chance without files
                 continue
+            gc.collect()  # Python's handles of the slices before, which keep their files on the driver, are in cycles
             paths = [r["path"] for r in spark.read.schema("path string").parquet(f"{place}/slice={i}").collect()]
             yield pixels_of_8_bits(spark, paths, extensions, on_bad, tasks=_tasks(spark, len(paths)))
 
